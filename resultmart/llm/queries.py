@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from resultmart.llm.common import read
+from resultmart.llm.bpe import decode, encode
+from resultmart.llm.common import read, scratch
 from resultmart.llm.exact_dedup import exact_duplicates
 from resultmart.llm.line_dedup import dedup_lines
+from resultmart.llm.packing import pack
+from resultmart.llm.token_file import crc32_of_ids, read_tokens, write_tokens
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    write_tokens(read(spark, sf_dir, "documents"), path, BYTE_BPE, end_id=0)
+    return read_tokens(spark, path).mapInArrow(crc32_of_ids, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +31,19 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op7_exact_dedup)}
+def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(read(spark, sf_dir, "documents"), WORD_BPE, end_id=1, length=2048)
+    kept = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
+    return pieces.select(*kept, "ids").mapInArrow(crc32_of_ids, ", ".join(f"{x} long" for x in [*kept, "ids_crc32"]))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = decode(encode(read(spark, sf_dir, "documents"), WORD_BPE), WORD_BPE)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op3_line_dedup, op7_exact_dedup, op9_hilbert_packing, op10_bpe)}
 
 ORACLES = {
     "op3_line_dedup": r"""
