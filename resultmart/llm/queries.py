@@ -10,6 +10,7 @@ from resultmart.llm.bpe import decode, encode
 from resultmart.llm.common import read, scratch
 from resultmart.llm.exact_dedup import exact_duplicates
 from resultmart.llm.line_dedup import dedup_lines
+from resultmart.llm.near_dup import near_duplicates
 from resultmart.llm.packing import pack
 from resultmart.llm.token_file import crc32_of_ids, read_tokens, write_tokens
 
@@ -31,6 +32,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(read(spark, sf_dir, "documents"), WORD_BPE, end_id=1, length=2048)
     kept = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
@@ -43,7 +48,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op3_line_dedup, op7_exact_dedup, op9_hilbert_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op3_line_dedup, op7_exact_dedup, op8_ngram_jaccard, op9_hilbert_packing, op10_bpe)}
 
 ORACLES = {
     "op3_line_dedup": r"""
