@@ -12,6 +12,7 @@ from resultmart.llm.exact_dedup import exact_duplicates
 from resultmart.llm.line_dedup import dedup_lines
 from resultmart.llm.near_dup import near_duplicates
 from resultmart.llm.packing import pack
+from resultmart.llm.quality import fit_quality, score_quality
 from resultmart.llm.token_file import crc32_of_ids, read_tokens, write_tokens
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +29,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels"))).drop("text")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -48,7 +54,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op3_line_dedup, op7_exact_dedup, op8_ngram_jaccard, op9_hilbert_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op3_line_dedup, op5_quality_gam, op7_exact_dedup, op8_ngram_jaccard, op9_hilbert_packing, op10_bpe)}
 
 ORACLES = {
     "op3_line_dedup": r"""
