@@ -10,6 +10,7 @@ from resultmart.llm.bpe import decode, encode
 from resultmart.llm.common import read, scratch
 from resultmart.llm.exact_dedup import exact_duplicates
 from resultmart.llm.line_dedup import dedup_lines
+from resultmart.llm.metric_join import embedding_links
 from resultmart.llm.near_dup import near_duplicates
 from resultmart.llm.packing import pack
 from resultmart.llm.quality import fit_quality, score_quality
@@ -29,6 +30,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op4_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(read(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels"))).drop("text")
@@ -54,7 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op3_line_dedup, op5_quality_gam, op7_exact_dedup, op8_ngram_jaccard, op9_hilbert_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op3_line_dedup, op4_metric_join, op5_quality_gam, op7_exact_dedup, op8_ngram_jaccard, op9_hilbert_packing, op10_bpe)}
 
 ORACLES = {
     "op3_line_dedup": r"""
