@@ -14,9 +14,13 @@ from resultmart.llm.metric_join import embedding_links
 from resultmart.llm.near_dup import near_duplicates
 from resultmart.llm.packing import pack
 from resultmart.llm.quality import fit_quality, score_quality
+from resultmart.llm.sharding import shard
 from resultmart.llm.token_file import crc32_of_ids, read_tokens, write_tokens
+from resultmart.llm.warc import resolve_revisits
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+#: Most text of a shard.
+SHARD_BYTES = 1 << 20
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -26,6 +30,10 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).mapInArrow(crc32_of_ids, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(read(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
@@ -39,6 +47,21 @@ def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels"))).drop("text")
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Records of an archive as the pages imply them: a full response for each page, a minute apart, and a revisit some hours before or after it with the page's entity tag."""
+    page = pages.select("page_id", "url", F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"')).alias("etag"), F.octet_length("html").cast("string").alias("size"), (F.col("page_id") * 60).alias("at"))
+    shift = (F.conv(F.substring(F.md5("url"), 1, 4), 16, 10).cast("long") % 7 - 2) * 3600 + 30
+    full = page.select((F.col("page_id") * 2).alias("record_id"), "url", F.col("at").alias("captured"), F.lit("response").alias("kind"), F.lit(200).alias("status"), F.create_map(F.lit("Cache-Control"), F.lit("max-age=600"), F.lit("Content-Length"), "size", F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), "etag").alias("headers"))
+    again = page.select((F.col("page_id") * 2 + 1).alias("record_id"), "url", (F.col("at") + shift).alias("captured"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"), F.create_map(F.lit("Cache-Control"), F.lit("no-cache"), F.lit("Content-Length"), F.lit("0"), F.lit("Date"), (F.col("at") + shift).cast("string"), F.lit("ETag"), F.concat(F.lit("W/"), "etag")).alias("headers"))
+    return full.unionByName(again)
+
+
+def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(captures(read(spark, sf_dir, "pages")))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e.key, F.lit(": "), e.value)))
+    return found.withColumn("headers", F.array_join(lines, "; "))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -59,9 +82,41 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op3_line_dedup, op4_metric_join, op5_quality_gam, op7_exact_dedup, op8_ngram_jaccard, op9_hilbert_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_extendible_sharding, op3_line_dedup, op4_metric_join, op5_quality_gam, op6_revisits, op7_exact_dedup, op8_ngram_jaccard, op9_hilbert_packing, op10_bpe)}
 
 ORACLES = {
+    "op2_extendible_sharding": f"""
+WITH h AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT AS hash FROM documents
+), bucket AS (
+  SELECT d::INT AS depth, hash >> (48 - d)::INT AS bits, sum(n_bytes)::BIGINT AS shard_bytes, count(*)::BIGINT AS shard_docs FROM h, range(0, 49) r(d) GROUP BY 1, 2
+)
+SELECT doc_id, n_bytes, depth, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(bits), 48, '0'), depth) END AS prefix, 0::BIGINT AS part, shard_bytes, shard_docs
+FROM h JOIN bucket ON bits = hash >> (48 - depth)
+WHERE shard_bytes <= {SHARD_BYTES}
+QUALIFY depth = min(depth) OVER (PARTITION BY doc_id)
+""",
+    "op6_revisits": r"""
+WITH u AS (
+  SELECT page_id, '"' || substr(md5(html), 1, 16) || '"' AS etag, strlen(html) AS size, page_id * 60 AS at,
+    (('0x' || substr(md5(url), 1, 4))::BIGINT % 7 - 2) * 3600 + 30 AS shift, regexp_replace(trim(url), '#.*$', '') AS url
+  FROM pages
+), p AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '') AS host,
+    regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/index\.html?$', '/'), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(url, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS asked
+  FROM u
+), c AS (
+  SELECT *, host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END AS canonical_url FROM p
+), f AS (
+  SELECT r.page_id * 2 + 1 AS record_id, r.canonical_url, r.at + r.shift AS captured, r.etag, s.page_id * 2 AS response_id, s.at AS response_captured, s.etag AS stored, s.size
+  FROM c r ASOF LEFT JOIN c s ON r.canonical_url = s.canonical_url AND r.at + r.shift > s.at
+)
+SELECT record_id, canonical_url, captured, response_id, response_captured,
+  CASE WHEN response_id IS NULL THEN 'missing' WHEN etag = stored THEN 'resolved' ELSE 'changed' END AS outcome,
+  CASE WHEN etag = stored THEN 'cache-control: no-cache; content-length: ' || size || '; content-type: text/html; date: ' || captured || '; etag: W/' || etag END AS headers
+FROM f
+""",
     "op3_line_dedup": r"""
 WITH line AS (
   SELECT doc_id, pos, l.line, translate(regexp_replace(l.line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
