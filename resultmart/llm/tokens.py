@@ -1,23 +1,24 @@
 """Encoding whole texts with the ``tokenizers`` library, through a bounded memory of space-delimited pieces.
 
 Both vocabularies in use cut a text at every space before they merge, so the ids of a text are the ids of its pieces in
-order, and a piece that was seen before need not be merged again. What isn't known goes to the library in batches. The
-memory lives in the Python worker, holds at most ``CACHE`` pieces and starts again when it is full; it changes no
-result. A text for which the argument doesn't hold (white space side by side or at an end where it matters, a special
-token's string) goes to the library whole.
+order, and a piece that was seen before need not be merged again; nor does a word that was seen with other punctuation
+behind it. What isn't known goes to the library. The memory lives in the Python worker, keeps two generations of at
+most ``CACHE`` pieces and words each, and changes no result. A text for which the argument doesn't hold (white space
+side by side or at an end where it matters, a special token's string) goes to the library whole.
 """
 
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import os
 from array import array
 
 import numpy as np
 
-#: Pieces that a worker remembers.
-CACHE = 400_000
+#: Pieces, and words, of a generation that a worker remembers.
+CACHE = 220_000
 #: ASCII punctuation at the end of a piece, which both patterns cut off from a word; the apostrophe has rules of its own.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -44,14 +45,17 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.merge = self.library.model.tokenize
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
         self.special = [x["content"] for x in held["added_tokens"]]
         self.spaced = "Replace" not in json.dumps(held["normalizer"])  # a space is part of the word that follows it
         self.lowers = "Lowercase" in json.dumps(held["normalizer"])
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.after: dict[str, bytes] = {}  # pieces after a space
-        self.alone: dict[str, bytes] = {} if self.spaced else self.after
+        self.after: dict = {}  # pieces after a space
+        self.alone: dict = {} if self.spaced else self.after
+        self.words: dict[str, bytes] = {}
+        self.old: list[dict] = [{}, {}]  # what the last generation knew of pieces and words
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -59,47 +63,55 @@ class PieceEncoder:
 
     def _word(self, prefix: str, letters: str) -> bytes:
         """The ids of one word, merged by the library's model; it takes a byte as a printable letter."""
-        if not letters.isascii():
-            letters = "".join(map(LETTERS.__getitem__, letters.encode()))
-        return array(self.dtype.char, [x.id for x in self.library.model.tokenize((LETTERS[32] if prefix else "") + letters)]).tobytes()
+        key = prefix + letters
+        ids = self.words.get(key) or self.old[1].get(key)
+        if ids is None:
+            if not letters.isascii():
+                letters = "".join(map(LETTERS.__getitem__, letters.encode()))
+            ids = array(self.dtype.char, [x.id for x in self.merge(LETTERS[32] + letters if prefix else letters)]).tobytes()
+        self.words[key] = ids
+        return ids
 
     def _learn(self, pieces: set[str], known: dict, prefix: str) -> None:
         """Adds pieces; a word with punctuation behind it is the word and the punctuation."""
-        new: set[str] = set()
-        tails: set[str] = set()
+        new: list[str] = []
         parts: list[tuple[str, bytes, str]] = []
-        lowers = self.lowers
         for x in pieces:
-            if self.spaced and (not x or x[0].isspace() or x[-1].isspace()) or "<|" in x and any(s in x for s in self.special):
-                known[x] = WHOLE
-                continue
             core = x.rstrip(TAIL)
-            if core and max(core) < "İ" and core.isalpha():
-                tail = x[len(core) :]
-                if lowers:
-                    core = core.lower()
-                ids = known.get(core)
-                if ids is None:
-                    ids = known[core] = self._word(prefix, core)
-                if tail:
-                    if tail in self.alone:
-                        ids += self.alone[tail]
-                    else:
-                        tails.add(tail)
-                        parts.append((x, ids, tail))
-                known[x] = ids
+            if core.isalpha() and (core.isascii() or max(core) < "İ"):
+                ids = self._word(prefix, core.lower() if self.lowers else core)
+                if len(core) < len(x):
+                    parts.append((x, ids, x[len(core) :]))
+                else:
+                    known[x] = ids
+            elif self.spaced and (not x or x[0].isspace() or x[-1].isspace()) or "<|" in x and any(s in x for s in self.special):
+                known[x] = WHOLE
             else:
-                new.add(x)
-        for table, found, lead in ((self.alone, list(tails), ""), (known, list(new), prefix)):
-            if found:
-                table.update(zip(found, self._whole([lead + x for x in found]), strict=True))
+                new.append(x)
+        if tails := list({tail for _, _, tail in parts} - self.alone.keys()):
+            self.alone.update(zip(tails, self._whole(tails), strict=True))
         for x, ids, tail in parts:
             known[x] = ids + self.alone[tail]
+        if new:
+            known.update(zip(new, self._whole([prefix + x for x in new]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        for table in (self.after, self.alone):
-            if len(table) > CACHE:
-                table.clear()
+        """The ids of each text. Python's search for cycles rests meanwhile: it would go through all pieces again and again."""
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.after) > CACHE:
+            self.old[0], self.after = self.after, {}
+            if not self.spaced:
+                self.alone = self.after
+        if len(self.words) > CACHE:
+            self.old[1], self.words = self.words, {}
+        if len(self.alone) > CACHE:
+            self.alone.clear()
         pieces: list[str] = []
         firsts: list[str] = []
         ends = [0]
@@ -112,9 +124,11 @@ class PieceEncoder:
             ends.append(len(pieces))
         found = list(map(self.after.get, pieces))
         if holes := [i for i, x in enumerate(found) if x is None]:
-            self._learn({pieces[i] for i in holes}, self.after, " " if self.spaced else "")
+            need, after, old = {pieces[i] for i in holes}, self.after, self.old[0]
+            after.update((x, old[x]) for x in need & old.keys())
+            self._learn(need - after.keys(), after, " " if self.spaced else "")
             for i in holes:
-                found[i] = self.after[pieces[i]]
+                found[i] = after[pieces[i]]
         if self.spaced:
             if new := set(firsts) - self.alone.keys():
                 self._learn(new, self.alone, "")
