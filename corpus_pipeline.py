@@ -1,15 +1,63 @@
-"""The corpus pipeline: quality classifier, line deduplication, near-duplicate join and packing over ``documents``."""
+"""The corpus pipeline over ``documents``: quality classifier, line deduplication, near-duplicate join and packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as the next one's
+docs. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from resultmart.llm.common import read, stage
+from resultmart.llm.line_dedup import dedup_lines
+from resultmart.llm.near_dup import near_duplicates
+from resultmart.llm.packing import pack
+from resultmart.llm.quality import fit_quality, score_quality
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+REST = COLUMNS[2:]
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labelled ones, doesn't reject."""
+    model = fit_quality(docs, read(spark, sf_dir, "labels"))
+    return score_quality(docs, model, keep=REST).where("predicted = 1").select(COLUMNS)
+
+
+def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that a smaller doc_id holds; one that loses all it has goes."""
+    found = dedup_lines(docs, keep=["lang", "source"]).where("n_dropped = 0 OR text <> ''")
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates; documents without an id stay."""
+    gone = near_duplicates(docs).where("component_id < doc_id").select("doc_id").distinct()
+    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their place in sequences of 2048 ids."""
+    return pack(docs, TOKENIZER, end_id=1, length=2048)
+
+
+STAGES = [
+    ("quality classifier", classify_quality),
+    ("line deduplication", deduplicate_lines),
+    ("n-gram Jaccard join", join_near_duplicates),
+    ("curve packing", pack_sequences),
+]
 
-STAGES = []
+#: SQL can't express the classifier; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, step in STAGES:
-        docs = step(spark, docs, sf_dir)
-    return docs
+    """The last stage's rows; every stage before it is written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

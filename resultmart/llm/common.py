@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,9 +34,11 @@ def pick(df: DataFrame, **columns: str | tuple[str, str]) -> DataFrame:
     return held.select(*out)
 
 
-def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id long and text string, null text kept."""
-    return pick(df, doc_id=(id_col, "long"), text=(text_col, "string"))
+def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), own: Sequence[str] = ()) -> DataFrame:
+    """doc_id long and text string, null text kept, then the columns in ``keep``, which may not be called as those in ``own``."""
+    if clash := {x.lower() for x in keep} & {"doc_id", "text", *own}:
+        raise ValueError(f"columns to keep are called like results: {sorted(clash)}")
+    return pick(df, doc_id=(id_col, "long"), text=(text_col, "string"), **{x: x for x in keep})
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

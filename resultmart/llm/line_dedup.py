@@ -10,7 +10,7 @@ shuffled once, by doc_id, to meet their list of hashes to drop.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,25 +59,28 @@ def _reassemble(min_chars: int):
                 joined = "\n".join(kept)
                 out.append((len(lines), len(lines) - len(kept), joined, hashlib.sha256(joined.encode()).hexdigest()))
             n, d, t, h = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(t, pa.string()), pa.array(h, pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(t, pa.string()), pa.array(h, pa.string()), *part.columns[3:]], names=[*names, *part.schema.names[3:]])
 
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, keep: Sequence[str] = ()) -> DataFrame:
     """Drop lines whose key is held by ``min_docs`` documents or more, except in the smallest doc_id that holds it.
 
     A line's key is the line without white space (space, U+0009 to U+000D) at its ends and with A-Z in lower case; keys
     of fewer than ``min_chars`` code points stay. Returns one row per input row: doc_id, n_lines (before dropping),
-    n_dropped, text (the lines that stay, joined by line feeds) and kept_sha256.
+    n_dropped, text (the lines that stay, joined by line feeds), kept_sha256 and the columns in ``keep``.
     A null or empty text is one empty line. Rows with a null doc_id lose nothing and don't count. Rows that share a
-    doc_id are one document: a key found only in them isn't shared. An empty table gives an empty result.
+    doc_id are one document: a key found only in them isn't shared. An empty table gives an empty result; other
+    columns are dropped, and those to keep may not be called like results.
     """
-    rows = documents(docs, id_col, text_col)
-    held = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_keys(min_chars), "key binary, doc_id long")
+    own = ("n_lines", "n_dropped", "kept_sha256", "drop", "key")
+    rows = documents(docs, id_col, text_col, keep, own)
+    held = rows.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_keys(min_chars), "key binary, doc_id long")
     if min_docs == 2:
         shared = held.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
     else:
         shared = held.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count_distinct("doc_id").alias("n")).where(F.col("n") >= min_docs)
     drops = held.join(shared.select("key", "first_id"), "key").where(F.col("doc_id") != F.col("first_id")).groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
-    return rows.join(drops, "doc_id", "left").select("doc_id", "text", "drop").mapInArrow(_reassemble(min_chars), "doc_id long, n_lines long, n_dropped long, text string, kept_sha256 string")
+    fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    return rows.join(drops, "doc_id", "left").select("doc_id", "text", "drop", *keep).mapInArrow(_reassemble(min_chars), "doc_id long, n_lines long, n_dropped long, text string, kept_sha256 string" + fields)

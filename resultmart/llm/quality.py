@@ -13,15 +13,16 @@ features of the sample are all that reaches the driver. Scoring reads every whol
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resultmart.llm.common import documents, pick, rows_of
+from resultmart.llm.common import chunks, documents, pick, rows_of
 from resultmart.llm.shingles import word_hashes
 
 #: Byte classes whose share of a text is a feature.
@@ -181,19 +182,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     return fit(x, np.array([r[1] for r in found], float))
 
 
-def _scored(model: AdditiveModel):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in rows_of(batches):
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(model.score(features(texts)))], names=["doc_id", "text", "score"])
+def _scores(model: AdditiveModel):
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        held = [x or "" for x in texts]
+        return pd.Series(np.concatenate([np.zeros(0), *(model.score(features(held[a:b])) for a, b in chunks(held))]))
 
     return run
 
 
-def score_quality(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, held_out, score (0 to 1) and predicted (1 if score >= ``threshold``); one row per input row.
+def score_quality(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text, columns in ``keep``, held_out, score (0 to 1) and predicted (1 if score >= ``threshold``); one row per input row.
 
     Null texts count as empty and get a score too; rows with a null doc_id are held out; repeated rows get equal scores;
-    an empty table gives an empty result; extra columns are dropped.
+    an empty table gives an empty result; other columns are dropped, and those to keep may not be called like results.
     """
-    rows = documents(docs, id_col, text_col).mapInArrow(_scored(model), "doc_id long, text string, score double")
-    return rows.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    rows = documents(docs, id_col, text_col, keep, ("held_out", "score", "predicted"))
+    scored = rows.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("score", _scores(model)("text"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
