@@ -1,0 +1 @@
+"""The source system has no streaming operator: refresh is a batch job over new documents (see ``resultmart.plans.registry``)."""
