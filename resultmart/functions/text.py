@@ -75,19 +75,19 @@ def parse_event_start(c: Column) -> Column:
     The text before " - ", else its first D.M.YYYY, else D.M with the year of the range's end. A date with slashes is
     month-first only if that alone is possible; all others are day-first. Impossible days give null.
     """
-    full = r"^\s*(\d{1,2})[./](\d{1,2})[./](\d{4})"
-    short = r"^\s*(\d{1,2})\.(\d{1,2})\.?\s*-\s*\d{1,2}\.\d{1,2}\.(\d{4})"
+    full = r"^(\d{1,2})[./](\d{1,2})[./](\d{4})"
+    short = r"^(\d{1,2})[./](\d{1,2})\s*-\s*\d{1,2}[./]\d{1,2}[./](\d{4})\z"
     head = F.split_part(c, F.lit(" - "), F.lit(1))
-    source = F.when(head.rlike(full), head).when(c.rlike(short), F.concat(F.regexp_extract(c, short, 1), F.lit("."), F.regexp_extract(c, short, 2), F.lit("."), F.regexp_extract(c, short, 3)))
+    source = F.when(head.rlike(full + r"\z"), head).when(c.rlike(full), c).when(c.rlike(short), F.regexp_replace(c, short, "$1.$2.$3"))
     a, b, year = (_matched(source, full, k).cast("int") for k in (1, 2, 3))
     month_first = (a <= 12) & (b >= 13) & (b <= 31)
     return make_date(year, F.when(month_first, a).otherwise(b), F.when(month_first, b).otherwise(a))
 
 
 def season(date: Column) -> Column:
-    """Seasons begin in July: 2013-2014."""
+    """Seasons begin in July: 2013/2014."""
     first = F.year(date) - F.when(F.month(date) >= 7, 0).otherwise(1)
-    return F.concat(first.cast("string"), F.lit("-"), (first + 1).cast("string"))
+    return F.concat(first.cast("string"), F.lit("/"), (first + 1).cast("string"))
 
 
 def nation_code(c: Column) -> Column:

@@ -63,22 +63,22 @@ def insert_ignore(base: DataFrame, rows: DataFrame, keys: Sequence[str]) -> Data
 #: For each table the columns by which its rows hang on another one, parents first.
 REFERENCES: dict[str, dict[str, str]] = {
     "source_documents": {"import_run_id": "import_runs"},
-    "parse_issues": {"import_run_id": "import_runs", "document_id": "source_documents"},
+    "parse_issues": {"import_run_id": "import_runs", "source_document_id": "source_documents"},
     "events": {"import_run_id": "import_runs"},
     "categories": {"event_id": "events"},
     "segments": {"category_id": "categories"},
     "schedule_items": {"event_id": "events"},
-    "source_skater_appearances": {"event_id": "events", "category_id": "categories", "segment_id": "segments"},
-    "category_results": {"category_id": "categories", "appearance_id": "source_skater_appearances"},
-    "segment_results": {"segment_id": "segments", "appearance_id": "source_skater_appearances"},
+    "source_skater_appearances": {"import_run_id": "import_runs", "event_id": "events", "category_id": "categories", "segment_id": "segments"},
+    "category_results": {"category_id": "categories"},
+    "segment_results": {"segment_id": "segments"},
     "official_assignments": {"segment_id": "segments"},
-    "pdf_score_summaries": {"segment_id": "segments", "document_id": "source_documents", "appearance_id": "source_skater_appearances"},
-    "pdf_elements": {"summary_id": "pdf_score_summaries"},
-    "pdf_element_judge_scores": {"element_id": "pdf_elements"},
-    "pdf_program_components": {"summary_id": "pdf_score_summaries"},
-    "pdf_component_judge_scores": {"component_id": "pdf_program_components"},
-    "pdf_mlad_figurist_results": {"document_id": "source_documents"},
-    "source_archive_files": {"document_id": "source_documents"},
+    "pdf_score_summaries": {"segment_id": "segments"},
+    "pdf_elements": {"pdf_score_summary_id": "pdf_score_summaries"},
+    "pdf_element_judge_scores": {"pdf_element_id": "pdf_elements"},
+    "pdf_program_components": {"pdf_score_summary_id": "pdf_score_summaries"},
+    "pdf_component_judge_scores": {"pdf_program_component_id": "pdf_program_components"},
+    "pdf_mlad_figurist_results": {"segment_id": "segments"},
+    "source_archive_files": {"import_run_id": "import_runs", "source_document_id": "source_documents"},
 }
 
 

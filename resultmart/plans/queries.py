@@ -116,14 +116,14 @@ FROM orders
 def start_date_parse(spark, d):
     o, k = table(spark, d, "orders"), F.col("o_orderkey") % 6
     fmt = lambda p: F.date_format("o_orderdate", p)
-    text = F.when(k == 0, F.concat(fmt("d.M.yyyy"), F.lit(" - 1.1.2040"))).when(k == 1, fmt("dd/MM/yyyy")).when(k == 2, F.concat(fmt("d.M"), F.lit(". - 31.12."), fmt("yyyy"))).when(k == 3, fmt("M/d/yyyy")).when(k == 4, F.concat(fmt("dd.MM.yyyy"), F.lit(" evening"))).otherwise("31.02.2020")
+    text = F.when(k == 0, F.concat(fmt("d.M.yyyy"), F.lit(" - 1.1.2040"))).when(k == 1, fmt("dd/MM/yyyy")).when(k == 2, F.concat(fmt("d.M"), F.lit(" - 31.12."), fmt("yyyy"))).when(k == 3, fmt("M/d/yyyy")).when(k == 4, F.concat(fmt("dd.MM.yyyy"), F.lit(" evening"))).otherwise("31.02.2020")
     # a month-first text whose day could be a month is read day-first, and a day-first text whose month could be a day isn't
     return o.select("o_orderkey", day(T.parse_event_start(text)).alias("start_day"))
 
 
 @query("""
 SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS date_text, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, day(o_orderdate)::INT AS day,
-  CASE WHEN month(o_orderdate) >= 7 THEN year(o_orderdate) || '-' || (year(o_orderdate) + 1) ELSE (year(o_orderdate) - 1) || '-' || year(o_orderdate) END AS season
+  CASE WHEN month(o_orderdate) >= 7 THEN year(o_orderdate) || '/' || (year(o_orderdate) + 1) ELSE (year(o_orderdate) - 1) || '/' || year(o_orderdate) END AS season
 FROM orders
 """)
 def season_dim(spark, d):
