@@ -38,9 +38,10 @@ def clean_text(c: Column) -> Column:
 
 
 def clean_date(c: Column) -> Column:
-    """A date text without stray spaces around its separators and without a closing dot."""
+    """A date text without stray spaces around its separators and without a word or dot that closes a date."""
     c = F.regexp_replace(clean_text(c), r"(?<=\d)\s*([./])\s*(?=\d)", "$1")
-    return blank_to_null(F.regexp_replace(F.regexp_replace(c, r"\s*[–-]\s*", " - "), r"\.\z", ""))
+    c = F.regexp_replace(c, r"(?<=\d)[^\d./–-]*\.(?=\s|\z)", "")
+    return blank_to_null(F.btrim(F.regexp_replace(c, r"\s*[–-]\s*", " - ")))
 
 
 def to_int(c: Column) -> Column:
