@@ -1,0 +1,132 @@
+"""Rules, upserts, registry and load."""
+
+from pyspark.sql import functions as F
+
+from resultmart.functions import arrays as A
+from resultmart.functions import text as T
+from resultmart.operators import maintenance as M
+from resultmart.operators.windows import dense_key
+from resultmart.plans import registry as R
+from resultmart.sources.schemas import TABLES
+from resultmart.sources.tables import json_report, read_manifest_csv, read_profiles, read_url_list, write_manifest
+from tests.test_pages import PAGES, U
+
+
+def values(spark, column, rows, kind="string"):
+    return [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], f"i int, x {kind}").orderBy("i").select(column).collect()]
+
+
+def test_text_semantics(spark):
+    x = F.col("x")
+    assert [str(v) for v in values(spark, T.parse_event_start(x), ["29.11.2013 - 1.12.2013", "27/11/2018 - 02/12/2018", "11/26/2021", "18-19.04.2026", "18.04 - 19.04.2026", "31.02.2020", None])] == ["2013-11-29", "2018-11-27", "2021-11-26", "None", "2026-04-18", "None", "None"]
+    assert values(spark, T.normalize_name(x), [" a  b ", "straße", None]) == ["A B", "STRASSE", None]
+    assert values(spark, T.not_iso3(x), ["BUL", "BUL\n", "Elit", None]) == [False, True, True, None]
+    assert values(spark, T.to_int(x), ["#4 ", "x", "1.5", "", None]) == [4, None, None, None, None]
+    assert values(spark, T.nation_code(x), ["BUL", "Name GER", "bul", "ABCD"]) == ["BUL", "GER", None, None]
+    assert values(spark, T.has_header_sequence(x, ["Club", "Nation"]), ["<th>Club</th>\n<th>Nation", "Nation Club"]) == [True, False]
+    assert values(spark, T.split_sheet_title(x)["segment"], ["NOVICE BOYS SHORT PROGRAM", "A  B", "A"]) == ["SHORT PROGRAM", "B", None]
+    assert values(spark, T.archive_path(x), ["http://A.test/x/", "http://a.test/p?a=1&b"]) == ["a.test/x/index.html", "a.test/p__a%3D1%26b"]
+    assert values(spark, T.season(x), ["2013-06-30", "2013-07-01"], "string") == ["2012/2013", "2013/2014"]
+
+
+def test_aggregates_and_maps(spark):
+    df = spark.createDataFrame([(1, "b", 2), (1, None, 1), (1, "a", None), (1, "a", 3)], "k int, v string, o int")
+    row = df.groupBy("k").agg(A.agg_ordered(F.col("v"), F.col("o")).alias("o"), A.agg_ordered(F.col("v"), distinct=True).alias("d"), A.agg_ordered(F.col("v"), where=F.col("o") > 9).alias("n"), A.agg_ordered(F.col("v"), F.col("o"), keep_null=False).alias("f")).first()
+    assert (row.o, row.d, row.n, row.f) == ([None, "b", "a", "a"], ["a", "b", None], None, ["b", "a", "a"])
+    m = spark.range(1).select(A.merge_map(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3"))).alias("m"), A.zip_map(F.array(F.lit("x"), F.lit(""), F.lit("x"), F.lit("z")), F.array(F.lit("1"), F.lit("2"), F.lit("3"))).alias("z")).first()
+    assert m.m == {"a": "1", "b": "3"} and m.z == {"x": "3"}
+
+
+def test_dense_key_is_a_global_row_number(spark):
+    df = spark.range(1000).select((F.col("id") % 37).alias("a"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("b")).dropDuplicates().repartition(7)
+    got = [(r.a, r.b) for r in dense_key(df, ["a", "b"], "k").orderBy("k").collect()]
+    assert got == sorted(got, key=lambda r: (r[0], r[1] is None, r[1] or 0)) and dense_key(df, ["a", "b"], "k").agg(F.max("k")).first()[0] == len(got)
+
+
+def test_representation(spark):
+    rows = [(1, "Elit", "", "club", "club"), (2, "Elit", "X", "club", "country"), (3, "BUL", "X", "club", "country"), (4, "BUL", "", "nation", "country"), (5, "BUL", "", "club", "country")]
+    out = {r.id: (r.nation_code, r.club_name, r.representation_type, r.representation_value) for r in R.normalize_representation(spark.createDataFrame(rows, "id int, nation_code string, club_name string, representation_primary string, nation_column string")).collect()}
+    assert out == {1: (None, "Elit", "club", "Elit"), 2: (None, "X", "club", "X"), 3: ("BUL", "X", "club", "X"), 4: ("BUL", "", "nation", "BUL"), 5: ("BUL", "", "club", None)}
+
+
+def test_rules(spark):
+    schema = "id int, nation_code string, club_name string, representation_primary string, nation_column string, parser_profile string, representation_type string, representation_value string, raw map<string,string>"
+    rows = [(1, "Elit", "", "club", "club", "old_isucalcfs", None, None, {}), (2, "Var", "abc", "club", None, "fs_manager", "club", "abc", {}), (3, "BUL", "Varna", "club", "country", "fs_manager", "nation", "BUL", {}), (4, "BUL", "abc", "club", "country", "fs_manager", "club", "abc", {})]
+    out = {r.id: r for r in R.correct_appearances(spark.createDataFrame(rows, schema)).collect()}
+    assert (out[1].nation_code, out[1].club_name, out[1].representation_value) == (None, "Elit", "Elit") and "nation_holds_club" in out[1].raw
+    assert (out[2].nation_code, out[2].club_name, out[2].representation_value) == (None, None, None) and "Var" in out[2].raw["nation_not_a_code"]
+    assert (out[3].representation_type, out[3].representation_value) == ("club", "Varna") and out[4].club_name == "abc"
+    profile = "profile_key string, host string, path_prefix string, parser_profile string, competition_stream string, representation_primary string, event_type string, competition_level string, nation_column string, store_nation boolean, store_club boolean, empty_club_policy string, discovered boolean"
+    made = [("fam_x", "h", "/a", "fs_manager", None, "club", None, None, None, True, True, None, False), ("k", "fed", "/p/cup1", "fs_manager", "NonISU", "nation", None, None, None, True, True, None, True), ("o", "fed", "/z", "old_isucalcfs", "x", "club", None, None, None, True, True, None, False)]
+    got = {r.profile_key: r for r in M.apply_rules(spark.createDataFrame(made, profile), R.profile_rules(["fam_"], "/amateur", "fed", "/p/cup1")).collect()}
+    assert (got["fam_x"].representation_primary, got["fam_x"].competition_stream) == ("nation", "international")
+    assert (got["k"].representation_primary, got["k"].event_type) == ("club", "international") and (got["o"].nation_column, got["o"].store_nation) == ("club", False)
+
+
+def test_upserts(spark, tmp_path):
+    base = spark.createDataFrame([("u1", "f", "imported", "passed", "a", {"k": "1"}), ("u2", None, "ready", "failed", None, {})], TABLES["source_url_registry"])
+    new = spark.createDataFrame([("u1", None, "ready", "failed", "b", {"j": "2"}), ("u3", "f", "ready", "pending", None, {})], TABLES["source_url_registry"])
+    out = {r.url: r for r in R.register(base, new).collect()}
+    assert (out["u1"].status, out["u1"].validation_status, out["u1"].notes, out["u1"].summary, out["u1"].family) == ("imported", "passed", "a\nb", {"k": "1", "j": "2"}, "f") and len(out) == 3
+    runs = spark.createDataFrame([(1, "u2", "completed")], "id long, root_url string, status string")
+    assert [r.url for r in R.ready_worklist(R.register(base, new), runs).collect()] == ["u3"]
+    assert {r.url: r.validation_status for r in M.refresh_registry(base, runs).collect()}["u2"] == "passed"
+    M.write_version(base, f"{tmp_path}/t", 1)
+    M.write_version(R.register(base, new), f"{tmp_path}/t", 2)
+    assert M.read_current(spark, f"{tmp_path}/t").count() == 3
+    catalog = spark.createDataFrame([("s", "Adult Cup", None, "", None, None, None, "d1", None, "registered", {}), ("s", "B", "x", None, None, None, "k", "d2", None, "new", {}), ("s", "C", "x", None, None, None, "k", "d3", None, "new", {})], TABLES["event_discovery_catalog"])
+    rows = spark.createDataFrame([("s", "Adult Cup", "", None, "", "", None, "d1", "r", "new", {"a": "b"})], TABLES["event_discovery_catalog"])
+    got = {r.event_name: r for r in R.load_catalog(catalog, rows).collect()}
+    assert len(got) == 3 and got["Adult Cup"].discovery_status == "registered" and got["Adult Cup"].result_url == "r" and got["Adult Cup"].kind == "adult"
+    details = spark.createDataFrame([("d2", "http://r")], "detail_url string, result_url string")
+    done = {r.event_name: r for r in R.resolve_catalog(catalog, details).collect()}
+    assert (done["B"].result_url, done["B"].discovery_status, done["C"].discovery_status) == ("http://r", "candidate_result_url", "manual_review")
+    clubs, aliases = (spark.createDataFrame([], s) for s in ("club_id string, canonical_name string, status string", "alias_name string, alias_normalized string, club_id string, confidence string"))
+    seen = spark.createDataFrame([("Elit",), (" elit ",), ("",), (None,), ("Varna",)], "club string")
+    once = M.register_missing_aliases(seen, clubs, aliases)
+    again = M.register_missing_aliases(seen, *once)
+    assert [df.count() for df in once] == [2, 2] == [df.count() for df in again]
+
+
+def test_runs_and_issues(spark):
+    runs = spark.createDataFrame([(1, "u", "started", None, None), (2, "u", "started", None, None)], "id long, root_url string, status string, stats map<string,string>, error string")
+    out = {r.id: r for r in M.close_run(runs, 1, "failed", {"events": 1}, "boom").collect()}
+    assert (out[1].status, out[1].error, out[1].stats, out[2].status) == ("failed", "boom", {"events": "1"}, "started")
+    issue = M.issue_rows(spark.createDataFrame([("x", 1)], "code string, n int")).first()
+    assert (issue.level, issue.code, issue.message, issue.context) == ("warning", "x", "", {"n": "1"})
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"profiles": [{"profile_key": "a", "host": "h"}, {"profile_key": "b", "host": "h"}]}')
+    assert [(r.ordinal, r.profile_key) for r in read_profiles(spark, f"{tmp_path}/p.json").collect()] == [(0, "a"), (1, "b")]
+    (tmp_path / "u.txt").write_text("# x\n\nhttp://a \n")
+    assert [r.url for r in read_url_list(spark, f"{tmp_path}/u.txt").collect()] == ["http://a"]
+    docs = spark.createDataFrame([(1, 7, "http://h/a.htm", b"x"), (2, 7, "http://h/b.pdf", None), (3, 6, "http://h/a.htm", b"y")], "id long, import_run_id long, url string, body binary")
+    runs = spark.createDataFrame([(6, "r", "completed"), (7, "r", "completed")], "id long, root_url string, status string")
+    manifest = R.archive_manifest(docs, runs)
+    write_manifest(manifest, f"{tmp_path}/m")
+    assert {(r.source_document_id, r.archive_status, r.archive_reason) for r in manifest.collect()} == {(1, "written", None), (2, "skipped", "pdf without a body")}
+    base = spark.createDataFrame([], TABLES["source_archive_files"])
+    full = spark.read.option("header", True).csv(f"{tmp_path}/m/csv")
+    assert R.load_manifest(base, full).count() == 2 and read_manifest_csv(spark, f"{tmp_path}/m/csv").columns[0] == "source_document_id"
+    assert '"n":2' in json_report(counts=manifest.agg(F.count("*").alias("n"))).first().report
+
+
+def test_import(spark):
+    docs = spark.createDataFrame([(U + "new/" + n.split("/")[-1], b.encode("windows-1252", "replace")) for n, b in PAGES.items() if n.startswith("new/")] + [(U + "new/CAT001RS.htm", b"<table></table>"), (U + "new/JD.pdf", b"%PDF")], "url string, body binary")
+    out = R.import_batch(docs, 5)
+    assert out["events"].count() == 1 and out["categories"].first()["name"] == "Men" and out["segments"].count() == 1
+    linked = out["source_skater_appearances"].join(out["events"].select(F.col("id").alias("event_id")), "event_id")
+    assert {(r.appearance_type, r.normalized_name, r.source_skater_id) for r in linked.collect()} == {("entry", "MAURIZIO Z", "isufs00009567"), ("segment_result", "ELINA G", "isufs00111111")}
+    assert out["segment_results"].join(out["source_skater_appearances"].select(F.col("id").alias("skater_appearance_id")), "skater_appearance_id").count() == 1
+    assert out["schedule_items"].first().scheduled_date == "08.11.2024" and out["source_documents"].count() == 5
+    for df in out.values():
+        df.collect()
+    from tests.test_sheets import COMPACT, TABLE
+
+    sheets = R.import_sheets(spark.createDataFrame([("c", COMPACT), ("t", TABLE)], "doc_id string, text string"), 5)
+    assert sheets["pdf_score_summaries"].count() == 5 and sheets["pdf_element_judge_scores"].count() == 28 and sheets["pdf_component_judge_scores"].count() == 10
+    profiles = spark.createDataFrame([("results.test", "/2013/", "a"), ("results.test", "/2013/cup/new", "b")], "host string, path_prefix string, profile_key string")
+    assert {r.profile_key for r in R.attach_profiles(docs, profiles).collect()} == {"b"}
+    checked = spark.createDataFrame([("supported", 2), ("supported", 0), ("unknown", None)], "source_class string, n_categories int")
+    assert [r.status for r in R.decide_status(checked).collect()] == ["ready", "analyzed", "skipped"]
