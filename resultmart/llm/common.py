@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -58,13 +58,45 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and lost executors lose nothing of it."""
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that start meanwhile hand so many rows at a time to Python, so that batches of wide rows stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def stage(df: DataFrame, label: str, batch_rows: int = 2000, waves: int = 0) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there, and lost executors lose nothing of it.
+
+    With ``waves``, as many tasks as that many waves over all cores write at most: fewer files where partitions are small.
+    """
     path, spark = scratch(df.sparkSession, label), df.sparkSession
-    df.write.option("compression", "zstd").parquet(path)
+    with batches_of(spark, batch_rows):
+        (df.coalesce(waves * spark.sparkContext.defaultParallelism) if waves else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> Iterator[DataFrame]:
+    """A table in the shared folder whose rows lie in buckets of a key, so that joins by it don't move them again.
+
+    The input should come in ``buckets`` hash partitions of that key; then every task writes one file.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    with batches_of(spark, 1000):
+        df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def chunks(texts: list, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of a list of strings with about so many characters each; one long text stands alone."""
     start = size = 0

@@ -68,7 +68,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", task_links: int = T
     task, then links larger neighbours to the smallest one they share (large star) and smaller ones to the smallest
     (small star), with grouped minima and joins, until nothing changes; the rounds grow with the logarithm of the size.
     """
-    edges = stage(pick(links, a=(a, "long"), b=(b, "long")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(_contract(task_links), "a long, b long"), "links")
+    edges = stage(pick(links, a=(a, "long"), b=(b, "long")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(_contract(task_links), "a long, b long"), "links", waves=1)
     n = edges.count()
     while n > task_links:
         tasks = math.ceil(n / task_links)
@@ -78,7 +78,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", task_links: int = T
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("low"))
         small = down.join(low, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        rounds = stage(small.repartition(tasks, "b").mapInArrow(_contract(task_links), "a long, b long").distinct(), "links")
+        rounds = stage(small.repartition(tasks, "b").mapInArrow(_contract(task_links), "a long, b long").distinct(), "links", waves=3)
         m, same = rounds.count(), rounds.exceptAll(edges).isEmpty()
         edges = rounds
         if same and m == n:

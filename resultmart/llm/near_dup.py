@@ -6,9 +6,10 @@ A class lists its shingles from rare to frequent, and two classes with Jaccard s
 in ``SKETCH`` buckets, whose size doesn't grow: any fixed order gives right results, and frequent shingles stand out.
 
 A group of thousands of near copies has millions of similar pairs that say nothing new about who reaches whom. So pairs
-are tried in rounds, each verified once: first each class with the one that stands next to it in most of its lists,
-then with some, then with all classes of *other* components that pass the filters. The last round has no limit: no link
-between different components goes untested, while pairs within one component need no test.
+are tried in rounds: first each class with the one that stands next to it in most of its lists, by size; then, some
+times over, with neighbours of *other* components in random orders; then with all classes of other components that pass
+the filters. The last round has no limit: no link between different components goes untested, while pairs within one
+component need no test. A round verifies a pair once.
 """
 
 from __future__ import annotations
@@ -19,17 +20,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from resultmart.llm.common import documents, rows_of, stage
+from resultmart.llm.common import bucketed, documents, rows_of, stage
 from resultmart.llm.components import components
-from resultmart.llm.shingles import shingle_sets
+from resultmart.llm.shingles import mix, shingle_sets
 
 #: Buckets of the shingle count: 4 MB at any size of the corpus.
 SKETCH_BITS = 20
 PIECE_BITS = 10
 SUFFIX_RANGES = 32
+#: Bits of the filter of documents whose sets are needed.
+MARK_BITS = 25
+#: Text whose shingles are computed at once.
+TEXT_BYTES = 500_000
+#: Pairs of sets that are compared at once.
+PAIR_ROWS = 200
 
 
 def _sketch(words: int):
@@ -37,7 +44,7 @@ def _sketch(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        for _, texts in rows_of(batches):
+        for _, texts in rows_of(batches, TEXT_BYTES):
             found = shingle_sets([x.encode() for x in texts], words)
             counts += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
         if counts.any():
@@ -66,6 +73,49 @@ def sketch(rows: DataFrame, words: int) -> Broadcast:
     return rows.sparkSession.sparkContext.broadcast(np.minimum(counts.ravel(), (1 << 32) - 1).astype(np.uint32))
 
 
+def _marks(bits: int):
+    """Which buckets of hashed doc_ids a task has, in pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << bits, bool)
+        for b in batches:
+            held[bucket(b.column(0).to_numpy(), bits)] = True
+        parts = np.packbits(held).reshape(-1, 1 << PIECE_BITS)
+        some = np.flatnonzero(parts.any(axis=1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), TaskContext.get().partitionId(), np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["piece", "task", "counts"])
+
+    return run
+
+
+def _either(group: pa.Table) -> pa.Table:
+    held = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group.column("counts").to_pylist()])
+    return pa.table({"piece": group.column("piece")[:1], "task": group.column("task")[:1], "counts": pa.array([held.tobytes()], pa.binary())})
+
+
+def bucket(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def marked(ids: DataFrame, bits: int = MARK_BITS) -> Broadcast:
+    """A filter of doc_ids in 2**bits bits, 4 MB at any size: it passes all given ones, and others the more the fuller it is."""
+    kind = "piece int, task int, counts binary"
+    parts = ids.mapInArrow(_marks(bits), kind).withColumn("task", F.shiftright("task", 8))
+    joined = parts.groupBy("piece", "task").applyInArrow(_either, kind).withColumn("task", F.lit(0)).groupBy("piece", "task").applyInArrow(_either, kind)
+    held = np.zeros((1 << (bits - 3 - PIECE_BITS), 1 << PIECE_BITS), np.uint8)
+    for piece, _, raw in joined.collect():
+        held[piece] = np.frombuffer(raw, np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(held.ravel())
+
+
+def _passing(held: Broadcast, bits: int = MARK_BITS):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = bucket(b.column(0).to_numpy(), bits)
+            yield b.filter(pa.array((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+
+    return run
+
+
 def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -76,7 +126,7 @@ def _signatures(words: int, percent: int, counts: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency, seen = counts.value, set()
-        for rows, texts in rows_of(batches):
+        for rows, texts in rows_of(batches, TEXT_BYTES):
             sizes, digests, prefixes = [], [], []
             for doc_id, x in zip(rows.column(0).to_pylist(), shingle_sets([x.encode() for x in texts], words), strict=True):
                 sizes.append(len(x))
@@ -115,9 +165,10 @@ def _shared(percent: int):
 
     Rows come sorted. The first and the last list of a task may go on in another one, so their rows count as shared.
     """
-    names = ["token", "spot", "rep", "near"]
+    names = ["token", "spot", "rep", "near", "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         last = None  # the row that waits for its successor, and whether it has a predecessor
         for b in batches:
             if not b.num_rows:
@@ -137,38 +188,32 @@ def _shared(percent: int):
                 near[0] = last[4]
             valid = np.append(last is not None and last[5], good)
             at = np.flatnonzero(shared)
-            yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(spot[at]), pa.array(rep[at]), pa.array(near[at], mask=~valid[at])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(spot[at]), pa.array(rep[at]), pa.array(near[at], mask=~valid[at]), pa.array(np.full(len(at), part, np.int32))], names=names)
             last = (token[-1:], spot[-1:], rep[-1:], bool(with_previous[-1]), near[-1], bool(valid[-1]))
         if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1]), pa.array(last[2]), pa.array([last[4]], pa.int64(), mask=np.array([not last[5]]))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1]), pa.array(last[2]), pa.array([last[4]], pa.int64(), mask=np.array([not last[5]])), pa.array([part], pa.int32())], names=names)
 
     return run
 
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in rows_of(batches):
+        for rows, texts in rows_of(batches, TEXT_BYTES):
             found = shingle_sets([x.encode() for x in texts], words)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([_ranges(x) for x in found], pa.binary())], names=["rep", "shingles", "ranges"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([_ranges(x) for x in found], pa.list_(pa.int32()))], names=["rep", "shingles", "ranges"])
 
     return run
 
 
-def _ranges(x: np.ndarray) -> bytes:
+def _ranges(x: np.ndarray) -> list[int]:
     """How many shingles lie in each of equal ranges of hashes, for the suffix filter."""
-    return np.bincount((x >> np.uint64(59)).astype(np.int64), minlength=SUFFIX_RANGES).astype("<u4").tobytes()
-
+    return np.bincount((x >> np.uint64(59)).astype(np.int64), minlength=SUFFIX_RANGES).tolist()
 
-def _suffix_filter(percent: int):
-    """Pairs whose sets can overlap enough, range of hashes by range."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").reshape(-1, SUFFIX_RANGES).astype(np.int64) for i in (2, 3))
-            good = (100 + percent) * np.minimum(x, y).sum(axis=1) >= percent * (x.sum(axis=1) + y.sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(b.column(i).to_numpy()[good]) for i in (0, 1)], names=["a", "b"])
 
-    return run
+def _suffix_filter(x: Column, y: Column, percent: int) -> Column:
+    """Whether two sets can overlap enough, range of hashes by range."""
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, b: a + b)
+    return (100 + percent) * total(F.zip_with(x, y, lambda a, b: F.least(a, b))) >= percent * (total(x) + total(y))
 
 
 def _verify(percent: int):
@@ -192,29 +237,46 @@ def _verify(percent: int):
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the threshold."""
     ranges = sets.select("rep", "ranges")
-    likely = pairs.join(ranges.toDF("a", "x"), "a").join(ranges.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_suffix_filter(percent), "a long, b long")
+    likely = pairs.join(ranges.toDF("a", "x"), "a").join(ranges.toDF("b", "y"), "b").where(_suffix_filter(F.col("x"), F.col("y"), percent)).select("a", "b")
     shingles = sets.select("rep", "shingles")
     return likely.join(shingles.toDF("a", "x"), "a").join(shingles.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
 
 
+def _neighbours(shared: DataFrame, found: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs of different components that stand side by side in a list of a task, in another random order each turn."""
+    rows = _with_component(shared, found)
+    w = Window.partitionBy("token", "part").orderBy(F.xxhash64("rep", F.lit(turn)), "rep")
+    rows = rows.select("rep", "spot", "component", *[F.lag(c).over(w).alias(f"l_{c}") for c in ("rep", "spot", "component")])
+    met = rows.where((F.col("component") != F.col("l_component")) & _may_link(F.col("l_spot"), F.col("spot"), percent))
+    return met.groupBy(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")).agg(F.count("*").alias("n"))
+
+
+def _with_component(shared: DataFrame, found: DataFrame) -> DataFrame:
+    return shared.select("token", "part", "spot", "rep").join(found.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def _may_link(left: Column, right: Column, percent: int) -> Column:
+    """Length and positional filter of two rows of a list."""
+    n, m = F.shiftright(left, 32), F.shiftright(right, 32)
+    p, q = left.bitwiseAND(0xFFFFFFFF), right.bitwiseAND(0xFFFFFFFF)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(n - p, m - q) >= percent * (n + m))
+
+
 def _candidates(shared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a prefix shingle and pass the filters, with the number of such shingles.
 
     In a list, the members of its largest component meet the others, and the others meet everyone: members of the
     largest one don't meet each other.
     """
-    rows = shared.select("token", "spot", "rep").join(found.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rows = _with_component(shared, found)
     lists = rows.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("components"))
     rows = rows.join(lists.where("components > 1").select("token", "largest"), "token")
     left = rows.where("component <> largest").select("token", *[F.col(c).alias(f"l_{c}") for c in ("spot", "rep", "component")])
     right = rows.select("token", "largest", *[F.col(c).alias(f"r_{c}") for c in ("spot", "rep", "component")])
-    n, m = F.shiftright("l_spot", 32), F.shiftright("r_spot", 32)
-    p, q = F.col("l_spot").bitwiseAND(0xFFFFFFFF), F.col("r_spot").bitwiseAND(0xFFFFFFFF)
     met = left.join(right, "token").where(
         (F.col("l_component") != F.col("r_component"))
         & ((F.col("r_component") == F.col("largest")) | (F.col("l_rep") < F.col("r_rep")))
-        & (100 * F.least(n, m) >= percent * F.greatest(n, m))
-        & ((100 + percent) * F.least(n - p, m - q) >= percent * (n + m))
+        & _may_link(F.col("l_spot"), F.col("r_spot"), percent)
     )
     return met.groupBy(F.least("l_rep", "r_rep").alias("a"), F.greatest("l_rep", "r_rep").alias("b")).agg(F.count("*").alias("n"))
 
@@ -225,7 +287,7 @@ def _best(pairs: DataFrame, limit: int) -> DataFrame:
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, rounds: tuple[int, ...] = (4,)) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, turns: int = 3) -> DataFrame:
     """Link documents whose sets of ``words``-word shingles have Jaccard similarity of ``percent`` / 100 or more.
 
     Returns one row per input row: doc_id, n_shingles (size of the set) and component_id (smallest doc_id reachable by
@@ -233,28 +295,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingle. Null texts and texts without words have no shingles and link with nothing. Shingles are compared as 64-bit
     hashes. Rows with a null doc_id link with nothing unless their set equals another row's, and have no component_id of
     their own; rows with the same doc_id are compared one by one and count as linked where that id represents them. An empty table gives an empty result; extra columns are dropped.
-    ``rounds`` are limits of pairs per document in the rounds before the last, which has none.
+    ``turns`` is the number of rounds that try neighbours, before the last one that tries all pairs that are left.
     """
     rows = documents(docs, id_col, text_col)
     counts = sketch(rows, words)
-    signs = stage(rows.mapInArrow(_signatures(words, percent, counts), "doc_id long, n long, digest binary, prefix binary"), "signatures")
+    signs = stage(rows.mapInArrow(_signatures(words, percent, counts), "doc_id long, n long, digest binary, prefix binary"), "signatures", waves=3)
     known = signs.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
 
     prefixes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"))
     tokens = prefixes.where("prefix IS NOT NULL").select("rep", "n", "prefix").mapInArrow(_tokens, "token long, spot long, rep long")
-    shared = stage(tokens.repartitionByRange("token", "spot", "rep").sortWithinPartitions("token", "spot", "rep").mapInArrow(_shared(percent), "token long, spot long, rep long, near long"), "shared")
+    shared = stage(tokens.repartitionByRange("token", "spot", "rep").sortWithinPartitions("token", "spot", "rep").mapInArrow(_shared(percent), "token long, spot long, rep long, near long, part int"), "shared", 20_000, 3)
 
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = shared.select("rep").distinct()
-    sets = stage(rows.join(wanted, rows.doc_id == wanted.rep, "left_semi").mapInArrow(_sets(words), "rep long, shingles binary, ranges binary"), "sets")
-
+    likely = rows.where("doc_id IS NOT NULL").mapInArrow(_passing(marked(wanted)), "doc_id long, text string")
+    dealt = likely.repartition(buckets, "doc_id")
+    held = dealt.join(wanted, dealt.doc_id == wanted.rep, "left_semi").mapInArrow(_sets(words), "rep long, shingles binary, ranges array<int>")
     pairs = shared.where("near IS NOT NULL").groupBy(F.least("rep", "near").alias("a"), F.greatest("rep", "near").alias("b")).agg(F.count("*").alias("n"))
-    links = stage(_linked(_best(pairs, 1), sets, percent), "pairs")
-    for limit in (*rounds, 0):
-        found = components(links)
-        pairs = _candidates(shared, found, percent)
-        new = stage(_linked(_best(pairs, limit) if limit else pairs.select("a", "b"), sets, percent), "pairs")
-        links = links.unionByName(new)
+    with bucketed(held, "rep", buckets, "sets") as sets:  # texts move once; sets lie where pairs look for them
+        links = stage(_linked(_best(pairs, 1), sets, percent), "pairs", PAIR_ROWS, 2)
+        for turn in range(turns):
+            found = stage(components(links), "found", waves=1)
+            new = stage(_linked(_best(_neighbours(shared, found, percent, turn), 2), sets, percent), "pairs", PAIR_ROWS, 2)
+            links = links.unionByName(new)
+        found = stage(components(links), "found", waves=1)
+        links = links.unionByName(stage(_linked(_candidates(shared, found, percent).select("a", "b"), sets, percent), "pairs", PAIR_ROWS, 2))
     found = components(links)
 
     # Rows of a class take the component of its representative; rows of one doc_id the smallest of theirs.
