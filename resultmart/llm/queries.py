@@ -95,6 +95,14 @@ SELECT doc_id, n_bytes, depth, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(b
 FROM h JOIN bucket ON bits = hash >> (48 - depth)
 WHERE shard_bytes <= {SHARD_BYTES}
 QUALIFY depth = min(depth) OVER (PARTITION BY doc_id)
+""",
+    "op4_metric_join": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS MATERIALIZED (
+  SELECT x, y FROM (SELECT a.vec_id AS x, b.vec_id AS y, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id) WHERE isfinite(c) AND c >= 0.9
+), reach(vec_id, hit) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.vec_id, l.y FROM reach JOIN l ON l.x = reach.hit),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY 1), c AS (SELECT vec_id, min(hit) AS component_id FROM reach GROUP BY 1)
+SELECT c.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON n.x = c.vec_id
 """,
     "op6_revisits": r"""
 WITH u AS (
@@ -134,5 +142,16 @@ FROM marked GROUP BY doc_id
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)
+""",
+    "op8_ngram_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * o >= 80 * (nx.n + ny.n - o)),
+reach(doc_id, hit) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, l.y FROM reach JOIN l ON l.x = reach.hit)
+SELECT doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(hit) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY 1
 """,
 }
