@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from resultmart.sources.tables import written
+
 
 def progression(df: DataFrame, partition: Sequence[str], order: Sequence[str], measures: Sequence[str], tie: str) -> DataFrame:
     """Add previous_<m> and <m>_delta for every measure, in one window. Nulls come last; ``tie`` makes the order unique."""
@@ -27,11 +29,12 @@ def carry_forward(df: DataFrame, partition: Sequence[str], order: Sequence[str],
 def dense_key(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """Number all rows from 1 in a global order, nulls last, without sending them to one task.
 
-    Rows are range-partitioned and sorted; a row's number is its number in its partition and the sizes of the partitions
-    before it, of which only one row each is gathered. The rows have to be unique in ``order``.
+    Rows are range-partitioned and written with their partition, so that sizes and numbers come from the same ranges; a
+    row's number is its number in its partition and the sizes of the partitions before it, of which only one row each is
+    gathered. The rows have to be unique in ``order``.
     """
     columns = [F.col(c).asc_nulls_last() for c in order]
-    parts = df.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id())
+    parts = written(df.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id()), "dense-key")
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*columns))

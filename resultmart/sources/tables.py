@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,22 @@ def write_layer(tables: dict[str, DataFrame], root: str) -> None:
         df.write.parquet(f"{root}/{name}")
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the folder that all executors share (``spark.checkpoint.dir``) and read it back.
+
+    Where that setting is absent, a local master takes a temporary folder and any other master the warehouse.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        base = tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     """A row for each entry of ``profiles`` in a JSON file, with its place."""
     return spark.read.option("multiLine", True).json(path).select(F.posexplode("profiles").alias("ordinal", "profile")).select("ordinal", "profile.*")

@@ -43,6 +43,18 @@ def test_dense_key_is_a_global_row_number(spark):
     assert got == sorted(got, key=lambda r: (r[0], r[1] is None, r[1] or 0)) and dense_key(df, ["a", "b"], "k").agg(F.max("k")).first()[0] == len(got)
 
 
+def test_dense_key_numbers_many_rows_once(spark):
+    """A set of keys that grows with the table, in rows wider than the sort columns."""
+    n = 200_000
+    df = spark.range(n).select(F.md5(F.col("id").cast("string")).alias("a"), F.col("id").alias("b"), F.repeat(F.lit("x"), 50).alias("wide"))
+    out = dense_key(df, ["a"], "k")
+    assert out.columns == ["k", *df.columns]
+    assert out.agg(F.count("*"), F.count_distinct("k"), F.count_distinct("b"), F.min("k"), F.max("k")).first()[:] == (n, n, n, 1, n)
+    pairs = out.select("k", "a", "wide")
+    after = pairs.select((F.col("k") - 1).alias("k"), F.col("a").alias("next"))
+    assert pairs.join(after, "k").where("next <= a").count() == 0 and dense_key(df.limit(0), ["a"], "k").count() == 0
+
+
 def test_representation(spark):
     rows = [(1, "Elit", "", "club", "club"), (2, "Elit", "X", "club", "country"), (3, "BUL", "X", "club", "country"), (4, "BUL", "", "nation", "country"), (5, "BUL", "", "club", "country")]
     out = {r.id: (r.nation_code, r.club_name, r.representation_type, r.representation_value) for r in R.normalize_representation(spark.createDataFrame(rows, "id int, nation_code string, club_name string, representation_primary string, nation_column string")).collect()}
