@@ -105,7 +105,32 @@ def _cut(rows: DataFrame, max_bytes: int) -> DataFrame:
     return pieces.join(numbered, key).select("doc_id", "n_bytes", "depth", F.col("bits").alias("prefix"), "part", "shard_bytes", "shard_docs")
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, key_col: str = "doc_id") -> None:
-    """Write documents as one folder for each shard (``prefix=.../part=...``), from unique keys and their shards."""
-    marks = assigned.select(F.col("doc_id").alias(key_col), F.concat(F.lit("b"), "prefix").alias("prefix"), "part")
-    docs.join(marks, key_col).repartition("prefix", "part").write.partitionBy("prefix", "part").parquet(path)
+def _numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Add place: the number of each row in the order of these columns, which leave no ties."""
+    ranged = stage(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranged")
+    before, offsets = 0, []
+    for k, n in sorted(ranged.groupBy("range").count().collect()):  # one row for each range partition
+        offsets.append((k, before))
+        before += n
+    starts = rows.sparkSession.createDataFrame(offsets, "range int, before long")
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return ranged.withColumn("inside", inside).join(F.broadcast(starts), "range").withColumn("place", F.col("inside") + F.col("before")).drop("range", "inside", "before")
+
+
+def write_shards(docs: DataFrame, assigned: DataFrame, path: str, key_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write documents as one folder for each shard (``prefix=.../part=...``), every row of ``docs`` once.
+
+    ``assigned`` is what ``shard`` gives for the same rows. Rows with equal keys and sizes can take each other's shards,
+    so both tables are numbered in the order of key and size and meet by number: null keys are keys like others, and a
+    repeated key costs no more than others. Tables that don't belong together are an error.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes")
+    held = stage(docs.select(row, F.col(key_col).alias("doc_id"), size, F.monotonically_increasing_id().alias("uid")), "documents")
+    marks = stage(assigned.select("doc_id", "n_bytes", F.concat(F.lit("b"), "prefix").alias("prefix"), "part", F.monotonically_increasing_id().alias("uid")), "marks")
+    left = _numbered(held.select("doc_id", "n_bytes", "uid"), "doc_id", "n_bytes", "uid")
+    right = _numbered(marks, "doc_id", "n_bytes", "uid").select("place", F.struct("doc_id", "n_bytes").alias("of"), "prefix", "part")
+    met = left.join(right, "place", "full")
+    same = F.col("uid").isNotNull() & F.struct("doc_id", "n_bytes").eqNullSafe(F.col("of"))
+    met = met.select("uid", F.when(same, F.col("prefix")).otherwise(F.raise_error(F.lit("documents and their shards differ"))).alias("prefix"), "part")
+    held.select("uid", "row").join(met, "uid", "right").select("row.*", "prefix", "part").repartition("prefix", "part").write.partitionBy("prefix", "part").parquet(path)

@@ -212,6 +212,20 @@ def test_shards_are_minimal(spark, tmp_path):
     assert back.count() == 600 and back.select("prefix", "part").distinct().count() == len(sizes)
 
 
+def test_null_and_repeated_keys_are_written_once(spark, tmp_path):
+    texts = [(None, "n" * 20 + str(i)) for i in range(30)] + [(7, "s" * 30 + str(i % 4)) for i in range(60)] + [(7, "y" * 400), (7, None)] + [(i, "x" * (i % 50)) for i in range(100, 150)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    write_shards(docs, shard(docs, 300, step=2), f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards").collect()
+    assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(texts, key=str)
+    shards: dict = {}
+    for r in back:
+        shards.setdefault((r.prefix, r.part), []).append(len(r.text or ""))
+    assert len(shards) > 10 and all(sum(v) <= 300 or len(v) == 1 for v in shards.values())
+    with pytest.raises(Exception, match="differ"):
+        write_shards(docs, shard(docs.where("doc_id = 7"), 300), f"{tmp_path}/other")
+
+
 def test_revisits_over_many_ranges(spark):
     rng = random.Random(4)
     rows, last, want = [], {}, {}
