@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resultmart.functions.arrays import merge_map
@@ -156,11 +156,42 @@ def key_of(*columns: str | Column) -> Column:
     return F.xxhash64(*columns)
 
 
+def segment_rows(index: DataFrame, run: Column) -> DataFrame:
+    """Segments of index rows (with folder): folder, category, segment, source_order, segment_id and the urls of their pages.
+
+    Names repeat inside a category, so a segment is known by its place there. Pages that list a name as often as others
+    of their folder mean the same segments.
+    """
+    seen = Window.partitionBy("doc_id", "category", "segment").orderBy("table_no", "row_no")
+    rows = index.where("kind = 'segment'").withColumn("nth", F.row_number().over(seen))
+    urls = F.array_distinct(F.flatten(F.collect_list(F.array("details.url", "officials.url", "judges_scores.url"))))
+    rows = rows.groupBy("folder", "category", "segment", "nth").agg(F.min(F.struct("table_no", "row_no")).alias("at"), F.transform(F.filter(urls, lambda u: u.isNotNull()), bare_url).alias("urls"), F.max("judges_scores").alias("judges_scores"))
+    rows = rows.withColumn("source_order", F.row_number().over(Window.partitionBy("folder", "category").orderBy("at", "segment", "nth")))
+    return rows.withColumn("segment_id", key_of(run, "folder", "category", "source_order"))
+
+
+def bare_url(url: Column) -> Column:
+    return F.regexp_replace(url, "#.*$", "")
+
+
+def attach_segments(rows: DataFrame, segments: DataFrame) -> DataFrame:
+    """Give rows of pages (doc_id, folder, category, segment by title) the segment_id, folder and names of the segment that links their page.
+
+    A page that none links takes the one segment of its title in its folder; where there is none or several it has no id.
+    """
+    linked = segments.select("segment_id", F.col("folder").alias("_folder"), F.col("category").alias("_category"), F.col("segment").alias("_segment"), F.explode("urls").alias("_url")).distinct()
+    named = segments.groupBy("folder", "category", "segment").agg(F.when(F.count("*") == 1, F.min("segment_id")).alias("_named"))
+    out = rows.join(linked, bare_url(F.col("doc_id")) == F.col("_url"), "left").join(named, ["folder", "category", "segment"], "left")
+    held = {"segment_id": F.coalesce("segment_id", "_named")} | {c: F.coalesce(f"_{c}", c) for c in ("folder", "category", "segment")}
+    return out.withColumns(held).drop("_url", "_named", "_folder", "_category", "_segment")
+
+
 def import_batch(documents: DataFrame, run_id: int) -> dict[str, DataFrame]:
     """E20, R6: all documents (url, link_text, body) of one run as rows of the target tables, in one pass over the pages.
 
     Pages of every event are read together; what a page lacks becomes an issue and stops nothing else. Events are the
-    index pages, and pages belong to the index in their folder. Ids are hashes of natural keys.
+    index pages, and pages belong to the index in their folder. Ids are hashes of natural keys; segments are known by
+    their place in their category, and pages find theirs by the links of the index.
     """
     docs = pages.route(documents).withColumn("folder", F.regexp_replace("url", r"[^/]*\z", ""))
     html = docs.where("page_type <> 'score_sheet'")
@@ -174,33 +205,34 @@ def import_batch(documents: DataFrame, run_id: int) -> dict[str, DataFrame]:
     rows = {
         "entry": pages.entry_rows(of("entries")), "category_result": pages.category_result_rows(of("category_result")), "segment_result": pages.segment_result_rows(of("segment_result")),
     }
-    rows = {k: df.join(folders, "doc_id") for k, df in rows.items()}
     event, category = key_of(run, "folder"), key_of(run, "folder", "category")
-    segment = key_of(run, "folder", "category", "segment")
     index = pages.index_rows(of("index")).join(folders, "doc_id")
+    segments = segment_rows(index, run)
+    rows = {k: df.join(folders, "doc_id") for k, df in rows.items()}
+    rows = {k: attach_segments(df, segments) if k == "segment_result" else df.withColumn("segment_id", F.lit(None).cast("long")) for k, df in rows.items()}
     categories = index.where("kind = 'category'").groupBy("folder", "category").agg(F.min("row_no").alias("source_order")).select(category.alias("id"), event.alias("event_id"), F.col("category").alias("name"), "source_order")
-    segments = index.where("kind = 'segment'").groupBy("folder", "category", "segment").agg(F.min("row_no").alias("source_order")).select(segment.alias("id"), category.alias("category_id"), F.col("segment").alias("name"), "source_order")
-    appearance = lambda kind: key_of(run, "doc_id", F.lit(kind), "row_no")
+    appearance = lambda kind: key_of(run, "doc_id", F.lit(kind), "row_no", "segment_id")
     appearances = None
     for kind, df in rows.items():
         part = df.select(
-            appearance(kind).alias("id"), run.alias("import_run_id"), event.alias("event_id"), category.alias("category_id"), F.when(F.col("segment").isNotNull(), segment).alias("segment_id"), doc, F.lit(kind).alias("appearance_type"),
+            appearance(kind).alias("id"), run.alias("import_run_id"), event.alias("event_id"), category.alias("category_id"), "segment_id", doc, F.lit(kind).alias("appearance_type"),
             F.col("row_no").alias("source_row_order"), F.col("name").alias("raw_name"), normalize_name(F.col("name")).alias("normalized_name"), F.col("nation").alias("nation_code"), F.col("club").alias("club_name"), "source_skater_id",
         )
         appearances = part if appearances is None else appearances.unionByName(part)
-    officials = pages.official_rows(of("officials")).join(folders, "doc_id")
+    officials = attach_segments(pages.official_rows(of("officials")).join(folders, "doc_id"), segments)
+    unlinked = rows["segment_result"].select("doc_id", "segment_id").unionByName(officials.select("doc_id", "segment_id")).where("segment_id IS NULL").select("doc_id").distinct()
     empty = of("category_result").select("doc_id").distinct().join(rows["category_result"].select("doc_id"), "doc_id", "left_anti")
     return {
         "source_documents": docs.select(key_of(run, "url").alias("id"), run.alias("import_run_id"), "url", document_type(F.col("url")).alias("document_type"), content_hash(F.col("body")).alias("content_hash")),
         "events": events.drop("folder"),
         "categories": categories,
-        "segments": segments,
+        "segments": segments.select(F.col("segment_id").alias("id"), category.alias("category_id"), F.col("segment").alias("name"), "source_order"),
         "schedule_items": pages.schedule_rows(of("index")).join(folders, "doc_id").select(key_of(run, "doc_id", "row_no").alias("id"), event.alias("event_id"), F.col("date").alias("scheduled_date"), F.col("time").alias("scheduled_time"), F.col("category").alias("category_name"), F.col("segment").alias("segment_name")),
         "source_skater_appearances": appearances,
         "category_results": rows["category_result"].select(key_of(run, "doc_id", "row_no").alias("id"), category.alias("category_id"), appearance("category_result").alias("skater_appearance_id"), "final_place", "points", "segment_places", F.col("row_no").alias("source_order")),
-        "segment_results": rows["segment_result"].select(key_of(run, "doc_id", "row_no").alias("id"), segment.alias("segment_id"), appearance("segment_result").alias("skater_appearance_id"), "place", "tss", "tes", "pcs", "deduction", "starting_number", "components", F.col("row_no").alias("source_order")),
-        "official_assignments": officials.select(key_of(run, "doc_id", "function", "name").alias("id"), segment.alias("segment_id"), doc, F.col("function").alias("function_text"), "role_group", "judge_number", "name", F.col("nation").alias("nation_code"), F.col("row_no").alias("source_order")),
-        "parse_issues": issue_rows(empty.select(F.lit("empty_category_result").alias("code"), F.col("doc_id").alias("url"))),
+        "segment_results": rows["segment_result"].select(key_of(run, "doc_id", "row_no", "segment_id").alias("id"), "segment_id", appearance("segment_result").alias("skater_appearance_id"), "place", "tss", "tes", "pcs", "deduction", "starting_number", "components", F.col("row_no").alias("source_order")),
+        "official_assignments": officials.select(key_of(run, "doc_id", "function", "name", "segment_id").alias("id"), "segment_id", doc, F.col("function").alias("function_text"), "role_group", "judge_number", "name", F.col("nation").alias("nation_code"), F.col("row_no").alias("source_order")),
+        "parse_issues": issue_rows(empty.select(F.lit("empty_category_result").alias("code"), F.col("doc_id").alias("url")).unionByName(unlinked.select(F.lit("page_without_segment").alias("code"), F.col("doc_id").alias("url")))),
     }
 
 

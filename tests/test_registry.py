@@ -142,3 +142,18 @@ def test_import(spark):
     assert {r.profile_key for r in R.attach_profiles(docs, profiles).collect()} == {"b"}
     checked = spark.createDataFrame([("supported", 2), ("supported", 0), ("unknown", None)], "source_class string, n_categories int")
     assert [r.status for r in R.decide_status(checked).collect()] == ["ready", "analyzed", "skipped"]
+
+
+def test_segments_with_one_name_stay_apart(spark):
+    row = lambda n: f'<tr><td></td><td>Pattern Dance</td><td><a href="SEG00{n}OF.htm">Panel of Judges</a></td><td><a href="SEG00{n}.htm">Details</a></td></tr>'
+    result = lambda name: f"<table><caption><h2>Cup</h2><h2>Dance - Pattern Dance</h2></caption><tr><th>Pl.</th><th>Name</th><th>TSS</th></tr><tr><td>1</td><td>{name}</td><td>9.00</td></tr></table>"
+    official = lambda name: f"<table><caption><h2>Cup</h2><h2>Dance - Pattern Dance</h2></caption><tr><th>Function</th><th>Name</th></tr><tr><td>Referee</td><td>{name}</td></tr></table>"
+    body = {"index.htm": "<title>Cup</title><table><tr><th>Category</th><th>Segment</th><th></th><th></th></tr><tr><td>Dance</td><td></td><td></td><td></td></tr>" + row(1) + row(2) + "</table>", "SEG001.htm": result("Ann"), "SEG002.htm": result("Bob"), "SEG001OF.htm": official("Ref A"), "SEG002OF.htm": official("Ref B"), "SEG003.htm": result("Eve")}
+    out = R.import_batch(spark.createDataFrame([(U + "two/" + n, b.encode()) for n, b in body.items()], "url string, body binary"), 5)
+    segments = {r.id: (r.name, r.source_order) for r in out["segments"].collect()}
+    assert sorted(segments.values()) == [("Pattern Dance", 1), ("Pattern Dance", 2)]
+    order = lambda x: segments[x][1] if x else None
+    assert {(r.normalized_name, order(r.segment_id)) for r in out["source_skater_appearances"].collect()} == {("ANN", 1), ("BOB", 2), ("EVE", None)}
+    assert {(r.name, order(r.segment_id)) for r in out["official_assignments"].collect()} == {("Ref A", 1), ("Ref B", 2)}
+    assert {order(r.segment_id) for r in out["segment_results"].collect()} == {1, 2, None}
+    assert [(r.code, r.context["url"][-10:]) for r in out["parse_issues"].collect()] == [("page_without_segment", "SEG003.htm")]
