@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resultmart.functions.arrays import merge_map
-from resultmart.functions.text import ISO3, archive_path, blank_to_null, catalog_kind, choose_by, content_hash, document_type, keep_imported, normalize_name
+from resultmart.functions.text import ISO3, archive_path, blank_to_null, catalog_kind, choose_by, content_hash, document_type, keep_imported, normalize_name, split_sheet_title
 from resultmart.operators.joins import longest_prefix_join
 from resultmart.operators.latest import latest_per_key
 from resultmart.operators.maintenance import Rule, apply_rules, guard, issue_rows, upsert
 from resultmart.plans import pages, sheets
+from resultmart.sources.schemas import TABLES
+from resultmart.sources.tables import written
 
 def _blank() -> Column:
     return F.lit(None).cast("string")
@@ -236,18 +238,84 @@ def import_batch(documents: DataFrame, run_id: int) -> dict[str, DataFrame]:
     }
 
 
-def import_sheets(sheet_text: DataFrame, run_id: int) -> dict[str, DataFrame]:
-    """Score sheets (doc_id, text) as summaries, elements, components and marks with hashed keys."""
+def sheet_links(documents: DataFrame, run_id: int) -> DataFrame:
+    """The sheets that index pages among the documents link as judges' scores: doc_id, link_text, and the event, category and segment they belong to."""
     run = F.lit(run_id).cast("long")
-    summaries = sheets.prefer_sheet_source(text=sheets.sheet_summaries(sheet_text), blocks=sheets.sheet_blocks(sheet_text))
-    sections = sheets.sheet_sections(sheets.lines(sheet_text))
-    elements, components = sheets.element_rows(sections), sheets.component_rows(sections)
-    element, component = key_of(run, "doc_id", "skater_no", "element_no", "raw_element"), key_of(run, "doc_id", "skater_no", "component_name")
-    marks = lambda df, key, name: df.select(key.alias(name), F.posexplode("judge_scores").alias("n", "score")).select(key_of(name, "n").alias("id"), name, (F.col("n") + 1).alias("judge_number"), "score")
+    index = pages.route(documents).where("page_type = 'index'").withColumn("folder", F.regexp_replace("url", r"[^/]*\z", ""))
+    rows = pages.index_rows(pages.cells(index)).join(index.select(F.col("url").alias("doc_id"), "folder"), "doc_id")
+    found = segment_rows(rows, run).where("judges_scores IS NOT NULL")
+    return found.select(bare_url(F.col("judges_scores.url")).alias("doc_id"), F.col("judges_scores.text").alias("link_text"), key_of(run, "folder").alias("event_id"), key_of(run, "folder", "category").alias("category_id"), "segment_id", F.col("category").alias("category_name"), F.col("segment").alias("segment_name"))
+
+
+def shaped(df: DataFrame, table: str) -> DataFrame:
+    """The columns of a source table in their types; those that are missing are null."""
+    empty = df.sparkSession.createDataFrame([], TABLES[table])
+    return df.select([(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in empty.dtypes])
+
+
+def import_sheets(sheet_text: DataFrame, run_id: int, documents: DataFrame | None = None, test_cells: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Score sheets (doc_id: their URL, text) as appearances, summaries, elements, components and marks with hashed keys.
+
+    ``documents`` are those of ``import_batch``: their index pages link sheets to segments, and a sheet that several
+    segments link is loaded for each. Sheets that no segment links stay without one; a link that doesn't name judges'
+    scores and a linked body that is no PDF are issues, and their sheets aren't loaded. ``test_cells`` (doc_id, row_no,
+    cells) are rows of beginners' tests; their sheets have no summaries. sheet_metadata has category and segment of each
+    sheet, from the index where its title has none.
+    """
+    run = F.lit(run_id).cast("long")
+    spark = sheet_text.sparkSession
+    if documents is None:
+        links = spark.createDataFrame([], "doc_id string, link_text string, event_id long, category_id long, segment_id long, category_name string, segment_name string")
+        issues = issue_rows(spark.createDataFrame([], "url string, link_text string, code string, level string"))
+    else:
+        links = sheet_links(documents, run_id)
+        bodies = documents.select(bare_url(F.col("url")).alias("url"), "body")
+        linked = links.select(F.col("doc_id").alias("url"), "link_text").distinct().join(bodies, "url")
+        refused = sheets.gate_sheets(linked)[1]
+        links = links.join(refused.select(F.col("url").alias("doc_id"), "link_text"), ["doc_id", "link_text"], "left_anti")
+        gone = refused.select(F.col("url").alias("_gone")).join(links.select(F.col("doc_id").alias("_gone")), "_gone", "left_anti").distinct()
+        sheet_text = sheet_text.join(gone, bare_url(F.col("doc_id")) == F.col("_gone"), "left_anti")
+        issues = issue_rows(refused)
+    links = written(links, "sheet-links").withColumnRenamed("doc_id", "_url")
+    parents = lambda df: df.join(links, bare_url(F.col("doc_id")) == F.col("_url"), "left").drop("_url", "link_text")
+    doc = key_of(run, "doc_id").alias("source_document_id")
+
+    scored = sheet_text if test_cells is None else sheet_text.join(test_cells.select("doc_id").distinct(), "doc_id", "left_anti")
+    found = sheets.prefer_sheet_source(text=sheets.sheet_summaries(scored), blocks=sheets.sheet_blocks(scored))
+    by_line = Window.partitionBy("doc_id").orderBy("line_no")
+    found = written(found, "sheet-summaries").withColumns({"skater_no": F.row_number().over(by_line), "skaters": F.count("*").over(Window.partitionBy("doc_id"))})
+    starts = found.where("sheet_source = 'text'").select("doc_id", "line_no", F.lit(True).alias("start"))
+    sections = sheets.sheet_sections(sheets.lines(scored).join(starts, ["doc_id", "line_no"], "left"), F.coalesce("start", F.lit(False)))
+    sections = written(sections, "sheet-sections")
+    # lines of a sheet with one skater are theirs, wherever the summary stands
+    alone = found.where("skaters = 1").select("doc_id", F.lit(1).alias("only"))
+    of_skater = lambda df: df.join(alone, "doc_id", "left").withColumn("skater_no", F.coalesce("only", "skater_no")).drop("only")
+    details = of_skater(sheets.sheet_details(sections)).select("doc_id", "skater_no", "base_value_total", "element_score_total", "judge_count")
+    summary = key_of(run, "doc_id", "line_no", "segment_id")
+    appearance = key_of(run, "doc_id", F.lit("pdf_score"), "line_no", "segment_id")
+    summaries = parents(found.join(details, ["doc_id", "skater_no"], "left")).withColumns({"id": summary, "skater_appearance_id": appearance})
+    owner = summaries.select("doc_id", "skater_no", F.col("id").alias("pdf_score_summary_id"))
+    owned = lambda df: of_skater(df).join(owner, ["doc_id", "skater_no"], "left")
+    elements = owned(sheets.element_rows(sections)).withColumn("id", key_of(run, "doc_id", "skater_no", "element_no", "raw_element", "pdf_score_summary_id"))
+    components = owned(sheets.component_rows(sections)).withColumn("id", key_of(run, "doc_id", "skater_no", "component_name", "pdf_score_summary_id"))
+    marks = lambda df, name: df.select(F.col("id").alias(name), F.posexplode("judge_scores").alias("n", "score")).select(key_of(name, "n").alias("id"), name, (F.col("n") + 1).alias("judge_number"), "score")
+    lost = elements.select("doc_id", "pdf_score_summary_id").unionByName(components.select("doc_id", "pdf_score_summary_id")).where("pdf_score_summary_id IS NULL").select(F.lit("score_without_skater").alias("code"), F.col("doc_id").alias("url")).distinct()
+    who = summaries.select(
+        F.col("skater_appearance_id").alias("id"), run.alias("import_run_id"), "event_id", "category_id", "segment_id", doc, F.lit("pdf_score").alias("appearance_type"), F.col("skater_no").alias("source_row_order"),
+        F.col("name").alias("raw_name"), normalize_name(F.col("name")).alias("normalized_name"), F.col("nation").alias("nation_code"),
+    )
+    title = split_sheet_title(F.col("after"))
+    titled = parents(sheets.sheet_titles(sheet_text)).withColumns({"category": F.coalesce(blank_to_null(title["category"]), "category_name"), "segment": F.coalesce(blank_to_null(title["segment"]), "segment_name")})
+    tests = sheets.test_rows(test_cells if test_cells is not None else spark.createDataFrame([], "doc_id string, row_no int, cells array<string>"))
+    tests = parents(tests)
     return {
-        "pdf_score_summaries": summaries.select(key_of(run, "doc_id", "line_no").alias("id"), "*"),
-        "pdf_elements": elements.select(element.alias("id"), "*"),
-        "pdf_element_judge_scores": marks(elements, element, "pdf_element_id"),
-        "pdf_program_components": components.select(component.alias("id"), "*"),
-        "pdf_component_judge_scores": marks(components, component, "pdf_program_component_id"),
+        "source_skater_appearances": shaped(who, "source_skater_appearances"),
+        "pdf_score_summaries": shaped(summaries.withColumn("source_document_id", doc), "pdf_score_summaries"),
+        "pdf_elements": shaped(elements, "pdf_elements"),
+        "pdf_element_judge_scores": shaped(marks(elements, "pdf_element_id"), "pdf_element_judge_scores"),
+        "pdf_program_components": shaped(components, "pdf_program_components"),
+        "pdf_component_judge_scores": shaped(marks(components, "pdf_program_component_id"), "pdf_component_judge_scores"),
+        "pdf_test_results": tests.select(key_of(run, "doc_id", "row_no", "segment_id").alias("id"), "segment_id", doc, F.col("row_no").alias("source_order"), F.col("number").alias("rank"), F.col("name").alias("skater_name"), normalize_name(F.col("name")).alias("normalized_name"), F.col("club").alias("club_name"), F.col("result").alias("result_text"), "passed"),
+        "sheet_metadata": titled.select(doc, "segment_id", "category", "segment"),
+        "parse_issues": issues.unionByName(issue_rows(lost), allowMissingColumns=True),
     }

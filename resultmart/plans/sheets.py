@@ -97,14 +97,17 @@ def sheet_titles(sheets: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return sheets.select(F.col(doc_id).alias("doc_id"), before.alias("before"), after.alias("after"))
 
 
-def sheet_sections(lines_: DataFrame) -> DataFrame:
-    """Lines with skater_no (0 before the first) and section: summary, elements or components."""
+def sheet_sections(lines_: DataFrame, starts: Column | None = None) -> DataFrame:
+    """Lines with skater_no (0 before the first) and section: summary, elements or components.
+
+    A skater begins where ``starts`` holds; without it, at a one-line summary.
+    """
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = F.col("line").rlike(SUMMARY)
+    starts = F.col("line").rlike(SUMMARY) if starts is None else starts
     rows = lines_.withColumn("skater_no", F.count_if(starts).over(w))
     mark = F.when(starts, "summary").when(F.lower("line").rlike(r"^#? ?executed elements|^# executed"), "elements").when(F.lower("line").startswith("program component"), "components")
     inside = Window.partitionBy("doc_id", "skater_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("section", F.last(mark, ignorenulls=True).over(inside))
+    return rows.withColumn("section", F.last(mark, ignorenulls=True).over(inside)).select("doc_id", "line_no", "line", "skater_no", "section")
 
 
 def _marks(text: Column, kind: str) -> Column:

@@ -157,3 +157,26 @@ def test_segments_with_one_name_stay_apart(spark):
     assert {(r.name, order(r.segment_id)) for r in out["official_assignments"].collect()} == {("Ref A", 1), ("Ref B", 2)}
     assert {order(r.segment_id) for r in out["segment_results"].collect()} == {1, 2, None}
     assert [(r.code, r.context["url"][-10:]) for r in out["parse_issues"].collect()] == [("page_without_segment", "SEG003.htm")]
+
+
+def test_sheets_reach_the_views(spark):
+    from resultmart.plans import analytics as V
+    from tests.test_sheets import TABLE
+
+    docs = spark.createDataFrame([(U + "new/" + n.split("/")[-1], b.encode("windows-1252", "replace")) for n, b in PAGES.items() if n.startswith("new/")] + [(U + "new/JD.pdf", b"%PDF")], "url string, body binary")
+    batch = R.import_batch(docs, 5)
+    text = spark.createDataFrame([(U + "new/JD.pdf", TABLE), (U + "new/test.pdf", "x")], "doc_id string, text string")
+    cells = spark.createDataFrame([(U + "new/test.pdf", 1, ["1", "Mia", "Elit", "Покрил"])], "doc_id string, row_no int, cells array<string>")
+    out = R.import_sheets(text, 5, docs, cells)
+    for name in ("pdf_score_summaries", "pdf_elements", "pdf_element_judge_scores", "pdf_program_components", "pdf_component_judge_scores", "source_skater_appearances"):
+        assert out[name].dtypes == spark.createDataFrame([], TABLES[name]).dtypes
+    assert [(r.rank, r.skater_name, r.passed) for r in out["pdf_test_results"].collect()] == [(1, "Mia", True)]
+    assert {(r.category, r.segment) for r in out["sheet_metadata"].where("segment_id IS NOT NULL").collect()} == {("Men", "Short Program")}
+    flat = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    t = {n: spark.createDataFrame([], s) for n, s in TABLES.items()}
+    t |= {n: flat(R.shaped(batch[n], n)) for n in ("events", "categories", "segments", "segment_results")} | {n: flat(out[n]) for n in ("pdf_score_summaries", "pdf_elements")}
+    t["source_skater_appearances"] = flat(R.shaped(batch["source_skater_appearances"], "source_skater_appearances").unionByName(out["source_skater_appearances"]))
+    t["import_runs"] = R.shaped(spark.createDataFrame([(5, "u", "completed")], "id long, root_url string, status string"), "import_runs")
+    scores = {(r.skater_name, r.score_source[:3], r.category_name, r.segment_name) for r in V.v_skater_segment_scores(t).collect()}
+    assert scores == {("LEV V", "pdf", "Men", "Short Program"), ("MARIYA O", "pdf", "Men", "Short Program"), ("ELINA G", "htm", "Men", "Short Program")}
+    assert sorted(r.skater_name for r in V.v_skater_elements(t).collect()) == ["LEV V"] * 5 + ["MARIYA O"]
