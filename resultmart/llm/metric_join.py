@@ -181,18 +181,19 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Returns vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable, itself included) and
     kept (vec_id = component_id). Vectors that are null, empty, zero or hold a null or a number that isn't finite link
     with nothing, nor do vectors of different lengths or rows with a null vec_id (component_id null, not kept).
-    Repeated rows are rows of their own that link with each other. An empty table gives an empty result; extra columns
+    Repeated rows are rows of their own that link with each other, and so are rows of one vec_id with different vectors,
+    which link only if their vectors do. An empty table gives an empty result; extra columns
     are dropped. ``block_rows`` bounds both sides of a group on average; pivots are chosen from ``sample_rows`` classes.
     """
     kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
     rows = pick(vectors, vec_id=(id_col, "long"), embedding=(vector_col, "array<float>" if kind == "<f4" else "array<double>"))
     rows = stage(rows.mapInArrow(_vectors(kind), "vec_id long, digest binary, raw binary, size int"), "vectors")
     usable = rows.where("vec_id IS NOT NULL AND digest IS NOT NULL")
-    classes = stage(usable.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.first("raw").alias("raw"), F.first("size").alias("size"), F.count("*").alias("copies")), "classes")
+    classes = stage(usable.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.first("raw").alias("raw"), F.first("size").alias("size"), F.count("*").alias("copies")).withColumn("class", F.monotonically_increasing_id()), "classes")
     n = classes.count()
     k = max(1, min(MAX_CELLS, math.ceil(n / block_rows)))
 
-    held = classes.select("rep", "raw", "size", "copies")
+    held = classes.select(F.col("class").alias("rep"), "raw", "size", "copies")
     sample = classes.select("size", "raw").orderBy(F.xxhash64("digest"), "digest").limit(sample_rows).collect()
     lengths = [r["size"] for r in classes.groupBy("size").count().orderBy(F.desc("count"), "size").limit(MAX_CELLS).collect()]
     radius = math.sqrt(2 - 2 * cosine)
@@ -213,7 +214,9 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     reached = components(found, "rep", "root")
-    of = classes.select("digest", "rep", "copies").join(counts, "rep", "left").join(reached.toDF("rep", "component"), "rep", "left")
+    of = classes.select("digest", "rep", "class", "copies").join(counts.toDF("class", "links"), "class", "left").join(reached.toDF("class", "component"), "class", "left")
+    least = of.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
+    of = of.join(least, "component", "left").select("digest", "rep", "copies", "links", F.col("least").alias("component"))
     usable = F.col("vec_id").isNotNull() & F.col("rep").isNotNull()
     joined = rows.select("vec_id", "digest").join(of, "digest", "left")
     out = joined.select("vec_id", F.when(usable, F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(usable, F.coalesce("component", "rep")).otherwise(F.col("vec_id")).alias("component_id"))

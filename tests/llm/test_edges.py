@@ -128,6 +128,12 @@ def test_vectors(spark):
     assert embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_one_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 0.05]), (3, [0.0, 1.0]), (1, [0.0, -1.0])]
+    out = embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=2)
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in out.collect()) == [(1, 0, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)]
+
+
 def test_revisits(spark):
     h = lambda **x: {k.replace("_", "-"): v for k, v in x.items()}
     rows = [
