@@ -16,18 +16,23 @@ import functools
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from resultmart.llm.common import documents, pick, rows_of
-from resultmart.llm.tokens import LETTERS
+from resultmart.llm.common import documents, parts_of, pick
+from resultmart.llm.tokens import LETTERS, Pieces
 
-CACHE = 250_000
+#: Words of a generation that a worker remembers.
+CACHE = 400_000
+#: Text that is encoded at once.
+TEXT_BYTES = 8_000_000
 #: Fixed value: the pattern of words, for text up to U+024F.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[0-9²³¹¼½¾]|(?:[^\s\w]|[_\x1c-\x1f])+")
 
@@ -52,7 +57,8 @@ class Bpe:
         parts = Tokenizer.from_file(path)
         self.normalise, self.split = parts.normalizer.normalize_str, parts.pre_tokenizer.pre_tokenize_str
         self.byte_of = {x: b for b, x in enumerate(LETTERS)}
-        self.pieces: dict[str, bytes] = {"": b""}
+        self.old: dict[bytes, bytes] = {}
+        self.table = pa.array([x + " " for x in self.strings])
 
     def merge(self, raw: bytes) -> list[int]:
         """The ids of one word."""
@@ -97,26 +103,29 @@ class Bpe:
                 ids = self.words.get(word)
                 if ids is None:
                     if len(self.words) >= CACHE:
-                        self.words.clear()
-                    ids = self.words[word] = np.array(self.merge(word), "<i4").tobytes()
+                        self.old, self.words = self.words, {}
+                    ids = self.words[word] = self.old.get(word) or array("i", self.merge(word)).tobytes()
                 out.append(ids)
         return b"".join(out)
 
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text's end. Words never hold white space, so each distinct piece between spaces is encoded once."""
+        split = Pieces(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "))
+        return split.gathered(pa.array(map(self._piece, split.names.to_pylist()), pa.binary()), np.dtype("<i4"))
+
     def encode(self, text: str) -> bytes:
-        """Words never hold a space, so the pieces between spaces are encoded one by one and remembered."""
-        pieces = text.split(" ")
-        found = list(map(self.pieces.get, pieces))
-        for i in [i for i, x in enumerate(found) if x is None]:
-            ids = self.pieces.get(pieces[i])
-            if ids is None:
-                if len(self.pieces) >= CACHE:
-                    self.pieces = {"": b""}
-                ids = self.pieces[pieces[i]] = self._piece(pieces[i])
-            found[i] = ids
-        return b"".join(found)
+        return self.flat(pa.array([text], pa.string()))[0].tobytes()
+
+    def decoded(self, ids: pa.Array, ends: np.ndarray) -> pa.Array:
+        """The texts of lists of ids that stand end to end: the vocabulary's strings, joined by one space."""
+        strings = self.table.take(ids)
+        places = np.zeros(len(ends) + 1, np.int32)
+        places[1:] = np.frombuffer(strings.buffers()[1], np.int32, len(strings) + 1)[ends]
+        spaced = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(places), strings.buffers()[2] or pa.py_buffer(b"")])
+        return pc.binary_slice(spaced, 0, -1).cast(pa.string())
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join(map(self.strings.__getitem__, ids))
+        return self.decoded(pa.array(ids, pa.int32()), np.array([len(ids)]))[0].as_py()
 
 
 @functools.lru_cache(2)
@@ -127,11 +136,9 @@ def bpe(path: str) -> Bpe:
 def _encode(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(tokenizer)
-        for rows, texts in rows_of(batches):
-            found = [model.encode(x) for x in texts]
-            at = np.zeros(len(found) + 1, np.int32)
-            np.cumsum([len(x) // 4 for x in found], out=at[1:])
-            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(found), "<i4")))
+        for rows in parts_of(batches, TEXT_BYTES):
+            flat, ends = model.flat(rows.column(1))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([rows.column(0), ids], names=["doc_id", "ids"])
 
     return run
@@ -143,12 +150,11 @@ def _decode(tokenizer: str):
         for b in batches:
             lists = b.column(1)
             at = lists.offsets.to_numpy()
-            ids = lists.values
-            for i in range(0, b.num_rows, 64):  # the strings of a whole batch would be many
-                part = b.slice(i, 64)
+            for i in range(0, b.num_rows, 256):  # the strings of a whole batch would be many
+                part = b.slice(i, 256)
                 ends = at[i : i + part.num_rows + 1]
-                texts = [model.decode(ids.slice(a, z - a).to_pylist()) for a, z in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+                texts = model.decoded(lists.values.slice(ends[0], ends[-1] - ends[0]), ends[1:] - ends[0])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], names=["doc_id", "ids", "text"])
 
     return run
 

@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,5 +125,17 @@ def rows_of(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iter
                 yield part.slice(a, b - a), [x or "" for x in texts[a:b]]
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about so many bytes of ``text``; one long text stands alone."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index("text"))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
+            yield batch.slice(a, z - a)
+            a = z
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -16,11 +16,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resultmart.llm.common import documents, rows_of, stage
-from resultmart.llm.tokens import encoder
+from resultmart.llm.common import documents, parts_of, stage
+from resultmart.llm.tokens import encoder, lists_of
 
 #: Buckets of the hashed token vector.
 BUCKETS = 1024
+#: Text that is encoded at once.
+TEXT_BYTES = 8_000_000
 
 
 def projection(vocabulary: int, dims: int, seed: int) -> np.ndarray:
@@ -59,19 +61,19 @@ def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
 def _tokens(tokenizer: str, end_id: int, dims: int, bits: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(tokenizer)
-        end = np.array([end_id], pieces.dtype).tobytes()
         table = projection(max(pieces.library.get_vocab_size(), end_id + 1), dims, seed)
         base, seen = TaskContext.get().partitionId() << 33, 0
-        for rows, texts in rows_of(batches):
-            ids = [x + end for x in pieces.encode(texts)]
-            n = np.array([len(x) for x in ids]) // pieces.dtype.itemsize
-            starts = np.cumsum(n) - n
-            flat = np.frombuffer(b"".join(ids), pieces.dtype)
-            mean = np.stack([np.add.reduceat(table[:, k][flat], starts) for k in range(dims)], axis=1) / n[:, None]
+        for rows in parts_of(batches, TEXT_BYTES):
+            flat, ends = pieces.flat(rows.column(1))
+            n = np.diff(ends, prepend=0) + 1
+            flat = np.insert(flat, ends, end_id)
+            ends = np.cumsum(n)
+            mean = np.stack([np.add.reduceat(table[:, k][flat], ends - n) for k in range(dims)], axis=1) / n[:, None]
             key = hilbert_key(np.clip((mean + 1) * (1 << bits - 1), 0, (1 << bits) - 1).astype(np.int64), bits)
-            uid = base + seen + np.arange(len(ids))
-            seen += len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(uid), rows.column(0), pa.array(key), pa.array(n.astype(np.int64)), pa.array(ids, pa.binary())], names=["uid", "doc_id", "hilbert_key", "doc_tokens", "ids"])
+            uid = base + seen + np.arange(len(n))
+            seen += len(n)
+            yield pa.RecordBatch.from_arrays([pa.array(uid), rows.column(0), pa.array(key), pa.array(n.astype(np.int64)), lists_of(flat, ends)], names=["uid", "doc_id", "hilbert_key", "doc_tokens", "ids"])
+        pieces.forget()
 
     return run
 

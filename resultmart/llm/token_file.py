@@ -2,9 +2,10 @@
 
 A file is a Parquet folder, so that Spark's writers commit it and any store can hold it. A row is a segment of some
 million ids: its range partition ``part`` and number ``segment`` in it, ``local_start`` (ids before it in the
-partition), ``doc_ids``, the ids as one array of little-endian integers of ``width`` bytes, and the ends of its
-documents in Elias-Fano form (``low_bits``, ``low``, ``high``, ``sample``). Partitions are ranges of doc_id in
-ascending order, so ids stand in ascending order of doc_id throughout.
+partition), the ids as one array of little-endian integers of ``width`` bytes, and two rising sequences in Elias-Fano
+form, each as ``low_bits``, ``low``, ``high``, ``sample``: ``ends``, the ends of its documents, and ``ids_of``, their
+doc_ids less the smallest one ``first_id``; ``n_null`` documents without an id stand before those. Partitions are ranges
+of doc_id in ascending order, so ids stand in ascending order of doc_id throughout.
 """
 
 from __future__ import annotations
@@ -15,43 +16,62 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from resultmart.llm.common import documents, rows_of
+from resultmart.llm.common import documents, parts_of
 from resultmart.llm.elias_fano import EliasFano
 from resultmart.llm.tokens import encoder
 
-SEGMENT = "part int, segment int, local_start long, n_ids long, doc_ids array<bigint>, width int, ids binary, low_bits int, low binary, high binary, sample binary"
-SEGMENT_SCHEMA = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("local_start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("width", pa.int32()), ("ids", pa.binary()), ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("sample", pa.binary())])
+_CODED = "struct<low_bits:int,low:binary,high:binary,sample:binary>"
+SEGMENT = f"part int, segment int, local_start long, n_docs int, n_ids long, n_null int, first_id long, last_id long, width int, ids binary, ends {_CODED}, ids_of {_CODED}"
+_PA_CODED = pa.struct([("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("sample", pa.binary())])
+SEGMENT_SCHEMA = pa.schema(
+    [("part", pa.int32()), ("segment", pa.int32()), ("local_start", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("n_null", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("ends", _PA_CODED), ("ids_of", _PA_CODED)]
+)
+#: Text that is encoded at once.
+TEXT_BYTES = 8_000_000
+
+
+def _coded(x: EliasFano) -> dict:
+    return {"low_bits": x.low_bits, "low": x.low, "high": x.high, "sample": x.sample}
 
 
 def _segments(tokenizer: str, end_id: int, segment_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, part, number, start = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
-        width = pieces.dtype.itemsize
-        end = np.array([end_id], pieces.dtype).tobytes()
-        docs: list = []
-        ids: list[bytes] = []
+        docs: list[int | None] = []
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal number, start, docs, ids, held
-            ends = np.cumsum([len(x) // width for x in ids])
-            ef = EliasFano.of(ends)
-            row = {"part": part, "segment": number, "local_start": start, "n_ids": held, "doc_ids": docs, "width": width, "ids": b"".join(ids), "low_bits": ef.low_bits, "low": ef.low, "high": ef.high, "sample": ef.sample}
-            number, start, docs, ids, held = number + 1, start + held, [], [], 0
+            nonlocal number, start, docs, ids, sizes, held
+            known = np.array([x for x in docs if x is not None], np.int64)
+            first = int(known[0]) if len(known) else None
+            row = {"part": part, "segment": number, "local_start": start, "n_docs": len(docs), "n_ids": held, "n_null": len(docs) - len(known), "first_id": first, "last_id": int(known[-1]) if len(known) else None, "width": pieces.dtype.itemsize}
+            row |= {"ids": np.concatenate(ids).tobytes(), "ends": _coded(EliasFano.of(np.cumsum(np.concatenate(sizes)))), "ids_of": _coded(EliasFano.of(known.astype(np.uint64) - np.uint64((first or 0) % (1 << 64))))}
+            number, start, docs, ids, sizes, held = number + 1, start + held, [], [], [], 0
             return pa.RecordBatch.from_pylist([row], schema=SEGMENT_SCHEMA)
 
-        for rows, texts in rows_of(batches):
-            for doc, x in zip(rows.column(0).to_pylist(), pieces.encode(texts), strict=True):
-                docs.append(doc)
-                ids.append(x + end)
-                held += len(x) // width + 1
+        for rows in parts_of(batches, TEXT_BYTES):
+            flat, ends = pieces.flat(rows.column(1))
+            n = np.diff(ends, prepend=0) + 1
+            flat = np.insert(flat, ends, end_id)
+            ends = np.cumsum(n)
+            of, a = rows.column(0).to_pylist(), 0
+            while a < len(n):  # the documents that fill the segment, or all
+                z = min(len(n), int(np.searchsorted(ends, (ends[a - 1] if a else 0) + segment_ids - held)) + 1)
+                docs += of[a:z]
+                sizes.append(n[a:z])
+                ids.append(flat[(ends[a - 1] if a else 0) : ends[z - 1]])
+                held += len(ids[-1])
+                a = z
                 if held >= segment_ids:
                     yield flush()
         if docs:
             yield flush()
+        pieces.forget()
 
     return run
 
@@ -67,14 +87,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
     ordered.select("doc_id", "text").mapInArrow(_segments(tokenizer, end_id, segment_ids), SEGMENT).write.option("compression", "zstd").parquet(path)
 
 
+def _sequence(n: int, x: dict | Row) -> EliasFano:
+    return EliasFano(n, x["low_bits"], bytes(x["low"]), bytes(x["high"]), bytes(x["sample"]))
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["part", "doc_id", "local_start", "n_tokens", "ids"]
     for b in batches:
         for row in b.to_pylist():
-            ends = EliasFano(len(row["doc_ids"]), row["low_bits"], row["low"], row["high"], row["sample"]).select_all()
+            ends = _sequence(row["n_docs"], row["ends"]).select_all()
+            known = _sequence(row["n_docs"] - row["n_null"], row["ids_of"]).select_all()
+            docs = np.concatenate([np.zeros(row["n_null"], np.int64), known + (row["first_id"] or 0)])
             ids = pa.array(np.frombuffer(row["ids"], f"<u{row['width']}").astype(np.int32))
             starts = np.concatenate([[0], ends]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ends), row["part"], np.int32)), pa.array(row["doc_ids"], pa.int64()), pa.array(row["local_start"] + starts[:-1]), pa.array(np.diff(starts)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), ids)], names=names)
+            missing = np.arange(len(docs)) < row["n_null"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ends), row["part"], np.int32)), pa.array(docs, mask=missing), pa.array(row["local_start"] + starts[:-1]), pa.array(np.diff(starts)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), ids)], names=names)
 
 
 def offsets(segments: DataFrame) -> DataFrame:
@@ -95,13 +122,19 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_slice(spark: SparkSession, path: str, doc_id: int) -> list[int]:
-    """The ids of one document, found by select alone: only its boundaries are decoded."""
-    row = spark.read.schema(SEGMENT).parquet(path).where(F.array_contains("doc_ids", F.lit(doc_id))).first()
-    if row is None:
-        raise KeyError(doc_id)
-    ef, i = EliasFano(len(row.doc_ids), row.low_bits, bytes(row.low), bytes(row.high), bytes(row.sample)), row.doc_ids.index(doc_id)
-    start = ef.select(i - 1) if i else 0
-    return np.frombuffer(row.ids, f"<u{row.width}", ef.select(i) - start, start * row.width).tolist()
+    """The ids of one document (the first row of its id): its segment is found by the ranges of ids, its place and boundaries by select."""
+    held = spark.read.schema(SEGMENT).parquet(path).where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+    for row in held.orderBy("part", "segment").toLocalIterator():  # one segment, or those that a repeated id fills
+        known = _sequence(row.n_docs - row.n_null, row.ids_of)
+        a, z = 0, known.n
+        while a < z:
+            mid = (a + z) // 2
+            a, z = (mid + 1, z) if known.select(mid) + row.first_id < doc_id else (a, mid)
+        if a < known.n and known.select(a) + row.first_id == doc_id:
+            ends, i = _sequence(row.n_docs, row.ends), a + row.n_null
+            start = ends.select(i - 1) if i else 0
+            return np.frombuffer(bytes(row.ids), f"<u{row.width}", ends.select(i) - start, start * row.width).tolist()
+    raise KeyError(doc_id)
 
 
 def crc32_of_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
