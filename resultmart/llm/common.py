@@ -99,6 +99,16 @@ def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> Iterator[Data
         spark.sql(f"DROP TABLE {name}")
 
 
+def look_up(rows: DataFrame, table: DataFrame, key: Sequence[str], node: str = "node") -> DataFrame:
+    """A left join of rows to a table with one row for each key, where one key may hold a third of all rows.
+
+    An entry of the table goes once to each node (a number that rows carry, such as their partition) that has rows of
+    its key, and meets them there, so that no task gets all rows of a key.
+    """
+    there = rows.select(node, *key).distinct().join(table, list(key))
+    return rows.join(there, [node, *key], "left")
+
+
 def chunks(texts: list, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of a list of strings with about so many characters each; one long text stands alone."""
     start = size = 0

@@ -1,29 +1,31 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-Documents with the same set of shingles are one class, represented by its smallest doc_id; only classes are joined.
-A class lists its shingles from rare to frequent, and two classes with Jaccard similarity t share one of the first
-|x| - ceil(t |x|) + 1; those prefix rows meet by shingle. Frequencies come from a count of all shingles of the corpus
-in ``SKETCH`` buckets, whose size doesn't grow: any fixed order gives right results, and frequent shingles stand out.
-
-A group of thousands of near copies has millions of similar pairs that say nothing new about who reaches whom. So pairs
-are tried in rounds: first each class with the one that stands next to it in most of its lists, by size; then, some
-times over, with neighbours of *other* components in random orders; then with all classes of other components that pass
-the filters. The last round has no limit: no link between different components goes untested, while pairs within one
-component need no test. A round verifies a pair once.
+Documents with the same set of shingles are one class; only classes are joined. A class lists its shingles from rare to
+frequent, and two classes with Jaccard similarity t share one of the first |x| - ceil(t |x|) + 1; those prefix rows
+meet by shingle. Frequencies come from a count of all shingles of the corpus in 2**``SKETCH_BITS`` buckets, whose size
+doesn't grow: any fixed order gives right results, and frequent shingles stand out. Two classes that first meet at places
+p and q of their lists can share no more than what follows there: the positional filter bounds that by its length, the
+suffix filter by how many of it lie in each of equal ranges of hashes.
+
+A group of thousands of near copies has millions of similar pairs that say nothing new about who reaches whom. So each
+class is first tried with one hub: of the lists that it stands in, the class in whose list it stands most often at the
+first place, which is the one with fewest rare shingles of its own, nearest to the text that the copies come from. Then
+all classes of *different* components that pass the filters are tried, without those pairs. No link between different
+components goes untested, pairs within one component need no test, and no pair is verified twice.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resultmart.llm.common import bucketed, documents, rows_of, stage
+from resultmart.llm.common import documents, look_up, rows_of, stage
 from resultmart.llm.components import components
 from resultmart.llm.shingles import mix, shingle_sets
 
@@ -37,6 +39,10 @@ MARK_BITS = 25
 TEXT_BYTES = 500_000
 #: Pairs of sets that are compared at once.
 PAIR_ROWS = 200
+#: Digests that a task remembers, to list the shingles of copies once.
+SEEN = 100_000
+#: Rows of one shingle's list that meet in one task.
+LIST_ROWS = 2000
 
 
 def _sketch(words: int):
@@ -120,102 +126,170 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _digest(x: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None
+
+
 def _signatures(words: int, percent: int, counts: Broadcast):
-    """doc_id, size and digest of each set; its prefix too where the set is new to the task."""
-    names = ["doc_id", "n", "digest", "prefix"]
+    """Number, size and digest of each row's set; its prefix and marks too where the set is new to the task."""
+    names = ["doc_id", "node", "uid", "n", "digest", "prefix", "marks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency, seen = counts.value, set()
+        frequency, seen, node, uid = counts.value, set(), TaskContext.get().partitionId(), 0
         for rows, texts in rows_of(batches, TEXT_BYTES):
-            sizes, digests, prefixes = [], [], []
+            sizes, digests, prefixes, marks = [], [], [], []
             for doc_id, x in zip(rows.column(0).to_pylist(), shingle_sets([x.encode() for x in texts], words), strict=True):
                 sizes.append(len(x))
-                digest = hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None
+                digest = _digest(x)
                 digests.append(digest)
                 if digest is None or doc_id is None or digest in seen:
                     prefixes.append(None)
+                    marks.append(None)
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(digest)
                 order = np.argsort(frequency[x >> np.uint64(64 - SKETCH_BITS)], kind="stable")
-                prefixes.append(x[order[: _prefix_length(len(x), percent)]].tobytes())
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary())], names=names)
+                prefix = x[order[: _prefix_length(len(x), percent)]]
+                prefixes.append(prefix.tobytes())
+                marks.append(np.bincount(_ranges(x), minlength=SUFFIX_RANGES).astype("<u4").tobytes() + _ranges(prefix).astype(np.uint8).tobytes())
+            uids = (node << 33) + uid + np.arange(len(sizes))
+            uid += len(sizes)
+            columns = [rows.column(0), pa.array(np.full(len(sizes), node, np.int32)), pa.array(uids), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *rows.columns[2:]], names=[*names, *rows.schema.names[2:]])
 
     return run
 
 
+def _ranges(x: np.ndarray) -> np.ndarray:
+    """In which of equal ranges of hashes each shingle lies."""
+    return (x >> np.uint64(64 - SUFFIX_RANGES.bit_length() + 1)).astype(np.int64)
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of a prefix; size and place in one number."""
+    """A row for each shingle of a prefix; place and size in one number."""
     for b in batches:
         for i in range(0, b.num_rows, 500):
             part = b.slice(i, 500)
             found = [np.frombuffer(x, "<i8") for x in part.column(2).to_pylist()]
             lengths = np.array([len(x) for x in found])
-            reps = np.repeat(part.column(0).to_numpy(), lengths)
-            spots = np.repeat(part.column(1).to_numpy() << 32, lengths) | (np.arange(len(reps)) - np.repeat(np.cumsum(lengths) - lengths, lengths))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(spots), pa.array(reps)], names=["token", "spot", "rep"])
+            ids = np.repeat(part.column(0).to_numpy(), lengths)
+            spots = np.repeat(part.column(1).to_numpy(), lengths) | (np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)) << 32
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(spots), pa.array(ids)], names=["token", "spot", "cid"])
 
 
-def _passes(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
-    """Length and positional filter of two classes that share a shingle at places p and q."""
-    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * np.minimum(n - p, m - q) >= percent * (n + m))
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of shingles that several classes hold, each with the first one of its list, the hub.
 
+    Rows come sorted. The first and the last list of a task may go on in another one, so their rows count as shared.
+    """
+    names, part = ["token", "spot", "cid", "hub_spot", "hub", "part"], TaskContext.get().partitionId()
+    held, hub, begun = [np.zeros(0, np.int64)] * 3, None, False  # the last row waits for its successor; hub: of its list, if it isn't that itself
 
-def _shared(percent: int):
-    """Rows of shingles that several classes hold, each with its neighbour in the list if that passes the filters.
+    def rows(at: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.array(c[at]) for c in columns], pa.array(np.full(len(at), part, np.int32))], names=names)
 
-    Rows come sorted. The first and the last list of a task may go on in another one, so their rows count as shared.
+    for b in batches:
+        token, spot, cid = (np.append(h, b.column(i).to_numpy()) for i, h in enumerate(held))
+        if not len(token):
+            continue
+        new = np.append(True, token[1:] != token[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
+        hub_spot, hubs = spot[first], cid[first]
+        if hub:
+            hub_spot[first == 0], hubs[first == 0] = hub
+        alone = new[:-1] & new[1:]
+        alone[:1] &= begun and not hub
+        columns = [token, spot, cid, hub_spot, hubs]
+        yield rows(np.flatnonzero(~alone), columns)
+        hub = None if new[-1] and not (hub and len(token) == 1) else (hub_spot[-1], hubs[-1])
+        begun = begun or len(token) > 1
+        held, last = [token[-1:], spot[-1:], cid[-1:]], [c[-1:] for c in columns]
+    if len(held[0]):
+        yield rows(np.zeros(1, np.int64), last)
+
+
+def _with_hubs(shared: DataFrame) -> DataFrame:
+    """Where a list goes on in the next task, its rows there get the hub of the whole list; at most one list for each task."""
+    ends = sorted(shared.groupBy("part").agg(F.min("token"), F.max("token")).collect())
+    cut = sorted({a[2] for a, b in zip(ends, ends[1:]) if a[2] == b[1]})
+    if not cut:
+        return shared
+    hubs = shared.where(F.col("token").isin(cut)).groupBy("token").agg(F.min(F.struct("spot", "cid")).alias("top")).collect()
+    table = shared.sparkSession.createDataFrame([(r.token, r.top.spot, r.top.cid) for r in hubs], "token long, top_spot long, top long")
+    joined = shared.join(F.broadcast(table), "token", "left")
+    return joined.select("token", "spot", "cid", F.coalesce("top_spot", "hub_spot").alias("hub_spot"), F.coalesce("top", "hub").alias("hub"))
+
+
+def _may_link(left: Column, right: Column, percent: int) -> Column:
+    """Length and positional filter of two rows of a list."""
+    p, q = F.shiftright(left, 32), F.shiftright(right, 32)
+    n, m = left.bitwiseAND(0xFFFFFFFF), right.bitwiseAND(0xFFFFFFFF)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(n - p, m - q) >= percent * (n + m))
+
+
+def _hub_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """Each class with the hub that it meets most often, and the places where they meet first."""
+    met = shared.where((F.col("cid") != F.col("hub")) & _may_link(F.col("spot"), F.col("hub_spot"), percent))
+    met = met.groupBy("cid", "hub").agg(F.count("*").alias("n"), F.min(F.struct("spot", "hub_spot")).alias("at"))
+    best = met.groupBy("cid").agg(F.max_by(F.struct("hub", "at"), F.struct("n", -F.col("hub"))).alias("best"))
+    return best.select(F.col("cid").alias("a"), F.col("best.hub").alias("b"), F.col("best.at.spot").alias("p"), F.col("best.at.hub_spot").alias("q"))
+
+
+def _candidates(shared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a prefix shingle and pass the filters, and the places where they meet first.
+
+    In a list, the members of its largest component meet the others, and the others meet everyone: members of the
+    largest one don't meet each other. A long list is cut into blocks of ``LIST_ROWS``, and each block meets the list.
     """
-    names = ["token", "spot", "rep", "near", "part"]
+    rows = shared.select("token", "spot", "cid").join(found.toDF("cid", "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    lists = rows.groupBy("token", "component").agg(F.count("*").alias("n"))
+    lists = lists.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("components"), F.ceil(F.sum("n") / LIST_ROWS).cast("int").alias("blocks"))
+    rows = rows.join(lists.where("components > 1").drop("components"), "token")
+    left = rows.where("component <> largest").select("token", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("block"), *[F.col(c).alias(f"l_{c}") for c in ("spot", "cid", "component")])
+    right = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "largest", *[F.col(c).alias(f"r_{c}") for c in ("spot", "cid", "component")])
+    met = left.join(right, ["token", "block"]).where(
+        (F.col("l_component") != F.col("r_component"))
+        & ((F.col("r_component") == F.col("largest")) | (F.col("l_cid") < F.col("r_cid")))
+        & _may_link(F.col("l_spot"), F.col("r_spot"), percent)
+    )
+    turned = F.col("l_cid") > F.col("r_cid")
+    spots = F.when(turned, F.struct(F.col("r_spot").alias("p"), F.col("l_spot").alias("q"))).otherwise(F.struct(F.col("l_spot").alias("p"), F.col("r_spot").alias("q")))
+    return met.groupBy(F.least("l_cid", "r_cid").alias("a"), F.greatest("l_cid", "r_cid").alias("b")).agg(F.min(spots).alias("at")).select("a", "b", "at.p", "at.q")
+
+
+def _suffix_filter(percent: int):
+    """Pairs whose sets can share enough behind the places where they meet first, range of hashes by range."""
+
+    def rest(marks: bytes, spot: int) -> tuple[int, np.ndarray]:
+        place, head = spot >> 32, 4 * SUFFIX_RANGES
+        before = np.bincount(np.frombuffer(marks, np.uint8, place + 1, head), minlength=SUFFIX_RANGES)
+        return spot & 0xFFFFFFFF, np.frombuffer(marks, "<u4", SUFFIX_RANGES).astype(np.int64) - before
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        last = None  # the row that waits for its successor, and whether it has a predecessor
         for b in batches:
-            if not b.num_rows:
-                continue
-            token, spot, rep = (b.column(i).to_numpy() for i in range(3))
-            if last is not None:
-                token, spot, rep = np.append(last[0], token), np.append(last[1], spot), np.append(last[2], rep)
-            with_previous = np.empty(len(token), bool)
-            with_previous[1:] = token[1:] == token[:-1]
-            with_previous[0] = last is None or last[3]
-            shared = with_previous[:-1] | with_previous[1:]
-            n, p = spot >> 32, spot & 0xFFFFFFFF
-            near = np.full(len(token), -1)
-            good = with_previous[1:] & (rep[1:] != rep[:-1]) & _passes(n[1:], p[1:], n[:-1], p[:-1], percent)
-            near[1:][good] = rep[:-1][good]
-            if last is not None:
-                near[0] = last[4]
-            valid = np.append(last is not None and last[5], good)
-            at = np.flatnonzero(shared)
-            yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(spot[at]), pa.array(rep[at]), pa.array(near[at], mask=~valid[at]), pa.array(np.full(len(at), part, np.int32))], names=names)
-            last = (token[-1:], spot[-1:], rep[-1:], bool(with_previous[-1]), near[-1], bool(valid[-1]))
-        if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1]), pa.array(last[2]), pa.array([last[4]], pa.int64(), mask=np.array([not last[5]])), pa.array([part], pa.int32())], names=names)
+            good = []
+            for p, q, x, y in zip(*[b.column(i).to_pylist() for i in range(2, 6)], strict=True):
+                (n, x), (m, y) = rest(x, p), rest(y, q)
+                good.append((100 + percent) * (1 + int(np.minimum(x, y).sum())) >= percent * (n + m))
+            good = np.array(good, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(i).to_numpy()[good]) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
 def _sets(words: int):
+    """The sets of rows whose digest is that of the class that they stand for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in rows_of(batches, TEXT_BYTES):
             found = shingle_sets([x.encode() for x in texts], words)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([_ranges(x) for x in found], pa.list_(pa.int32()))], names=["rep", "shingles", "ranges"])
+            good = np.array([_digest(x) == d for x, d in zip(found, rows.column(3).to_pylist(), strict=True)], bool)
+            yield pa.RecordBatch.from_arrays([rows.column(2).filter(pa.array(good)), pa.array([x.tobytes() for x, g in zip(found, good, strict=True) if g], pa.binary())], names=["cid", "shingles"])
 
     return run
 
 
-def _ranges(x: np.ndarray) -> list[int]:
-    """How many shingles lie in each of equal ranges of hashes, for the suffix filter."""
-    return np.bincount((x >> np.uint64(59)).astype(np.int64), minlength=SUFFIX_RANGES).tolist()
-
-
-def _suffix_filter(x: Column, y: Column, percent: int) -> Column:
-    """Whether two sets can overlap enough, range of hashes by range."""
-    total = lambda c: F.aggregate(c, F.lit(0), lambda a, b: a + b)
-    return (100 + percent) * total(F.zip_with(x, y, lambda a, b: F.least(a, b))) >= percent * (total(x) + total(y))
-
-
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -234,95 +308,60 @@ def _verify(percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold."""
-    ranges = sets.select("rep", "ranges")
-    likely = pairs.join(ranges.toDF("a", "x"), "a").join(ranges.toDF("b", "y"), "b").where(_suffix_filter(F.col("x"), F.col("y"), percent)).select("a", "b")
-    shingles = sets.select("rep", "shingles")
-    return likely.join(shingles.toDF("a", "x"), "a").join(shingles.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
-
-
-def _neighbours(shared: DataFrame, found: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs of different components that stand side by side in a list of a task, in another random order each turn."""
-    rows = _with_component(shared, found)
-    w = Window.partitionBy("token", "part").orderBy(F.xxhash64("rep", F.lit(turn)), "rep")
-    rows = rows.select("rep", "spot", "component", *[F.lag(c).over(w).alias(f"l_{c}") for c in ("rep", "spot", "component")])
-    met = rows.where((F.col("component") != F.col("l_component")) & _may_link(F.col("l_spot"), F.col("spot"), percent))
-    return met.groupBy(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")).agg(F.count("*").alias("n"))
-
-
-def _with_component(shared: DataFrame, found: DataFrame) -> DataFrame:
-    return shared.select("token", "part", "spot", "rep").join(found.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-
-
-def _may_link(left: Column, right: Column, percent: int) -> Column:
-    """Length and positional filter of two rows of a list."""
-    n, m = F.shiftright(left, 32), F.shiftright(right, 32)
-    p, q = left.bitwiseAND(0xFFFFFFFF), right.bitwiseAND(0xFFFFFFFF)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(n - p, m - q) >= percent * (n + m))
-
-
-def _candidates(shared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a prefix shingle and pass the filters, with the number of such shingles.
-
-    In a list, the members of its largest component meet the others, and the others meet everyone: members of the
-    largest one don't meet each other.
-    """
-    rows = _with_component(shared, found)
-    lists = rows.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("components"))
-    rows = rows.join(lists.where("components > 1").select("token", "largest"), "token")
-    left = rows.where("component <> largest").select("token", *[F.col(c).alias(f"l_{c}") for c in ("spot", "rep", "component")])
-    right = rows.select("token", "largest", *[F.col(c).alias(f"r_{c}") for c in ("spot", "rep", "component")])
-    met = left.join(right, "token").where(
-        (F.col("l_component") != F.col("r_component"))
-        & ((F.col("r_component") == F.col("largest")) | (F.col("l_rep") < F.col("r_rep")))
-        & _may_link(F.col("l_spot"), F.col("r_spot"), percent)
-    )
-    return met.groupBy(F.least("l_rep", "r_rep").alias("a"), F.greatest("l_rep", "r_rep").alias("b")).agg(F.count("*").alias("n"))
-
-
-def _best(pairs: DataFrame, limit: int) -> DataFrame:
-    """For each larger document the pairs that share most prefix shingles."""
-    order = Window.partitionBy("b").orderBy(F.desc("n"), "a")
-    return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("a", "b")
+def _linked(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose similarity reaches the threshold. Only texts of classes in pairs that pass the suffix filter move."""
+    marks = classes.select("cid", "marks")
+    likely = pairs.join(marks.toDF("a", "x"), "a").join(marks.toDF("b", "y"), "b").select("a", "b", "p", "q", "x", "y").mapInArrow(_suffix_filter(percent), "a long, b long")
+    likely = stage(likely, "likely", waves=1)
+    cids = likely.select(F.col("a").alias("cid")).union(likely.select("b")).distinct()
+    wanted = stage(classes.select("cid", "rep", "digest").join(cids, "cid", "left_semi"), "wanted", waves=1)
+    near = rows.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(_passing(marked(wanted.select("rep"))), "doc_id long, text string")
+    held = near.join(wanted, near.doc_id == wanted.rep).select("doc_id", "text", "cid", "digest").mapInArrow(_sets(words), "cid long, shingles binary")
+    sets = held.groupBy("cid").agg(F.first("shingles").alias("shingles"))  # of repeated rows one
+    met = likely.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return stage(met.mapInArrow(_verify(percent), "a long, b long"), "pairs", PAIR_ROWS, 1)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, turns: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, keep: Sequence[str] = ()) -> DataFrame:
     """Link documents whose sets of ``words``-word shingles have Jaccard similarity of ``percent`` / 100 or more.
 
-    Returns one row per input row: doc_id, n_shingles (size of the set) and component_id (smallest doc_id reachable by
-    links, itself included). Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; a text with fewer words is one
-    shingle. Null texts and texts without words have no shingles and link with nothing. Shingles are compared as 64-bit
-    hashes. Rows with a null doc_id link with nothing unless their set equals another row's, and have no component_id of
-    their own; rows with the same doc_id are compared one by one and count as linked where that id represents them. An empty table gives an empty result; extra columns are dropped.
-    ``turns`` is the number of rounds that try neighbours, before the last one that tries all pairs that are left.
+    Returns one row per input row: doc_id, n_shingles (size of the set), component_id (smallest doc_id reachable by
+    links, itself included), kept (whether the row's set and id stand for its group; of equal rows all do) and the
+    columns in ``keep``. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; a text with fewer words is one
+    shingle. Null texts and texts without words have no shingles, link with nothing and are kept. Shingles are compared
+    as 64-bit hashes. Rows with a null doc_id are kept and link with nothing, but take the component_id of rows with the
+    same set; rows with the same doc_id are compared one by one. Of a group, the smallest doc_id is kept and, where
+    that id has several texts, one of them. An empty table gives an empty result; other columns are dropped, and those to
+    keep may not be called like results.
     """
-    rows = documents(docs, id_col, text_col)
-    counts = sketch(rows, words)
-    signs = stage(rows.mapInArrow(_signatures(words, percent, counts), "doc_id long, n long, digest binary, prefix binary"), "signatures", waves=3)
-    known = signs.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-
-    prefixes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"))
-    tokens = prefixes.where("prefix IS NOT NULL").select("rep", "n", "prefix").mapInArrow(_tokens, "token long, spot long, rep long")
-    shared = stage(tokens.repartitionByRange("token", "spot", "rep").sortWithinPartitions("token", "spot", "rep").mapInArrow(_shared(percent), "token long, spot long, rep long, near long, part int"), "shared", 20_000, 3)
-
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = shared.select("rep").distinct()
-    likely = rows.where("doc_id IS NOT NULL").mapInArrow(_passing(marked(wanted)), "doc_id long, text string")
-    dealt = likely.repartition(buckets, "doc_id")
-    held = dealt.join(wanted, dealt.doc_id == wanted.rep, "left_semi").mapInArrow(_sets(words), "rep long, shingles binary, ranges array<int>")
-    pairs = shared.where("near IS NOT NULL").groupBy(F.least("rep", "near").alias("a"), F.greatest("rep", "near").alias("b")).agg(F.count("*").alias("n"))
-    with bucketed(held, "rep", buckets, "sets") as sets:  # texts move once; sets lie where pairs look for them
-        links = stage(_linked(_best(pairs, 1), sets, percent), "pairs", PAIR_ROWS, 2)
-        for turn in range(turns):
-            found = stage(components(links), "found", waves=1)
-            new = stage(_linked(_best(_neighbours(shared, found, percent, turn), 2), sets, percent), "pairs", PAIR_ROWS, 2)
-            links = links.unionByName(new)
-        found = stage(components(links), "found", waves=1)
-        links = links.unionByName(stage(_linked(_candidates(shared, found, percent).select("a", "b"), sets, percent), "pairs", PAIR_ROWS, 2))
-    found = components(links)
-
-    # Rows of a class take the component of its representative; rows of one doc_id the smallest of theirs.
-    joined = signs.join(classes, "digest", "left").join(found.toDF("rep", "component"), "rep", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    own = ("node", "uid", "n", "digest", "prefix", "marks", "n_shingles", "component_id", "kept", "rep", "cid", "top")
+    rows = documents(docs, id_col, text_col, keep, own)
+    fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    counts = sketch(rows.select("doc_id", "text"), words)
+    signs = stage(rows.mapInArrow(_signatures(words, percent, counts), "doc_id long, node int, uid long, n long, digest binary, prefix binary, marks binary" + fields), "signatures")
+    known = signs.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest")
+    first = F.min(F.struct("doc_id", "uid")).alias("first")
+
+    classes = known.agg(first, F.first("marks", ignorenulls=True).alias("marks"))
+    classes = stage(classes.select("digest", F.col("first.doc_id").alias("rep"), F.col("first.uid").alias("cid"), "marks"), "classes")
+    prefixes = known.agg(first, F.min("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"))
+    tokens = prefixes.select("first.uid", "n", "prefix").mapInArrow(_tokens, "token long, spot long, cid long")
+    ordered = tokens.repartitionByRange("token", "spot", "cid").sortWithinPartitions("token", "spot", "cid")
+    shared = _with_hubs(stage(ordered.mapInArrow(_shared, "token long, spot long, cid long, hub_spot long, hub long, part int"), "shared"))
+
+    tried = stage(_hub_pairs(shared, percent), "tried", waves=1)
+    links = _linked(tried, rows, classes, words, percent)
+    found = stage(components(links), "found", waves=1)
+    pairs = _candidates(shared, found, percent).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    links = links.unionByName(_linked(stage(pairs, "candidates", waves=1), rows, classes, words, percent))
+
+    # Classes of a component take its smallest doc_id, and rows those of their class.
+    found = components(links).toDF("cid", "component").withColumn("node", F.pmod(F.xxhash64("cid"), F.lit(64)))
+    found = stage(found.join(classes.select("cid", "rep"), "cid"), "found", waves=1)
+    tops = found.groupBy("component").agg(F.min(F.struct("rep", "cid")).alias("top"))
+    reached = look_up(found, tops, ["component"]).select("cid", F.col("top.rep").alias("component_id"), F.col("top.cid").alias("top"))
+    of = classes.select("digest", "rep", "cid").join(reached, "cid", "left")
+    of = of.select("digest", "cid", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("top", "cid").alias("top"))
+    joined = look_up(signs.select("doc_id", "node", "n", "digest", *keep), of, ["digest"])
+    kept = F.col("doc_id").isNull() | F.col("digest").isNull() | ((F.col("doc_id") == F.col("component_id")) & (F.col("cid") == F.col("top")))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), kept.alias("kept"), *keep)
