@@ -1,67 +1,38 @@
-"""Line deduplication: explode normalised lines, hash them, count documents per hash, drop lines over a threshold and
-reassemble the rest by position.
-
-Keys are 16-byte digests. The count is a grouped minimum, maximum or distinct count with partial aggregation on the map
-side, so one line that all documents hold costs one row per task. The hashes over the threshold go back to the
-documents that hold them through an equi-join of narrow rows (hash, doc_id), whose hot keys Spark can split; texts are
-shuffled once, by doc_id, to meet their list of hashes to drop.
+"""Line deduplication: explode normalised lines with their positions, hash them, count documents per hash, drop lines
+over a threshold and reassemble the rest by position.
+
+Keys are 16-byte digests. Every line is hashed once and written as a narrow row (key, document, position). The count is
+a grouped minimum, maximum or distinct count with partial aggregation on the map side, so one line that all documents
+hold costs one row per task. Keys over the threshold find their rows through a join: those that hold more than one in
+``HOT_SHARE`` of all rows, at most that many keys, are broadcast, so that no task gets all rows of a frequent line; the
+others meet by key. Texts are shuffled once, as lists of lines, to meet the positions that they lose.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resultmart.llm.common import SPACES, documents, rows_of
-
-#: A-Z to a-z; other letters stay.
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-
-
-def line_key(line: str) -> str:
-    return line.strip(SPACES).translate(LOWER)
-
-
-def digest(key: str) -> bytes:
-    return hashlib.md5(key.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+from resultmart.llm.common import SPACES, documents, stage
 
+_UPPER, _LOWER = ("".join(map(chr, range(a, a + 26))) for a in (65, 97))
+#: Keys with more than one in so many rows are hot; there can't be more of them than this.
+HOT_SHARE = 10_000
 
-def _keys(min_chars: int):
-    """(key, doc_id), once for each key and row."""
-    schema = pa.schema([("key", pa.binary(16)), ("doc_id", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in rows_of(batches):
-            keys, ids = [], []
-            for i, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                found = {k for k in map(line_key, text.split("\n")) if len(k) >= min_chars}
-                keys += map(digest, found)
-                ids += [i] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], names=schema.names)
+def line_key(line: Column) -> Column:
+    """The line without white space at its ends and with A-Z in lower case."""
+    return F.translate(F.btrim(line, F.lit(SPACES)), _UPPER, _LOWER)
 
-    return run
 
-
-def _reassemble(min_chars: int):
-    names = ["doc_id", "n_lines", "n_dropped", "text", "kept_sha256"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in rows_of(batches):
-            out = []
-            for text, drop in zip(texts, part.column(2).to_pylist(), strict=True):
-                lines = text.split("\n")
-                drop = set(drop or ())
-                kept = [x for x in lines if len(k := line_key(x)) < min_chars or digest(k) not in drop] if drop else lines
-                joined = "\n".join(kept)
-                out.append((len(lines), len(lines) - len(kept), joined, hashlib.sha256(joined.encode()).hexdigest()))
-            n, d, t, h = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(t, pa.string()), pa.array(h, pa.string()), *part.columns[3:]], names=[*names, *part.schema.names[3:]])
-
-    return run
+def _shared(held: DataFrame, min_docs: int) -> DataFrame:
+    """(key, first_id, rows) of keys that ``min_docs`` documents hold."""
+    if min_docs == 2:
+        return held.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("rows")).where("first_id < last_id").drop("last_id")
+    each = held.groupBy("key", "doc_id").agg(F.count("*").alias("n"))
+    return each.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.sum("n").alias("rows"), F.count("*").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, keep: Sequence[str] = ()) -> DataFrame:
@@ -74,13 +45,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     doc_id are one document: a key found only in them isn't shared. An empty table gives an empty result; other
     columns are dropped, and those to keep may not be called like results.
     """
-    own = ("n_lines", "n_dropped", "kept_sha256", "drop", "key")
+    own = ("n_lines", "n_dropped", "kept_sha256", "text_hash", "lines", "lost", "key", "position")
     rows = documents(docs, id_col, text_col, keep, own)
-    held = rows.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_keys(min_chars), "key binary, doc_id long")
-    if min_docs == 2:
-        shared = held.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
-    else:
-        shared = held.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count_distinct("doc_id").alias("n")).where(F.col("n") >= min_docs)
-    drops = held.join(shared.select("key", "first_id"), "key").where(F.col("doc_id") != F.col("first_id")).groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
-    fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
-    return rows.join(drops, "doc_id", "left").select("doc_id", "text", "drop", *keep).mapInArrow(_reassemble(min_chars), "doc_id long, n_lines long, n_dropped long, text string, kept_sha256 string" + fields)
+    # the id and the text's hash tell rows apart; rows with both in common lose the same positions
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"), *keep)
+    exploded = rows.where("doc_id IS NOT NULL").select("doc_id", "text_hash", F.posexplode("lines").alias("position", "line"))
+    keyed = exploded.select("doc_id", "text_hash", "position", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    held = stage(keyed.withColumn("key", F.unhex(F.md5("key"))), "lines")
+
+    shared = stage(_shared(held, min_docs), "shared")
+    hot = shared.where(F.col("rows") * HOT_SHARE > held.count()).select("key", F.col("first_id").alias("hot_id"))
+    marked = held.join(F.broadcast(hot), "key", "left")
+    rest = marked.where("hot_id IS NULL").drop("hot_id").join(shared.select("key", "first_id"), "key")
+    lost = marked.where("hot_id <> doc_id").drop("hot_id").unionByName(rest.where("first_id <> doc_id").drop("first_id"))
+    lost = lost.groupBy("doc_id", "text_hash").agg(F.collect_set("position").alias("lost"))
+
+    met = rows.join(lost, ["doc_id", "text_hash"], "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "lost")
+    lines = F.when(F.col("lost").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get(F.col("lines"), i)))
+    out = met.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("n_dropped"), F.array_join(lines, "\n").alias("text"), *keep)
+    return out.select("doc_id", "n_lines", "n_dropped", "text", F.sha2("text", 256).alias("kept_sha256"), *keep)
