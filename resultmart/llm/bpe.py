@@ -30,9 +30,9 @@ from resultmart.llm.common import documents, parts_of, pick
 from resultmart.llm.tokens import LETTERS, Pieces
 
 #: Words of a generation that a worker remembers.
-CACHE = 400_000
+CACHE = 150_000
 #: Text that is encoded at once.
-TEXT_BYTES = 8_000_000
+TEXT_BYTES = 4_000_000
 #: Fixed value: the pattern of words, for text up to U+024F.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[0-9²³¹¼½¾]|(?:[^\s\w]|[_\x1c-\x1f])+")
 
@@ -150,8 +150,8 @@ def _decode(tokenizer: str):
         for b in batches:
             lists = b.column(1)
             at = lists.offsets.to_numpy()
-            for i in range(0, b.num_rows, 256):  # the strings of a whole batch would be many
-                part = b.slice(i, 256)
+            for i in range(0, b.num_rows, 64):  # the strings of a whole batch would be many
+                part = b.slice(i, 64)
                 ends = at[i : i + part.num_rows + 1]
                 texts = model.decoded(lists.values.slice(ends[0], ends[-1] - ends[0]), ends[1:] - ends[0])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], names=["doc_id", "ids", "text"])

@@ -22,7 +22,7 @@ from resultmart.llm.tokens import encoder, lists_of
 #: Buckets of the hashed token vector.
 BUCKETS = 1024
 #: Text that is encoded at once.
-TEXT_BYTES = 8_000_000
+TEXT_BYTES = 4_000_000
 
 
 def projection(vocabulary: int, dims: int, seed: int) -> np.ndarray:

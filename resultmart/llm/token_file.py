@@ -30,7 +30,7 @@ SEGMENT_SCHEMA = pa.schema(
     [("part", pa.int32()), ("segment", pa.int32()), ("local_start", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("n_null", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("ends", _PA_CODED), ("ids_of", _PA_CODED)]
 )
 #: Text that is encoded at once.
-TEXT_BYTES = 8_000_000
+TEXT_BYTES = 4_000_000
 
 
 def _coded(x: EliasFano) -> dict:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words of a generation that a task remembers.
-CACHE = 400_000
+CACHE = 300_000
 #: ASCII punctuation at the end of a piece, which both patterns cut off from a word; the apostrophe has rules of its own.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
