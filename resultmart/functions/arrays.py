@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +41,9 @@ def merge_map(a: Column, b: Column) -> Column:
 def zip_map(headers: Column, cells: Column) -> Column:
     """A map from headers to cells; blank headers are left out, and of a repeated one the last cell counts."""
     n = F.least(F.size(headers), F.size(cells))
-    places = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & (F.element_at(headers, i) != "") & (i == F.size(headers) + 1 - F.array_position(F.reverse(headers), F.element_at(headers, i)).cast("int")))
-    return F.map_from_arrays(F.transform(places, lambda i: F.element_at(headers, i)), F.transform(places, lambda i: F.element_at(cells, i)))
+    held = F.slice(headers, F.lit(1), n)
+    names = F.filter(F.array_distinct(held), lambda x: x.isNotNull() & (x != ""))
+    return F.map_from_arrays(names, F.transform(names, lambda x: F.element_at(cells, (n + 1 - F.array_position(F.reverse(held), x)).cast("int"))))
 
 
 def enumerate_rows(df: DataFrame, array_col: str, position: str = "position", value: str = "value") -> DataFrame:
@@ -55,12 +59,19 @@ def json_field(c: Column, path: str) -> Column:
     return F.get_json_object(c, f"$.{path}")
 
 
+def _unescaped(c: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(html.unescape, na_action="ignore")
+
+    return run(c)
+
+
 def first_json_string(c: Column, name: str) -> Column:
-    """The first string field of that name in a text that holds JSON, plain or with its quotes escaped; escapes undone."""
-    plain = F.regexp_extract(c, rf'"{name}"\s*:\s*"((?:[^"\\]|\\.)*)"', 1)
-    quoted = F.regexp_extract(c, rf'\\"{name}\\"\s*:\s*\\"(.*?)\\"', 1)
-    found = F.coalesce(F.nullif(plain, F.lit("")), F.nullif(quoted, F.lit("")))
-    return F.replace(F.replace(F.replace(found, F.lit("\\/"), F.lit("/")), F.lit('\\"'), F.lit('"')), F.lit("\\u0026"), F.lit("&"))
+    """The first string field of that name in a text that holds JSON, plain or with its quotes escaped; entities and escapes undone, null where there is none."""
+    plain, quoted = rf'"{name}":"([^"]*)"', rf'\\"{name}\\":\\"([^"]*)\\"'
+    found = F.when(c.rlike(plain), F.regexp_extract(c, plain, 1)).when(c.rlike(quoted), F.regexp_extract(c, quoted, 1))
+    return F.replace(F.replace(_unescaped(found), F.lit("\\u0026"), F.lit("&")), F.lit("\\/"), F.lit("/"))
 
 
 def slice_between(c: Column, start: str, end: str, default: int = 50_000) -> Column:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)\s+"
 ISO3 = r"^[A-Z]{3}\z"
-#: Markers that an executed element can carry.
-MARKERS = ("<<", "<", "!", "e", "q", "*", "F", "b", "V", "x", "S", "nC")
-#: Labels of segments at the end of a score sheet's title, longest first.
-SEGMENT_LABELS = ("FREE SKATING", "SHORT PROGRAM", "PATTERN DANCE", "RHYTHM DANCE", "SHORT DANCE", "FREE PROGRAM", "FREE DANCE")
+#: Markers that the info column of an executed element can hold.
+MARKERS = ("F", "x", "!", "<", "<<", "q", "e", "*", "b", "REP")
+#: Labels of segments at the end of a score sheet's title, in the order in which they are tried.
+SEGMENT_LABELS = ("PATTERN DANCE 1 (WITHOUT KEY POINTS)", "PATTERN DANCE 2 (WITHOUT KEY POINTS)", "SHORT PROGRAM", "FREE SKATING", "RHYTHM DANCE", "FREE DANCE", "PATTERN DANCE")
+#: Role groups of officials by their function in lower case.
+ROLES = {"referee": "referee", "technical controller": "technical_panel", "technical specialist": "technical_panel", "assistant technical specialist": "technical_panel", "data operator": "event_operations", "replay operator": "event_operations"}
+#: Streams of the kinds of registered sources.
+STREAMS = {"result_ISU": "ISU", "result_NonISU": "NonISU", "result_DP": "DP"}
 
 
 def blank_to_null(c: Column) -> Column:
@@ -103,22 +109,23 @@ def split_title(c: Column) -> Column:
 
 
 def split_sheet_title(c: Column) -> Column:
-    """(category, segment) by a known label at the end, else at a run of spaces."""
-    label = r"(?i)^(.*?)\s+((?:" + "|".join(SEGMENT_LABELS) + r")(?:\s+\d)?)\s*\z"
-    spaces = r"^(.*?)\s{2,}(\S.*)\z"
-    category = F.when(c.rlike(label), F.regexp_extract(c, label, 1)).when(F.trim(c).rlike(spaces), F.regexp_extract(F.trim(c), spaces, 1)).otherwise(F.trim(c))
-    segment = F.when(c.rlike(label), F.regexp_extract(c, label, 2)).when(F.trim(c).rlike(spaces), F.regexp_extract(F.trim(c), spaces, 2))
-    return F.struct(F.trim(F.regexp_replace(category, r"\s*-\s*\z", "")).alias("category"), F.trim(segment).alias("segment"))
+    """(category, segment): a known label at the end, else the first two parts between runs of spaces, else all and nothing."""
+    parts = F.filter(F.transform(F.split(c, "  "), F.btrim), lambda x: x != "")
+    cut = F.size(parts) >= 2
+    category, segment = F.when(cut, F.get(parts, F.lit(0))).otherwise(c), F.when(cut, F.get(parts, F.lit(1))).otherwise("")
+    for label in reversed(SEGMENT_LABELS):
+        here = F.endswith(F.upper(c), F.lit(f" {label}"))
+        category = F.when(here, F.btrim(F.left(c, F.length(c) - len(label) - 1))).otherwise(category)
+        segment = F.when(here, F.lit(label)).otherwise(segment)
+    return F.struct(category.alias("category"), segment.alias("segment"))
 
 
 def classify_role(function: Column) -> Column:
     """(role_group, judge_number) of an official's function."""
-    f = F.lower(F.trim(function))
-    number = _matched(f, r"^judge\s+no\.?\s*(\d+)").cast("int")
-    group = (
-        F.when(f.startswith("judge"), "judge").when(f.contains("technical controller"), "technical_controller").when(f.contains("technical specialist"), "technical_specialist")
-        .when(f.contains("referee"), "referee").when(f.contains("data") & f.contains("operator"), "data_operator").when(f.contains("replay"), "replay_operator").otherwise("other")
-    )
+    f = F.lower(clean_text(function))
+    number = _matched(f, r"^judge\s+no\.?\s*(\d+)").try_cast("int")
+    known = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+    group = F.when(number.isNotNull(), "judge").otherwise(F.coalesce(F.try_element_at(known, f), F.lit("other")))
     return F.struct(group.alias("role_group"), number.alias("judge_number"))
 
 
@@ -136,32 +143,73 @@ def source_context(url: Column, streams: tuple[str, ...] = ("isu", "nonisu")) ->
     return F.struct(url_host(url).alias("host"), url_path(url).alias("path"), F.get(parts, F.lit(0)).alias("stream"))
 
 
+def raw_path(url: Column) -> Column:
+    """The path as it stands in the URL, without parameters of its last part; also of URLs that aren't well formed."""
+    return F.regexp_replace(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1), r";[^/]*\z", "")
+
+
 def path_prefix(url: Column) -> Column:
-    """The path of an event: without its index page, or the folder of a PDF."""
-    p = url_path(url)
-    return F.when(F.lower(p).endswith(".pdf"), F.regexp_replace(p, r"[^/]*\z", "")).otherwise(F.regexp_replace(p, r"(?i)index\.html?\z", ""))
+    """The path of an event without outer slashes: without its index page, or the folder of a PDF."""
+    p = F.btrim(raw_path(url), F.lit("/"))
+    index = r"(?i)/index\.html?\z"
+    return F.when(p.rlike(index), F.regexp_replace(p, index, "")).when(F.lower(p).endswith(".pdf"), F.regexp_replace(p, r"/[^/]*\z", "")).otherwise(p)
+
+
+def profile_key(url: Column, family: str = "bsf_discovered") -> Column:
+    """Family, 48 characters of a readable slug of the path prefix and eight digits of its hash."""
+    prefix = path_prefix(url)
+    slug = F.btrim(F.regexp_replace(F.lower(prefix), "[^a-z0-9]+", "_"), F.lit("_"))
+    return F.concat(F.lit(f"{family}_"), F.substring(slug, 1, 48), F.lit("_"), F.substring(F.sha1(prefix), 1, 8))
+
 
+def stream_of(kind: Column, url: Column) -> Column:
+    """The competition stream of a registered source: by its kind, else by its path."""
+    known = F.create_map(*[F.lit(x) for pair in STREAMS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, kind), F.when(url.contains("/test-mf/"), F.lit("club_test")).otherwise("club"))
 
-def profile_key(url: Column) -> Column:
-    """A readable slug with eight digits of a hash."""
-    slug = F.btrim(F.regexp_replace(F.lower(F.concat(url_host(url), F.coalesce(path_prefix(url), F.lit("")))), "[^a-z0-9]+", "_"), F.lit("_"))
-    return F.concat(F.substring(slug, 1, 60), F.lit("_"), F.substring(F.sha1(url), 1, 8))
+
+def representation_of(kind: Column) -> Column:
+    """What skaters stand for in a registered source."""
+    return F.when(kind.isin("result_ISU", "result_NonISU"), "nation").otherwise("club")
 
 
 def document_type(url: Column) -> Column:
-    return F.when(F.lower(url_path(url)).endswith(".pdf"), "pdf").otherwise("html")
+    """judges_scores_pdf for a PDF, else the media type that the file name's ending suggests; pages and unknown endings are html."""
+    path = F.lower(raw_path(url))
+    types = F.create_map(*[F.lit(x) for pair in sorted(mimetypes.types_map.items()) for x in pair])
+    guessed = F.try_element_at(types, F.regexp_extract(path, r"(\.[^./]+)\z", 1))
+    return F.when(path.endswith(".pdf"), "judges_scores_pdf").otherwise(F.when(guessed == "text/html", "html").otherwise(F.coalesce(guessed, F.lit("html"))))
+
+
+def parser_of(profile: Column, url: Column, text: Column | None = None) -> Column:
+    """The parser for a source: what its page says, else its profile's, else the one of its time."""
+    chosen = F.when(profile.eqNullSafe(F.lit("old_isucalcfs")) | url.contains("/2013/"), "old_isucalcfs").otherwise("fs_manager")
+    if text is None:
+        return chosen
+    t = F.lower(text)
+    return F.when(t.contains("isucalcfs"), "old_isucalcfs").when(t.contains("fs manager") | t.contains("judgesdetailsperskater"), "fs_manager").otherwise(chosen)
 
 
 def content_hash(body: Column) -> Column:
     return F.sha2(body, 256)
 
 
+def _quoted(c: Column) -> Column:
+    """Percent encoding of all but letters, digits and ``_.-~``."""
+    return F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def archive_path(url: Column) -> Column:
-    """Where a document is archived: host and path, an index page for folders, and the query encoded into the name."""
-    p = F.coalesce(url_path(url), F.lit("/"))
-    p = F.when(p.endswith("/") | (p == ""), F.concat(p, F.lit("index.html"))).otherwise(p)
-    query = F.try_parse_url(url, F.lit("QUERY"))
-    return F.concat(url_host(url), F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)), F.when(F.coalesce(query, F.lit("")) != "", F.concat(F.lit("__"), F.url_encode(query))).otherwise(F.lit("")))
+    """Where a document is archived: host and path, an index page for folders and names without a dot, and the query in the name."""
+    host = F.coalesce(blank_to_null(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("_no_host"))
+    raw = raw_path(url)
+    path = F.coalesce(blank_to_null(F.btrim(raw, F.lit("/"))), F.lit("index"))
+    folder = raw.endswith("/") | ~F.regexp_extract(path, r"([^/]*)\z", 1).contains(".")
+    path = F.when(folder, F.concat(F.rtrim(path, F.lit("/")), F.lit("/index.html"))).otherwise(path)
+    read = lambda x: F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
+    pairs = F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda x: x != "")
+    names = F.transform(pairs, lambda x: F.concat(_quoted(read(F.get(F.split(x, "=", 2), F.lit(0)))), F.lit("-"), _quoted(read(F.coalesce(F.get(F.split(x, "=", 2), F.lit(1)), F.lit(""))))))
+    return F.concat(host, F.lit("/"), path, F.when(F.size(pairs) > 0, F.concat(F.lit("__query_"), F.array_join(names, "_"))).otherwise(F.lit("")))
 
 
 def base_element(code: Column) -> Column:
@@ -171,10 +219,13 @@ def base_element(code: Column) -> Column:
 
 
 def element_markers(code: Column, info: Column) -> Column:
-    """Markers in the code and then in the info column, in order and once each."""
-    inside = F.flatten(F.transform(F.split(F.coalesce(code, F.lit("")), r"\+"), lambda x: F.regexp_extract_all(x, F.lit(r"(<<|<|!|\*|(?<=[0-9A-Za-z<!])[qeb](?=[<!*]*\z))"), F.lit(1))))
+    """Markers in the code, part by part of a combination, and then in the info column, once each."""
+    held = lambda x: F.array(
+        F.when(x.contains("!"), "!"), F.when(x.contains("<<"), "<<").when(x.contains("<"), "<"), F.when(x.endswith("q"), "q"), F.when(x.endswith("e"), "e"), F.when(x.endswith("b"), "b"), F.when(x.contains("*"), "*")
+    )
+    inside = F.flatten(F.transform(F.split(F.coalesce(code, F.lit("")), r"\+"), held))
     beside = F.filter(F.split(F.coalesce(info, F.lit("")), r"[\s|]+"), lambda x: x.isin(*MARKERS))
-    return F.array_distinct(F.concat(inside, beside))
+    return F.array_distinct(F.array_compact(F.concat(inside, beside)))
 
 
 def choose_by(rules: list[tuple[Column, str]], default: str | None = None) -> Column:
@@ -186,8 +237,8 @@ def choose_by(rules: list[tuple[Column, str]], default: str | None = None) -> Co
 
 
 def catalog_kind(name: Column) -> Column:
-    n = F.lower(name)
-    return choose_by([(n.contains("adult"), "adult"), (n.contains("challenger"), "challenger"), (n.contains("international") | n.contains("championships"), "international")], "event")
+    """The kind of a catalog's event by words in its name."""
+    return choose_by([(name.contains("Adult Competition"), "isu_adult_catalog"), (name.contains("International") | name.contains("Challenger Series"), "isu_international_catalog")], "isu_official_catalog")
 
 
 def append_note(old: Column, new: Column) -> Column:

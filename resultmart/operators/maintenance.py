@@ -1,6 +1,6 @@
 """Changes of tables as new tables: upserts, cascades, rule chains, run records and issues.
 
-Nothing is changed in place. ``write_version`` writes the new table beside the old one and moves a pointer.
+Nothing is changed in place: each function gives the new table, to be written beside the old one.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resultmart.functions.arrays import merge_map
@@ -33,10 +33,12 @@ def guard(*protected: str) -> Callable[[Column, Column], Column]:
 def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], policy: dict[str, str | Callable[[Column, Column], Column]], order: Sequence[str] = (), null_safe_keys: bool = True) -> DataFrame:
     """Insert rows with new keys and change the others column by column.
 
-    Of updates with the same key the last in ``order`` counts. Columns without a policy are overwritten. Null keys are
+    Of updates with the same key the last in ``order`` counts, or by all their other columns without one. Columns without a policy are overwritten. Null keys are
     equal unless ``null_safe_keys`` is false. The result has the columns of ``base``.
     """
-    last = latest_per_key(updates, list(keys), list(order)) if order else updates.dropDuplicates(list(keys))
+    # without an order, the last one by all other columns counts, so that a retry chooses the same
+    rest = list(order) or [c for c, kind in updates.dtypes if c not in keys and not kind.startswith("map")]
+    last = latest_per_key(updates, list(keys), rest) if rest else updates.dropDuplicates(list(keys))
     old = base.select([F.col(c).alias(f"_o_{c}") for c in base.columns]).withColumn("_old", F.lit(True))
     new = last.select([F.col(c).alias(f"_n_{c}") for c in base.columns]).withColumn("_new", F.lit(True))
     match = F.lit(True)
@@ -56,11 +58,13 @@ def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], policy: dic
 
 
 def insert_ignore(base: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add rows whose keys aren't there yet; null keys are never equal."""
-    return base.unionByName(unmatched(rows.dropDuplicates(list(keys)), base, keys).select(base.columns))
+    """Add rows whose keys aren't there yet, of several with one key the first by their other columns; null keys are never equal."""
+    rest = [c for c, kind in rows.dtypes if c not in keys and not kind.startswith("map")]
+    first = first_per_key(rows, list(keys), rest) if rest else rows.dropDuplicates(list(keys))
+    return base.unionByName(unmatched(first, base, keys).select(base.columns))
 
 
-#: For each table the columns by which its rows hang on another one, parents first.
+#: For each table the columns by which its rows hang on another one, parents first.
 REFERENCES: dict[str, dict[str, str]] = {
     "source_documents": {"import_run_id": "import_runs"},
     "parse_issues": {"import_run_id": "import_runs", "source_document_id": "source_documents"},
@@ -175,13 +179,8 @@ def register_missing_aliases(appearances: DataFrame, clubs: DataFrame, aliases:
     return insert_ignore(clubs, named, ["club_id"]), insert_ignore(aliases, mapped, ["alias_normalized"])
 
 
-def write_version(df: DataFrame, root: str, version: int) -> str:
-    """Write a table to a new folder and then name it in the pointer, which readers follow."""
-    path = f"{root}/v{version:06d}"
-    df.write.parquet(path)
-    df.sparkSession.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
-    return path
-
-
-def read_current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(spark.read.schema("path string").json(f"{root}/current").first()[0])
+def seeded_aliases(seed: DataFrame, clubs: DataFrame) -> DataFrame:
+    """Aliases from seed rows (canonical_name, alias_name, confidence): of the spellings of one alias the first by the text of its confidence, then by canonical name and spelling."""
+    rows = seed.withColumn("alias_normalized", normalize_alias(F.col("alias_name")))
+    first = first_per_key(rows, ["alias_normalized"], ["confidence", "canonical_name", "alias_name"])
+    return first.join(clubs.select("club_id", "canonical_name"), "canonical_name").select("alias_name", "alias_normalized", "club_id", F.lit("manual_seed").alias("source"), "confidence")

@@ -75,7 +75,7 @@ def _appearances(t: Tables) -> DataFrame:
 
 
 def club_primary_without_club(t: Tables, limit: int = 200) -> DataFrame:
-    """Q6: rows that should have a club, with what a reviewer should look at."""
+    """Q6: rows that should have a club, with what a reviewer should look at. The two texts of the review."""
     found = _appearances(t).where((F.col("representation_primary") == "club") & (F.coalesce("club_name", F.lit("")) == ""))
     status = choose_by([(F.coalesce("representation_value", F.lit("")) != "", "review: empty club but representation_value is filled")], "review: empty club, possible individual/unknown/empty source value")
     return top(found.select("event_run_id", "profile_key", "category_name", "appearance_type", "raw_name", "nation_code", "representation_value", status.alias("validation_status"), "id"), [F.asc("event_run_id"), F.asc("category_name"), F.asc("raw_name")], limit, ["id"])
@@ -114,10 +114,12 @@ def profile_settings(t: Tables) -> DataFrame:
 
 def missing_results(t: Tables) -> DataFrame:
     """Q11: segments of latest runs without a score sheet, by whether anybody entered."""
-    sheets = t["pdf_score_summaries"].select("segment_id").distinct()
+    sheets = t["pdf_score_summaries"].groupBy("segment_id").agg(F.count("*").alias("pdf_summary_count"))
     entries = t["source_skater_appearances"].groupBy("category_id").agg(F.count_if(F.col("appearance_type") == "entry").alias("entry_count"))
-    out = _segments(t).join(_latest(t), "import_run_id").join(sheets, "segment_id", "left_anti").join(entries, "category_id", "left").fillna(0, ["entry_count"])
-    return out.select("import_run_id", "root_url", "category_name", "segment_name", "entry_count", choose_by([(F.col("entry_count") == 0, "empty_category")], "missing_results_with_entries").alias("classification"))
+    urls = t["segments"].select(F.col("id").alias("segment_id"), "judges_scores_pdf_url")
+    out = _segments(t).join(_latest(t), "import_run_id").join(urls, "segment_id").join(sheets, "segment_id", "left").join(entries, "category_id", "left").fillna(0, ["entry_count", "pdf_summary_count"])
+    state = choose_by([(F.col("entry_count") == 0, "empty_category")], "missing_results_with_entries").alias("classification")
+    return out.where("pdf_summary_count = 0").select("import_run_id", "root_url", "category_name", "segment_name", "entry_count", "pdf_summary_count", state, "judges_scores_pdf_url")
 
 
 def bad_names(t: Tables) -> DataFrame:
@@ -155,11 +157,14 @@ def mart_counts(t: Tables) -> DataFrame:
     return labelled_counts(**{n: f(t) for n, f in mart.VIEWS.items() if n.startswith(("dim_", "fact_")) or n in ("v_skater_personal_bests", "v_skater_source_evidence")})
 
 
-def status_counts(t: Tables) -> DataFrame:
-    """Q17: states of archived files and of the discovery catalog."""
-    a = t["source_archive_files"].groupBy(F.col("archive_status").alias("status")).agg(F.count("*").alias("rows")).withColumn("label", F.lit("archive"))
-    c = t["event_discovery_catalog"].groupBy(F.col("discovery_status").alias("status")).agg(F.count("*").alias("rows")).withColumn("label", F.lit("catalog"))
-    return a.unionByName(c)
+def archive_counts(t: Tables) -> DataFrame:
+    """Q17: archived files by state and kind."""
+    return t["source_archive_files"].groupBy("archive_status", "document_type").agg(F.count("*").alias("source_documents"))
+
+
+def catalog_counts(t: Tables) -> DataFrame:
+    """Q17: events of the discovery catalog by source, state and country."""
+    return t["event_discovery_catalog"].groupBy("source_name", "discovery_status", "country_code").agg(F.count("*").alias("events"))
 
 
 def evidence_coverage(t: Tables) -> DataFrame:
@@ -167,9 +172,15 @@ def evidence_coverage(t: Tables) -> DataFrame:
     return mart.v_skater_source_evidence(t).agg(F.count("*").alias("rows"), F.count("source_document_key").alias("with_document"), F.count("archive_path").alias("with_archive"))
 
 
-def residue(t: Tables, suffixes: Sequence[str] = (" VARNA".strip(), "ELIT")) -> DataFrame:
-    """Q17: names that still end in a club."""
-    return V.v_skater_appearances_clean(t).agg(F.count_if(has_suffix(F.col("skater_name"), list(suffixes))).alias("names_with_club"), F.count_if(not_iso3(F.col("nation_code"))).alias("non_iso_nations"))
+#: Clubs that stand at the end of a name where a page ran both together.
+CLUB_SUFFIXES = ("VARNA", "ELIT", "LEDENI ISKRI", "ICE PEAK", "DANCE ON ICE DS")
+
+
+def residue(t: Tables, suffixes: Sequence[str] = CLUB_SUFFIXES) -> DataFrame:
+    """Q17: segment scores whose name ends in a club, whose nation is no code, or whose club is a code without a nation."""
+    nation, club = F.col("nation_code"), F.col("club_name")
+    counts = {"likely_club_suffix_names": has_suffix(F.col("skater_name"), list(suffixes)), "non_iso_nation_codes": not_iso3(nation), "iso_code_as_club_no_nation": ~not_iso3(club) & nation.isNull()}
+    return V.v_skater_segment_scores(t).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
 
 
 def run_report(t: Tables, run_id: int) -> dict[str, DataFrame]:

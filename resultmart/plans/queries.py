@@ -384,8 +384,12 @@ def page_preflight(spark, d):
 
 
 @query("""
-WITH u AS (SELECT page_id, html, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages)
-SELECT page_id, sha256(html) AS sha256, host || CASE WHEN path = '' THEN '/index.html' WHEN path LIKE '%/' THEN path || 'index.html' ELSE path END || CASE WHEN q <> '' THEN '__' || replace(replace(q, '=', '%3D'), '&', '%26') ELSE '' END AS archive_path, CASE WHEN length(html) > 0 THEN 'written' ELSE 'skipped' END AS status FROM u
+WITH u AS (SELECT page_id, html, coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ''), '_no_host') AS host, regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), ';[^/]*$', '') AS raw,
+  list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '') AS q FROM pages),
+v AS (SELECT *, coalesce(nullif(trim(raw, '/'), ''), 'index') AS path FROM u),
+w AS (SELECT *, CASE WHEN raw LIKE '%/' OR NOT contains(regexp_extract(path, '[^/]*$'), '.') THEN rtrim(path, '/') || '/index.html' ELSE path END AS file FROM v)
+SELECT page_id, sha256(html) AS sha256, host || '/' || file || CASE WHEN len(q) > 0 THEN '__query_' || array_to_string(list_transform(q, lambda x: url_encode(url_decode(replace(split_part(x, '=', 1), '+', ' '))) || '-' || url_encode(url_decode(replace(CASE WHEN contains(x, '=') THEN substr(x, strpos(x, '=') + 1) ELSE '' END, '+', ' ')))), '_') ELSE '' END AS archive_path,
+  CASE WHEN length(html) > 0 THEN 'written' ELSE 'skipped' END AS status FROM w
 """.replace("\\\\", "\\"))
 def doc_manifest(spark, d):
     p = table(spark, d, "pages")
@@ -449,7 +453,7 @@ def filtered_aggregates(spark, d):
 
 
 @query("""
-SELECT url, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, CASE WHEN lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) LIKE '%.pdf' THEN 'pdf' ELSE 'html' END AS document_type, page_id FROM pages
+SELECT url, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, CASE WHEN lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) LIKE '%.pdf' THEN 'judges_scores_pdf' ELSE 'html' END AS document_type, page_id FROM pages
 """)
 def url_context(spark, d):
     u = F.col("url")

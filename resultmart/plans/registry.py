@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resultmart.functions.arrays import merge_map
-from resultmart.functions.text import ISO3, archive_path, blank_to_null, catalog_kind, choose_by, content_hash, document_type, keep_imported, normalize_name, split_sheet_title
+from resultmart.functions.text import ISO3, archive_path, blank_to_null, catalog_kind, choose_by, content_hash, document_type, keep_imported, normalize_name, raw_path, split_sheet_title, url_host
 from resultmart.operators.joins import longest_prefix_join
 from resultmart.operators.latest import latest_per_key
-from resultmart.operators.maintenance import Rule, apply_rules, guard, issue_rows, upsert
+from resultmart.operators.maintenance import Rule, apply_rules, close_run, guard, issue_rows, upsert
 from resultmart.plans import pages, sheets
 from resultmart.sources.schemas import TABLES
-from resultmart.sources.tables import written
+from resultmart.sources.tables import write_layer, written
+
 
 def _blank() -> Column:
     return F.lit(None).cast("string")
@@ -128,15 +129,21 @@ def load_catalog(catalog: DataFrame, rows: DataFrame, protect: Sequence[str] = (
 
 
 def archive_manifest(documents: DataFrame, runs: DataFrame, latest_only: bool = True) -> DataFrame:
-    """R4: every document with its path, hash and whether it can be written; PDFs without a body are skipped."""
+    """R4: every document with its path, hash and whether it can be written; PDFs without a body are skipped.
+
+    ``documents`` has id, import_run_id, url and body; parser_profile, content_hash, parse_status and fetched_at are
+    passed on where it has them.
+    """
     runs = latest_per_key(runs, ["root_url"], ["id"], F.col("status") == "completed") if latest_only else runs
     docs = documents.join(runs.select(F.col("id").alias("import_run_id"), "root_url"), "import_run_id")
     has = F.coalesce(F.length("body"), F.lit(0)) > 0
-    reason = F.when(~has & (document_type(F.col("url")) == "pdf"), "pdf without a body").when(~has, "no text")
-    return docs.select(
-        F.col("id").alias("source_document_id"), "import_run_id", "root_url", "url", document_type(F.col("url")).alias("document_type"), F.when(has, archive_path(F.col("url"))).alias("archive_path"), F.when(has, content_hash(F.col("body"))).alias("archive_sha256"),
-        F.when(has, "written").otherwise("skipped").alias("archive_status"), reason.alias("archive_reason"),
+    kind = document_type(F.col("url"))
+    reason = F.when(~has & (kind == "judges_scores_pdf"), "pdf without a body").when(~has, "no text")
+    out = docs.select(
+        F.col("id").alias("source_document_id"), "import_run_id", "root_url", "url", kind.alias("document_type"), F.when(has, archive_path(F.col("url"))).alias("archive_path"), F.when(has, content_hash(F.col("body"))).alias("archive_sha256"),
+        F.when(has, "written").otherwise("skipped").alias("archive_status"), reason.alias("archive_reason"), *[c for c in ("parser_profile", "content_hash", "parse_status", "fetched_at") if c in docs.columns],
     )
+    return shaped(out, "source_archive_files")
 
 
 def load_manifest(base: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -146,11 +153,9 @@ def load_manifest(base: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def attach_profiles(documents: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Give every document the profile with the longest prefix of its path."""
-    from resultmart.functions.text import url_host, url_path
-
-    rows = documents.withColumns({"host": url_host(F.col("url")), "path": F.coalesce(url_path(F.col("url")), F.lit("/"))})
-    return longest_prefix_join(rows, profiles, ["url"], "host", "path", "path_prefix")
+    """Give every document the profile of its host with the longest prefix of its path; prefixes have no outer slashes."""
+    rows = documents.withColumns({"host": url_host(F.col("url")), "path": F.btrim(raw_path(F.col("url")), F.lit("/"))})
+    return longest_prefix_join(rows, profiles.withColumn("path_prefix", F.btrim(F.coalesce("path_prefix", F.lit("")), F.lit("/"))), ["url"], "host", "path", "path_prefix")
 
 
 def key_of(*columns: str | Column) -> Column:
@@ -188,12 +193,23 @@ def attach_segments(rows: DataFrame, segments: DataFrame) -> DataFrame:
     return out.withColumns(held).drop("_url", "_named", "_folder", "_category", "_segment")
 
 
-def import_batch(documents: DataFrame, run_id: int) -> dict[str, DataFrame]:
-    """E20, R6: all documents (url, link_text, body) of one run as rows of the target tables, in one pass over the pages.
+def folder_profiles(documents: DataFrame, profiles: DataFrame | None) -> DataFrame:
+    """(folder, source_profile_id, representation_primary, nation_column) of the events among the documents (with page_type and folder)."""
+    index = documents.where("page_type = 'index'").select("url", "folder")
+    if profiles is None:
+        return index.select("folder", F.lit(None).cast("long").alias("source_profile_id"), F.lit("nation").alias("representation_primary"), F.lit("country").alias("nation_column")).distinct()
+    held = profiles.select("host", "path_prefix", F.col("id").alias("source_profile_id"), "representation_primary", F.col("settings.representation.nation_column").alias("nation_column"))
+    found = attach_profiles(index, held).groupBy("folder").agg(F.min_by(F.struct("source_profile_id", "representation_primary", "nation_column"), "url").alias("p"))
+    return found.select("folder", "p.source_profile_id", F.coalesce("p.representation_primary", F.lit("nation")).alias("representation_primary"), F.coalesce("p.nation_column", F.lit("country")).alias("nation_column"))
+
+
+def import_batch(documents: DataFrame, run_id: int, profiles: DataFrame | None = None) -> dict[str, DataFrame]:
+    """E20: all documents (url, link_text, body) of one run as rows of the target tables, in one pass over the pages.
 
     Pages of every event are read together; what a page lacks becomes an issue and stops nothing else. Events are the
     index pages, and pages belong to the index in their folder. Ids are hashes of natural keys; segments are known by
-    their place in their category, and pages find theirs by the links of the index.
+    their place in their category, and pages find theirs by the links of the index. What skaters stand for follows from
+    the profile of their event; without ``profiles`` it is the nation.
     """
     docs = pages.route(documents).withColumn("folder", F.regexp_replace("url", r"[^/]*\z", ""))
     html = docs.where("page_type <> 'score_sheet'")
@@ -204,6 +220,8 @@ def import_batch(documents: DataFrame, run_id: int) -> dict[str, DataFrame]:
     doc = key_of(run, F.col("doc_id")).alias("source_document_id")
 
     events = pages.event_rows(of("index")).join(folders, "doc_id").select(key_of(run, "folder").alias("id"), run.alias("import_run_id"), F.col("doc_id").alias("source_url"), "name", "location", "venue", "date_range", "folder")
+    settings = written(folder_profiles(docs, profiles), "folder-profiles")
+    events = events.join(settings.select("folder", "source_profile_id"), "folder", "left")
     rows = {
         "entry": pages.entry_rows(of("entries")), "category_result": pages.category_result_rows(of("category_result")), "segment_result": pages.segment_result_rows(of("segment_result")),
     }
@@ -218,9 +236,10 @@ def import_batch(documents: DataFrame, run_id: int) -> dict[str, DataFrame]:
     for kind, df in rows.items():
         part = df.select(
             appearance(kind).alias("id"), run.alias("import_run_id"), event.alias("event_id"), category.alias("category_id"), "segment_id", doc, F.lit(kind).alias("appearance_type"),
-            F.col("row_no").alias("source_row_order"), F.col("name").alias("raw_name"), normalize_name(F.col("name")).alias("normalized_name"), F.col("nation").alias("nation_code"), F.col("club").alias("club_name"), "source_skater_id",
+            F.col("row_no").alias("source_row_order"), F.col("name").alias("raw_name"), normalize_name(F.col("name")).alias("normalized_name"), F.col("nation").alias("nation_code"), F.col("club").alias("club_name"), "source_skater_id", "folder",
         )
         appearances = part if appearances is None else appearances.unionByName(part)
+    appearances = normalize_representation(appearances.join(settings, "folder", "left").fillna({"representation_primary": "nation", "nation_column": "country"}))
     officials = attach_segments(pages.official_rows(of("officials")).join(folders, "doc_id"), segments)
     unlinked = rows["segment_result"].select("doc_id", "segment_id").unionByName(officials.select("doc_id", "segment_id")).where("segment_id IS NULL").select("doc_id").distinct()
     empty = of("category_result").select("doc_id").distinct().join(rows["category_result"].select("doc_id"), "doc_id", "left_anti")
@@ -228,9 +247,9 @@ def import_batch(documents: DataFrame, run_id: int) -> dict[str, DataFrame]:
         "source_documents": docs.select(key_of(run, "url").alias("id"), run.alias("import_run_id"), "url", document_type(F.col("url")).alias("document_type"), content_hash(F.col("body")).alias("content_hash")),
         "events": events.drop("folder"),
         "categories": categories,
-        "segments": segments.select(F.col("segment_id").alias("id"), category.alias("category_id"), F.col("segment").alias("name"), "source_order"),
+        "segments": segments.select(F.col("segment_id").alias("id"), category.alias("category_id"), F.col("segment").alias("name"), "source_order", F.col("judges_scores.url").alias("judges_scores_pdf_url")),
         "schedule_items": pages.schedule_rows(of("index")).join(folders, "doc_id").select(key_of(run, "doc_id", "row_no").alias("id"), event.alias("event_id"), F.col("date").alias("scheduled_date"), F.col("time").alias("scheduled_time"), F.col("category").alias("category_name"), F.col("segment").alias("segment_name")),
-        "source_skater_appearances": appearances,
+        "source_skater_appearances": shaped(appearances.withColumn("raw", F.map_filter(F.create_map(F.lit("representation"), F.col("representation_note")), lambda _, v: v.isNotNull())), "source_skater_appearances"),
         "category_results": rows["category_result"].select(key_of(run, "doc_id", "row_no").alias("id"), category.alias("category_id"), appearance("category_result").alias("skater_appearance_id"), "final_place", "points", "segment_places", F.col("row_no").alias("source_order")),
         "segment_results": rows["segment_result"].select(key_of(run, "doc_id", "row_no", "segment_id").alias("id"), "segment_id", appearance("segment_result").alias("skater_appearance_id"), "place", "tss", "tes", "pcs", "deduction", "starting_number", "components", F.col("row_no").alias("source_order")),
         "official_assignments": officials.select(key_of(run, "doc_id", "function", "name", "segment_id").alias("id"), "segment_id", doc, F.col("function").alias("function_text"), "role_group", "judge_number", "name", F.col("nation").alias("nation_code"), F.col("row_no").alias("source_order")),
@@ -238,6 +257,25 @@ def import_batch(documents: DataFrame, run_id: int) -> dict[str, DataFrame]:
     }
 
 
+def load_run(runs: DataFrame, run_id: int, root: str, documents: DataFrame, profiles: DataFrame | None = None, sheet_text: DataFrame | None = None) -> DataFrame:
+    """R6: import pages and sheets of a started run, write their tables under ``root`` in the shapes of the schemas, and give back the runs with this one closed.
+
+    Its record holds the rows of every table; a run that fails holds the error instead, and other runs stay as they are.
+    """
+    try:
+        tables = import_batch(documents, run_id, profiles)
+        if sheet_text is not None:
+            for name, df in import_sheets(sheet_text, run_id, documents, profiles=profiles).items():
+                tables[name] = tables[name].unionByName(df, allowMissingColumns=True) if name in tables else df
+        tables = {name: shaped(df, name) for name, df in tables.items() if name in TABLES}
+        write_layer(tables, root)
+        read = documents.sparkSession.read
+        stats = {name: read.schema(TABLES[name]).parquet(f"{root}/{name}").count() for name in tables}
+    except Exception as error:  # a page's fault is an issue; what comes here stops this run alone
+        return close_run(runs, run_id, "failed", error=f"{type(error).__name__}: {error}"[:2000])
+    return close_run(runs, run_id, "completed", stats)
+
+
 def sheet_links(documents: DataFrame, run_id: int) -> DataFrame:
     """The sheets that index pages among the documents link as judges' scores: doc_id, link_text, and the event, category and segment they belong to."""
     run = F.lit(run_id).cast("long")
@@ -253,7 +291,7 @@ def shaped(df: DataFrame, table: str) -> DataFrame:
     return df.select([(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in empty.dtypes])
 
 
-def import_sheets(sheet_text: DataFrame, run_id: int, documents: DataFrame | None = None, test_cells: DataFrame | None = None) -> dict[str, DataFrame]:
+def import_sheets(sheet_text: DataFrame, run_id: int, documents: DataFrame | None = None, test_cells: DataFrame | None = None, profiles: DataFrame | None = None) -> dict[str, DataFrame]:
     """Score sheets (doc_id: their URL, text) as appearances, summaries, elements, components and marks with hashed keys.
 
     ``documents`` are those of ``import_batch``: their index pages link sheets to segments, and a sheet that several
@@ -300,8 +338,11 @@ def import_sheets(sheet_text: DataFrame, run_id: int, documents: DataFrame | Non
     components = owned(sheets.component_rows(sections)).withColumn("id", key_of(run, "doc_id", "skater_no", "component_name", "pdf_score_summary_id"))
     marks = lambda df, name: df.select(F.col("id").alias(name), F.posexplode("judge_scores").alias("n", "score")).select(key_of(name, "n").alias("id"), name, (F.col("n") + 1).alias("judge_number"), "score")
     lost = elements.select("doc_id", "pdf_score_summary_id").unionByName(components.select("doc_id", "pdf_score_summary_id")).where("pdf_score_summary_id IS NULL").select(F.lit("score_without_skater").alias("code"), F.col("doc_id").alias("url")).distinct()
-    who = summaries.select(
-        F.col("skater_appearance_id").alias("id"), run.alias("import_run_id"), "event_id", "category_id", "segment_id", doc, F.lit("pdf_score").alias("appearance_type"), F.col("skater_no").alias("source_row_order"),
+    docs = documents if documents is not None else spark.createDataFrame([], "url string, body string")
+    routed = pages.route(docs).withColumn("folder", F.regexp_replace("url", r"[^/]*\z", ""))
+    settings = folder_profiles(routed, profiles).select(key_of(run, "folder").alias("event_id"), "representation_primary", "nation_column")
+    who = summaries.join(settings, "event_id", "left").fillna({"representation_primary": "nation", "nation_column": "country"}).select(
+        "representation_primary", "nation_column", F.lit(None).cast("string").alias("club_name"), F.col("skater_appearance_id").alias("id"), run.alias("import_run_id"), "event_id", "category_id", "segment_id", doc, F.lit("pdf_score").alias("appearance_type"), F.col("skater_no").alias("source_row_order"),
         F.col("name").alias("raw_name"), normalize_name(F.col("name")).alias("normalized_name"), F.col("nation").alias("nation_code"),
     )
     title = split_sheet_title(F.col("after"))
@@ -309,7 +350,7 @@ def import_sheets(sheet_text: DataFrame, run_id: int, documents: DataFrame | Non
     tests = sheets.test_rows(test_cells if test_cells is not None else spark.createDataFrame([], "doc_id string, row_no int, cells array<string>"))
     tests = parents(tests)
     return {
-        "source_skater_appearances": shaped(who, "source_skater_appearances"),
+        "source_skater_appearances": shaped(normalize_representation(who), "source_skater_appearances"),
         "pdf_score_summaries": shaped(summaries.withColumn("source_document_id", doc), "pdf_score_summaries"),
         "pdf_elements": shaped(elements, "pdf_elements"),
         "pdf_element_judge_scores": shaped(marks(elements, "pdf_element_id"), "pdf_element_judge_scores"),

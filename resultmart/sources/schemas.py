@@ -13,7 +13,7 @@ TABLES: dict[str, str] = {
     "parse_issues": "import_run_id long, source_document_id long, level string, code string, message string, context map<string,string>",
     "events": f"id long, import_run_id long, source_profile_id long, source_url string, name string, location string, venue string, date_range string, event_protocol_url string, {RAW}",
     "categories": f"id long, event_id long, name string, source_order int, {RAW}",
-    "segments": f"id long, category_id long, name string, source_order int, {RAW}",
+    "segments": f"id long, category_id long, name string, source_order int, judges_scores_pdf_url string, {RAW}",
     "schedule_items": f"id long, event_id long, scheduled_date string, scheduled_time string, category_name string, segment_name string, {RAW}",
     "source_skater_appearances": f"id long, import_run_id long, event_id long, category_id long, segment_id long, source_document_id long, appearance_type string, source_row_order int, raw_name string, normalized_name string, nation_code string, club_name string, representation_type string, representation_value string, bio_url string, source_skater_id string, {RAW}",
     "category_results": f"id long, category_id long, skater_appearance_id long, final_place int, points {SCORE}, segment_places map<string,int>, source_order int, {RAW}",
@@ -26,7 +26,7 @@ TABLES: dict[str, str] = {
     "pdf_component_judge_scores": f"id long, pdf_program_component_id long, judge_number int, official_assignment_id long, score {SCORE}",
     "clubs": "club_id string, canonical_name string, country_code string, status string, confidence string",
     "club_aliases": "alias_name string, alias_normalized string, club_id string, source string, confidence string",
-    "source_archive_files": "source_document_id long, import_run_id long, archive_path string, archive_sha256 string, archive_status string, archive_reason string",
+    "source_archive_files": "source_document_id long, import_run_id long, root_url string, url string, document_type string, parser_profile string, content_hash string, archive_path string, archive_sha256 string, archive_status string, archive_reason string, parse_status string, fetched_at timestamp",
     "source_url_registry": "url string, family string, status string, validation_status string, notes string, summary map<string,string>",
     "event_discovery_catalog": "source_name string, event_name string, date_range string, city string, country_code string, season string, kind string, detail_url string, result_url string, discovery_status string, metadata map<string,string>",
     "validation_legend": "legend_group string, code string, label string, description string",

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from resultmart.sources.schemas import TABLES
 
-#: Columns of the manifest in CSV.
-MANIFEST = ("source_document_id", "import_run_id", "root_url", "url", "document_type", "parser_profile", "content_hash", "archive_path", "archive_sha256", "archive_status", "archive_reason", "event_name", "fetched_at")
+#: Columns of the manifest in CSV.
+MANIFEST = ("source_document_id", "import_run_id", "root_url", "url", "document_type", "parser_profile", "content_hash", "archive_path", "archive_sha256", "archive_status", "archive_reason", "parse_status", "fetched_at")
 
 
 def load_layer(spark: SparkSession, root: str, names: list[str] | None = None, views: bool = True) -> dict[str, DataFrame]:
@@ -36,13 +36,15 @@ def write_layer(tables: dict[str, DataFrame], root: str) -> None:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the folder that all executors share (``spark.checkpoint.dir``) and read it back.
 
-    Where that setting is absent, a local master takes a temporary folder and any other master the warehouse.
+    Where that setting is absent, a local master takes a temporary folder; on any other master that is an error.
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        base = tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        master = spark.sparkContext.master
+        if not (master.startswith("local[") or master == "local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)

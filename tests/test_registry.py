@@ -1,5 +1,7 @@
 """Rules, upserts, registry and load."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from resultmart.functions import arrays as A
@@ -8,7 +10,7 @@ from resultmart.operators import maintenance as M
 from resultmart.operators.windows import dense_key
 from resultmart.plans import registry as R
 from resultmart.sources.schemas import TABLES
-from resultmart.sources.tables import json_report, read_manifest_csv, read_profiles, read_url_list, write_manifest
+from resultmart.sources.tables import json_report, load_layer, read_manifest_csv, read_profiles, read_url_list, write_manifest
 from tests.test_pages import PAGES, U
 
 
@@ -24,8 +26,8 @@ def test_text_semantics(spark):
     assert values(spark, T.to_int(x), ["#4 ", "x", "1.5", "", None]) == [4, None, None, None, None]
     assert values(spark, T.nation_code(x), ["BUL", "Name GER", "bul", "ABCD"]) == ["BUL", "GER", None, None]
     assert values(spark, T.has_header_sequence(x, ["Club", "Nation"]), ["<th>Club</th>\n<th>Nation", "Nation Club"]) == [True, False]
-    assert values(spark, T.split_sheet_title(x)["segment"], ["NOVICE BOYS SHORT PROGRAM", "A  B", "A"]) == ["SHORT PROGRAM", "B", None]
-    assert values(spark, T.archive_path(x), ["http://A.test/x/", "http://a.test/p?a=1&b"]) == ["a.test/x/index.html", "a.test/p__a%3D1%26b"]
+    assert values(spark, T.split_sheet_title(x)["segment"], ["NOVICE BOYS SHORT PROGRAM", "A  B", "A"]) == ["SHORT PROGRAM", "B", ""]
+    assert values(spark, T.archive_path(x), ["http://A.test/x/", "http://a.test/p?a=1&b"]) == ["A.test/x/index.html", "a.test/p/index.html__query_a-1_b-"]
     assert values(spark, T.season(x), ["2013-06-30", "2013-07-01"], "string") == ["2012/2013", "2013/2014"]
 
 
@@ -75,7 +77,7 @@ def test_rules(spark):
     assert (got["k"].representation_primary, got["k"].event_type) == ("club", "international") and (got["o"].nation_column, got["o"].store_nation) == ("club", False)
 
 
-def test_upserts(spark, tmp_path):
+def test_upserts(spark):
     base = spark.createDataFrame([("u1", "f", "imported", "passed", "a", {"k": "1"}), ("u2", None, "ready", "failed", None, {})], TABLES["source_url_registry"])
     new = spark.createDataFrame([("u1", None, "ready", "failed", "b", {"j": "2"}), ("u3", "f", "ready", "pending", None, {})], TABLES["source_url_registry"])
     out = {r.url: r for r in R.register(base, new).collect()}
@@ -83,13 +85,10 @@ def test_upserts(spark, tmp_path):
     runs = spark.createDataFrame([(1, "u2", "completed")], "id long, root_url string, status string")
     assert [r.url for r in R.ready_worklist(R.register(base, new), runs).collect()] == ["u3"]
     assert {r.url: r.validation_status for r in M.refresh_registry(base, runs).collect()}["u2"] == "passed"
-    M.write_version(base, f"{tmp_path}/t", 1)
-    M.write_version(R.register(base, new), f"{tmp_path}/t", 2)
-    assert M.read_current(spark, f"{tmp_path}/t").count() == 3
-    catalog = spark.createDataFrame([("s", "Adult Cup", None, "", None, None, None, "d1", None, "registered", {}), ("s", "B", "x", None, None, None, "k", "d2", None, "new", {}), ("s", "C", "x", None, None, None, "k", "d3", None, "new", {})], TABLES["event_discovery_catalog"])
-    rows = spark.createDataFrame([("s", "Adult Cup", "", None, "", "", None, "d1", "r", "new", {"a": "b"})], TABLES["event_discovery_catalog"])
+    catalog = spark.createDataFrame([("s", "Adult Competition", None, "", None, None, None, "d1", None, "registered", {}), ("s", "B", "x", None, None, None, "k", "d2", None, "new", {}), ("s", "C", "x", None, None, None, "k", "d3", None, "new", {})], TABLES["event_discovery_catalog"])
+    rows = spark.createDataFrame([("s", "Adult Competition", "", None, "", "", None, "d1", "r", "new", {"a": "b"})], TABLES["event_discovery_catalog"])
     got = {r.event_name: r for r in R.load_catalog(catalog, rows).collect()}
-    assert len(got) == 3 and got["Adult Cup"].discovery_status == "registered" and got["Adult Cup"].result_url == "r" and got["Adult Cup"].kind == "adult"
+    assert len(got) == 3 and got["Adult Competition"].discovery_status == "registered" and got["Adult Competition"].result_url == "r" and got["Adult Competition"].kind == "isu_adult_catalog"
     details = spark.createDataFrame([("d2", "http://r")], "detail_url string, result_url string")
     done = {r.event_name: r for r in R.resolve_catalog(catalog, details).collect()}
     assert (done["B"].result_url, done["B"].discovery_status, done["C"].discovery_status) == ("http://r", "candidate_result_url", "manual_review")
@@ -124,26 +123,68 @@ def test_sources(spark, tmp_path):
     assert '"n":2' in json_report(counts=manifest.agg(F.count("*").alias("n"))).first().report
 
 
+def ridge(spark, *more):
+    """The documents of one invented event."""
+    return spark.createDataFrame([(U + n, b.encode("windows-1252", "replace")) for n, b in PAGES.items() if n.startswith("ridge/")] + [(U + "ridge/" + n, b) for n, b in more], "url string, body binary")
+
+
+PROFILES = [("a", "scores.invalid", "open", "fs_manager", "nation", "country"), ("b", "scores.invalid", "open/ridge", "fs_manager", "club", "country"), ("c", "other.invalid", "open/ridge", "fs_manager", "nation", "country")]
+
+
+def profiles(spark):
+    settings = lambda primary, column: (None, None, (primary, column, None, True, True, None))
+    return spark.createDataFrame([(i, key, host, path, parser, None, primary, settings(primary, column)) for i, (key, host, path, parser, primary, column) in enumerate(PROFILES)], TABLES["source_profiles"])
+
+
 def test_import(spark):
-    docs = spark.createDataFrame([(U + "new/" + n.split("/")[-1], b.encode("windows-1252", "replace")) for n, b in PAGES.items() if n.startswith("new/")] + [(U + "new/CAT001RS.htm", b"<table></table>"), (U + "new/JD.pdf", b"%PDF")], "url string, body binary")
-    out = R.import_batch(docs, 5)
-    assert out["events"].count() == 1 and out["categories"].first()["name"] == "Men" and out["segments"].count() == 1
+    docs = ridge(spark, ("CAT010RS.htm", b"<table></table>"), ("d20.pdf", b"%PDF"))
+    out = R.import_batch(docs, 5, profiles(spark))
+    assert out["events"].count() == 1 and out["events"].first().source_profile_id == 1 and out["categories"].first()["name"] == "Pairs"
+    assert [r.judges_scores_pdf_url for r in out["segments"].collect()] == [U + "ridge/d20.pdf"]
     linked = out["source_skater_appearances"].join(out["events"].select(F.col("id").alias("event_id")), "event_id")
-    assert {(r.appearance_type, r.normalized_name, r.source_skater_id) for r in linked.collect()} == {("entry", "MAURIZIO Z", "isufs00009567"), ("segment_result", "ELINA G", "isufs00111111")}
-    assert out["segment_results"].join(out["source_skater_appearances"].select(F.col("id").alias("skater_appearance_id")), "skater_appearance_id").count() == 1
-    assert out["schedule_items"].first().scheduled_date == "08.11.2024" and out["source_documents"].count() == 5
+    assert {(r.appearance_type, r.normalized_name, r.source_skater_id, r.representation_type, r.representation_value) for r in linked.collect()} == {
+        ("entry", "UNA REED", "isufs00700700", "club", None), ("entry", "ODO FENN", "isufs00700701", "club", "Spur"), ("segment_result", "ODO FENN", "isufs00700701", "club", None), ("segment_result", "ZED MOOR", "isufs00700702", "club", None),
+    }
+    assert {r.representation_type for r in R.import_batch(docs, 5)["source_skater_appearances"].collect()} == {"nation"}
+    assert out["segment_results"].join(out["source_skater_appearances"].select(F.col("id").alias("skater_appearance_id")), "skater_appearance_id").count() == 2
+    assert out["schedule_items"].first().scheduled_date == "20.01.2033" and {r.document_type for r in out["source_documents"].collect()} == {"html", "judges_scores_pdf"}
     for df in out.values():
         df.collect()
     from tests.test_sheets import COMPACT, TABLE
 
     sheets = R.import_sheets(spark.createDataFrame([("c", COMPACT), ("t", TABLE)], "doc_id string, text string"), 5)
-    assert sheets["pdf_score_summaries"].count() == 5 and sheets["pdf_element_judge_scores"].count() == 28 and sheets["pdf_component_judge_scores"].count() == 10
-    profiles = spark.createDataFrame([("results.test", "/2013/", "a"), ("results.test", "/2013/cup/new", "b")], "host string, path_prefix string, profile_key string")
-    assert {r.profile_key for r in R.attach_profiles(docs, profiles).collect()} == {"b"}
+    assert sheets["pdf_score_summaries"].count() == 4 and sheets["pdf_element_judge_scores"].count() == 28 and sheets["pdf_component_judge_scores"].count() == 8
+    assert {r.profile_key for r in R.attach_profiles(docs, profiles(spark)).collect()} == {"b"}
     checked = spark.createDataFrame([("supported", 2), ("supported", 0), ("unknown", None)], "source_class string, n_categories int")
     assert [r.status for r in R.decide_status(checked).collect()] == ["ready", "analyzed", "skipped"]
 
 
+def test_sources_of_the_registry(spark):
+    x = F.col("x")
+    roles = values(spark, T.classify_role(x)["role_group"], [" Referee", "Judge  No.4", "Judges Panel", "Assistant Technical Specialist", "Replay Operator", "Referee of the day"])
+    assert roles == ["referee", "judge", "other", "technical_panel", "event_operations", "other"]
+    code, info = (lambda c, i: spark.createDataFrame([(c, i)], "c string, i string").select(T.element_markers(F.col("c"), F.col("i"))).first()[0]), None
+    assert [code("2A<!", info), code("3Tq<", info), code("2Lo<<e+1Eu*", "REP|x"), code(None, "V F")] == [["!", "<"], ["<"], ["<<", "e", "*", "REP", "x"], ["F"]]
+    assert values(spark, T.split_sheet_title(x)["category"], ["SOLO Pattern Dance 2 (Without Key Points)", "KIDS PATTERN DANCE", "A  B  C"]) == ["SOLO", "KIDS", "A"]
+    urls = ["http://h.invalid/a/B/index.htm", "http://h.invalid/a/x.pdf", "http://h.invalid/q/", "http://h.invalid/index.htm", "http://h.invalid/n?a=1"]
+    assert values(spark, T.path_prefix(x), urls) == ["a/B", "a", "q", "index.htm", "n"]
+    digest = hashlib.sha1(b"a/B").hexdigest()[:8]
+    assert values(spark, T.profile_key(x), urls[:1]) == [f"bsf_discovered_a_b_{digest}"]
+    assert values(spark, T.document_type(x), ["http://h/A.PDF?x", "http://h/a.htm", "http://h/a.png", "http://h/a", "http://h.com", "http://h/a.css?b=c.png"]) == ["judges_scores_pdf", "html", "image/png", "html", "html", "text/css"]
+    assert values(spark, T.archive_path(x), ["http://h:80/a/b.htm?k=v w&m=%41*~&e=", "no/host", "http://h", "http://h/a/b", "http://h/a/b.c/"]) == ["h:80/a/b.htm__query_k-v%20w_m-A%2A~_e-", "_no_host/no/host/index.html", "h/index/index.html", "h/a/b/index.html", "h/a/b.c/index.html"]
+    assert values(spark, T.catalog_kind(x), ["Adult Competition International", "Challenger Series Z", "adult competition"]) == ["isu_adult_catalog", "isu_international_catalog", "isu_official_catalog"]
+    assert values(spark, T.stream_of(x, F.lit("http://h/test-mf/1")), ["result_ISU", "result_DP", "other", None]) == ["ISU", "DP", "club_test", "club_test"]
+    assert values(spark, T.representation_of(x), ["result_NonISU", "result_DP", None]) == ["nation", "club", "club"]
+    assert values(spark, T.parser_of(F.lit("fs_manager"), F.lit("http://h/2013/"), x), ["made by ISUCalcFS", "JudgesDetailsPerSkater", "neither"]) == ["old_isucalcfs", "fs_manager", "old_isucalcfs"]
+    assert values(spark, A.first_json_string(x, "n"), [r'{"n":"a \u0026 b&lt;c"}', r'{\"n\":\"x\/y\"}', '{"m":"n"}', '{"n":""}']) == ["a & b<c", "x/y", None, ""]
+
+
+def test_aliases_by_confidence(spark):
+    clubs = spark.createDataFrame([("1", "North"), ("2", "South")], "club_id string, canonical_name string")
+    seed = spark.createDataFrame([("South", "N. Club", "medium"), ("North", "n.  club ", "high"), ("South", "Sud", "low"), ("Gone", "West", "high")], "canonical_name string, alias_name string, confidence string")
+    assert {(r.alias_normalized, r.club_id, r.confidence) for r in M.seeded_aliases(seed, clubs).collect()} == {("n. club", "1", "high"), ("sud", "2", "low")}
+
+
 def test_segments_with_one_name_stay_apart(spark):
     row = lambda n: f'<tr><td></td><td>Pattern Dance</td><td><a href="SEG00{n}OF.htm">Panel of Judges</a></td><td><a href="SEG00{n}.htm">Details</a></td></tr>'
     result = lambda name: f"<table><caption><h2>Cup</h2><h2>Dance - Pattern Dance</h2></caption><tr><th>Pl.</th><th>Name</th><th>TSS</th></tr><tr><td>1</td><td>{name}</td><td>9.00</td></tr></table>"
@@ -159,24 +200,40 @@ def test_segments_with_one_name_stay_apart(spark):
     assert [(r.code, r.context["url"][-10:]) for r in out["parse_issues"].collect()] == [("page_without_segment", "SEG003.htm")]
 
 
-def test_sheets_reach_the_views(spark):
+def test_a_run_reaches_views_and_facts(spark, tmp_path):
+    """Pages and sheets through the load and the written layer to the views and the mart."""
     from resultmart.plans import analytics as V
+    from resultmart.plans import mart
     from tests.test_sheets import TABLE
 
-    docs = spark.createDataFrame([(U + "new/" + n.split("/")[-1], b.encode("windows-1252", "replace")) for n, b in PAGES.items() if n.startswith("new/")] + [(U + "new/JD.pdf", b"%PDF")], "url string, body binary")
-    batch = R.import_batch(docs, 5)
-    text = spark.createDataFrame([(U + "new/JD.pdf", TABLE), (U + "new/test.pdf", "x")], "doc_id string, text string")
-    cells = spark.createDataFrame([(U + "new/test.pdf", 1, ["1", "Mia", "Elit", "Покрил"])], "doc_id string, row_no int, cells array<string>")
+    docs = ridge(spark, ("d20.pdf", b"%PDF"))
+    text = spark.createDataFrame([(U + "ridge/d20.pdf", TABLE)], "doc_id string, text string")
+    runs = R.shaped(spark.createDataFrame([(5, 1, "u", "started"), (6, 1, "w", "started")], "id long, source_profile_id long, root_url string, status string"), "import_runs")
+    closed = R.load_run(runs, 5, f"{tmp_path}/layer", docs, profiles(spark), text)
+    record = {r.id: r for r in closed.collect()}
+    assert (record[5].status, record[6].status, record[5].stats["pdf_elements"], record[5].stats["segments"]) == ("completed", "started", "8", "1")
+    failed = {r.id: r for r in R.load_run(runs, 6, f"{tmp_path}/layer", docs).collect()}
+    assert failed[6].status == "failed" and "exist" in failed[6].error.lower() and failed[5].status == "started"
+
+    flat = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    names = [p.name for p in (tmp_path / "layer").iterdir()]
+    t = {n: spark.createDataFrame([], s) for n, s in TABLES.items()} | {n: flat(df) for n, df in load_layer(spark, f"{tmp_path}/layer", names, views=False).items()}
+    t |= {"import_runs": flat(closed), "source_profiles": profiles(spark)}
+    scores = {(r.skater_name, r.score_source[:3], r.category_name, r.segment_name) for r in V.v_skater_segment_scores(t).collect()}
+    assert scores == {("UNA REED", "pdf", "Pairs", "Rhythm Dance"), ("ODO FENN", "pdf", "Pairs", "Rhythm Dance"), ("ZED MOOR", "htm", "Pairs", "Rhythm Dance")}
+    assert sorted(r.skater_name for r in V.v_skater_elements(t).collect()) == ["ODO FENN"] * 2 + ["UNA REED"] * 6
+    marks = mart.fact_element_judge_mark(t)
+    assert marks.count() == 28 and marks.where("skater_key IS NULL").count() == 0 if "skater_key" in marks.columns else marks.count() == 28
+
+
+def test_tests_and_titles_of_sheets(spark):
+    from tests.test_sheets import TABLE
+
+    docs = ridge(spark, ("d20.pdf", b"%PDF"))
+    text = spark.createDataFrame([(U + "ridge/d20.pdf", TABLE), (U + "ridge/test.pdf", "x")], "doc_id string, text string")
+    cells = spark.createDataFrame([(U + "ridge/test.pdf", 1, ["1", "Mia", "Elit", "Покрил"])], "doc_id string, row_no int, cells array<string>")
     out = R.import_sheets(text, 5, docs, cells)
     for name in ("pdf_score_summaries", "pdf_elements", "pdf_element_judge_scores", "pdf_program_components", "pdf_component_judge_scores", "source_skater_appearances"):
         assert out[name].dtypes == spark.createDataFrame([], TABLES[name]).dtypes
     assert [(r.rank, r.skater_name, r.passed) for r in out["pdf_test_results"].collect()] == [(1, "Mia", True)]
-    assert {(r.category, r.segment) for r in out["sheet_metadata"].where("segment_id IS NOT NULL").collect()} == {("Men", "Short Program")}
-    flat = lambda df: spark.createDataFrame(df.collect(), df.schema)
-    t = {n: spark.createDataFrame([], s) for n, s in TABLES.items()}
-    t |= {n: flat(R.shaped(batch[n], n)) for n in ("events", "categories", "segments", "segment_results")} | {n: flat(out[n]) for n in ("pdf_score_summaries", "pdf_elements")}
-    t["source_skater_appearances"] = flat(R.shaped(batch["source_skater_appearances"], "source_skater_appearances").unionByName(out["source_skater_appearances"]))
-    t["import_runs"] = R.shaped(spark.createDataFrame([(5, "u", "completed")], "id long, root_url string, status string"), "import_runs")
-    scores = {(r.skater_name, r.score_source[:3], r.category_name, r.segment_name) for r in V.v_skater_segment_scores(t).collect()}
-    assert scores == {("LEV V", "pdf", "Men", "Short Program"), ("MARIYA O", "pdf", "Men", "Short Program"), ("ELINA G", "htm", "Men", "Short Program")}
-    assert sorted(r.skater_name for r in V.v_skater_elements(t).collect()) == ["LEV V"] * 5 + ["MARIYA O"]
+    assert {(r.category, r.segment) for r in out["sheet_metadata"].where("segment_id IS NOT NULL").collect()} == {("Pairs", "Rhythm Dance")}

@@ -5,37 +5,40 @@ import pytest
 from resultmart.plans import sheets as S
 from resultmart.plans.quality import score_mismatches
 
-VERTICAL = "Cup 2013\nNOVICE BOYS SHORT PROGRAM         JUDGES DETAILS PER SKATER\nStarting\nNumber\nNation\nName\nAnil C\nTUR\n23.93\n1.00\n12.83\n12.10\n7\n5\nprinted: 1"
+VERTICAL = "Lake Open 2031\nCUBS FREE SKATING      JUDGES DETAILS PER SKATER\nStarting\nNumber\nNation\nName\nIlo Varn\nQQA\n30.40\n2.50\n18.20\n14.70\n3\n8\nprinted: 9"
 HEAD = "RankName NationStartingNumberTotalSegmentScoreTotalElementScoreTotal ProgramComponent Score(factored)TotalDeductions"
-COMPACT = f"CUP 2024JUDGES DETAILS PER SKATERMEN SHORT PROGRAM\nprinted: x\n{HEAD}1Lev V ISR 4 82.9745.24 37.73 0.00#Executed Elements\nInfo\n{HEAD}2Burak DTUR 12 71.2136.55 34.66 0.00#Executed Elements\n{HEAD}4Fedir K LAT 10 66.0335.03 32.00-1.00#Executed Elements"
-CLUB = f"{HEAD}1Alis YBUL 9 19.837.02 12.810.00#Executed Elements"
-ARTISTIC = f"{HEAD.replace('TotalDeductions', 'Total Deductions')}\n1Robert NGER 1 13.92 13.92 0.00#Executed Elements"
-PATTERN = f"{HEAD}\n1Diana B / Geoffrey SCAN 2 15.4015.58 15.21 0.00#Executed Elements"
-WRONG = f"{HEAD}\n1Nobody XCAN 2 99.4015.58 15.21 0.00#Executed Elements"
+END = "#Executed Elements"
+COMPACT = f"RIDGE CUP 2033JUDGES DETAILS PER SKATERPAIRS FREE DANCE\nprinted: y\n{HEAD}2Una Reed QQG 6 91.1050.60 40.50 0.00{END}\nInfo\n{HEAD}5Odo FennQQG 1 64.0533.05 32.00-1.00{END}"
+GLUED = f"{HEAD}3Pia LomQQK 14 25.5011.25 14.25 0.00{END}"
+NO_ELEMENTS = f"{HEAD.replace('TotalDeductions', 'Total Deductions')}\n4Wim AstQQL 2 21.60 21.60 0.00{END}"
+AVERAGED = f"{HEAD}\n2Ada Birk / Jon EskQQM 5 18.3018.00 18.60 0.00{END}"
+WRONG = f"{HEAD}\n1Nobody XQQN 2 77.7018.00 18.60 0.00{END}"
 TABLE = """Rank Name Nation
-1 Lev V ISR 4 82.97 45.24 37.73 0.00
+2 Una Reed QQG 6 21.94 14.44 8.00 -0.50
 # Executed Elements ofnI Base GOE
-1 4T 9.50 2.53 3 2 2 3 3 12.03
-2 1A* * 0.00 0.00 - - - - - 0.00
-3 2Ab b 3.30 0.00 -1 0 0 0 0 1.00 4.30
-4 3F!<+COMBO F !|< 4.24 -2.12 -5 -5 -5 -5 -5 2.12
-4 3F+3T 10.45 x -1.06 -2 -2 -2 -2 -2 9.39
-39.85 45.24
+1 2S 1.30 0.26 2 2 2 2 1.56
+2 1Lo* * 0.00 0.00 - - - - 0.00
+3 CCoSp3 3.00 0.60 2 2 - 2 3.60
+4 3Lz!<<+2T+COMBO F REP 5.10 -1.55 -5 -5 -4 -5 3.55
+5 2Lzb b 2.10 0.63 3 3 3 3 1.00 3.73
+6 StSq2 2.00 0.00 0 0 1 0 2.00
+13.50 14.44
 Program Components Factor
-Composition 1.67 8.00 7.75 7.50 7.75 7.00 7.67
-Skating Skills 1.67 8.00 7.50 7.25 7.75 6.75 7.50
-Judges Total Program Component Score (factored) 37.73
-Deductions: 0.00
-3 Mariya O BUL 4 17.40 6.21 11.69 -0.50
+Presentation 1.00 4.00 4.25 3.75 4.00 4.00
+Composition 1.00 4.00 4.00 4.00 4.25 4.00
+Judges Total Program Component Score (factored) 8.00
+Deductions: Falls -0.50 (1) -0.50
+7 Odo Fenn QQG 1 9.10 4.10 5.00 0.00
 # Executed Elements
-1 SSpB F 1.10 -0.55 -5 -5 -5 0.55
-6.63 6.21
-Deductions: Falls -0.50 (1) -0.50"""
+1 2F 1.80 0.30 1 2 2.10
+2 2T< < 1.04 0.96 1 1 2.00
+2.84 4.10
+Deductions: 0.00"""
 
 
 @pytest.fixture(scope="module")
 def sheets(spark):
-    return spark.createDataFrame([("v", VERTICAL), ("c", COMPACT), ("b", CLUB), ("a", ARTISTIC), ("p", PATTERN), ("w", WRONG), ("t", TABLE), ("n", None)], "doc_id string, text string")
+    return spark.createDataFrame([("v", VERTICAL), ("c", COMPACT), ("g", GLUED), ("e", NO_ELEMENTS), ("m", AVERAGED), ("w", WRONG), ("t", TABLE), ("n", None)], "doc_id string, text string")
 
 
 def numbers(r):
@@ -44,33 +47,33 @@ def numbers(r):
 
 def test_line_layouts(sheets):
     out = {(r.doc_id, r["name"]): r for r in S.sheet_summaries(sheets).collect()}
-    assert set(out) == {("v", "Anil C"), ("t", "Lev V"), ("t", "Mariya O")}
-    v = out["v", "Anil C"]
-    assert (v["rank"], v.starting_number, v.nation) == (7, 5, "TUR") and numbers(v) == [23.93, 12.10, 12.83, 1.0]
-    assert numbers(out["t", "Mariya O"]) == [17.4, 6.21, 11.69, 0.5]
+    assert set(out) == {("v", "Ilo Varn"), ("t", "Una Reed"), ("t", "Odo Fenn")}
+    v = out["v", "Ilo Varn"]
+    assert (v["rank"], v.starting_number, v.nation) == (3, 8, "QQA") and numbers(v) == [30.4, 14.7, 18.2, 2.5]
+    assert numbers(out["t", "Una Reed"]) == [21.94, 14.44, 8.0, 0.5]
 
 
 def test_compact_layouts(sheets):
     out = {(r.doc_id, r["rank"]): r for r in S.sheet_blocks(sheets).collect()}
-    assert set(out) == {("c", 1), ("c", 2), ("c", 4), ("b", 1), ("a", 1), ("p", 1)}
-    assert numbers(out["c", 1])[:2] == [82.97, 45.24] and (out["c", 2]["name"], out["c", 2].nation) == ("Burak D", "TUR") and numbers(out["c", 4])[3] == 1.0
-    assert out["b", 1].nation == "BUL" and numbers(out["b", 1]) == [19.83, 7.02, 12.81, 0.0]
-    assert numbers(out["a", 1]) == [13.92, 0.0, 13.92, 0.0] and out["p", 1]["name"] == "Diana B / Geoffrey S" and numbers(out["p", 1])[:3] == [15.4, 15.58, 15.21]
+    assert set(out) == {("c", 2), ("c", 5), ("g", 3), ("e", 4), ("m", 2)}
+    assert numbers(out["c", 2]) == [91.1, 50.6, 40.5, 0.0] and (out["c", 5]["name"], out["c", 5].nation, out["c", 5].starting_number) == ("Odo Fenn", "QQG", 1) and numbers(out["c", 5])[3] == 1.0
+    assert (out["g", 3]["name"], out["g", 3].nation) == ("Pia Lom", "QQK") and numbers(out["g", 3]) == [25.5, 11.25, 14.25, 0.0]
+    assert numbers(out["e", 4]) == [21.6, 0.0, 21.6, 0.0] and out["m", 2]["name"] == "Ada Birk / Jon Esk" and numbers(out["m", 2])[:3] == [18.3, 18.0, 18.6]
     assert score_mismatches(S.sheet_blocks(sheets)).count() == 0
 
 
 def test_elements_and_components(sheets):
     sections = S.sheet_sections(S.lines(sheets.where("doc_id = 't'")))
-    e = S.element_rows(sections).orderBy("skater_no", "element_no", "base_value").collect()
-    assert [r.element_code for r in e] == ["4T", "1A*", "2Ab", "3F!<+COMBO", "3F+3T", "SSpB"]
-    assert e[0].judge_scores == [3, 2, 2, 3, 3] and e[1].judge_scores == [None] * 5 and e[5].judge_scores == [-5] * 3
-    assert [r.base_element_code for r in e[1:4]] == ["1A", "2A", "3F+COMBO"] and [r.info for r in e[1:3]] == ["*", "b"]
-    assert [r.markers for r in e] == [[], ["*"], ["b"], ["!", "<", "F"], ["x"], ["F"]] and float(e[2].bonus) == 1.0 and e[5].info == "F"
-    c = S.component_rows(sections).collect()
-    assert c[0].component_name == "Composition" and [float(x) for x in c[0].judge_scores] == [8.0, 7.75, 7.5, 7.75, 7.0] and len(c) == 2
+    e = S.element_rows(sections).orderBy("skater_no", "element_no").collect()
+    assert [r.element_code for r in e] == ["2S", "1Lo*", "CCoSp3", "3Lz!<<+2T+COMBO", "2Lzb", "StSq2", "2F", "2T<"]
+    assert e[1].judge_scores == [None] * 4 and e[2].judge_scores == [2, 2, None, 2] and e[6].judge_scores == [1, 2]
+    assert [r.base_element_code for r in e[1:5]] == ["1Lo", "CCoSp3", "3Lz+2T+COMBO", "2Lz"] and [r.info for r in e[3:5]] == ["F REP", "b"]
+    assert [r.markers for r in e] == [[], ["*"], [], ["!", "<<", "F", "REP"], ["b"], [], [], ["<"]] and float(e[4].bonus) == 1.0
+    c = {r.component_name: r for r in S.component_rows(sections).collect()}
+    assert set(c) == {"Presentation", "Composition"} and [float(x) for x in c["Presentation"].judge_scores] == [4.0, 4.25, 3.75, 4.0] and float(c["Composition"].score) == 4.0
     d = {r.skater_no: r for r in S.sheet_details(sections).collect()}
-    assert (float(d[1].base_value_total), float(d[1].element_score_total), d[1].judge_count, float(d[1].deductions)) == (39.85, 45.24, 5, 0.0)
-    assert (d[2].judge_count, float(d[2].deductions)) == (3, 0.5)
+    assert (float(d[1].base_value_total), float(d[1].element_score_total), d[1].judge_count, float(d[1].deductions)) == (13.5, 14.44, 4, 0.5)
+    assert (d[2].judge_count, float(d[2].deductions)) == (2, 0.0)
 
 
 def test_gate_and_preference(spark, sheets):
@@ -78,8 +81,8 @@ def test_gate_and_preference(spark, sheets):
     good, issues = S.gate_sheets(docs)
     assert [r.url for r in good.collect()] == ["a"] and {(r.url, r.level) for r in issues.collect()} == {("b", "info"), ("c", "warning"), ("d", "info")}
     out = S.prefer_sheet_source(text=S.sheet_summaries(sheets), blocks=S.sheet_blocks(sheets))
-    assert {(r.doc_id, r.sheet_source) for r in out.collect()} == {("v", "text"), ("t", "text"), ("c", "blocks"), ("b", "blocks"), ("a", "blocks"), ("p", "blocks")}
+    assert {(r.doc_id, r.sheet_source) for r in out.collect()} == {("v", "text"), ("t", "text"), ("c", "blocks"), ("g", "blocks"), ("e", "blocks"), ("m", "blocks")}
     cells = spark.createDataFrame([("d", 0, ["No", "Name", "Club", "Result"]), ("d", 1, ["1.", " A ", "X", "Покрил норматива"]), ("d", 2, ["2", "B", "Y", "failed"])], "doc_id string, row_no int, cells array<string>")
     assert [(r.number, r["name"], r.passed) for r in S.test_rows(cells).collect()] == [(1, "A", True), (2, "B", False)]
     title = {r.doc_id: (r.before, r.after) for r in S.sheet_titles(sheets).collect()}
-    assert title["c"] == ("CUP 2024", "MEN SHORT PROGRAM")
+    assert title["c"] == ("RIDGE CUP 2033", "PAIRS FREE DANCE")

@@ -115,7 +115,7 @@ def test_reports(t, spark):
     assert {r.skater_name for r in quality.segment_comparison(t).where("tss_delta IS NOT NULL").collect()} == {"ANN"}
     assert quality.category_comparison(t).count() == 0 and quality.multi_competition_skaters(t).first().skater_name == "ANN"
     assert quality.evidence_coverage(t).first().with_document == 7 and quality.missing_best_scores(t).count() == 1
-    for check in (quality.latest_runs, quality.identity_collisions, quality.club_fragments, quality.club_primary_without_club_by_nation, quality.affiliation_summary, quality.representation_buckets, quality.nation_primary_with_club, quality.profile_settings, quality.mart_counts, quality.status_counts, quality.residue, quality.officials_by_role, quality.issues_by_code, quality.source_graph):
+    for check in (quality.latest_runs, quality.identity_collisions, quality.club_fragments, quality.club_primary_without_club_by_nation, quality.affiliation_summary, quality.representation_buckets, quality.nation_primary_with_club, quality.profile_settings, quality.mart_counts, quality.archive_counts, quality.catalog_counts, quality.residue, quality.officials_by_role, quality.issues_by_code, quality.source_graph):
         check(t).collect()
     assert quality.documents_with_layout(t, ["Club", "Nation"]).count() == 0
 
