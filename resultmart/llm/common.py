@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: The white space of the contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
+#: Scratch tables that this process wrote.
+PATHS: list[str] = []
 #: Text of a batch that Python code holds as words at once.
 CHUNK_BYTES = 2_000_000
 
@@ -50,14 +54,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that all executors share (``spark.checkpoint.dir``).
 
-    Where that setting is absent, a local master takes a temporary folder and any other master the warehouse.
+    Where that setting is absent, a local master takes a temporary folder; on any other master that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        base = tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        master = spark.sparkContext.master
+        if not (master.startswith("local[") or master == "local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    PATHS.append(f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return PATHS[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the scratch tables of this process; results that aren't written yet need theirs."""
+    while PATHS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(PATHS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextlib.contextmanager
@@ -83,22 +97,6 @@ def stage(df: DataFrame, label: str, batch_rows: int = 2000, waves: int = 0) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> Iterator[DataFrame]:
-    """A table in the shared folder whose rows lie in buckets of a key, so that joins by it don't move them again.
-
-    The input should come in ``buckets`` hash partitions of that key; then every task writes one file.
-    """
-    spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    name = path.rsplit("/", 1)[1].replace("-", "_")
-    with batches_of(spark, 1000):
-        df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(name)
-    try:
-        yield spark.table(name)
-    finally:
-        spark.sql(f"DROP TABLE {name}")
-
-
 def look_up(rows: DataFrame, table: DataFrame, key: Sequence[str], node: str = "node") -> DataFrame:
     """A left join of rows to a table with one row for each key, where one key may hold a third of all rows.
 
@@ -133,6 +131,7 @@ def rows_of(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iter
             texts = part.column(part.schema.get_field_index("text")).to_pylist()
             for a, b in chunks(texts, 2 * limit):
                 yield part.slice(a, b - a), [x or "" for x in texts[a:b]]
+    release()
 
 
 def parts_of(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -145,7 +144,12 @@ def parts_of(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Ite
             z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
             yield batch.slice(a, z - a)
             a = z
+    release()
 
 
-def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def release() -> None:
+    """At the end of a task: memory that it no longer needs goes back to the machine, as workers wait for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # there is such a call in glibc only
+        ctypes.CDLL(None).malloc_trim(0)

@@ -16,11 +16,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resultmart.llm.common import documents, parts_of, stage
+from resultmart.llm.common import documents, parts_of, release, stage
 from resultmart.llm.tokens import encoder, lists_of
 
 #: Buckets of the hashed token vector.
 BUCKETS = 1024
+#: Documents that are cut into pieces at once.
+PIECE_ROWS = 500
 #: Text that is encoded at once.
 TEXT_BYTES = 4_000_000
 
@@ -74,6 +76,7 @@ def _tokens(tokenizer: str, end_id: int, dims: int, bits: int, seed: int):
             seen += len(n)
             yield pa.RecordBatch.from_arrays([pa.array(uid), rows.column(0), pa.array(key), pa.array(n.astype(np.int64)), lists_of(flat, ends)], names=["uid", "doc_id", "hilbert_key", "doc_tokens", "ids"])
         pieces.forget()
+        release()
 
     return run
 
@@ -92,7 +95,7 @@ def _pieces(length: int, kind: str):
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(i, PIECE_ROWS) for x in batches for i in range(0, x.num_rows, PIECE_ROWS)):
             doc_ids, places, raw = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
             out: list[list] = [[] for _ in names]
             for doc, place, x in zip(doc_ids, places, raw, strict=True):

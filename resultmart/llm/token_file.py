@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from resultmart.llm.common import documents, parts_of
+from resultmart.llm.common import documents, parts_of, release
 from resultmart.llm.elias_fano import EliasFano
 from resultmart.llm.tokens import encoder
 
@@ -72,6 +72,7 @@ def _segments(tokenizer: str, end_id: int, segment_ids: int):
         if docs:
             yield flush()
         pieces.forget()
+        release()
 
     return run
 
