@@ -19,9 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resultmart.llm.common import documents, stage
+from resultmart.llm.common import documents, look_up, stage
 
-RUN = "range int, node int, digests binary, checks binary, ids binary, counts binary"
+RUN = "range int, node int, keys binary, ids binary, counts binary"
+RUN_SCHEMA = pa.schema([("range", pa.int32()), ("node", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
+#: A key's bytes: the digest, then length and check, big-endian, so that keys are in the order of their bytes.
+DIGEST, KEY = 32, 48
+Run = tuple[np.ndarray, np.ndarray, np.ndarray]  # keys, smallest ids, counts
 
 
 def normalised(text):
@@ -29,27 +33,40 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
-def _merge(digests: np.ndarray, checks: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Entries of several sorted runs as one sorted run without repeats; digests: (n, 4) big-endian words, checks: (n, 2)."""
-    order = np.lexsort((ids, checks[:, 1], checks[:, 0], digests[:, 3], digests[:, 2], digests[:, 1], digests[:, 0]))
-    digests, checks, ids, counts = digests[order], checks[order], ids[order], counts[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (digests[1:] != digests[:-1]).any(axis=1) | (checks[1:] != checks[:-1]).any(axis=1)
-    first = np.flatnonzero(new)
-    return digests[first], checks[first], ids[first], np.add.reduceat(counts, first) if len(first) else counts
+def _once(keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> Run:
+    """A sorted run without repeats: of equal keys the smallest identifier and all rows."""
+    if not len(keys):
+        return keys, ids, counts
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.minimum.reduceat(ids, first), np.add.reduceat(counts, first)
 
 
-def _unpack(rows: list[tuple]) -> tuple[np.ndarray, ...]:
-    join = lambda i, kind: np.frombuffer(b"".join(r[i] for r in rows), kind)
-    return join(0, ">u8").reshape(-1, 4), join(1, "<u8").reshape(-1, 2), join(2, "<i8"), join(3, "<i8")
+def _merged(x: Run, y: Run) -> Run:
+    """Two sorted runs as one: the entries of the second find their places among those of the first."""
+    at = np.searchsorted(x[0], y[0], "right") + np.arange(len(y[0]))
+    second = np.zeros(len(x[0]) + len(y[0]), bool)
+    second[at] = True
+    out = []
+    for a, b in zip(x, y, strict=True):
+        c = np.empty(len(second), a.dtype)
+        c[~second], c[second] = a, b
+        out.append(c)
+    return _once(*out)
 
 
-def _packed(kind: int, node: int, run: tuple[np.ndarray, ...]) -> dict:
-    d, c, i, n = run
-    return {"range": kind, "node": node, "digests": d.astype(">u8").tobytes(), "checks": c.astype("<u8").tobytes(), "ids": i.astype("<i8").tobytes(), "counts": n.astype("<i8").tobytes()}
+def multiway(runs: list[Run]) -> Run:
+    """Sorted runs as one, pair by pair."""
+    while len(runs) > 1:
+        runs = [_merged(*runs[i : i + 2]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+    return runs[0]
 
 
-RUN_SCHEMA = pa.schema([("range", pa.int32()), ("node", pa.int32()), ("digests", pa.binary()), ("checks", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
+def _packed(kind: int, node: int, run: Run) -> dict:
+    return {"range": kind, "node": node, "keys": run[0].tobytes(), "ids": run[1].astype("<i8").tobytes(), "counts": run[2].astype("<i8").tobytes()}
+
+
+def _unpacked(keys: bytes, ids: bytes, counts: bytes) -> Run:
+    return np.frombuffer(keys, f"S{KEY}"), np.frombuffer(ids, "<i8"), np.frombuffer(counts, "<i8")
 
 
 def _leaf_runs(range_bits: int):
@@ -57,37 +74,38 @@ def _leaf_runs(range_bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            nodes = b.column(0).to_numpy()
-            digests = np.frombuffer(b"".join(b.column(1).to_pylist()), ">u8").reshape(-1, 4)
-            checks = np.stack([b.column(2).to_numpy().astype("<u8"), b.column(3).to_numpy().view("<u8")], axis=1)
-            ids = b.column(4).to_numpy()
-            ranges = (digests[:, 0].astype("<u8") >> np.uint64(64 - range_bits)).astype(np.int64) if range_bits else np.zeros(len(ids), np.int64)
-            keys = nodes.astype(np.int64) << 32 | ranges
-            for key in np.unique(keys):
-                at = keys == key
-                out.append(_packed(int(key & 0xFFFFFFFF), int(key >> 32), _merge(digests[at], checks[at], ids[at], np.ones(at.sum(), "<i8"))))
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=RUN_SCHEMA)
+            if not b.num_rows:
+                continue
+            raw = np.empty((b.num_rows, KEY), np.uint8)
+            raw[:, :DIGEST] = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, DIGEST)
+            for k, i in ((DIGEST, 2), (DIGEST + 8, 3)):
+                raw[:, k : k + 8] = b.column(i).to_numpy().astype(">i8").view(np.uint8).reshape(-1, 8)
+            keys = raw.view(f"S{KEY}").ravel()
+            ranges = (raw[:, :8].copy().view(">u8").ravel().astype(np.uint64) >> np.uint64(64 - range_bits)).astype(np.int64) if range_bits else np.zeros(len(keys), np.int64)
+            groups = b.column(0).to_numpy().astype(np.int64) << 32 | ranges
+            order = np.lexsort((keys, groups))
+            keys, ids, groups = keys[order], b.column(4).to_numpy()[order], groups[order]
+            cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist(), len(groups)]
+            out = [_packed(int(groups[a] & 0xFFFFFFFF), int(groups[a] >> 32), _once(keys[a:z], ids[a:z], np.ones(z - a, np.int64))) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_pylist(out, schema=RUN_SCHEMA)
 
     return run
 
 
 def _merge_round(group: pa.Table) -> pa.Table:
     """One multiway merge: the runs of one range that meet in one node."""
-    cols = [group.column(i).to_pylist() for i in range(2, 6)]
-    out = _packed(group.column(0)[0].as_py(), group.column(1)[0].as_py(), _merge(*_unpack(list(zip(*cols, strict=True)))))
-    return pa.Table.from_pylist([out], schema=RUN_SCHEMA)
+    runs = [_unpacked(*r) for r in zip(*[group.column(i).to_pylist() for i in (2, 3, 4)], strict=True)]
+    return pa.Table.from_pylist([_packed(group.column(0)[0].as_py(), group.column(1)[0].as_py(), multiway(runs))], schema=RUN_SCHEMA)
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("digest", pa.binary()), ("length", pa.int64()), ("check", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
     for b in batches:
-        for row in zip(*[b.column(i).to_pylist() for i in range(2, 6)], strict=True):
-            d, c, i, n = _unpack([row])
-            raw = np.ascontiguousarray(d).tobytes()
-            digests = [raw[k : k + 32] for k in range(0, len(raw), 32)]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(c[:, 0].astype("<i8")), pa.array(np.ascontiguousarray(c[:, 1]).view("<i8")), pa.array(i), pa.array(n)], schema=schema)
+        for row in zip(*[b.column(i).to_pylist() for i in (2, 3, 4)], strict=True):
+            raw, ids, counts = np.frombuffer(row[0], np.uint8).reshape(-1, KEY), *_unpacked(*row)[1:]
+            digests = [x.tobytes() for x in raw[:, :DIGEST]]
+            number = lambda k: pa.array(np.ascontiguousarray(raw[:, k : k + 8]).view(">i8").ravel().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), number(DIGEST), number(DIGEST + 8), pa.array(ids), pa.array(counts)], schema=schema)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 16_384, fan_bits: int = 3) -> DataFrame:
@@ -115,9 +133,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     merged = stage(runs.mapInArrow(_entries, "digest binary, length long, check long, keep_id long, group_size long"), "merged")
 
     # Down again: an entry reaches each node that met its digest once, and there its rows.
-    key = ["digest", "length", "check"]
-    leaves = rows.select("node", *key).distinct().join(merged, key)
-    found = rows.join(leaves, ["node", *key])
+    found = look_up(rows, merged, ["digest", "length", "check"])
     return found.select(
         "doc_id", F.when(F.col("keep_id") != top, F.col("keep_id")).alias("keep_id"), "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
