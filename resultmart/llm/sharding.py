@@ -1,9 +1,10 @@
 """Extendible hashing: shards of bounded size from a directory indexed by hash-prefix bits.
 
 Documents start in one bucket; only buckets over the byte limit split on the next bit of the hash, until every shard
-fits. The directory has 2**depth entries for the largest depth in use, and entries of a shallower bucket share it.
+fits. The directory is indexed by the 2**depth prefixes of the largest depth in use, of which those that occur are
+kept; entries of a shallower bucket share it.
 
-Sizes are summed once for the finest prefixes and then bit by bit for shorter ones, so all splits are decided over
+Sizes are summed once for the finest prefixes and from those for all shorter ones, so all splits are decided over
 narrow grouped rows, and documents are joined to the directory once. Where prefixes of ``step`` more bits still hold
 too much, those buckets alone go on. Rows that no bit of the hash can part (equal keys, or one document over the
 limit) are cut by running size into numbered shards of at most the limit, or of one document.
@@ -26,16 +27,10 @@ def _hash(key):
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def _level(sizes: DataFrame, depth: int, start: int, limit: int) -> DataFrame:
-    """Buckets (depth, prefix, bytes, docs) from sizes by prefix of ``depth`` bits: the shortest prefixes from ``start`` bits on that fit."""
-    levels, now = [], sizes.select("prefix", "bytes", "docs")
-    for d in range(depth, start - 1, -1):
-        levels.append(now.select(F.lit(d).alias("depth"), "prefix", "bytes", "docs"))
-        now = now.groupBy(F.shiftright("prefix", 1).alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs"))
-    found = levels[0]
-    for x in levels[1:]:
-        found = found.unionByName(x)
-    return found
+def _level(sizes: DataFrame, depth: int, start: int) -> DataFrame:
+    """Buckets (depth, prefix, bytes, docs) of all depths from ``start`` on, from sizes by prefix of ``depth`` bits."""
+    each = sizes.select("prefix", "bytes", "docs", F.explode(F.sequence(F.lit(start), F.lit(depth))).alias("depth"))
+    return each.groupBy("depth", F.expr(f"shiftright(prefix, {depth} - depth)").alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs"))
 
 
 def directory(hashed: DataFrame, max_bytes: int, step: int = 8) -> DataFrame:
@@ -46,7 +41,7 @@ def directory(hashed: DataFrame, max_bytes: int, step: int = 8) -> DataFrame:
     rows = hashed.select("hash", "n_bytes")
     while True:
         sizes = rows.groupBy(F.shiftright("hash", HASH_BITS - depth).alias("prefix")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("docs"))
-        levels = stage(_level(stage(sizes, "sizes"), depth, start, max_bytes), "levels")
+        levels = stage(_level(sizes, depth, start), "levels")
         small, parents = levels.where(F.col("bytes") <= max_bytes), levels.where(F.col("bytes") > max_bytes)
         above = parents.select((F.col("depth") + 1).alias("depth"), "prefix")
         # a bucket that fits is a shard if its parent doesn't; the first level's parents are known not to, or the root
@@ -65,7 +60,7 @@ def shard(docs: DataFrame, max_bytes: int, key_col: str = "doc_id", text_col: st
     """Give every document its shard; one row per input row.
 
     Returns doc_id (the key), n_bytes (of the text in UTF-8; null counts as empty), depth and prefix (the bits of the
-    shard, as text), part (0, or the number of the piece where the hash can't part the rows), shard_bytes and
+    shard, as text), part (0, or a number from 1 on, not without gaps, where the hash can't part the rows), shard_bytes and
     shard_docs. No shard exceeds ``max_bytes`` unless it is one document that does. Null keys hash as an empty text;
     rows with equal keys share their shard as long as it fits. An empty table gives an empty result; extra columns are
     dropped.
@@ -93,16 +88,18 @@ def _cut(rows: DataFrame, max_bytes: int) -> DataFrame:
     """Rows whose whole hash is shared, cut by running size: first into slices of rows, then inside each slice."""
     slices = F.ceil(F.col("bytes") / (8 * max_bytes))
     rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "n_bytes", F.monotonically_increasing_id()), slices))
-    rows = stage(rows.select("doc_id", "n_bytes", "depth", "bits", "slice"), "cut")
+    rows = stage(rows.select("doc_id", "n_bytes", "depth", "bits", "slice", slices.cast("long").alias("slices")), "cut")
     inside = Window.partitionBy("bits", "slice").orderBy("n_bytes").rowsBetween(Window.unboundedPreceding, -1)
     # half-limit bins: every bin but an oversized document holds at most half a limit before its last row of at most half
     small = rows.where(F.col("n_bytes") * 2 <= max_bytes).withColumn("piece", F.floor(F.coalesce(F.sum("n_bytes").over(inside), F.lit(0)) * 2 / max_bytes))
     large = rows.where(F.col("n_bytes") * 2 > max_bytes).withColumn("piece", -1 - F.row_number().over(Window.partitionBy("bits", "slice").orderBy("n_bytes")))
     pieces = small.unionByName(large)
     key = ["bits", "slice", "piece"]
-    sums = pieces.groupBy(*key).agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
-    numbered = sums.withColumn("part", F.row_number().over(Window.partitionBy("bits").orderBy("slice", "piece")).cast("long"))
-    return pieces.join(numbered, key).select("doc_id", "n_bytes", "depth", F.col("bits").alias("prefix"), "part", "shard_bytes", "shard_docs")
+    sums = pieces.groupBy(*key, "slices").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
+    # numbers of the pieces of a slice are apart by the number of slices, so no task numbers all pieces of a key
+    place = F.row_number().over(Window.partitionBy("bits", "slice").orderBy("piece")) - 1
+    numbered = sums.withColumn("part", (1 + F.col("slice") + place * F.col("slices")).cast("long"))
+    return pieces.drop("slices").join(numbered, key).select("doc_id", "n_bytes", "depth", F.col("bits").alias("prefix"), "part", "shard_bytes", "shard_docs")
 
 
 def _numbered(rows: DataFrame, *order: str) -> DataFrame:
