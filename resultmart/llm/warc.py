@@ -72,10 +72,10 @@ def resolve_revisits(records: DataFrame, permitted: tuple[str, ...] = PERMITTED)
     found = ranged.withColumn("response", F.last(response, ignorenulls=True).over(before)).where(~F.col("full"))
 
     many = ranged.groupBy("canonical_url").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("canonical_url")
-    tails = ranged.join(many, "canonical_url", "left_semi").groupBy("canonical_url", "part").agg(F.max_by(response, F.when(F.col("full"), F.struct("captured", "record_id"))).alias("tail"))
+    tails = ranged.join(many.hint("merge"), "canonical_url", "left_semi").groupBy("canonical_url", "part").agg(F.max_by(response, F.when(F.col("full"), F.struct("captured", "record_id"))).alias("tail"))
     earlier = Window.partitionBy("canonical_url").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = tails.select("canonical_url", "part", F.last("tail", ignorenulls=True).over(earlier).alias("carried"))
-    found = found.join(carried, ["canonical_url", "part"], "left").withColumn("response", F.coalesce("response", "carried"))
+    found = found.join(carried.hint("merge"), ["canonical_url", "part"], "left").withColumn("response", F.coalesce("response", "carried"))
 
     tag, stored = F.col("headers").getItem("etag"), F.col("response.headers").getItem("etag")
     date, stored_date = F.col("headers").getItem("last-modified"), F.col("response.headers").getItem("last-modified")
