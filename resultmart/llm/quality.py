@@ -17,14 +17,15 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resultmart.llm.common import chunks, documents, pick, rows_of
+from resultmart.llm.common import documents, pick, rows_of
 from resultmart.llm.shingles import word_hashes
 
+#: Text whose features are computed at once.
+TEXT_BYTES = 1_000_000
 #: Byte classes whose share of a text is a feature.
 CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -183,10 +184,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
 
 
 def _scores(model: AdditiveModel):
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        held = [x or "" for x in texts]
-        return pd.Series(np.concatenate([np.zeros(0), *(model.score(features(held[a:b])) for a, b in chunks(held))]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in rows_of(batches, TEXT_BYTES):
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(model.score(features(texts)))], names=[*rows.schema.names, "score"])
 
     return run
 
@@ -198,5 +198,6 @@ def score_quality(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3,
     an empty table gives an empty result; other columns are dropped, and those to keep may not be called like results.
     """
     rows = documents(docs, id_col, text_col, keep, ("held_out", "score", "predicted"))
-    scored = rows.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("score", _scores(model)("text"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    scored = rows.mapInArrow(_scores(model), f"{fields}, score double")
+    return scored.select("doc_id", "text", *keep, held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
