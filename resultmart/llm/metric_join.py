@@ -68,6 +68,13 @@ class Cells:
         self.pivots, self.kind, self.radius = pivots, kind, radius
         self.first = dict(zip(pivots, np.cumsum([0, *[len(p) for p in pivots.values()]]).tolist()))
         self.reach: np.ndarray | None = None  # of each cell, the largest distance of a home row to its pivot
+        self.rest_blocks = 1  # of the one cell of each other length
+
+    def place(self, raw: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Homes and memberships of rows, and the number of their first cell; vectors of a length without pivots have one cell of their own."""
+        if size not in self.pivots:
+            return np.zeros(len(raw), np.int64), np.ones((len(raw), 1), bool), -size
+        return *self.members(self.distances(raw, size), size), self.first[size]
 
     def distances(self, raw: list[bytes], size: int) -> np.ndarray:
         cos = unit(raw, self.kind, size) @ self.pivots[size].T
@@ -99,6 +106,8 @@ def _homes(cells: Cells):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for size, _, raw in _by_size(b, 1, 2):
+                if size not in cells.pivots:
+                    continue
                 d = cells.distances(raw, size)
                 home = d.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(home + cells.first[size], pa.int32()), pa.array(d[np.arange(len(d)), home])], names=["cell", "distance"])
@@ -110,6 +119,8 @@ def _sizes(cells: Cells):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for size, _, raw in _by_size(b, 1, 2):
+                if size not in cells.pivots:
+                    continue
                 _, into = cells.members(cells.distances(raw, size), size)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(into.shape[1]) + cells.first[size], pa.int32()), pa.array(into.sum(axis=0), pa.int64())], names=["cell", "n"])
 
@@ -124,12 +135,12 @@ def _dealt(cells: Cells, home_blocks: np.ndarray, member_blocks: np.ndarray):
         for b in batches:
             reps, copies = b.column(0).to_numpy(), b.column(3).to_numpy()
             for size, at, raw in _by_size(b, 1, 2):
-                home, into = cells.members(cells.distances(raw, size), size)
+                home, into, base = cells.place(raw, size)
                 spread = (reps[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
                 out: list[tuple[np.ndarray, ...]] = []  # row, cell, i, j, home
                 for cell in np.flatnonzero(into.any(axis=0)):
-                    c = cell + cells.first[size]
-                    n, m = int(home_blocks[c]), int(member_blocks[c])
+                    c = cell + base
+                    n, m = (int(home_blocks[c]), int(member_blocks[c])) if c >= 0 else (cells.rest_blocks, cells.rest_blocks)
                     rows = np.flatnonzero(into[:, cell])
                     for i in range(n):
                         out.append((rows, c, np.full(len(rows), i), (spread[rows] % np.uint64(m)).astype(np.int64), False))
@@ -175,7 +186,7 @@ def _join(kind: str, cosine: float):
     return run
 
 
-def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, block_rows: int = 4096, sample_rows: int = 8192) -> DataFrame:
+def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, block_rows: int = 4096, sample_rows: int = 8192, max_lengths: int = MAX_CELLS) -> DataFrame:
     """Link vectors whose cosine, in double precision, is at least ``cosine``; one row per input row.
 
     Returns vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable, itself included) and
@@ -183,7 +194,8 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     with nothing, nor do vectors of different lengths or rows with a null vec_id (component_id null, not kept).
     Repeated rows are rows of their own that link with each other, and so are rows of one vec_id with different vectors,
     which link only if their vectors do. An empty table gives an empty result; extra columns
-    are dropped. ``block_rows`` bounds both sides of a group on average; pivots are chosen from ``sample_rows`` classes.
+    are dropped. ``block_rows`` bounds both sides of a group on average; pivots are chosen from ``sample_rows``
+    classes for the ``max_lengths`` most frequent lengths of vectors; vectors of any other length have one cell of their own.
     """
     kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
     rows = pick(vectors, vec_id=(id_col, "long"), embedding=(vector_col, "array<float>" if kind == "<f4" else "array<double>"))
@@ -195,13 +207,14 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     held = classes.select(F.col("class").alias("rep"), "raw", "size", "copies")
     sample = classes.select("size", "raw").orderBy(F.xxhash64("digest"), "digest").limit(sample_rows).collect()
-    lengths = [r["size"] for r in classes.groupBy("size").count().orderBy(F.desc("count"), "size").limit(MAX_CELLS).collect()]
+    lengths = [r["size"] for r in classes.groupBy("size").count().orderBy(F.desc("count"), "size").limit(max_lengths).collect()]
     radius = math.sqrt(2 - 2 * cosine)
     pivots = {}
     for size in lengths:
         own = [bytes(r.raw) for r in sample if r["size"] == size]
         pivots[size] = _spread(unit(own, kind, size), k) if own else np.eye(1, size)
     cells = Cells(pivots, kind, radius)
+    cells.rest_blocks = max(1, math.ceil(n / (max_lengths * block_rows)))  # a length that isn't among the most frequent has no more rows than one in so many
     total = sum(len(p) for p in pivots.values())
     cells.reach, homes, members = np.zeros(total), np.zeros(total), np.zeros(total)
     for cell, far, count in held.mapInArrow(_homes(cells), "cell int, distance double").groupBy("cell").agg(F.max("distance"), F.count("*")).collect():
