@@ -319,7 +319,7 @@ def _linked(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, p
     held = near.join(wanted, near.doc_id == wanted.rep).select("doc_id", "text", "cid", "digest").mapInArrow(_sets(words), "cid long, shingles binary")
     sets = held.groupBy("cid").agg(F.first("shingles").alias("shingles"))  # of repeated rows one
     met = likely.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return stage(met.mapInArrow(_verify(percent), "a long, b long"), "pairs", PAIR_ROWS, 1)
+    return stage(met.mapInArrow(_verify(percent), "a long, b long"), "pairs", PAIR_ROWS)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, keep: Sequence[str] = ()) -> DataFrame:
