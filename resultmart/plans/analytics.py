@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,17 +21,31 @@ CONTEXT = ["skater_appearance_id", "import_run_id", "event_id", "root_url", "eve
 WHO = ["skater_name", "nation_code", "club_name", "display_affiliation"]
 
 
+def view(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """A view that was materialised stands among the tables as ``view:`` and its name, and is read from there."""
+
+    @functools.wraps(f)
+    def run(t: Tables) -> DataFrame:
+        held = f"view:{f.__name__}"
+        return t[held] if held in t else f(t)
+
+    return run
+
+
+@view
 def v_latest_import_runs(t: Tables) -> DataFrame:
     runs = latest_per_key(t["import_runs"], ["root_url"], ["id"], F.col("status") == "completed")
     p = t["source_profiles"].select(F.col("id").alias("source_profile_id"), "profile_key", "parser_profile", "competition_stream", "representation_primary", F.col("settings.event_type").alias("event_type"), F.col("settings.competition_level").alias("competition_level"), F.col("settings").alias("source_profile_settings"))
     return runs.withColumnRenamed("id", "import_run_id").drop("error").join(p, "source_profile_id", "left")
 
 
+@view
 def v_events(t: Tables) -> DataFrame:
     e = t["events"].select(F.col("id").alias("event_id"), "import_run_id", F.col("name").alias("event_name"), "location", "venue", "date_range", parse_event_start(F.col("date_range")).alias("event_start_date"), "event_protocol_url", "raw")
     return e.join(v_latest_import_runs(t).select("import_run_id", *RUN), "import_run_id")
 
 
+@view
 def v_skater_appearances_clean(t: Tables) -> DataFrame:
     a = t["source_skater_appearances"].where(non_blank(F.col("normalized_name"))).withColumnsRenamed({"id": "skater_appearance_id", "normalized_name": "skater_name"})
     blank = {c: blank_to_null(F.col(c)) for c in ("nation_code", "club_name", "representation_value")}
@@ -39,6 +56,7 @@ def v_skater_appearances_clean(t: Tables) -> DataFrame:
     return a.join(events, "event_id").join(categories, "category_id", "left").join(segments, "segment_id", "left")
 
 
+@view
 def v_skater_category_results(t: Tables) -> DataFrame:
     results = t["category_results"].select("skater_appearance_id", "final_place", "points", "segment_places", "raw")
     return results.join(v_skater_appearances_clean(t).select(*CONTEXT, "category_id", "category_name", *WHO), "skater_appearance_id")
@@ -48,6 +66,7 @@ def _scored(t: Tables) -> DataFrame:
     return v_skater_appearances_clean(t).select(*CONTEXT, "category_id", "category_name", "segment_id", "segment_name", *WHO, "source_skater_id")
 
 
+@view
 def v_skater_segment_scores(t: Tables) -> DataFrame:
     """Score sheets, and the page's row where no sheet has that skater in that segment under a compatible id."""
     none = lambda kind: F.lit(None).cast(kind)
@@ -65,6 +84,7 @@ def v_skater_segment_scores(t: Tables) -> DataFrame:
     return out.drop("_segment", "source_skater_id")
 
 
+@view
 def v_skater_elements(t: Tables) -> DataFrame:
     e = t["pdf_elements"].select(F.col("id").alias("element_id"), F.col("pdf_score_summary_id").alias("score_id"), "element_no", "element_code", "base_element_code", "raw_element", "info", "markers", "base_value", "goe", "bonus", "panel_score", "raw")
     s = t["pdf_score_summaries"].select(F.col("id").alias("score_id"), "skater_appearance_id")
@@ -72,6 +92,7 @@ def v_skater_elements(t: Tables) -> DataFrame:
     return e.join(s, "score_id").join(who, "skater_appearance_id")
 
 
+@view
 def v_skater_progression(t: Tables) -> DataFrame:
     """Scores with the ones before them in the same segment. Ties in date, event and category fall to the score's id."""
     scores = v_skater_segment_scores(t)
@@ -79,6 +100,7 @@ def v_skater_progression(t: Tables) -> DataFrame:
     return out.withColumnsRenamed({f"previous_{m}": f"previous_{m}_same_segment" for m in ("tss", "tes", "pcs")} | {f"{m}_delta": f"{m}_delta_same_segment" for m in ("tss", "tes", "pcs")})
 
 
+@view
 def v_club_skater_summary(t: Tables) -> DataFrame:
     club = F.coalesce("club_name", F.lit("(empty club)")).alias("club_name")
     return v_skater_segment_scores(t).where("skater_name IS NOT NULL").groupBy(club, "skater_name", "nation_code").agg(
@@ -87,6 +109,7 @@ def v_club_skater_summary(t: Tables) -> DataFrame:
     )
 
 
+@view
 def v_data_quality_representation(t: Tables) -> DataFrame:
     return v_skater_appearances_clean(t).groupBy("event_type", "competition_level", "representation_primary", "competition_stream").agg(
         F.count("*").alias("appearances"), F.count("nation_code").alias("with_country"), F.count("club_name").alias("with_club"),
@@ -94,6 +117,7 @@ def v_data_quality_representation(t: Tables) -> DataFrame:
     )
 
 
+@view
 def v_club_alias_usage(t: Tables) -> DataFrame:
     """How often each alias occurs in all runs. Appearances are counted by alias before they meet the registry."""
     events = t["events"].select(F.col("id").alias("event_id"), "source_url", F.col("name").alias("event_name"))
@@ -112,9 +136,11 @@ def _with_club(df: DataFrame, t: Tables) -> DataFrame:
     return df.withColumn("alias_normalized", normalize_alias(F.col("club_name"))).join(known, "alias_normalized", "left").drop("alias_normalized")
 
 
+@view
 def v_skater_appearances_with_club(t: Tables) -> DataFrame:
     return _with_club(v_skater_appearances_clean(t), t)
 
 
+@view
 def v_skater_category_results_with_club(t: Tables) -> DataFrame:
     return _with_club(v_skater_category_results(t), t)

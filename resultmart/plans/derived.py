@@ -1,0 +1,315 @@
+"""Queries that run the extraction, views, reports and registry plans over tables derived from the supplied ones.
+
+Pages and score sheets are written from the rows of a table and read again by the extraction, so their SQL states what
+the rows were. The tables of the source layer are a reading of orders as skaters' results: an event for each nation and
+year, a category for each priority, a skater for each customer, a score sheet for each order that has line items.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from resultmart.operators import latest as L
+from resultmart.plans import analytics as V
+from resultmart.plans import mart, pages, quality, registry, sheets
+from resultmart.plans.queries import day, query, table
+from resultmart.sources.tables import empty_layer, written
+
+SITE = "http://scores.invalid/"
+
+
+def _tag(name: str, *parts: Column | str) -> Column:
+    return F.concat(F.lit(f"<{name}>"), *[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit(f"</{name}>"))
+
+
+def _row(*cells: Column) -> Column:
+    return _tag("tr", *[_tag("td", c) for c in cells])
+
+
+def _pages(rows: DataFrame, url: Column, title: Column, headers: tuple[str, ...], row: Column, order: str) -> DataFrame:
+    """A page for each url: a title and one table with a row for each row of the input."""
+    head = "<tr>" + "".join(f"<th>{h}</th>" for h in headers) + "</tr>"
+    texts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), row.alias("row")))), lambda x: x["row"])
+    caption = F.concat(F.lit("<caption><h2>Open</h2><h2>"), F.min(title), F.lit("</h2></caption>"))
+    return rows.groupBy(url.alias("url")).agg(F.concat(F.lit("<table>"), caption, F.lit(head), F.array_join(texts, ""), F.lit("</table>")).alias("body"))
+
+
+def _money(c: str) -> Column:
+    return F.format_string("%.2f", F.col(c))
+
+
+@query("SELECT c_custkey::INT AS entry_no, c_name AS name, CASE WHEN c_nationkey % 2 = 0 THEN repeat(chr(65 + c_nationkey), 3) ELSE 'Club ' || c_nationkey END AS nation, c_mktsegment AS category FROM customer")
+def page_entries(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").withColumn("nation", F.when(F.col("c_nationkey") % 2 == 0, F.expr("repeat(char(65 + c_nationkey), 3)")).otherwise(F.concat(F.lit("Club "), F.col("c_nationkey"))))
+    url = F.concat(F.lit(SITE), F.col("c_mktsegment"), F.lit("/"), F.floor(F.col("c_custkey") / 50), F.lit("/CAT001EN.HTM"))
+    name = F.concat(F.lit('<a href="x.htm">'), F.col("c_name"), F.lit("</a>"))
+    docs = _pages(c, url, F.col("c_mktsegment"), ("No.", "Name", "Nat."), _row(F.col("c_custkey").cast("string"), name, F.col("nation")), "c_custkey")
+    return pages.entry_rows(pages.cells(docs)).select("entry_no", "name", "nation", "category")
+
+
+@query("""
+SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS final_place, 'Order ' || o_orderkey AS name, 'Customer ' || o_custkey AS category,
+  round(o_totalprice, 2)::DOUBLE AS points, (o_orderkey % 9)::INT AS sp, CASE WHEN o_orderkey % 4 > 0 THEN (o_custkey % 9)::INT END AS fs FROM orders
+""")
+def page_category_results(spark: SparkSession, d: str) -> DataFrame:
+    place = F.row_number().over(L.Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("string")
+    o = table(spark, d, "orders").withColumn("place", place)
+    k = F.col("o_orderkey")
+    row = _row(F.col("place"), F.concat(F.lit("Order "), k), F.lit("&nbsp;"), _money("o_totalprice"), (k % 9).cast("string"), F.when(k % 4 > 0, (F.col("o_custkey") % 9).cast("string")).otherwise("-"))
+    docs = _pages(o, F.concat(F.lit(f"{SITE}c"), F.col("o_custkey"), F.lit("/CAT001RS.HTM")), F.concat(F.lit("Customer "), F.col("o_custkey")), ("FPl.", "Name", "Nation", "Points", "SP", "FS"), row, "o_orderkey")
+    out = pages.category_result_rows(pages.cells(docs))
+    return out.select("final_place", "name", "category", F.col("points").cast("double").alias("points"), F.try_element_at("segment_places", F.lit("SP")).alias("sp"), F.try_element_at("segment_places", F.lit("FS")).alias("fs"))
+
+
+@query("""
+SELECT l_partkey::INT AS starting_number, 'Line ' || l_orderkey AS name, round(l_extendedprice, 2)::DOUBLE AS tss, l_quantity::DOUBLE AS tes, round(l_tax, 2)::DOUBLE AS pcs, round(l_discount, 2)::DOUBLE AS co, 'Supplier ' || l_suppkey AS category, 'Free Skating' AS segment FROM lineitem
+""")
+def page_segment_results(spark: SparkSession, d: str) -> DataFrame:
+    line = table(spark, d, "lineitem")
+    row = _row(F.lit("1"), F.concat(F.lit("Line "), F.col("l_orderkey")), F.lit("AAA"), *[_money(c) for c in ("l_extendedprice", "l_quantity")], F.lit(""), _money("l_tax"), _money("l_discount"), F.lit("0.00"), F.concat(F.lit("#"), F.col("l_partkey")))
+    url = F.concat(F.lit(f"{SITE}s"), F.col("l_suppkey"), F.lit("/"), F.pmod("l_orderkey", F.lit(997)), F.lit("/SEG001.HTM"))
+    docs = _pages(line, url, F.concat(F.lit("Supplier "), F.col("l_suppkey"), F.lit(" - Free Skating")), ("Pl.", "Name", "Nation", "TSS<br />=", "TES<br />+", "&nbsp;", "PCS<br />+", "CO", "Deduction<br />-", "StN."), row, "l_orderkey")
+    out = pages.segment_result_rows(pages.cells(docs))
+    return out.select("starting_number", "name", *[F.col(c).cast("double").alias(c) for c in ("tss", "tes", "pcs")], F.element_at("components", F.lit("co")).cast("double").alias("co"), "category", "segment")
+
+
+_FUNCTIONS = ("Referee", "Judge No.%d", "Technical Controller", "Assistant Technical Specialist", "Data Operator", "Judges Panel")
+
+
+@query("""
+SELECT s_name AS name, CASE s_suppkey % 6 WHEN 0 THEN 'referee' WHEN 1 THEN 'judge' WHEN 2 THEN 'technical_panel' WHEN 3 THEN 'technical_panel' WHEN 4 THEN 'event_operations' ELSE 'other' END AS role_group,
+  CASE WHEN s_suppkey % 6 = 1 THEN (s_suppkey % 9 + 1)::INT END AS judge_number FROM supplier
+""")
+def page_officials(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    text = F.element_at(F.array(*map(F.lit, _FUNCTIONS)), (k % 6 + 1).cast("int"))
+    function = F.replace(text, F.lit("%d"), (k % 9 + 1).cast("string"))
+    s = table(spark, d, "supplier")
+    docs = _pages(s, F.concat(F.lit(f"{SITE}n"), F.col("s_nationkey"), F.lit("/"), F.floor(k / 50), F.lit("/SEG001OF.HTM")), F.lit("Men - Free Skating"), ("Function", "Name", "Nation"), _row(function, F.col("s_name"), F.lit("AAA")), "s_suppkey")
+    return pages.official_rows(pages.cells(docs)).select("name", "role_group", "judge_number")
+
+
+@query("""
+SELECT page_id, CASE WHEN starts_with(html, '%PDF') THEN 'pdf' WHEN lower(regexp_replace(url, '[?#].*$', '')) LIKE '%.pdf' THEN 'html_fallback' WHEN regexp_extract(html, '(?is)http-equiv\\s*=\\s*["'']?refresh[^>]*url\\s*=\\s*["'']?([^"''>\\s]+)', 1) <> '' THEN 'meta_refresh'
+  WHEN contains(lower(html), '<frameset') OR contains(lower(html), '<iframe') THEN 'wrapper' WHEN contains(lower(html), '<th>category</th>') OR contains(lower(html), 'judges scores') THEN 'supported'
+  WHEN contains(lower(html), '<div id="root"') OR contains(lower(html), '<div id="app"') OR contains(lower(html), '__next') THEN 'site_fallback' ELSE 'unknown' END AS kind FROM pages
+""".replace("\\\\", "\\"))
+def page_preflight(spark: SparkSession, d: str) -> DataFrame:
+    return pages.preflight(table(spark, d, "pages"), body="html").select("page_id", F.col("source_class").alias("kind"))
+
+
+def _summary_line() -> Column:
+    """Rank, name, nation, start, total, elements, components and deduction of a line item, whose total is the sum of its parts."""
+    total = F.format_string("%.2f", F.col("l_quantity") + F.col("l_linenumber"))
+    return F.concat_ws(" ", F.col("l_linenumber").cast("string"), F.concat(F.lit("Part P"), F.col("l_partkey")), F.lit("AAA"), F.col("l_suppkey").cast("string"), total, F.format_string("%.2f", F.col("l_quantity")), F.format_string("%.2f", F.col("l_linenumber").cast("double")), F.lit("0.00"))
+
+
+@query("""
+SELECT l_linenumber::INT AS rank, 'Part P' || l_partkey AS name, l_suppkey::INT AS starting_number, (l_quantity + l_linenumber)::DOUBLE AS total, count(*) AS n FROM lineitem GROUP BY ALL
+""")
+def sheet_summaries(spark: SparkSession, d: str) -> DataFrame:
+    text = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("doc_id")).agg(F.concat_ws("\n", F.lit("OPEN"), F.collect_list(_summary_line()), F.lit("printed")).alias("text"))
+    out = sheets.sheet_summaries(text)
+    return out.groupBy("rank", "name", "starting_number", F.col("total_segment_score").cast("double").alias("total")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT l_returnflag AS flag, l_linestatus AS status, l_linenumber::INT AS element_no, count(*) AS n, round(sum(l_quantity), 2) AS base_total, sum(2)::BIGINT AS marks, count(*) FILTER (WHERE l_returnflag = 'R') AS marked FROM lineitem GROUP BY ALL
+""")
+def sheet_elements(spark: SparkSession, d: str) -> DataFrame:
+    flag = F.col("l_returnflag")
+    code = F.concat(F.lit("3"), flag, F.lit("x"), F.col("l_linestatus"), F.when(flag == "R", "<<").otherwise(""))
+    line = F.concat_ws(" ", F.col("l_linenumber").cast("string"), code, F.format_string("%.2f", F.col("l_quantity")), F.lit("0.10 2 -"), F.format_string("%.2f", F.col("l_quantity") + 0.1))
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber"), line.alias("line")).alias("x"))
+    text = rows.groupBy(F.col("l_orderkey").cast("string").alias("doc_id")).agg(F.concat_ws("\n", F.lit("1 Skater A AAA 1 2.00 1.00 1.00 0.00"), F.lit("# Executed Elements"), F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"])).alias("text"))
+    e = sheets.element_rows(sheets.sheet_sections(sheets.lines(text)))
+    part = lambda i: F.regexp_extract("base_element_code", r"^3([A-Z])x([A-Z])\z", i)
+    return e.groupBy(part(1).alias("flag"), part(2).alias("status"), "element_no").agg(F.count("*").alias("n"), F.round(F.sum(F.col("base_value").cast("double")), 2).alias("base_total"), F.sum(F.size("judge_scores")).alias("marks"), F.count_if(F.array_contains("markers", "<<")).alias("marked"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_quantity + l_linenumber)::DOUBLE AS tss, l_quantity::DOUBLE AS tes, l_linenumber::DOUBLE AS pcs, 0.0::DOUBLE AS deduction FROM lineitem
+""")
+def compact_split(spark: SparkSession, d: str) -> DataFrame:
+    two = lambda c: F.format_string("%.2f", c.cast("double"))
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat(two(q + n), two(q), F.lit(" "), two(n), F.lit("0.00")).alias("packed"))
+    out = line.withColumn("s", sheets.split_scores(F.col("packed")))
+    return out.where("s IS NOT NULL").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.col(f"s.{c}").cast("double").alias(c) for c in ("tss", "tes", "pcs", "deduction")])
+
+
+#: The source layer in SQL: runs, appearances with their results, and score sheets.
+_LAYER = """
+WITH held AS (SELECT o.*, c_name, c_nationkey, c_mktsegment, year(o_orderdate)::INT AS y, c_nationkey * 10000 + year(o_orderdate)::INT AS ev FROM orders o JOIN customer ON o_custkey = c_custkey),
+runs AS (SELECT DISTINCT ev * 10 + v AS id, 'http://scores.invalid/' || c_nationkey || '/' || y || '/index.htm' AS root_url, CASE WHEN v = 2 AND y % 3 = 0 THEN 'failed' ELSE 'completed' END AS status, c_nationkey, y, ev FROM held, (VALUES (1), (2)) r(v)),
+latest AS (SELECT * FROM runs WHERE status = 'completed' QUALIFY row_number() OVER (PARTITION BY root_url ORDER BY id DESC) = 1),
+app AS (SELECT held.*, latest.id AS run, latest.root_url, 'Open ' || latest.ev AS event_name, CASE WHEN latest.c_nationkey % 3 > 0 THEN make_date(latest.y, 7, 1) END AS start_date, upper(c_name) AS skater_name, CASE WHEN o_custkey % 6 = 0 THEN NULL WHEN o_custkey % 11 = 0 THEN 'x' ELSE repeat(chr(65 + held.c_nationkey), 3) END AS nation_code,
+  CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS club_name, o_orderpriority AS category_name FROM held JOIN latest USING (ev) WHERE o_custkey % 13 > 0),
+lines AS (SELECT l_orderkey AS o_orderkey, sum(l_quantity)::DECIMAL(10, 3) AS tes, sum(l_linenumber)::DECIMAL(10, 3) AS pcs FROM lineitem GROUP BY 1),
+score AS (SELECT o_orderkey * 10 + 3 AS score_id, 'pdf_score_summary' AS score_source, app.*, tes + pcs AS tss FROM app JOIN lines USING (o_orderkey) WHERE o_orderkey % 5 > 0
+  UNION ALL SELECT o_orderkey * 10 + 2, 'html_segment_result', app.*, (o_totalprice / 1000)::DECIMAL(10, 3) FROM app WHERE NOT EXISTS (SELECT 1 FROM app a JOIN lines USING (o_orderkey) WHERE a.o_orderkey % 5 > 0 AND a.run = app.run AND a.category_name = app.category_name AND a.skater_name = app.skater_name))
+"""
+
+
+def layer(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The source tables that ``_LAYER`` describes. A blank name is a row without a skater, as pages have them."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.withColumns({"y": F.year("o_orderdate")}).withColumn("ev", (F.col("c_nationkey") * 10000 + F.col("y")).cast("long"))
+    k, cust, n = F.col("o_orderkey"), F.col("o_custkey"), F.col("c_nationkey")
+    versions = o.select("ev", "c_nationkey", "y", F.explode(F.array(F.lit(1), F.lit(2))).alias("v")).distinct().withColumn("id", F.col("ev") * 10 + F.col("v"))
+    root = F.concat(F.lit(SITE), F.col("c_nationkey"), F.lit("/"), F.col("y"), F.lit("/index.htm"))
+    versions = versions.withColumns({"root_url": root, "status": F.when((F.col("v") == 2) & (F.col("y") % 3 == 0), "failed").otherwise("completed")})
+    rows = versions.select("ev", F.col("id").alias("run")).join(o, "ev")
+    name = F.when(cust % 13 == 0, "").otherwise(F.upper("c_name"))
+    nation = F.when(cust % 6 == 0, "").when(cust % 11 == 0, "x").otherwise(F.expr("repeat(char(65 + c_nationkey), 3)"))
+    club, skater = F.when(cust % 4 == 0, "").otherwise(F.col("c_mktsegment")), F.when(cust % 5 == 0, "").otherwise(cust.cast("string"))
+    category = (F.col("run") * 10 + F.substring("o_orderpriority", 1, 1).cast("int")).alias("category_id")
+    appearance = lambda i: (F.col("run") * 10_000_000_000 + k * 10 + i).alias("skater_appearance_id")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("decimal(10,3)").alias("tes"), F.sum("l_linenumber").cast("decimal(10,3)").alias("pcs"))
+    scored = rows.join(lines, k == F.col("l_orderkey")).where(k % 5 > 0)
+    points = (F.col("o_totalprice") / 1000).cast("decimal(10,3)")
+
+    def who(df: DataFrame, i: int, kind: str) -> DataFrame:
+        segment = F.lit(None).cast("long") if i == 1 else (category * 10 + 1)
+        return df.select(appearance(i).alias("id"), F.col("run").alias("import_run_id"), F.col("run").alias("event_id"), category, segment.alias("segment_id"), (F.col("run") * 10 + i % 2).alias("source_document_id"), F.lit(kind).alias("appearance_type"), F.col("c_name").alias("raw_name"), name.alias("normalized_name"), nation.alias("nation_code"), club.alias("club_name"), skater.alias("source_skater_id"))
+
+    categories = rows.select(category.alias("id"), F.col("run").alias("event_id"), F.col("o_orderpriority").alias("name")).distinct()
+    t = {
+        "source_profiles": table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("profile_key"), F.lit("nation").alias("representation_primary")),
+        "import_runs": versions.select("id", "root_url", "status", (n % 5).cast("long").alias("source_profile_id")),
+        "events": versions.select("id", F.col("id").alias("import_run_id"), F.col("root_url").alias("source_url"), F.concat(F.lit("Open "), F.col("ev")).alias("name"), F.when(n % 3 > 0, F.concat(F.lit("1.7."), F.col("y"), F.lit(" - 3.7."), F.col("y"))).alias("date_range")),
+        "categories": categories,
+        "segments": categories.select((F.col("id") * 10 + 1).alias("id"), F.col("id").alias("category_id"), F.lit("Free Skating").alias("name"), F.lit(1).alias("source_order")).unionByName(categories.select((F.col("id") * 10 + 2).alias("id"), F.col("id").alias("category_id"), F.lit("Gala").alias("name"), F.lit(2).alias("source_order"))),
+        "source_documents": versions.select((F.col("id") * 10 + 1).alias("id"), F.col("id").alias("import_run_id"), F.col("root_url").alias("url"), F.lit("html").alias("document_type")).unionByName(versions.select((F.col("id") * 10).alias("id"), F.col("id").alias("import_run_id"), F.replace("root_url", F.lit("index.htm"), F.lit("scores.pdf")).alias("url"), F.lit("judges_scores_pdf").alias("document_type"))),
+        "source_skater_appearances": who(rows, 1, "category_result").unionByName(who(rows, 2, "segment_result")).unionByName(who(scored, 3, "pdf_score")),
+        "category_results": rows.select((F.col("run") * 10_000_000_000 + k).alias("id"), category, appearance(1), (k % 30 + 1).cast("int").alias("final_place"), points.alias("points")),
+        "segment_results": rows.select((k * 10 + 2).alias("id"), (category * 10 + 1).alias("segment_id"), appearance(2), points.alias("tss")),
+        "pdf_score_summaries": scored.select((k * 10 + 3).alias("id"), (category * 10 + 1).alias("segment_id"), appearance(3), (F.col("tes") + F.col("pcs")).alias("total_segment_score"), F.col("tes").alias("total_element_score"), F.col("pcs").alias("total_program_component_score")),
+    }
+    return empty_layer(spark) | {name: registry.shaped(df, name) for name, df in t.items()}
+
+
+@query(_LAYER + "SELECT id AS event_id, root_url, 'Open ' || ev AS event_name, CASE WHEN c_nationkey % 3 > 0 THEN y || '-07-01' END AS start_day FROM latest")
+def view_events(spark: SparkSession, d: str) -> DataFrame:
+    return V.v_events(layer(spark, d)).select("event_id", "root_url", "event_name", day("event_start_date").alias("start_day"))
+
+
+@query(_LAYER + "SELECT run * 10000000000 + o_orderkey * 10 + 1 AS skater_appearance_id, skater_name, nation_code, club_name, coalesce(club_name, nation_code) AS display_affiliation, category_name, (o_orderkey % 30 + 1)::INT AS final_place, (o_totalprice / 1000)::DECIMAL(10, 3)::DOUBLE AS points FROM app")
+def view_category_results(spark: SparkSession, d: str) -> DataFrame:
+    out = V.v_skater_category_results(layer(spark, d))
+    return out.select("skater_appearance_id", "skater_name", "nation_code", "club_name", "display_affiliation", "category_name", "final_place", F.col("points").cast("double").alias("points"))
+
+
+@query(_LAYER + "SELECT score_id, score_source, skater_name, category_name, 'Free Skating' AS segment_name, tss::DOUBLE AS tss FROM score")
+def view_segment_scores(spark: SparkSession, d: str) -> DataFrame:
+    return V.v_skater_segment_scores(layer(spark, d)).select("score_id", "score_source", "skater_name", "category_name", "segment_name", F.col("tss").cast("double").alias("tss"))
+
+
+@query(_LAYER + """
+SELECT score_id, lag(tss) OVER w::DOUBLE AS previous_tss, (tss - lag(tss) OVER w)::DOUBLE AS tss_delta FROM score
+WINDOW w AS (PARTITION BY skater_name, nation_code, club_name ORDER BY start_date NULLS LAST, event_name NULLS LAST, category_name NULLS LAST, score_id)
+""")
+def view_progression(spark: SparkSession, d: str) -> DataFrame:
+    out = V.v_skater_progression(layer(spark, d))
+    return out.select("score_id", F.col("previous_tss_same_segment").cast("double").alias("previous_tss"), F.col("tss_delta_same_segment").cast("double").alias("tss_delta"))
+
+
+@query(_LAYER + "SELECT coalesce(club_name, '(empty club)') AS club_name, skater_name, nation_code, count(DISTINCT run) AS competitions, count(DISTINCT category_name) AS categories_seen, max(tss)::DOUBLE AS best_tss, strftime(min(start_date), '%Y-%m-%d') AS first_day FROM score GROUP BY 1, 2, 3")
+def view_club_summary(spark: SparkSession, d: str) -> DataFrame:
+    return V.v_club_skater_summary(layer(spark, d)).select("club_name", "skater_name", "nation_code", "competitions", "categories_seen", F.col("best_tss").cast("double").alias("best_tss"), day("first_event_date").alias("first_day"))
+
+
+_SKATERS = _LAYER + ", dim AS (SELECT row_number() OVER (ORDER BY skater_name, nation_code NULLS LAST, club_name NULLS LAST) AS skater_key, * FROM (SELECT DISTINCT skater_name, nation_code, club_name FROM app))"
+
+
+@query(_SKATERS + " SELECT score_id AS segment_score_key, run AS event_key, skater_key, tss::DOUBLE AS tss FROM score LEFT JOIN dim ON score.skater_name = dim.skater_name AND score.nation_code IS NOT DISTINCT FROM dim.nation_code AND score.club_name IS NOT DISTINCT FROM dim.club_name")
+def mart_segment_scores(spark: SparkSession, d: str) -> DataFrame:
+    return mart.fact_segment_score(layer(spark, d)).select("segment_score_key", "event_key", "skater_key", F.col("tss").cast("double").alias("tss"))
+
+
+@query(_SKATERS + " SELECT skater_key, max(tss)::DOUBLE AS best_tss, count(DISTINCT run) AS competitions FROM score LEFT JOIN dim ON score.skater_name = dim.skater_name AND score.nation_code IS NOT DISTINCT FROM dim.nation_code AND score.club_name IS NOT DISTINCT FROM dim.club_name GROUP BY 1")
+def mart_personal_bests(spark: SparkSession, d: str) -> DataFrame:
+    return mart.v_skater_personal_bests(layer(spark, d)).select("skater_key", F.col("best_tss").cast("double").alias("best_tss"), "competitions")
+
+
+@query(_LAYER + """
+, e AS (SELECT run, 1 AS kind FROM app UNION ALL SELECT run, 2 FROM app UNION ALL SELECT run, 3 FROM app JOIN lines USING (o_orderkey) WHERE o_orderkey % 5 > 0)
+SELECT CASE WHEN kind % 2 = 1 THEN 'html' ELSE 'judges_scores_pdf' END AS document_type, run AS import_run_id, count(*) AS n FROM e GROUP BY 1, 2
+""")
+def mart_source_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return mart.v_skater_source_evidence(layer(spark, d)).groupBy("document_type", "import_run_id").agg(F.count("*").alias("n"))
+
+
+@query(_LAYER + "SELECT root_url, count(*) AS completed_runs, array_to_string(list(id ORDER BY id DESC), ',') AS run_ids FROM runs WHERE status = 'completed' GROUP BY 1 HAVING count(*) > 1")
+def report_duplicate_runs(spark: SparkSession, d: str) -> DataFrame:
+    return quality.duplicate_runs(layer(spark, d)).withColumn("run_ids", F.array_join(F.col("run_ids").cast("array<string>"), ","))
+
+
+@query(_LAYER + """
+, seg AS (SELECT DISTINCT latest.id AS import_run_id, latest.root_url, o_orderpriority AS category_name, s.name AS segment_name FROM held JOIN latest USING (ev), (VALUES ('Free Skating'), ('Gala')) s(name)),
+done AS (SELECT DISTINCT latest.id AS import_run_id, o_orderpriority AS category_name FROM held JOIN latest USING (ev) JOIN lines USING (o_orderkey) WHERE o_orderkey % 5 > 0)
+SELECT import_run_id, root_url, category_name, segment_name, 0::BIGINT AS entry_count, 'empty_category' AS classification FROM seg WHERE segment_name = 'Gala' OR NOT EXISTS (SELECT 1 FROM done WHERE done.import_run_id = seg.import_run_id AND done.category_name = seg.category_name)
+""")
+def report_missing_results(spark: SparkSession, d: str) -> DataFrame:
+    return quality.missing_results(layer(spark, d)).select("import_run_id", "root_url", "category_name", "segment_name", "entry_count", "classification")
+
+
+@query(_LAYER + "SELECT 0::BIGINT AS likely_club_suffix_names, count(*) FILTER (WHERE nation_code = 'x') AS non_iso_nation_codes, 0::BIGINT AS iso_code_as_club_no_nation FROM score")
+def report_residue(spark: SparkSession, d: str) -> DataFrame:
+    return quality.residue(layer(spark, d))
+
+
+@query(_LAYER + """
+, a AS (SELECT nation_code, club_name, c_nationkey % 5 AS r, root_url, 1 AS n FROM app UNION ALL SELECT nation_code, club_name, c_nationkey % 5, root_url, 1 FROM app UNION ALL SELECT nation_code, club_name, c_nationkey % 5, root_url, 1 FROM app JOIN lines USING (o_orderkey) WHERE o_orderkey % 5 > 0)
+SELECT r_name AS profile_key, root_url, count(*) AS appearances, count(nation_code) AS with_country, count(club_name) AS with_club, count(*) FILTER (WHERE nation_code = 'x') AS non_iso_country_values FROM a JOIN region ON r = r_regionkey GROUP BY 1, 2
+""")
+def report_affiliations(spark: SparkSession, d: str) -> DataFrame:
+    return quality.affiliation_summary(layer(spark, d)).select("profile_key", "root_url", "appearances", "with_country", "with_club", "non_iso_country_values")
+
+
+@query("""
+WITH s AS (SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 99 END AS priority, c_mktsegment AS family, 'http://scores.invalid/' || lpad(c_custkey::VARCHAR, 9, '0') AS url FROM customer WHERE c_nationkey % 3 > 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F'))
+SELECT url, family, priority FROM s ORDER BY priority, family, url LIMIT 200
+""")
+def ready_worklist(spark: SparkSession, d: str, limit: int = 200) -> DataFrame:
+    url = lambda c: F.concat(F.lit(SITE), F.lpad(F.col(c).cast("string"), 9, "0"))
+    sources = table(spark, d, "customer").select(url("c_custkey").alias("url"), F.col("c_mktsegment").alias("family"), F.when(F.col("c_nationkey") % 3 > 0, "ready").otherwise("analyzed").alias("status"))
+    runs = table(spark, d, "orders").select(url("o_custkey").alias("root_url"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("started").alias("status"))
+    priority = F.when(F.col("family") == "BUILDING", 1).when(F.col("family") == "MACHINERY", 2).otherwise(99)
+    return registry.ready_worklist(sources, runs, limit=limit, priority=priority).select("url", "family", "priority")
+
+
+@query("""
+WITH e AS (SELECT user_id, event_type, count(*) AS n, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS clicks FROM events GROUP BY 1, 2)
+SELECT user_id, event_type, CASE WHEN event_type = 'click' AND clicks > 0 THEN 'ready' WHEN event_type = 'error' THEN 'skipped' ELSE 'analyzed' END AS status, CASE WHEN event_type = 'click' AND clicks > 0 THEN 'passed' WHEN event_type = 'error' THEN 'failed' ELSE 'pending' END AS validation_status FROM e
+""")
+def source_status(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count_if(F.col("event_type") == "click").alias("n_categories"))
+    kind = F.when(F.col("event_type") == "click", "supported").when(F.col("event_type") == "error", "unknown").otherwise("pdf")
+    return registry.decide_status(found.withColumn("source_class", kind)).select("user_id", "event_type", "status", "validation_status")
+
+
+@query("""
+SELECT page_id AS source_document_id, CASE WHEN lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) LIKE '%.pdf' THEN 'judges_scores_pdf' ELSE 'html' END AS document_type, CASE WHEN page_id % 7 = 0 THEN NULL ELSE sha256(html) END AS archive_sha256,
+  CASE WHEN page_id % 7 = 0 THEN 'skipped' ELSE 'written' END AS archive_status, CASE WHEN page_id % 7 = 0 THEN 'no text' END AS archive_reason FROM pages
+""")
+def archive_manifest(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.lit(1).cast("long").alias("import_run_id"), "url", F.when(F.col("page_id") % 7 > 0, F.col("html")).alias("body"))
+    runs = table(spark, d, "region").where("r_regionkey = 0").select(F.lit(1).cast("long").alias("id"), F.lit(SITE).alias("root_url"), F.lit("completed").alias("status"))
+    return registry.archive_manifest(docs, runs).select("source_document_id", "document_type", "archive_sha256", "archive_status", "archive_reason")
+
+
+@query("""
+WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Elit' || c_nationkey ELSE repeat(chr(65 + c_nationkey), 3) END AS nation, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE c_mktsegment END AS club, CASE WHEN c_custkey % 5 < 2 THEN 'nation' ELSE 'club' END AS prim, CASE WHEN c_custkey % 5 = 4 THEN 'club' ELSE 'country' END AS col FROM customer),
+m AS (SELECT *, prim = 'club' AND nation LIKE 'Elit%' AND club = '' AND col = 'club' AS moved FROM r)
+SELECT c_custkey, CASE WHEN moved OR (prim = 'club' AND nation LIKE 'Elit%') THEN NULL ELSE nation END AS nation_code, CASE WHEN moved THEN nation ELSE club END AS club_name, prim AS representation_type,
+  nullif(CASE WHEN moved THEN nation WHEN prim = 'club' THEN club ELSE nation END, '') AS representation_value FROM m
+""")
+def representation(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").select(
+        "c_custkey", F.when(k % 3 == 0, F.concat(F.lit("Elit"), F.col("c_nationkey"))).otherwise(F.expr("repeat(char(65 + c_nationkey), 3)")).alias("nation_code"), F.when(k % 2 == 0, "").otherwise(F.col("c_mktsegment")).alias("club_name"),
+        F.when(k % 5 < 2, "nation").otherwise("club").alias("representation_primary"), F.when(k % 5 == 4, "club").otherwise("country").alias("nation_column"),
+    )
+    return registry.normalize_representation(rows).select("c_custkey", "nation_code", "club_name", "representation_type", "representation_value")

@@ -375,14 +375,6 @@ def link_extract(spark, d):
     return L.dedupe_first(links, ["page_id", "href"], "place").select("page_id", "href", "place")
 
 
-@query("""
-SELECT page_id, CASE WHEN starts_with(html, '%PDF') THEN 'pdf' WHEN contains(lower(html), 'http-equiv="refresh"') THEN 'meta_refresh' WHEN contains(lower(html), '<table') THEN 'supported' WHEN contains(lower(html), '<article') THEN 'site_fallback' ELSE 'unknown' END AS kind FROM pages
-""")
-def page_preflight(spark, d):
-    h = F.lower("html")
-    return table(spark, d, "pages").select("page_id", T.choose_by([(F.col("html").startswith("%PDF"), "pdf"), (h.contains('http-equiv="refresh"'), "meta_refresh"), (h.contains("<table"), "supported"), (h.contains("<article"), "site_fallback")], "unknown").alias("kind"))
-
-
 @query("""
 WITH u AS (SELECT page_id, html, coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ''), '_no_host') AS host, regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), ';[^/]*$', '') AS raw,
   list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '') AS q FROM pages),
@@ -408,17 +400,6 @@ def arithmetic_check(spark, d):
     return o.join(s, F.col("o_orderkey") == F.col("l_orderkey")).where(off("net") & off("gross")).select("o_orderkey", F.col("net").cast("double").alias("net"), F.col("gross").cast("double").alias("gross"))
 
 
-@query("""
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_quantity)::DECIMAL(10, 2)::DOUBLE AS a, l_discount::DECIMAL(10, 2)::DOUBLE AS b, 3::INT AS n FROM lineitem
-""")
-def compact_split(spark, d):
-    line = table(spark, d, "lineitem")
-    text = F.concat(*[F.format_string("%.2f", c) for c in ("l_quantity", "l_discount", "l_tax")])
-    tokens = F.regexp_extract_all(text, F.lit(r"-?\d+\.\d{2}"), F.lit(0))
-    number = lambda i: F.element_at(tokens, i).cast("double")
-    return line.where(F.array_join(tokens, "") == text).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", number(1).alias("a"), number(2).alias("b"), F.size(tokens).alias("n"))
-
-
 @query("""
 SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS user_turn FROM conversations
 """)
@@ -434,16 +415,6 @@ def mart_counts(spark, d):
     return G.labelled_counts(**{t: table(spark, d, t) for t in _TABLES})
 
 
-@query("""
-WITH s AS (SELECT c_mktsegment, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 99 END AS priority, c_custkey, c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F'))
-SELECT c_custkey, priority FROM s ORDER BY priority, c_acctbal DESC, c_custkey LIMIT 200
-""")
-def ready_worklist(spark, d, limit: int = 200):
-    open_ = J.unmatched(table(spark, d, "customer"), table(spark, d, "orders").where("o_orderstatus = 'F'").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
-    priority = F.when(F.col("c_mktsegment") == "BUILDING", 1).when(F.col("c_mktsegment") == "MACHINERY", 2).otherwise(99)
-    return L.top(open_.withColumn("priority", priority), [F.asc("priority"), F.desc("c_acctbal")], limit, ["c_custkey"]).select("c_custkey", "priority")
-
-
 @query("""
 SELECT o_orderpriority, strftime(o_orderdate, '%Y') AS y, count(*) AS n, count(DISTINCT o_custkey) FILTER (WHERE o_orderstatus = 'F') AS finished, max(o_orderkey) FILTER (WHERE o_orderstatus = 'P') AS last_pending FROM orders GROUP BY 1, 2
 """)
