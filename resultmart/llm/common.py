@@ -89,7 +89,8 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
 def stage(df: DataFrame, label: str, batch_rows: int = 2000, waves: int = 0) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and lost executors lose nothing of it.
 
-    With ``waves``, as many tasks as that many waves over all cores write at most: fewer files where partitions are small.
+    With ``waves``, as many tasks as that many waves over all cores write at most, each going through its partitions one
+    by one: fewer files where partitions are small, for tables much smaller than the texts they come from.
     """
     path, spark = scratch(df.sparkSession, label), df.sparkSession
     with batches_of(spark, batch_rows):

@@ -122,7 +122,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = documents(docs, id_col, text_col).select(
         "doc_id", F.spark_partition_id().alias("node"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("length"), F.xxhash64(text).alias("check")
     )
-    rows = stage(rows, "digests")
+    rows = stage(rows, "digests", waves=3)
     total, nodes = rows.agg(F.count("*"), F.coalesce(F.max("node") + 1, F.lit(1))).first()
     range_bits = max(0, min(30, math.ceil(math.log2(max(1, total / rows_per_range)))))
 
@@ -130,7 +130,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     runs = keyed.mapInArrow(_leaf_runs(range_bits), RUN)
     for _ in range(max(1, math.ceil(math.log2(max(2, nodes)) / fan_bits))):
         runs = runs.withColumn("node", F.shiftright("node", fan_bits)).groupBy("range", "node").applyInArrow(_merge_round, RUN)
-    merged = stage(runs.mapInArrow(_entries, "digest binary, length long, check long, keep_id long, group_size long"), "merged")
+    merged = stage(runs.mapInArrow(_entries, "digest binary, length long, check long, keep_id long, group_size long"), "merged", waves=3)
 
     # Down again: an entry reaches each node that met its digest once, and there its rows.
     found = look_up(rows, merged, ["digest", "length", "check"])

@@ -51,9 +51,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"), *keep)
     exploded = rows.where("doc_id IS NOT NULL").select("doc_id", "text_hash", F.posexplode("lines").alias("position", "line"))
     keyed = exploded.select("doc_id", "text_hash", "position", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    held = stage(keyed.withColumn("key", F.unhex(F.md5("key"))), "lines")
+    held = stage(keyed.withColumn("key", F.unhex(F.md5("key"))), "lines", waves=3)
 
-    shared = stage(_shared(held, min_docs), "shared")
+    shared = stage(_shared(held, min_docs), "shared", waves=1)
     hot = shared.where(F.col("rows") * HOT_SHARE > held.count()).select("key", F.col("first_id").alias("hot_id"))
     marked = held.join(F.broadcast(hot), "key", "left")
     rest = marked.where("hot_id IS NULL").drop("hot_id").join(shared.select("key", "first_id"), "key")

@@ -318,8 +318,10 @@ def _linked(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, p
     near = rows.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(_passing(marked(wanted.select("rep"))), "doc_id long, text string")
     held = near.join(wanted, near.doc_id == wanted.rep).select("doc_id", "text", "cid", "digest").mapInArrow(_sets(words), "cid long, shingles binary")
     sets = held.groupBy("cid").agg(F.first("shingles").alias("shingles"))  # of repeated rows one
-    met = likely.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return stage(met.mapInArrow(_verify(percent), "a long, b long"), "pairs", PAIR_ROWS)
+    # thousands of classes may be tried with one hub: its set goes once to each of 64 nodes that have some of them
+    met = likely.withColumn("node", F.pmod(F.xxhash64("a"), F.lit(64))).join(sets.toDF("a", "x"), "a")
+    met = look_up(met, sets.toDF("b", "y"), ["b"]).select("a", "b", "x", "y")
+    return stage(met.mapInArrow(_verify(percent), "a long, b long"), "pairs", PAIR_ROWS, 3)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, keep: Sequence[str] = ()) -> DataFrame:
@@ -338,16 +340,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = documents(docs, id_col, text_col, keep, own)
     fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
     counts = sketch(rows.select("doc_id", "text"), words)
-    signs = stage(rows.mapInArrow(_signatures(words, percent, counts), "doc_id long, node int, uid long, n long, digest binary, prefix binary, marks binary" + fields), "signatures")
+    signs = stage(rows.mapInArrow(_signatures(words, percent, counts), "doc_id long, node int, uid long, n long, digest binary, prefix binary, marks binary" + fields), "signatures", waves=3)
     known = signs.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest")
     first = F.min(F.struct("doc_id", "uid")).alias("first")
 
     classes = known.agg(first, F.first("marks", ignorenulls=True).alias("marks"))
-    classes = stage(classes.select("digest", F.col("first.doc_id").alias("rep"), F.col("first.uid").alias("cid"), "marks"), "classes")
+    classes = stage(classes.select("digest", F.col("first.doc_id").alias("rep"), F.col("first.uid").alias("cid"), "marks"), "classes", waves=3)
     prefixes = known.agg(first, F.min("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"))
     tokens = prefixes.select("first.uid", "n", "prefix").mapInArrow(_tokens, "token long, spot long, cid long")
     ordered = tokens.repartitionByRange("token", "spot", "cid").sortWithinPartitions("token", "spot", "cid")
-    shared = _with_hubs(stage(ordered.mapInArrow(_shared, "token long, spot long, cid long, hub_spot long, hub long, part int"), "shared"))
+    shared = _with_hubs(stage(ordered.mapInArrow(_shared, "token long, spot long, cid long, hub_spot long, hub long, part int"), "shared", waves=3))
 
     tried = stage(_hub_pairs(shared, percent), "tried", waves=1)
     links = _linked(tried, rows, classes, words, percent)
