@@ -79,7 +79,7 @@ def test_tokens(docs, nothing, spark, tmp_path):
 
 def test_bpe(docs, nothing):
     out = encode(docs, WORD)
-    assert by_id(out.collect(), "ids")[-1][0] is None or len(out.collect()) == len(ROWS)
+    assert sorted((r.doc_id for r in out.collect()), key=str) == sorted((r[0] for r in ROWS), key=str)
     assert {r.doc_id: r.ids for r in out.collect()}[3] == []
     assert {r.doc_id: r.text for r in decode(out, WORD).collect()}[7] == "word</w>"
     assert decode(encode(nothing, WORD), WORD).count() == 0
@@ -94,6 +94,10 @@ def test_packing(docs, nothing):
 
 def test_near(docs, nothing):
     out = by_id(near_duplicates(docs).collect(), "n_shingles", "component_id")
+    kept = by_id(near_duplicates(docs, keep=["n_lines"]).collect(), "kept", "n_lines")
+    assert kept.count((1, True, 7)) == 1 and kept.count((2, False, 7)) == 2 and kept.count((7, True, 7)) == 2 and (3, True, None) in kept and (None, True, 7) in kept
+    with pytest.raises(ValueError):
+        near_duplicates(docs, keep=["n_shingles"])
     assert len(out) == len(ROWS) and (2, 6, 1) in out and (3, 0, 3) in out and (4, 0, 4) in out and (6, 0, 6) in out and (7, 1, 7) in out and (5, 29996, 5) in out
     assert near_duplicates(nothing).count() == 0
 
@@ -156,3 +160,37 @@ def test_revisits(spark):
     assert out.count() == 8
     assert out.where("record_id = 2").first().headers == {"content-length": "5", "server": "s", "etag": 'W/"q"', "date": "d"}
     assert resolve_revisits(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_many_lengths_of_vectors(spark):
+    rows = [(10 * n + k, [1.0] * n + [0.01 * k]) for n in range(1, 8) for k in range(3)] + [(500, [0.0] * 5 + [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {r.vec_id: (r.n_links, r.component_id) for r in embedding_links(df, block_rows=2, max_lengths=2).collect()}
+    assert out == {10 * n + k: (2, 10 * n) for n in range(1, 8) for k in range(3)} | {500: (0, 500)}
+
+
+def test_hub_lists_over_many_tasks(spark):
+    """One shingle list that goes on in other tasks has the hub of its first row there."""
+    from resultmart.llm.near_dup import _shared, _with_hubs
+
+    rows = [(5, p << 32 | 40, 100 + p) for p in range(30)] + [(t, 40, t) for t in range(20, 26)] + [(30, 40, 1), (30, 41, 2)]
+    df = spark.createDataFrame(rows, "token long, spot long, cid long").repartitionByRange(6, "token", "spot", "cid").sortWithinPartitions("token", "spot", "cid")
+    raw = df.mapInArrow(_shared, "token long, spot long, cid long, hub_spot long, hub long, part int").cache()
+    out = _with_hubs(raw).collect()
+    assert {(r.cid, r.hub, r.hub_spot) for r in out if r.token == 5} == {(100 + p, 100, 40) for p in range(30)}
+    assert {(r.cid, r.hub) for r in out if r.token == 30} == {(1, 1), (2, 1)} and raw.select("part").distinct().count() > 2
+
+
+def test_scratch_folder_is_named(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from resultmart.llm.common import clear, scratch, stage
+
+    other = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch(other, "x")
+    held = stage(spark.range(3), "three")
+    assert held.count() == 3
+    clear(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        held.count()
