@@ -71,24 +71,23 @@ def _matched(c: Column, pattern: str, group: int = 1) -> Column:
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
 
 
-def make_date(year: Column, month: Column, day: Column) -> Column:
-    """Null where the day doesn't exist."""
-    return F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date")
-
-
 def parse_event_start(c: Column) -> Column:
     """The first day of a date range in one of its layouts.
 
     The text before " - ", else its first D.M.YYYY, else D.M with the year of the range's end. A date with slashes is
     month-first only if that alone is possible; all others are day-first. Impossible days give null.
     """
-    full = r"^(\d{1,2})[./](\d{1,2})[./](\d{4})"
+    full = r"^\d{1,2}[./]\d{1,2}[./]\d{4}"
     short = r"^(\d{1,2})[./](\d{1,2})\s*-\s*\d{1,2}[./]\d{1,2}[./](\d{4})\z"
-    head = F.split_part(c, F.lit(" - "), F.lit(1))
-    source = F.when(head.rlike(full + r"\z"), head).when(c.rlike(full), c).when(c.rlike(short), F.regexp_replace(c, short, "$1.$2.$3"))
-    a, b, year = (_matched(source, full, k).cast("int") for k in (1, 2, 3))
-    month_first = (a <= 12) & (b >= 13) & (b <= 31)
-    return make_date(year, F.when(month_first, a).otherwise(b), F.when(month_first, b).otherwise(a))
+    head = F.regexp_extract(F.split_part(c, F.lit(" - "), F.lit(1)), full + r"\z", 0)
+    source = F.coalesce(blank_to_null(head), blank_to_null(F.regexp_extract(c, full, 0)), F.when(c.rlike(short), F.regexp_replace(c, short, "$1.$2.$3")))
+
+    def date(parts: Column) -> Column:
+        a, b, year = (F.get(parts, F.lit(i)) for i in range(3))
+        month_first = (a.cast("int") <= 12) & (b.cast("int") >= 13) & (b.cast("int") <= 31)
+        return F.concat_ws("-", year, F.when(month_first, a).otherwise(b), F.when(month_first, b).otherwise(a)).try_cast("date")
+
+    return F.get(F.transform(F.array(F.split(source, "[./]")), date), F.lit(0))  # the parts are found once
 
 
 def season(date: Column) -> Column:

@@ -288,19 +288,25 @@ def alias_usage(spark, d):
 
 
 @query("""
-WITH b AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price, CASE WHEN o_orderkey % 2 = 0 THEN 'old' END AS note, o_orderpriority AS kept FROM orders WHERE o_orderkey % 3 <> 0),
-u AS (SELECT o_orderkey AS id, 'P' AS status, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice * 2 END AS price, 'new' AS note, 'x' AS kept FROM orders WHERE o_orderkey % 2 = 1)
+WITH b AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price, CASE WHEN o_orderpriority LIKE '1%' THEN 'old' END AS note, o_orderpriority AS kept FROM orders WHERE o_orderstatus <> 'P'),
+u AS (SELECT l_orderkey AS id, 'R' AS status, CASE WHEN max(l_tax) > 0.07 THEN NULL ELSE max(l_extendedprice) END AS price, 'new' AS note, 'x' AS kept FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
 SELECT coalesce(b.id, u.id) AS id, CASE WHEN b.id IS NULL THEN u.status WHEN u.id IS NULL OR b.status = 'F' THEN b.status ELSE u.status END AS status, coalesce(u.price, b.price) AS price,
   CASE WHEN b.id IS NULL THEN u.note WHEN u.id IS NULL THEN b.note ELSE concat_ws(chr(10), b.note, u.note) END AS note, CASE WHEN b.id IS NULL THEN u.kept ELSE b.kept END AS kept
 FROM b FULL JOIN u ON b.id = u.id
 """)
 def upsert_policy(spark, d):
-    o, k = table(spark, d, "orders"), F.col("o_orderkey")
-    b = o.where(k % 3 != 0).select(k.alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.when(k % 2 == 0, "old").alias("note"), F.col("o_orderpriority").alias("kept"))
-    u = o.where(k % 2 == 1).select(k.alias("id"), F.lit("P").alias("status"), F.when(k % 5 == 0, None).otherwise(F.col("o_totalprice") * 2).alias("price"), F.lit("new").alias("note"), F.lit("x").alias("kept"))
+    """Orders that aren't pending, changed by their returned lines; returned lines of pending orders are new."""
+    b = table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.when(F.col("o_orderpriority").startswith("1"), "old").alias("note"), F.col("o_orderpriority").alias("kept"))
+    u = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("id")).agg(F.lit("R").alias("status"), F.when(F.max("l_tax") > 0.07, None).otherwise(F.max("l_extendedprice")).alias("price"), F.lit("new").alias("note"), F.lit("x").alias("kept"))
     return M.upsert(b, u, ["id"], {"status": M.guard("F"), "price": "coalesce", "note": "append", "kept": "keep"})
 
 
+@query("SELECT row_number() OVER (ORDER BY c_mktsegment, c_name, c_custkey) AS customer_key, c_custkey FROM customer")
+def dense_customers(spark, d):
+    """A key set that grows with its table."""
+    return W.dense_key(table(spark, d, "customer"), ["c_mktsegment", "c_name", "c_custkey"], "customer_key").select("customer_key", "c_custkey")
+
+
 @query("""
 WITH b AS (SELECT o_custkey AS k, min(o_orderkey) AS first_order FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), u AS (SELECT c_custkey AS k, -1::BIGINT AS first_order FROM customer)
 SELECT * FROM b UNION ALL SELECT * FROM u WHERE k NOT IN (SELECT k FROM b)

@@ -14,8 +14,7 @@ NUMBER = "decimal(10,3)"
 SUMMARY = r"^(\d+) (.+?) ?([A-Z]{3}) (\d+) (\d+\.\d\d) (?:(\d+\.\d\d) )?(\d+\.\d\d) (-?\d+\.\d\d)\z"
 ELEMENT = r"^(\d+) (\S+) (?:(.*?) )??(\d+\.\d+) (?:(.*?) )??(-?\d+\.\d+)((?: (?:-?\d+|-))+)(?: (\d+\.\d+))? (-?\d+\.\d+)\z"
 COMPONENT = r"^([A-Z][A-Za-z /&]+?) (\d+\.\d\d)((?: \d+\.\d\d)+) (\d+\.\d\d)\z"
-BLOCK = r"(?s)TotalDeductions\s*(.{3,200}?)#\s*Executed"
-BLOCK_SPACED = r"(?s)Total\s*Deductions\s*(.{3,200}?)#\s*Executed"
+BLOCK = r"(?s)Total\s*Deductions\s*(.{3,200}?)#\s*Executed"
 COMPACT = r"(?s)^(\d+)\s*(.+?)\s*([A-Z]{3})\s+(\d+)\s+([\d.\s-]+)\z"
 TITLE = r"(?s)^(.*?)JUDGES DETAILS PER SKATER(.*)\z"
 
@@ -83,7 +82,7 @@ def sheet_summaries(sheets: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 def sheet_blocks(sheets: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Summaries of compact sheets, whose columns run into one another between two known headings."""
-    blocks = sheets.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.regexp_extract_all(text, F.lit(BLOCK_SPACED), F.lit(1))).alias("line_no", "block"))
+    blocks = sheets.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.regexp_extract_all(text, F.lit(BLOCK), F.lit(1))).alias("line_no", "block"))
     b = F.btrim("block")
     g = lambda i: F.regexp_extract(b, COMPACT, i)
     rows = blocks.where(b.rlike(COMPACT)).withColumn("s", split_scores(g(5))).where("s IS NOT NULL")
