@@ -7,7 +7,8 @@ most r plus the cell's radius and exceeds the distance to its own pivot by at mo
 plane of the two pivots is at most r. So each vector meets all its partners in its home cell, where they are counted
 once. Cells are cut into blocks of bounded size; a pair of blocks is one group. How far replication goes depends on the
 data: where distances concentrate, as for random directions in many dimensions, the bounds exclude little and the join
-costs what comparing all blocks costs.
+costs what comparing all blocks costs. Blocks are compared in single precision, and pairs whose cosine it leaves open
+in double precision.
 
 Equal vectors are one class, so a vector that a third of all rows hold is compared once. A group of vectors that are
 all linked yields counts and a star, never its pairs.
@@ -165,12 +166,19 @@ def _join(kind: str, cosine: float):
         size = group.column("size")[0].as_py()
         reps, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
         v = unit(group.column("raw").to_pylist(), kind, size)
+        single = v.astype(np.float32)
+        doubt = (size + 4) * 2.0**-23  # single precision errs by less; pairs this near to the threshold are computed again in double
         h, m = np.flatnonzero(as_home), np.flatnonzero(~as_home)
         stars: list[tuple[np.ndarray, np.ndarray]] = []
         links = np.zeros(len(h), np.int64)
         for k in range(0, len(h), 512):
             rows = h[k : k + 512]
-            near = v[rows] @ v[m].T >= cosine
+            rough = single[rows] @ single[m].T
+            near = rough >= cosine + doubt
+            x, y = np.nonzero(~near & (rough >= cosine - doubt))
+            for i in range(0, len(x), 8192):
+                a, b = x[i : i + 8192], y[i : i + 8192]
+                near[a, b] = np.einsum("ij,ij->i", v[rows[a]], v[m[b]]) >= cosine
             near &= reps[rows][:, None] != reps[m][None, :]
             links[k : k + 512] = near @ copies[m]
             x, y = np.nonzero(near)
