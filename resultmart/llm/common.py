@@ -90,14 +90,20 @@ def stage(df: DataFrame, label: str, batch_rows: int = 2000, waves: int = 0) ->
     """Write a table to the shared folder and read it back: lineage ends there, and lost executors lose nothing of it.
 
     With ``waves``, as many tasks as that many waves over all cores write at most, each going through its partitions one
-    by one: fewer files where partitions are small, for tables much smaller than the texts they come from.
+    by one: fewer files where partitions are small, for tables much smaller than the texts they come from. Not for rows
+    that carry the number of their task: partitions of one task have it in common.
     """
     path, spark = scratch(df.sparkSession, label), df.sparkSession
     with batches_of(spark, batch_rows):
-        (df.coalesce(waves * spark.sparkContext.defaultParallelism) if waves else df).write.option("compression", "zstd").parquet(path)
+        (few(df, waves) if waves else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, waves: int) -> DataFrame:
+    """In as many tasks as that many waves over all cores at most."""
+    return df.coalesce(waves * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def look_up(rows: DataFrame, table: DataFrame, key: Sequence[str], node: str = "node") -> DataFrame:
     """A left join of rows to a table with one row for each key, where one key may hold a third of all rows.
 

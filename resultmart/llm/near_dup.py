@@ -25,7 +25,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resultmart.llm.common import documents, look_up, rows_of, stage
+from resultmart.llm.common import documents, few, look_up, rows_of, stage
 from resultmart.llm.components import components
 from resultmart.llm.shingles import mix, shingle_sets
 
@@ -340,7 +340,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = documents(docs, id_col, text_col, keep, own)
     fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
     counts = sketch(rows.select("doc_id", "text"), words)
-    signs = stage(rows.mapInArrow(_signatures(words, percent, counts), "doc_id long, node int, uid long, n long, digest binary, prefix binary, marks binary" + fields), "signatures", waves=3)
+    signs = stage(few(rows, 6).mapInArrow(_signatures(words, percent, counts), "doc_id long, node int, uid long, n long, digest binary, prefix binary, marks binary" + fields), "signatures")
     known = signs.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest")
     first = F.min(F.struct("doc_id", "uid")).alias("first")
 
@@ -349,7 +349,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prefixes = known.agg(first, F.min("n").alias("n"), F.first("prefix", ignorenulls=True).alias("prefix"))
     tokens = prefixes.select("first.uid", "n", "prefix").mapInArrow(_tokens, "token long, spot long, cid long")
     ordered = tokens.repartitionByRange("token", "spot", "cid").sortWithinPartitions("token", "spot", "cid")
-    shared = _with_hubs(stage(ordered.mapInArrow(_shared, "token long, spot long, cid long, hub_spot long, hub long, part int"), "shared", waves=3))
+    shared = _with_hubs(stage(ordered.mapInArrow(_shared, "token long, spot long, cid long, hub_spot long, hub long, part int"), "shared"))
 
     tried = stage(_hub_pairs(shared, percent), "tried", waves=1)
     links = _linked(tried, rows, classes, words, percent)

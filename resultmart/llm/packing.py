@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resultmart.llm.common import documents, parts_of, release, stage
+from resultmart.llm.common import documents, few, parts_of, release, stage
 from resultmart.llm.tokens import encoder, lists_of
 
 #: Buckets of the hashed token vector.
@@ -119,9 +119,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, i
     same or a null doc_id. An empty table gives no pieces; extra columns are dropped.
     """
     width = encoder(tokenizer).dtype.str
-    held = stage(documents(docs, id_col, text_col).mapInArrow(_tokens(tokenizer, end_id, dims, bits, seed), "uid long, doc_id long, hilbert_key long, doc_tokens long, ids binary"), "packing", waves=6)
+    held = stage(few(documents(docs, id_col, text_col), 6).mapInArrow(_tokens(tokenizer, end_id, dims, bits, seed), "uid long, doc_id long, hilbert_key long, doc_tokens long, ids binary"), "packing")
     order = held.select("uid", "doc_tokens", "hilbert_key").repartitionByRange("hilbert_key", "uid").sortWithinPartitions("hilbert_key", "uid").select("uid", "doc_tokens")
-    places = stage(order.mapInArrow(_places, "part int, uid long, local long, n long"), "places", waves=3)
+    places = stage(order.mapInArrow(_places, "part int, uid long, local long, n long"), "places")
     before, offsets = 0, []
     for part, n in sorted(places.groupBy("part").agg(F.sum("n")).collect()):  # one row for each range partition
         offsets.append((part, before))
