@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from resultmart.llm.common import clear
+from resultmart.llm.exact_dedup import exact_duplicates
 from resultmart.llm.queries import ORACLES, QUERIES
 from resultmart.llm.quality import CLASSES, FEATURES, fit_quality
 
@@ -165,3 +166,17 @@ def test_quality_scores_by_look_ups(spark, texts):
         total += sum(t[bin_of(model.coarse[a], x[a]), bin_of(model.coarse[b], x[b])] for (a, b), t in zip(model.pairs, model.pair_tables, strict=True))
         assert math.isclose(r.score, 1 / (1 + math.exp(-max(-35, min(35, total)))), abs_tol=1e-6)
         assert r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_more_partitions_than_tasks(spark):
+    """Rows are told apart where a task goes through several partitions."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(120, "doc_id")
+    step = dict(corpus_pipeline.STAGES)
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    group = components({i: shingles(t) for i, t in kept.items()})
+    assert {r.doc_id for r in step["n-gram Jaccard join"](spark, docs, SF).collect()} == {i for i in kept if group[i] == i}
+    assert_packed(step["curve packing"](spark, docs, SF).collect(), kept)
+    lines = step["line deduplication"](spark, docs, SF)
+    assert sorted((r.doc_id, r.text) for r in lines.collect()) == sorted((r.doc_id, r.text) for r in step["line deduplication"](spark, docs.coalesce(1), SF).collect())
+    out = {(r.doc_id, r.keep_id, r.group_size) for r in exact_duplicates(docs).collect()}
+    assert out == {(r.doc_id, r.keep_id, r.group_size) for r in QUERIES["op7_exact_dedup"](spark, SF).collect()}
