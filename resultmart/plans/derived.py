@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resultmart.operators import latest as L
+from resultmart.operators.aggregate import labelled_counts
+from resultmart.operators.maintenance import club_id, seeded_aliases
 from resultmart.plans import analytics as V
 from resultmart.plans import mart, pages, quality, registry, sheets
 from resultmart.plans.queries import day, query, table
-from resultmart.sources.tables import empty_layer, written
+from resultmart.sources import tables as S
 
 SITE = "http://scores.invalid/"
 
@@ -147,7 +149,7 @@ latest AS (SELECT * FROM runs WHERE status = 'completed' QUALIFY row_number() OV
 app AS (SELECT held.*, latest.id AS run, latest.root_url, 'Open ' || latest.ev AS event_name, CASE WHEN latest.c_nationkey % 3 > 0 THEN make_date(latest.y, 7, 1) END AS start_date, upper(c_name) AS skater_name, CASE WHEN o_custkey % 6 = 0 THEN NULL WHEN o_custkey % 11 = 0 THEN 'x' ELSE repeat(chr(65 + held.c_nationkey), 3) END AS nation_code,
   CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS club_name, o_orderpriority AS category_name FROM held JOIN latest USING (ev) WHERE o_custkey % 13 > 0),
 lines AS (SELECT l_orderkey AS o_orderkey, sum(l_quantity)::DECIMAL(10, 3) AS tes, sum(l_linenumber)::DECIMAL(10, 3) AS pcs FROM lineitem GROUP BY 1),
-score AS (SELECT o_orderkey * 10 + 3 AS score_id, 'pdf_score_summary' AS score_source, app.*, tes + pcs AS tss FROM app JOIN lines USING (o_orderkey) WHERE o_orderkey % 5 > 0
+score AS (SELECT run * 10000000000 + o_orderkey * 10 + 3 AS score_id, 'pdf_score_summary' AS score_source, app.*, tes + pcs AS tss FROM app JOIN lines USING (o_orderkey) WHERE o_orderkey % 5 > 0
   UNION ALL SELECT o_orderkey * 10 + 2, 'html_segment_result', app.*, (o_totalprice / 1000)::DECIMAL(10, 3) FROM app WHERE NOT EXISTS (SELECT 1 FROM app a JOIN lines USING (o_orderkey) WHERE a.o_orderkey % 5 > 0 AND a.run = app.run AND a.category_name = app.category_name AND a.skater_name = app.skater_name))
 """
 
@@ -169,6 +171,9 @@ def layer(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("decimal(10,3)").alias("tes"), F.sum("l_linenumber").cast("decimal(10,3)").alias("pcs"))
     scored = rows.join(lines, k == F.col("l_orderkey")).where(k % 5 > 0)
     points = (F.col("o_totalprice") / 1000).cast("decimal(10,3)")
+    sheet = F.col("run") * 10_000_000_000 + k * 10 + 3
+    parts = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("element_no"), F.concat(F.lit("3"), F.col("l_returnflag"), F.when(F.col("l_returnflag") == "R", "<").otherwise("")).alias("element_code"), F.col("l_quantity").cast("decimal(10,3)").alias("base_value"))
+    clubs = table(spark, d, "customer").select(F.col("c_mktsegment").alias("canonical_name")).distinct().select(club_id(F.col("canonical_name")).alias("club_id"), "canonical_name", F.lit("confirmed").alias("status"))
 
     def who(df: DataFrame, i: int, kind: str) -> DataFrame:
         segment = F.lit(None).cast("long") if i == 1 else (category * 10 + 1)
@@ -185,9 +190,12 @@ def layer(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         "source_skater_appearances": who(rows, 1, "category_result").unionByName(who(rows, 2, "segment_result")).unionByName(who(scored, 3, "pdf_score")),
         "category_results": rows.select((F.col("run") * 10_000_000_000 + k).alias("id"), category, appearance(1), (k % 30 + 1).cast("int").alias("final_place"), points.alias("points")),
         "segment_results": rows.select((k * 10 + 2).alias("id"), (category * 10 + 1).alias("segment_id"), appearance(2), points.alias("tss")),
-        "pdf_score_summaries": scored.select((k * 10 + 3).alias("id"), (category * 10 + 1).alias("segment_id"), appearance(3), (F.col("tes") + F.col("pcs")).alias("total_segment_score"), F.col("tes").alias("total_element_score"), F.col("pcs").alias("total_program_component_score")),
+        "pdf_elements": scored.select("run", "o_orderkey").join(parts, k == F.col("l_orderkey")).select(sheet.alias("pdf_score_summary_id"), sheet.alias("id"), "element_no", "element_code", F.array_compact(F.array(F.when(F.col("element_code").endswith("<"), "<"))).alias("markers"), "base_value"),
+        "clubs": clubs,
+        "club_aliases": seeded_aliases(clubs.select("canonical_name", F.lower("canonical_name").alias("alias_name"), F.lit("high").alias("confidence")), clubs),
+        "pdf_score_summaries": scored.select(sheet.alias("id"), (category * 10 + 1).alias("segment_id"), appearance(3), (F.col("tes") + F.col("pcs")).alias("total_segment_score"), F.col("tes").alias("total_element_score"), F.col("pcs").alias("total_program_component_score")),
     }
-    return empty_layer(spark) | {name: registry.shaped(df, name) for name, df in t.items()}
+    return S.empty_layer(spark) | {name: registry.shaped(df, name) for name, df in t.items()}
 
 
 @query(_LAYER + "SELECT id AS event_id, root_url, 'Open ' || ev AS event_name, CASE WHEN c_nationkey % 3 > 0 THEN y || '-07-01' END AS start_day FROM latest")
@@ -313,3 +321,98 @@ def representation(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 5 < 2, "nation").otherwise("club").alias("representation_primary"), F.when(k % 5 == 4, "club").otherwise("country").alias("nation_column"),
     )
     return registry.normalize_representation(rows).select("c_custkey", "nation_code", "club_name", "representation_type", "representation_value")
+
+
+@query(_LAYER + """
+SELECT skater_name, category_name, l_linenumber::INT AS element_no, '3' || l_returnflag || CASE WHEN l_returnflag = 'R' THEN '<' ELSE '' END AS element_code, count(*) AS n, sum(l_quantity)::DOUBLE AS base_total, count(*) FILTER (WHERE l_returnflag = 'R') AS marked
+FROM app JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 5 > 0 GROUP BY ALL
+""")
+def view_elements(spark: SparkSession, d: str) -> DataFrame:
+    out = V.v_skater_elements(layer(spark, d)).groupBy("skater_name", "category_name", "element_no", "element_code")
+    return out.agg(F.count("*").alias("n"), F.sum(F.col("base_value").cast("double")).alias("base_total"), F.count_if(F.array_contains("markers", "<")).alias("marked"))
+
+
+@query(_LAYER + """
+, used AS (SELECT c_mktsegment AS club, held.ev, v FROM held JOIN runs USING (ev), LATERAL (SELECT runs.id AS v) x WHERE o_custkey % 4 > 0)
+SELECT club AS canonical_name, lower(club) AS alias_name, (count(*) + (SELECT count(*) FROM held h2 JOIN runs r2 USING (ev) WHERE h2.c_mktsegment = used.club AND h2.o_custkey % 4 > 0) + (SELECT count(*) FROM held h3 JOIN runs r3 USING (ev) JOIN lines USING (o_orderkey) WHERE h3.c_mktsegment = used.club AND h3.o_custkey % 4 > 0 AND o_orderkey % 5 > 0))::BIGINT AS uses, count(DISTINCT v) AS event_count FROM used GROUP BY club
+""")
+def view_alias_usage(spark: SparkSession, d: str) -> DataFrame:
+    out = V.v_club_alias_usage(layer(spark, d))
+    return out.select("canonical_name", "alias_name", F.col("imported_appearance_count").alias("uses"), "event_count")
+
+
+@query(_LAYER + "SELECT club_name, lower(club_name) IS NOT NULL AS mapped, count(*) AS n FROM app GROUP BY 1, 2")
+def view_results_with_club(spark: SparkSession, d: str) -> DataFrame:
+    out = V.v_skater_category_results_with_club(layer(spark, d))
+    return out.groupBy("club_name", F.col("canonical_club_id").isNotNull().alias("mapped")).agg(F.count("*").alias("n"))
+
+
+@query(_LAYER + """
+SELECT 'dim_category' AS label, count(DISTINCT (run, category_name)) AS rows FROM app UNION ALL SELECT 'dim_country', count(DISTINCT nation_code) FROM app UNION ALL SELECT 'dim_date', count(DISTINCT start_date) FROM latest l JOIN app ON app.run = l.id
+UNION ALL SELECT 'dim_event', count(*) FROM latest UNION ALL SELECT 'dim_skater', count(*) FROM (SELECT DISTINCT skater_name, nation_code, club_name FROM app) UNION ALL SELECT 'dim_source_document', 2 * count(*) FROM runs
+""")
+def mart_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    t = layer(spark, d)
+    return labelled_counts(**{n: mart.VIEWS[n](t) for n in ("dim_category", "dim_country", "dim_date", "dim_event", "dim_skater", "dim_source_document")})
+
+
+@query(_LAYER + "SELECT run * 10000000000 + o_orderkey * 10 + 1 AS competition_result_key, run AS event_key, strftime(start_date, '%Y-%m-%d') AS date_key, (o_totalprice / 1000)::DECIMAL(10, 3)::DOUBLE AS points FROM app")
+def mart_competition_results(spark: SparkSession, d: str) -> DataFrame:
+    out = mart.fact_competition_result(layer(spark, d)).where("skater_key IS NOT NULL")
+    return out.select("competition_result_key", "event_key", day("date_key").alias("date_key"), F.col("points").cast("double").alias("points"))
+
+
+@query(_LAYER + "SELECT nation_code, count(DISTINCT skater_name) AS skaters, count(DISTINCT run) AS events FROM app WHERE nation_code = 'x' GROUP BY 1")
+def report_nonconforming_nations(spark: SparkSession, d: str) -> DataFrame:
+    return quality.nonconforming_nation_summary(layer(spark, d)).select("nation_code", "skaters", "events")
+
+
+@query(_LAYER + "SELECT id AS import_run_id, root_url FROM latest")
+def report_latest_runs(spark: SparkSession, d: str) -> DataFrame:
+    return quality.latest_runs(layer(spark, d))
+
+
+@query("""
+SELECT 'import_runs' AS label, 2 * count(*) AS rows FROM (SELECT DISTINCT c_nationkey, year(o_orderdate) FROM orders JOIN customer ON o_custkey = c_custkey)
+UNION ALL SELECT 'categories', 2 * count(*) FROM (SELECT DISTINCT c_nationkey, year(o_orderdate), o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey) UNION ALL SELECT 'source_profiles', count(*) FROM region
+""")
+def source_layer(spark: SparkSession, d: str) -> DataFrame:
+    names, root, t = ["import_runs", "categories", "source_profiles"], S.shared_path(spark, "layer"), layer(spark, d)
+    S.write_layer({n: t[n] for n in names}, root)
+    return labelled_counts(**S.load_layer(spark, root, names, views=False))
+
+
+@query("SELECT page_id AS source_document_id, sha256(html) AS archive_sha256, 'written' AS archive_status, 'http://scores.invalid/' AS root_url FROM pages")
+def source_manifest(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.lit(1).cast("long").alias("import_run_id"), "url", F.col("html").alias("body"))
+    runs = table(spark, d, "region").where("r_regionkey = 0").select(F.lit(1).cast("long").alias("id"), F.lit(SITE).alias("root_url"), F.lit("completed").alias("status"))
+    root = S.shared_path(spark, "manifest")
+    S.write_manifest(registry.archive_manifest(docs, runs), root)
+    loaded = registry.load_manifest(S.empty_layer(spark)["source_archive_files"], S.read_manifest_csv(spark, f"{root}/csv"))
+    return loaded.select("source_document_id", "archive_sha256", "archive_status", "root_url")
+
+
+@query("SELECT DISTINCT url FROM pages WHERE url NOT LIKE '#%' AND trim(url) <> ''")
+def source_url_list(spark: SparkSession, d: str) -> DataFrame:
+    root = S.shared_path(spark, "urls")
+    table(spark, d, "pages").select(F.explode(F.array("url", F.lit(""), F.lit("# comment"))).alias("value")).write.text(root)
+    return S.read_url_list(spark, root).distinct()
+
+
+@query("""SELECT '{"orders":[{"n":' || (SELECT count(*) FROM orders) || '}],"customers":[{"n":' || (SELECT count(*) FROM customer) || '}]}' AS report""")
+def source_report(spark: SparkSession, d: str) -> DataFrame:
+    return S.json_report(**{n: table(spark, d, t).agg(F.count("*").alias("n")) for n, t in (("orders", "orders"), ("customers", "customer"))})
+
+
+@query("""
+SELECT s_name AS event_name, CASE WHEN s_nationkey % 2 = 0 THEN 'registered' ELSE 'found' END AS discovery_status, CASE WHEN s_suppkey % 3 = 0 THEN 'isu_official_catalog' ELSE 'known' END AS kind, 'http://scores.invalid/' || s_suppkey AS result_url FROM supplier
+""")
+def catalog_load(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier")
+    event = [F.lit("list").alias("source_name"), F.col("s_name").alias("event_name")]
+    base = registry.shaped(s.where("s_nationkey % 2 = 0").select(*event, F.lit("").alias("city"), F.lit("registered").alias("discovery_status")), "event_discovery_catalog")
+    rows = s.select(*event, F.lit("found").alias("discovery_status"), F.when(F.col("s_suppkey") % 3 > 0, "known").alias("kind"), F.concat(F.lit(SITE), F.col("s_suppkey")).alias("result_url"))
+    out = registry.load_catalog(base, registry.shaped(rows, "event_discovery_catalog"))
+    root = S.shared_path(spark, "catalog")
+    S.write_catalog(out, root)
+    return spark.read.schema("event_name string, discovery_status string, kind string, result_url string").json(f"{root}/json")

@@ -33,12 +33,11 @@ def write_layer(tables: dict[str, DataFrame], root: str) -> None:
         df.write.parquet(f"{root}/{name}")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the folder that all executors share (``spark.checkpoint.dir``) and read it back.
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``).
 
     Where that setting is absent, a local master takes a temporary folder; on any other master that is an error.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
@@ -46,9 +45,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there."""
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
