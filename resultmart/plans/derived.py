@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from resultmart.functions import text as T
 from resultmart.operators import latest as L
 from resultmart.operators.aggregate import labelled_counts
 from resultmart.operators.maintenance import club_id, seeded_aliases
@@ -416,3 +417,88 @@ def catalog_load(spark: SparkSession, d: str) -> DataFrame:
     root = S.shared_path(spark, "catalog")
     S.write_catalog(out, root)
     return spark.read.schema("event_name string, discovery_status string, kind string, result_url string").json(f"{root}/json")
+
+
+@query(r"""
+WITH u AS (SELECT page_id, url, trim(regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), ';[^/]*$', ''), '/') AS p FROM pages),
+v AS (SELECT *, CASE WHEN regexp_matches(p, '(?i)/index\.html?$') THEN regexp_replace(p, '(?i)/index\.html?$', '') WHEN lower(p) LIKE '%.pdf' THEN regexp_replace(p, '/[^/]*$', '') ELSE p END AS prefix FROM u)
+SELECT page_id, prefix, 'bsf_discovered_' || substr(trim(regexp_replace(lower(prefix), '[^a-z0-9]+', '_', 'g'), '_'), 1, 48) || '_' || substr(sha1(prefix), 1, 8) AS profile_key,
+  CASE page_id % 4 WHEN 0 THEN 'ISU' WHEN 1 THEN 'DP' ELSE 'club' END AS stream, CASE WHEN page_id % 4 = 0 THEN 'nation' ELSE 'club' END AS representation, CASE WHEN page_id % 3 = 0 OR contains(url, '/2013/') THEN 'old_isucalcfs' ELSE 'fs_manager' END AS parser FROM v
+""")
+def url_rules(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("result_ISU", "result_DP", "other", "other")]), (F.col("page_id") % 4 + 1).cast("int"))
+    profile = F.when(F.col("page_id") % 3 == 0, "old_isucalcfs")
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", T.path_prefix(u).alias("prefix"), T.profile_key(u).alias("profile_key"), T.stream_of(kind, u).alias("stream"), T.representation_of(kind).alias("representation"), T.parser_of(profile, u).alias("parser"))
+
+
+_LABELS = ("SHORT PROGRAM", "PATTERN DANCE 2 (WITHOUT KEY POINTS)", "PATTERN DANCE", "GALA")
+
+
+@query("SELECT s_suppkey, 'OPEN ' || s_nationkey AS before, upper(s_name) || CASE WHEN s_suppkey % 4 = 3 THEN ' GALA' ELSE '' END AS category, CASE s_suppkey % 4 WHEN 0 THEN 'SHORT PROGRAM' WHEN 1 THEN 'PATTERN DANCE 2 (WITHOUT KEY POINTS)' WHEN 2 THEN 'PATTERN DANCE' ELSE '' END AS segment FROM supplier")
+def sheet_titles(spark: SparkSession, d: str) -> DataFrame:
+    label = F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    text = F.concat(F.lit("OPEN "), F.col("s_nationkey"), F.lit("\nJUDGES DETAILS PER SKATER "), F.upper("s_name"), F.lit(" "), label, F.lit("\nprinted: now"))
+    out = sheets.sheet_titles(table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), text.alias("text")))
+    title = T.split_sheet_title(F.col("after"))
+    return out.select(F.col("doc_id").cast("long").alias("s_suppkey"), "before", title["category"].alias("category"), title["segment"].alias("segment"))
+
+
+@query("SELECT o_orderkey, day(o_orderdate) || '.' || month(o_orderdate) || '.' || year(o_orderdate) || ' - 31.12.' || year(o_orderdate) AS text FROM orders")
+def clean_dates(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.concat(F.date_format("o_orderdate", "d . M.yyyy"), F.lit("\u00a0 \ufffd–  31.12."), F.date_format("o_orderdate", "yyyy"), F.lit(" "))
+    return table(spark, d, "orders").select("o_orderkey", T.clean_date(raw).alias("text"))
+
+
+@query("""
+SELECT DISTINCT p_brand AS category, p_type AS segment, 'segment' AS kind, 'SEG-' || p_type || '.htm' AS details FROM part UNION ALL SELECT DISTINCT p_brand, NULL, 'category', NULL FROM part
+""")
+def page_index(spark: SparkSession, d: str) -> DataFrame:
+    a = lambda href, text: F.concat(F.lit('<a href="'), href, F.lit(f'">{text}</a>'))
+    p = table(spark, d, "part").select("p_brand", "p_type").distinct()
+    segment = _row(F.lit(""), F.col("p_type"), a(F.concat(F.lit("SEG-"), F.col("p_type"), F.lit(".htm")), "Result Details"))
+    rows = p.groupBy("p_brand").agg(F.array_join(F.collect_list(segment), "").alias("segments"))
+    body = F.concat(F.lit("<title>Open</title><table><tr><th>Category</th><th>Segment</th><th></th></tr>"), _row(F.col("p_brand"), F.lit(""), a(F.lit("CAT001RS.htm"), "Result")), F.col("segments"), F.lit("</table>"))
+    docs = rows.select(F.concat(F.lit(f"{SITE}i/"), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit("/index.htm")).alias("url"), body.alias("body"))
+    return pages.index_rows(pages.cells(docs)).select("category", "segment", "kind", F.col("details.href").alias("details"))
+
+
+@query("SELECT s_name || ' & Co' AS event_name, 'https://r.invalid/' || s_suppkey AS result_url, 'candidate_result_url' AS discovery_status FROM supplier")
+def catalog_details(spark: SparkSession, d: str) -> DataFrame:
+    payload = F.concat(F.lit('<script>x("{\\"pageinfos\\":{\\"name\\":\\"'), F.col("s_name"), F.lit(' &amp; Co\\",\\"detail_result_url\\":\\"https:\\/\\/r.invalid\\/'), F.col("s_suppkey"), F.lit('\\"}}")</script>'))
+    docs = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("url"), payload.alias("body"))
+    return pages.detail_rows(docs).select("event_name", "result_url", "discovery_status")
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, sum(l_quantity)::DECIMAL(10, 3) AS e, sum(l_linenumber)::DECIMAL(10, 3) AS c, count(*) % 2 AS off FROM lineitem GROUP BY 1)
+SELECT l_orderkey, (e + c + off)::DOUBLE AS total FROM s WHERE off = 1 AND NOT abs((e + c + off) - (e + c) / 2) <= 0.02
+""")
+def report_score_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("decimal(10,3)").alias("total_element_score"), F.sum("l_linenumber").cast("decimal(10,3)").alias("total_program_component_score"), (F.count("*") % 2).cast("decimal(10,3)").alias("off"))
+    s = s.withColumn("total_segment_score", F.col("total_element_score") + F.col("total_program_component_score") + F.col("off")).withColumn("total_deductions", F.lit(None).cast("decimal(10,3)"))
+    return quality.score_mismatches(s).select("l_orderkey", F.col("total_segment_score").cast("double").alias("total"))
+
+
+@query("""
+SELECT page_id, CASE WHEN regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) NOT LIKE '%.com' THEN NULL WHEN starts_with(trim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), 'en') THEN 'english' ELSE 'all' END AS profile_key FROM pages
+""")
+def attached_profiles(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages").select("page_id", "url")
+    hosts = p.select(T.url_host(F.col("url")).alias("host")).where("host LIKE '%.com'").distinct()
+    profiles = hosts.select("host", F.explode(F.array(F.struct(F.lit("").alias("path_prefix"), F.lit("all").alias("profile_key")), F.struct(F.lit("/en").alias("path_prefix"), F.lit("english").alias("profile_key")))).alias("p")).select("host", "p.*")
+    return registry.attach_profiles(p, profiles).select("page_id", "profile_key")
+
+
+@query("""
+WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Elit' ELSE 'AAA' END AS nation, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE c_mktsegment END AS club FROM customer)
+SELECT c_custkey, CASE WHEN nation = 'Elit' THEN NULL ELSE nation END AS nation_code, CASE WHEN nation = 'Elit' AND club = '' THEN 'Elit' ELSE club END AS club_name, CASE WHEN nation = 'Elit' OR club <> '' THEN 'club' ELSE 'nation' END AS representation_type,
+  CASE WHEN nation = 'Elit' AND club = '' THEN 'Elit' WHEN club <> '' THEN club ELSE 'AAA' END AS representation_value FROM r WHERE NOT (nation = 'Elit' AND club <> '')
+UNION ALL SELECT c_custkey, 'Elit', club, 'club', club FROM r WHERE nation = 'Elit' AND club <> ''
+""")
+def corrected_appearances(spark: SparkSession, d: str) -> DataFrame:
+    """The rules over appearances of club-primary sources in the older layout, whose nation column holds clubs."""
+    k, none = F.col("c_custkey"), F.create_map().cast("map<string,string>")
+    nation, club = F.when(k % 3 == 0, "Elit").otherwise("AAA"), F.when(k % 2 == 0, "").otherwise(F.col("c_mktsegment"))
+    rows = table(spark, d, "customer").select("c_custkey", nation.alias("nation_code"), club.alias("club_name"), F.lit("nation").alias("representation_type"), nation.alias("representation_value"), F.lit("old_isucalcfs").alias("parser_profile"), F.lit("club").alias("representation_primary"), F.lit("club").alias("nation_column"), none.alias("raw"))
+    return registry.correct_appearances(rows).select("c_custkey", "nation_code", "club_name", "representation_type", "representation_value")
