@@ -113,15 +113,6 @@ def marked(ids: DataFrame, bits: int = MARK_BITS) -> Broadcast:
     return ids.sparkSession.sparkContext.broadcast(held.ravel())
 
 
-def _passing(held: Broadcast, bits: int = MARK_BITS):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = bucket(b.column(0).to_numpy(), bits)
-            yield b.filter(pa.array((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
-
-    return run
-
-
 def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -278,14 +269,18 @@ def _suffix_filter(percent: int):
     return run
 
 
-def _sets(words: int):
-    """The sets of rows whose digest is that of the class that they stand for."""
+def _sets(words: int, held: Broadcast, bits: int = MARK_BITS):
+    """doc_id, digest and set of the rows that pass the filter of documents whose sets are needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in rows_of(batches, TEXT_BYTES):
+        def passing() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = bucket(b.column(0).to_numpy(), bits)
+                yield b.filter(pa.array((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+
+        for rows, texts in rows_of(passing(), TEXT_BYTES):
             found = shingle_sets([x.encode() for x in texts], words)
-            good = np.array([_digest(x) == d for x, d in zip(found, rows.column(3).to_pylist(), strict=True)], bool)
-            yield pa.RecordBatch.from_arrays([rows.column(2).filter(pa.array(good)), pa.array([x.tobytes() for x, g in zip(found, good, strict=True) if g], pa.binary())], names=["cid", "shingles"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([_digest(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "digest", "shingles"])
 
     return run
 
@@ -309,14 +304,14 @@ def _verify(percent: int):
 
 
 def _linked(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold. Only texts of classes in pairs that pass the suffix filter move."""
+    """The pairs (a, b) whose similarity reaches the threshold. Only sets of classes in pairs that pass the suffix filter move."""
     marks = classes.select("cid", "marks")
     likely = pairs.join(marks.toDF("a", "x"), "a").join(marks.toDF("b", "y"), "b").select("a", "b", "p", "q", "x", "y").mapInArrow(_suffix_filter(percent), "a long, b long")
     likely = stage(likely, "likely", waves=1)
     cids = likely.select(F.col("a").alias("cid")).union(likely.select("b")).distinct()
     wanted = stage(classes.select("cid", "rep", "digest").join(cids, "cid", "left_semi"), "wanted", waves=1)
-    near = rows.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(_passing(marked(wanted.select("rep"))), "doc_id long, text string")
-    held = near.join(wanted, near.doc_id == wanted.rep).select("doc_id", "text", "cid", "digest").mapInArrow(_sets(words), "cid long, shingles binary")
+    near = rows.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(_sets(words, marked(wanted.select("rep"))), "doc_id long, digest binary, shingles binary")
+    held = near.join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"])
     sets = held.groupBy("cid").agg(F.first("shingles").alias("shingles"))  # of repeated rows one
     # thousands of classes may be tried with one hub: its set goes once to each of 64 nodes that have some of them
     met = likely.withColumn("node", F.pmod(F.xxhash64("a"), F.lit(64))).join(sets.toDF("a", "x"), "a")
