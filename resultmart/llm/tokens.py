@@ -2,10 +2,13 @@
 
 Both vocabularies in use cut a text at every space before they merge, so the ids of a text are the ids of its pieces in
 order. A batch of texts is split at spaces and its distinct pieces are found by Arrow; the ids of a piece are those of
-its word and of the punctuation behind it, and Arrow gathers them in the order of the texts. Words are merged by the
+its word and of the ASCII punctuation behind it, and Arrow gathers them in the order of the texts. Word and punctuation
+stand apart where the word, as the vocabulary's normaliser leaves it, ends in a letter or number that was one in Unicode
+3.2 already (all later versions agree on it; a lower-case letter may be longer than its capital and end in a combining
+mark, which the pattern joins with punctuation); other pieces go to the library in one. Words are merged by the
 library's model once and remembered while a task runs, two generations of at most ``CACHE`` words; that changes no
 result. A text for which the argument doesn't hold (white space side by side or at an end where it matters, a special
-token's string) goes to the library whole.
+token's string) goes to the library whole. With ``plain`` the strings of special tokens are ordinary text.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import functools
 import itertools
 import json
 import os
+import unicodedata
 from array import array
 
 import numpy as np
@@ -82,17 +86,19 @@ def lists_of(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
 class PieceEncoder:
     """``flat(texts)`` gives the ids of all texts end to end as ``dtype``, and where each text's ids end."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = plain
         self.library.no_truncation()
         self.library.no_padding()
         self.merge = self.library.model.tokenize
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
-        self.special = [x["content"] for x in held["added_tokens"]]
+        self.special = [] if plain else [x["content"] for x in held["added_tokens"]]
+        self.normalise = self.library.normalizer.normalize_str if self.library.normalizer else str
         self.spaced = "Replace" not in json.dumps(held["normalizer"])  # a space is part of the word that follows it
         self.lowers = "Lowercase" in json.dumps(held["normalizer"])
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
@@ -121,6 +127,9 @@ class PieceEncoder:
         at = [0, *itertools.accumulate(len(x) * self.dtype.itemsize for x in found)]
         return [flat[a:z] for a, z in itertools.pairwise(at)]
 
+    def _ends_a_word(self, x: str) -> bool:
+        return unicodedata.ucd_3_2_0.category((self.normalise(x) or " ")[-1])[0] in "LN"
+
     def _cores(self, names: list[str], spaced: bool) -> list[bytes | bool]:
         """The ids of pieces without the punctuation at their end; False for one that doesn't stand apart from it."""
         words, old = self.words[spaced], self.old[spaced]
@@ -134,7 +143,7 @@ class PieceEncoder:
                 new.append(i)
                 continue
             if ids is None:
-                ids = x[-1:].isalnum() and "<|" not in x and "\n" not in x and not x[0].isspace() and self._library([(" " if spaced and self.spaced else "") + x])[0].tobytes()
+                ids = x[-1:].isalnum() and self._ends_a_word(x) and "<|" not in x and "\n" not in x and not x[0].isspace() and self._library([(" " if spaced and self.spaced else "") + x])[0].tobytes()
             found[i] = words[x] = ids
         for i, ids in zip(new, self._learn([names[i] for i in new], spaced), strict=True):
             found[i] = words[names[i]] = ids
@@ -214,5 +223,5 @@ class PieceEncoder:
 
 
 @functools.lru_cache(2)
-def encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+def encoder(path: str, plain: bool = False) -> PieceEncoder:
+    return PieceEncoder(path, plain)
