@@ -14,6 +14,7 @@ from resultmart.llm.metric_join import embedding_links
 from resultmart.llm.near_dup import near_duplicates
 from resultmart.llm.packing import pack
 from resultmart.llm.quality import fit_quality, score_quality
+from resultmart.llm.sentence import decode_pieces, encode_pieces
 from resultmart.llm.sharding import shard
 from resultmart.llm.token_file import crc32_of_ids, read_tokens, write_tokens
 from resultmart.llm.warc import resolve_revisits
@@ -21,6 +22,7 @@ from resultmart.llm.warc import resolve_revisits
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 #: Most text of a shard.
 SHARD_BYTES = 1 << 20
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -82,7 +84,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_extendible_sharding, op3_line_dedup, op4_metric_join, op5_quality_gam, op6_revisits, op7_exact_dedup, op8_ngram_jaccard, op9_hilbert_packing, op10_bpe)}
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = decode_pieces(encode_pieces(read(spark, sf_dir, "documents"), PIECES), PIECES)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_extendible_sharding, op3_line_dedup, op4_metric_join, op5_quality_gam, op6_revisits, op7_exact_dedup, op8_ngram_jaccard, op9_hilbert_packing, op10_bpe, op11_sentence_pieces)}
 
 ORACLES = {
     "op2_extendible_sharding": f"""
