@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from resultmart.llm.alignment import digest_of_groups, score_links
 from resultmart.llm.bpe import decode, encode
 from resultmart.llm.common import read, scratch
 from resultmart.llm.exact_dedup import exact_duplicates
@@ -90,7 +91,11 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_extendible_sharding, op3_line_dedup, op4_metric_join, op5_quality_gam, op6_revisits, op7_exact_dedup, op8_ngram_jaccard, op9_hilbert_packing, op10_bpe, op11_sentence_pieces)}
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_links(read(spark, sf_dir, "documents"), BYTE_BPE, PIECES, digest_of_groups(BYTE_BPE, PIECES), "groups_sha256 string")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_extendible_sharding, op3_line_dedup, op4_metric_join, op5_quality_gam, op6_revisits, op7_exact_dedup, op8_ngram_jaccard, op9_hilbert_packing, op10_bpe, op11_sentence_pieces, op12_alignment)}
 
 ORACLES = {
     "op2_extendible_sharding": f"""

@@ -96,8 +96,7 @@ class SentencePiece:
         self.matches = automaton.iter
         #: What stands before punctuation in a piece; the empty word isn't apart from it either.
         self.joining = {"", "\n", MARK} | {a for x in plain for a, b in itertools.pairwise(x) if b in TAIL and a not in TAIL}
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.forget()
         out = [b"" if i in self.control else x.replace(MARK, " ").encode() for i, x in enumerate(self.names)]
         for b, i in self.bytes.items():
             out[i] = bytes([b])
@@ -157,6 +156,7 @@ class SentencePiece:
         return out
 
     def word(self, text: str) -> bytes:
+        """The ids of a text in the model's spelling."""
         found = self.words.get(text)
         if found is None:
             found = self.words[text] = self.old.get(text) or array("i", self.ids(text)).tobytes()
@@ -167,8 +167,18 @@ class SentencePiece:
         if not x or x[-1] == MARK:
             return None
         if x[0] == "\n":
-            return self.word(x[:1]) + self.word(x[1:]) if len(x) > 1 else self.word(x)
-        return self.word(MARK + x)
+            return array("i", self.ids(x[:1]) + self.ids(x[1:])).tobytes()
+        return array("i", self.ids(MARK + x)).tobytes()
+
+    def _known(self, names: list[str]) -> list[bytes | None]:
+        """The ids of pieces, those that aren't remembered encoded anew."""
+        known, old = self.pieces, self.old_pieces
+        found = list(map(known.get, names))
+        for i, ids in enumerate(found):
+            if ids is None:
+                x = names[i]
+                found[i] = known[x] = old.get(x) or self._piece(x)
+        return found
 
     def _pieces(self, names: pa.Array) -> pa.Array:
         """The ids of distinct pieces: those of the word and of the punctuation behind it where no model piece holds both."""
@@ -182,12 +192,12 @@ class SentencePiece:
         some = np.flatnonzero((n > 0) & ~whole)
         for i, x, k in zip(some, names.take(pa.array(some)).to_pylist(), n[some].tolist(), strict=True):
             tail[i] = tails.setdefault(x[-k:], len(tails))
-        ids = pa.array([None if x[-1:] in self.joining else self._piece(x) for x in words], pa.binary()).take(held.indices)
+        ids = pa.array(self._known(words), pa.binary()).take(held.indices)
         behind = pa.array([self.word(x) if x else b"" for x in tails], pa.binary()).take(pa.array(tail))
         out = pc.binary_join_element_wise(ids, behind, pa.scalar(b"", pa.binary()))
         if whole.any():
             mask = pa.array(whole)
-            out = pc.replace_with_mask(out, mask, pa.array(map(self._piece, names.filter(mask).to_pylist()), pa.binary()))
+            out = pc.replace_with_mask(out, mask, pa.array(self._known(names.filter(mask).to_pylist()), pa.binary()))
         return out
 
     def whole(self, text: str) -> np.ndarray:
@@ -197,8 +207,8 @@ class SentencePiece:
 
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each text's end. Null is empty."""
-        if len(self.words) >= CACHE:
-            self.old, self.words = self.words, {}
+        if len(self.words) + len(self.pieces) >= CACHE:
+            self.old, self.words, self.old_pieces, self.pieces = self.words, {}, self.pieces, {}
         texts = pc.fill_null(texts, "")
         split = Pieces(pc.replace_substring(texts, "\n", " \n"))
         ids = self._pieces(split.names)
@@ -213,7 +223,10 @@ class SentencePiece:
 
     def forget(self) -> None:
         """At the end of a task: the memory is another task's."""
-        self.words, self.old = {}, {}
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes | None] = {}
+        self.old_pieces: dict[str, bytes | None] = {}
         self.known.clear()
 
     def _first(self, ids: np.ndarray) -> int:
