@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from resultmart.llm.alignment import digest_of_groups, score_links
 from resultmart.llm.bpe import decode, encode
 from resultmart.llm.common import read, scratch
+from resultmart.llm.divergence import audit_sources
 from resultmart.llm.exact_dedup import exact_duplicates
 from resultmart.llm.line_dedup import dedup_lines
 from resultmart.llm.metric_join import embedding_links
@@ -95,7 +96,11 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_links(read(spark, sf_dir, "documents"), BYTE_BPE, PIECES, digest_of_groups(BYTE_BPE, PIECES), "groups_sha256 string")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_extendible_sharding, op3_line_dedup, op4_metric_join, op5_quality_gam, op6_revisits, op7_exact_dedup, op8_ngram_jaccard, op9_hilbert_packing, op10_bpe, op11_sentence_pieces, op12_alignment)}
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_extendible_sharding, op3_line_dedup, op4_metric_join, op5_quality_gam, op6_revisits, op7_exact_dedup, op8_ngram_jaccard, op9_hilbert_packing, op10_bpe, op11_sentence_pieces, op12_alignment, op13_source_audit)}
 
 ORACLES = {
     "op2_extendible_sharding": f"""
@@ -166,5 +171,34 @@ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.
 l AS MATERIALIZED (SELECT x, y FROM p JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * o >= 80 * (nx.n + ny.n - o)),
 reach(doc_id, hit) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, l.y FROM reach JOIN l ON l.x = reach.hit)
 SELECT doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(hit) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY 1
+""",
+    "op13_source_audit": r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), kept AS MATERIALIZED (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(ts)) AS term FROM d) GROUP BY 1, 2 HAVING count(*) >= 10
+), c AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(ts) AS term FROM d) JOIN kept USING (lang, term) GROUP BY 1, 2, 3
+), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+g AS MATERIALIZED (
+  SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(total, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN v USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY 1, 2) t ON t.lang = g.lang AND t.source = g.source
+), p AS MATERIALIZED (
+  SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (total + 2 * v) AS p
+  FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), q AS (
+  SELECT l.lang, l.term, 1 + (1000000000::HUGEINT * (sum(l.n) + 2)) // (any_value(w.total) + 2 * any_value(w.v)) AS q
+  FROM p l JOIN (SELECT lang, sum(total) AS total, max(v) AS v FROM g GROUP BY 1) w ON w.lang = l.lang GROUP BY 1, 2
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+), everyone AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+), term AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM (SELECT * FROM everyone UNION ALL SELECT * FROM term)
+QUALIFY part = 'pair' OR rank <= 10
 """,
 }
