@@ -35,6 +35,8 @@ SHARD_TERMS = 1 << 16
 BROADCAST_BYTES = 64 << 20
 #: Different terms that a task counts before it passes them on, and text that it streams at once.
 COUNTED, TEXT_BYTES = 200_000, 2_000_000
+#: Counts of ordinals that a task holds as numbers.
+HELD = 2_000_000
 #: Ordinals and sources of a tile of counts.
 TILE_TERMS, TILE_SOURCES = 4096, 64
 SCALE = 1_000_000_000
@@ -126,15 +128,17 @@ class Transducer:
             live, at, state, total = live[there], at[there] + 1, self.target[arc], total[there] + self.out[arc]
         return out
 
-    def term(self, ordinal: int) -> bytes:
-        """The term of an ordinal."""
-        state, found = self.start, bytearray()
-        while ordinal or not self.final[state]:
-            arcs = [(w << 6 | b, int(self.base[state, w]) + k) for w in range(4) for k, b in enumerate(i for i in range(64) if int(self.bits[state, w]) >> i & 1)]
-            byte, arc = max((x for x in arcs if self.out[x[1]] <= ordinal), key=lambda x: x[1])
-            found.append(byte)
-            ordinal, state = ordinal - int(self.out[arc]), int(self.target[arc])
-        return bytes(found)
+    def terms(self) -> Iterator[bytes]:
+        """All terms in order."""
+        states, arc_bytes = np.nonzero(np.unpackbits(np.ascontiguousarray(self.bits).view(np.uint8), axis=1, bitorder="little"))
+        first = np.searchsorted(states, np.arange(len(self.final) + 1)).tolist()
+        arcs = [(bytes([b]), t) for b, t in zip(arc_bytes.tolist(), self.target.tolist(), strict=True)]
+        final, open_ = self.final.tolist(), [(b"", self.start)]
+        while open_:
+            path, state = open_.pop()
+            if final[state]:
+                yield path
+            open_.extend((path + b, t) for b, t in arcs[first[state] : first[state + 1]][::-1])
 
     def parts(self) -> dict:
         return {"n": self.n, "start": self.start, **{x: getattr(self, x).tobytes() for x in ("bits", "base", "target", "out", "final")}}
@@ -146,16 +150,11 @@ class Transducer:
         return cls(p["n"], p["start"], held["bits"].reshape(-1, 4), held["base"].reshape(-1, 4), held["target"], held["out"], held["final"])
 
 
-def _runs(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple[tuple, list[bytes | None]]]:
-    """Rows of equal values in columns of names: the values and the texts."""
+def _runs(batch: pa.RecordBatch, name: str) -> Iterator[tuple[str, pa.Table]]:
+    """Rows of equal values in a column: the value and the rows."""
     held = pa.Table.from_batches([batch])
-    keys = Counter(zip(*[held[x].to_pylist() for x in names], strict=True))
-    for key in keys:
-        mask = None
-        for x, value in zip(names, key, strict=True):
-            same = pc.equal(held[x], pa.scalar(value))
-            mask = same if mask is None else pc.and_(mask, same)
-        yield key, held["text"].filter(mask).cast(pa.binary()).to_pylist()
+    for value in held[name].unique().to_pylist():
+        yield value, held.filter(pc.equal(held[name], pa.scalar(value)))
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +167,9 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         counts.clear()
 
     for batch in parts_of(batches, TEXT_BYTES):
-        for (lang,), texts in _runs(batch, ["lang"]):
+        for lang, rows in _runs(batch, "lang"):
             held = counts.setdefault(lang, Counter())
-            for text in texts:
+            for text in rows["text"].cast(pa.binary()).to_pylist():
                 held.update(set(text.translate(BYTES).split(b" ")))
             del held[b""]
         if sum(map(len, counts.values())) > COUNTED:
@@ -217,19 +216,48 @@ def _before(shards: DataFrame) -> DataFrame:
     return shards.select("lang", "part", "number", "n", size.alias("size")).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
 
 
-def _streamed(shards: dict[str, list[tuple[int, Transducer]]], texts: list[bytes], lang: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ordinals in the texts of one language, and how often each occurs."""
+def _streamed(shards: list[tuple[int, Transducer]], texts: list[bytes], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For texts of one language, the ordinals of their kept terms and the number in ``of`` of the text that holds each."""
+    sizes = np.array([len(x) + 1 for x in texts], np.int64)
     raw = np.frombuffer(b" ".join([b"", *texts, b""]).translate(BYTES), np.uint8)
     inside = raw != 32
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     starts, ends = edges[::2], edges[1::2]
-    found = []
-    for before, held in shards.get(lang, []):
+    found, held_by = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for before, held in shards:
         ordinals = held.ordinals(raw, starts, ends)
         hit = ordinals >= 0
         found.append(ordinals[hit] + before)
+        held_by.append(of[np.searchsorted(np.cumsum(sizes), starts[hit] - 1, "right")])
         starts, ends = starts[~hit], ends[~hit]
-    return np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+    return np.concatenate(found), np.concatenate(held_by)
+
+
+class _Counts:
+    """How often each ordinal occurs in each source of a language; ``size`` different ones at the last look."""
+
+    def __init__(self) -> None:
+        self.sources: dict[str, int] = {}
+        self.keys, self.n, self.size, self.new = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 0
+
+    def add(self, ordinals: np.ndarray, sources: np.ndarray) -> None:
+        keys, n = np.unique(sources << 40 | ordinals, return_counts=True)
+        self.keys.append(keys)
+        self.n.append(n)
+        self.new += len(keys)
+        if self.new > max(COUNTED, self.size):
+            self.gather()
+
+    def gather(self) -> None:
+        keys, at = np.unique(np.concatenate(self.keys), return_inverse=True)
+        self.keys, self.n = [keys], [np.bincount(at, np.concatenate(self.n), len(keys)).astype(np.int64)]
+        self.size, self.new = len(keys), 0
+
+    def rows(self, lang: str) -> pa.RecordBatch:
+        self.gather()
+        keys = self.keys[0]
+        sources = pa.array(list(self.sources), pa.string()).take(pa.array(keys >> 40))
+        return pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(keys), np.int32))), sources, pa.array(keys & (1 << 40) - 1), pa.array(self.n[0])], names=["lang", "source", "ordinal", "n"])
 
 
 def _recount(held):
@@ -239,20 +267,16 @@ def _recount(held):
         shards: dict[str, list] = {}
         for lang, before, parts in held.value:
             shards.setdefault(lang, []).append((before, Transducer.from_parts(parts)))
-        counts: dict[tuple[str, str], Counter] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), n in counts.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], names=["lang", "source", "ordinal", "n"])
-            counts.clear()
-
+        counts: dict[str, _Counts] = {}
         for batch in parts_of(batches, TEXT_BYTES):
-            for (lang, source), texts in _runs(batch, ["lang", "source"]):
-                ordinals, n = _streamed(shards, texts, lang)
-                counts.setdefault((lang, source), Counter()).update(dict(zip(ordinals.tolist(), n.tolist(), strict=True)))
-            if sum(map(len, counts.values())) > COUNTED:
-                yield from flush()
-        yield from flush()
+            for lang, rows in _runs(batch, "lang"):
+                mine = counts.setdefault(lang, _Counts())
+                of = np.array([mine.sources.setdefault(x, len(mine.sources)) for x in rows["source"].to_pylist()], np.int64)
+                mine.add(*_streamed(shards.get(lang, []), rows["text"].cast(pa.binary()).to_pylist(), of))
+            if sum(x.size for x in counts.values()) > HELD:
+                yield from (x.rows(lang) for lang, x in counts.items())
+                counts = {}
+        yield from (x.rows(lang) for lang, x in counts.items())
         release()
 
     return run
@@ -268,9 +292,10 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts.clear()
 
     for batch in parts_of(batches, TEXT_BYTES):
-        for key, texts in _runs(batch, ["lang", "source"]):
-            held = counts.setdefault(key, Counter())
-            held.update(b" ".join(texts).translate(BYTES).split())
+        for lang, rows in _runs(batch, "lang"):
+            for source, texts in _runs(rows.combine_chunks().to_batches()[0], "source"):
+                held = counts.setdefault((lang, source), Counter())
+                held.update(b" ".join(texts["text"].cast(pa.binary()).to_pylist()).translate(BYTES).split())
         if sum(map(len, counts.values())) > COUNTED:
             yield from flush()
     yield from flush()
@@ -281,10 +306,9 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The terms of transducers (lang, part, number, ordinal in the shard, term)."""
     for b in batches:
         for row in b.to_pylist():
-            held = Transducer.from_parts(row)
-            for a in range(0, held.n, 4096):
-                z = min(held.n, a + 4096)
-                yield pa.RecordBatch.from_pylist([{"lang": row["lang"], "part": row["part"], "number": row["number"], "place": i, "term": held.term(i)} for i in range(a, z)], schema=pa.schema([("lang", pa.string()), ("part", pa.int32()), ("number", pa.int32()), ("place", pa.int64()), ("term", pa.binary())]))
+            terms = pa.array(Transducer.from_parts(row).terms(), pa.binary())
+            same = [pa.array([row[x]], kind).take(pa.array(np.zeros(len(terms), np.int32))) for x, kind in (("lang", pa.string()), ("part", pa.int32()), ("number", pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(terms))), terms], names=["lang", "part", "number", "place", "term"])
 
 
 def ordinals_of(shards: DataFrame) -> DataFrame:

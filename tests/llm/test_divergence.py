@@ -50,7 +50,7 @@ def test_transducer(held, others):
     ends = np.cumsum([len(x) + 1 for x in asked]) - 1
     starts = ends - [len(x) for x in asked]
     assert made.ordinals(raw, starts, ends).tolist() == [terms.index(x) if x in terms else -1 for x in asked]
-    assert [made.term(i) for i in range(made.n)] == terms
+    assert list(made.terms()) == terms
     prefixes = {x[:k] for x in terms for k in range(len(x) + 1)}
     assert len(made.final) == len({frozenset(x[len(p) :] for x in terms if x.startswith(p)) for p in prefixes})  # minimal
 
