@@ -43,7 +43,8 @@ def zip_map(headers: Column, cells: Column) -> Column:
     n = F.least(F.size(headers), F.size(cells))
     held = F.slice(headers, F.lit(1), n)
     names = F.filter(F.array_distinct(held), lambda x: x.isNotNull() & (x != ""))
-    return F.map_from_arrays(names, F.transform(names, lambda x: F.element_at(cells, (n + 1 - F.array_position(F.reverse(held), x)).cast("int"))))
+    last = lambda back: F.transform(names, lambda x: F.element_at(cells, (n + 1 - F.array_position(back, x)).cast("int")))
+    return F.map_from_arrays(names, F.get(F.transform(F.array(F.reverse(held)), last), F.lit(0)))
 
 
 def enumerate_rows(df: DataFrame, array_col: str, position: str = "position", value: str = "value") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import mimetypes
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,10 +43,9 @@ def clean_text(c: Column) -> Column:
 
 
 def clean_date(c: Column) -> Column:
-    """A date text without stray spaces around its separators and without a word or dot that closes a date."""
-    c = F.regexp_replace(clean_text(c), r"(?<=\d)\s*([./])\s*(?=\d)", "$1")
-    c = F.regexp_replace(c, r"(?<=\d)[^\d./–-]*\.(?=\s|\z)", "")
-    return blank_to_null(F.btrim(F.regexp_replace(c, r"\s*[–-]\s*", " - ")))
+    """A date text without a word that closes a date, a dot that stands alone, and dots at the end; dashes stay as they are."""
+    c = F.regexp_replace(clean_text(c), r"(?<=\d)\s+[^\d\s-]+(?=\s*(?:-|\z))", "")
+    return blank_to_null(F.btrim(F.regexp_replace(F.regexp_replace(c, r"\s+\.\s+", " "), r"\s*\.+\z", "")))
 
 
 def to_int(c: Column) -> Column:
@@ -172,10 +170,17 @@ def representation_of(kind: Column) -> Column:
     return F.when(kind.isin("result_ISU", "result_NonISU"), "nation").otherwise("club")
 
 
+#: Media types by the ending of a file name.
+MEDIA_TYPES = {
+    ".css": "text/css", ".csv": "text/csv", ".doc": "application/msword", ".gif": "image/gif", ".htm": "text/html", ".html": "text/html", ".ico": "image/vnd.microsoft.icon", ".jpeg": "image/jpeg", ".jpg": "image/jpeg",
+    ".js": "text/javascript", ".json": "application/json", ".mp4": "video/mp4", ".pdf": "application/pdf", ".png": "image/png", ".svg": "image/svg+xml", ".txt": "text/plain", ".xls": "application/vnd.ms-excel", ".xml": "text/xml", ".zip": "application/zip",
+}
+
+
 def document_type(url: Column) -> Column:
-    """judges_scores_pdf for a PDF, else the media type that the file name's ending suggests; pages and unknown endings are html."""
+    """judges_scores_pdf for a PDF, else the media type that the file name's ending stands for; pages and other endings are html."""
     path = F.lower(raw_path(url))
-    types = F.create_map(*[F.lit(x) for pair in sorted(mimetypes.types_map.items()) for x in pair])
+    types = F.create_map(*[F.lit(x) for pair in MEDIA_TYPES.items() for x in pair])
     guessed = F.try_element_at(types, F.regexp_extract(path, r"(\.[^./]+)\z", 1))
     return F.when(path.endswith(".pdf"), "judges_scores_pdf").otherwise(F.when(guessed == "text/html", "html").otherwise(F.coalesce(guessed, F.lit("html"))))
 
@@ -291,3 +296,20 @@ def missing_or_zero(*columns: Column) -> Column:
 
 def has_headers(headers: Column, expected: list[str]) -> Column:
     return F.size(F.array_except(F.array(*map(F.lit, expected)), headers)) == 0
+
+
+def join_url(base: Column, ref: Column) -> Column:
+    """The whole address of a reference on the page ``base``, with steps up and in place taken; null for a null reference."""
+    origin = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    page = F.regexp_replace(F.substr(base, F.length(origin) + 1), r"[?#].*$", "")
+    tail = F.regexp_extract(ref, r"[?#].*$", 0)
+    path = F.regexp_replace(ref, r"[?#].*$", "")
+    folder = F.regexp_replace(page, r"[^/]*\z", "")
+    full = F.when(path == "", page).when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    full = F.regexp_replace(full, r"/(\.\.?)\z", "/$1/")
+    root = F.array(F.lit("")).cast("array<string>")
+    up = lambda held: F.when(F.size(held) > 1, F.slice(held, 1, F.size(held) - 1)).otherwise(held)
+    steps = F.aggregate(F.split(F.regexp_replace(full, "^/", ""), "/", -1), root, lambda held, x: F.when(x == "..", up(held)).when(x == ".", held).otherwise(F.concat(held, F.array(x))))
+    kept = F.concat(origin, F.when(full.contains("/.") & full.startswith("/"), F.array_join(steps, "/")).otherwise(full), tail)
+    kept = F.when(ref == "", base).when(ref.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), ref)).otherwise(kept)
+    return F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref).when(ref.startswith("//"), F.concat(F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*:", 0), ref)).otherwise(kept)

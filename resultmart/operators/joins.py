@@ -62,15 +62,20 @@ def resolve_alias(df: DataFrame, column: str, aliases: DataFrame, clubs: DataFra
 
 
 def longest_prefix_join(df: DataFrame, profiles: DataFrame, row_key: Sequence[str], host: str, path: str, prefix: str) -> DataFrame:
-    """Give each row the profile with its host and the longest prefix of its path, the first by name among equals.
+    """Give each row the profile with its host and the longest prefix of its path, the first by its other columns among equals.
 
-    The host makes it a hash join and the prefix a residual condition; rows without a profile keep nulls. A prefix's
-    wildcard characters are ordinary ones.
+    A path is cut to the lengths that its host's prefixes have, at most as many as it has characters, and the cuts meet
+    the prefixes by equality: the work grows with the different lengths, not with the profiles of a host. Rows without
+    a profile keep nulls. A prefix's wildcard characters are ordinary ones.
     """
     values = [c for c in profiles.columns if c != host]
-    right = profiles.select(F.col(host).alias("_host"), F.col(prefix).alias("_prefix"), F.struct(F.length(prefix).alias("n"), *values).alias("profile"))
-    met = df.select(*row_key, host, path).join(right, (F.col(host) == F.col("_host")) & F.startswith(F.col(path), F.col("_prefix")))
-    best = met.groupBy(*row_key).agg(F.max_by("profile", F.struct(F.col("profile.n"), F.col("_prefix"))).alias("profile"))
+    known = profiles.where(F.col(host).isNotNull() & F.col(prefix).isNotNull())
+    first = F.struct(*[F.col(c) for c, kind in profiles.dtypes if c != host and not kind.startswith("map")])
+    right = known.groupBy(F.col(host).alias("_host"), F.col(prefix).alias("_prefix")).agg(F.min_by(F.struct(*values), first).alias("profile"))
+    lengths = right.groupBy("_host").agg(F.collect_set(F.length("_prefix")).alias("_lengths"))
+    asked = df.select(*row_key, F.col(host).alias("_host"), F.col(path).alias("_path")).join(lengths, "_host")
+    cuts = asked.select(*row_key, "_host", F.explode(F.filter("_lengths", lambda n: n <= F.length("_path"))).alias("_n"), "_path").withColumn("_prefix", F.substr("_path", F.lit(1), "_n"))
+    best = cuts.join(right, ["_host", "_prefix"]).groupBy(*row_key).agg(F.max_by("profile", "_n").alias("profile"))
     return df.join(best, list(row_key), "left").select(*df.columns, *[F.col(f"profile.{c}").alias(c) for c in values])
 
 

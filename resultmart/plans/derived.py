@@ -15,9 +15,10 @@ from resultmart.operators import latest as L
 from resultmart.operators.aggregate import labelled_counts
 from resultmart.operators.maintenance import club_id, seeded_aliases
 from resultmart.plans import analytics as V
-from resultmart.plans import mart, pages, quality, registry, sheets
+from resultmart.plans import mart, pages, quality, registry, resolution, sheets
 from resultmart.plans.queries import day, query, table
 from resultmart.sources import tables as S
+from resultmart.sources.tables import written
 
 SITE = "http://scores.invalid/"
 
@@ -93,13 +94,92 @@ def page_officials(spark: SparkSession, d: str) -> DataFrame:
     return pages.official_rows(pages.cells(docs)).select("name", "role_group", "judge_number")
 
 
-@query("""
-SELECT page_id, CASE WHEN starts_with(html, '%PDF') THEN 'pdf' WHEN lower(regexp_replace(url, '[?#].*$', '')) LIKE '%.pdf' THEN 'html_fallback' WHEN regexp_extract(html, '(?is)http-equiv\\s*=\\s*["'']?refresh[^>]*url\\s*=\\s*["'']?([^"''>\\s]+)', 1) <> '' THEN 'meta_refresh'
-  WHEN contains(lower(html), '<frameset') OR contains(lower(html), '<iframe') THEN 'wrapper' WHEN contains(lower(html), '<th>category</th>') OR contains(lower(html), 'judges scores') THEN 'supported'
-  WHEN contains(lower(html), '<div id="root"') OR contains(lower(html), '<div id="app"') OR contains(lower(html), '__next') THEN 'site_fallback' ELSE 'unknown' END AS kind FROM pages
-""".replace("\\\\", "\\"))
+_KINDS = ["pdf", "html_fallback", "site_fallback", "html_wrapper", "html", "html", "html", "meta_refresh", "unknown_html"]
+
+
+def _fetched(page: DataFrame) -> DataFrame:
+    """Documents of each page: its text with what makes it one of the kinds, by the number of the page."""
+    k, html = F.col("page_id") % 9, F.replace("html", F.lit("<"), F.lit("&lt;"))
+    shell = F.concat(F.lit('<!DOCTYPE html><div id="root"></div><script src="/assets/index-1.js"></script>'), html)
+    wrapper = F.concat(F.lit('<script src="scripts/results.js"></script><body> </body>'), html)
+    mark = lambda x: F.concat(html, F.lit(x))
+    refresh = F.concat(F.lit("<META http-equiv='Refresh' content='0; url="), (F.col("page_id") - 1).cast("string"), F.lit("'>"), html)
+    body = F.when(k == 0, F.concat(F.lit("%PDF-1.4 "), html)).when(k == 2, shell).when(k == 3, wrapper).when(k == 4, mark("<p>FS Manager</p>")).when(k == 5, mark("<iframe src='a'></iframe><p>ISUCalcFS</p>")).when(k == 6, mark("<td>JudgesDetailsPerSkater</td>")).when(k == 7, refresh).otherwise(mark("<th>Category</th>"))
+    return page.select("page_id", F.concat(F.lit(f"{SITE}docs/"), F.col("page_id"), F.when(k == 1, ".pdf?x=1").otherwise("")).alias("url"), body.alias("body"))
+
+
+@query(f"SELECT page_id, ({_KINDS!r})[page_id % 9 + 1] AS kind, CASE WHEN page_id % 9 = 7 THEN '{SITE}docs/' || (page_id - 1) END AS refresh_url FROM pages")
 def page_preflight(spark: SparkSession, d: str) -> DataFrame:
-    return pages.preflight(table(spark, d, "pages"), body="html").select("page_id", F.col("source_class").alias("kind"))
+    return resolution.preflight(_fetched(table(spark, d, "pages"))).select("page_id", F.col("source_class").alias("kind"), "refresh_url")
+
+
+@query(f"""
+WITH k AS (SELECT page_id, ({_KINDS!r})[page_id % 9 + 1] AS kind FROM pages)
+SELECT k.page_id, CASE WHEN k.kind = 'meta_refresh' THEN coalesce(t.kind, 'unreachable') ELSE k.kind END AS content_kind, CASE WHEN k.kind IN ('html', 'pdf') OR k.kind = 'meta_refresh' AND t.kind IS NOT NULL THEN 'passed' ELSE 'failed' END AS status,
+  CASE WHEN k.kind = 'meta_refresh' THEN '{SITE}docs/' || (k.page_id - 1) END AS resolved_url
+FROM k LEFT JOIN k t ON t.page_id = k.page_id - 1
+""")
+def source_checks(spark: SparkSession, d: str) -> DataFrame:
+    docs = written(_fetched(table(spark, d, "pages")), "fetched")
+    out = resolution.check_sources(docs).join(docs.select("url", "page_id"), "url")
+    return out.select("page_id", "content_kind", "status", "resolved_url")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, o_custkey, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n, list(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS all_keys FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+c AS (SELECT *, o_custkey % 3 = 0 AS ring FROM o)
+SELECT o_orderkey, CASE WHEN NOT ring THEN all_keys[n] END AS last_key, CASE WHEN NOT ring THEN (n - 1 - i)::INT END AS hops, ring AS loops, CASE WHEN ring THEN all_keys[(i + 3) % n + 1] ELSE all_keys[least(i + 3, n - 1) + 1] END AS third_key
+FROM c WHERE ring OR i < n - 1
+""")
+def refresh_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Each order sends to the customer's next one; with every third customer the last one sends to the first."""
+    by = L.Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    first = F.first("o_orderkey").over(by)
+    nexts = F.coalesce(F.lead("o_orderkey").over(by), F.when(F.col("o_custkey") % 3 == 0, first))
+    links = written(table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("source"), nexts.cast("string").alias("target")).where("target IS NOT NULL"), "sent")
+    end = resolution.follow_links(links).select("source", "target", "hops", "loops")
+    third = resolution.follow_links(links, 3).select("source", F.col("target").alias("third"))
+    return end.join(third, "source").select(F.col("source").cast("long").alias("o_orderkey"), F.col("target").cast("long").alias("last_key"), "hops", "loops", F.col("third").cast("long").alias("third_key"))
+
+
+@query("""
+WITH o AS (SELECT c_custkey, c_custkey % 5 AS k, count(o_orderkey) FILTER (WHERE o_orderkey % 4 = 0) AS heads, count(o_orderkey) FILTER (WHERE o_orderkey % 4 > 0) AS rest, min(CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey END) AS first_head FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1),
+s AS (SELECT o.*, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 4 > 0 AND o_orderkey > first_head) AS parts FROM o)
+SELECT c_custkey, CASE WHEN k = 3 OR k = 1 AND heads > 0 THEN 'old_isucalcfs' ELSE 'fs_manager' END AS parser_profile, CASE k WHEN 2 THEN 'FS Manager' WHEN 3 THEN 'ISUCalcFS' END AS platform,
+  CASE WHEN k IN (2, 4) THEN 0 ELSE heads END AS n_categories, CASE WHEN k IN (2, 4) THEN 0 ELSE parts END AS n_segments, CASE WHEN k IN (2, 4) OR heads = 0 THEN 'failed' ELSE 'passed' END AS validation_status
+FROM s
+""")
+def page_readings(spark: SparkSession, d: str) -> DataFrame:
+    """An index for each customer: in the new layout (0), in the old one without a mark (1), with the other's mark (2) or its own (3), or without a table (4)."""
+    five = lambda a, b: _row(a, b, F.lit("e"), F.lit("r"), F.lit("j"))
+    key, k = F.concat(F.lit("Order "), F.col("o_orderkey")), F.col("c_custkey") % 5
+    line = F.when(F.col("o_orderkey") % 4 == 0, five(key, F.lit(""))).otherwise(five(F.lit(""), key))
+    rows = F.transform(F.array_sort(F.collect_list(F.when(F.col("o_orderkey").isNotNull(), F.struct("o_orderkey", line.alias("row"))))), lambda x: x["row"])
+    text = table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.array_join(rows, "").alias("rows"))
+    head = F.when(k == 0, "<table><tr><td>logo</td></tr></table><table><tr><th>Category</th><th>Segment</th><th>Reports</th></tr>").otherwise("<table><tr><td>Category</td></tr>")
+    mark = F.when(k == 2, "FS Manager").when(k == 3, "ISUCalcFS").otherwise("")
+    docs = text.select(F.col("c_custkey").cast("string").alias("url"), F.when(k == 4, F.lit("<p>no index</p>")).otherwise(F.concat(head, "rows", F.lit("</table>"), mark)).alias("body"))
+    return resolution.choose_parser(docs).select(F.col("url").cast("long").alias("c_custkey"), "parser_profile", "platform", "n_categories", "n_segments", "validation_status")
+
+
+@query("""
+SELECT name, n FROM (
+  SELECT 'source_documents' AS name, count(DISTINCT c_nationkey) + count(DISTINCT CASE WHEN c_nationkey % 5 = 0 THEN c_nationkey END) AS n FROM customer
+  UNION ALL SELECT 'source_skater_appearances', count(*) FROM customer
+  UNION ALL SELECT 'parse_issues', count(DISTINCT c_nationkey) FROM customer WHERE c_nationkey % 5 = 0
+  UNION ALL SELECT 'parse_issues.warning', count(DISTINCT c_nationkey) FROM customer WHERE c_nationkey % 5 = 0
+) WHERE n > 0
+""")
+def load_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """A run over pages of entries, one for each nation, some of which have a broken page beside them: what its record says."""
+    c = table(spark, d, "customer")
+    folder = F.concat(F.lit(f"{SITE}nation"), F.col("c_nationkey"), F.lit("/"))
+    docs = _pages(c, F.concat(folder, F.lit("CAT001EN.HTM")), F.lit("Open"), ("No.", "Name", "Nat."), _row(F.col("c_custkey").cast("string"), F.col("c_name"), F.lit("AAA")), "c_custkey")
+    broken = c.where("c_nationkey % 5 = 0").select(F.concat(folder, F.lit("CAT002EN.HTM")).alias("url"), F.lit('<table><tr><th>No.</th><th>Name</th></tr><tr><td><a href="http://[x">1</a></td></tr></table>').alias("body")).distinct()
+    docs = written(docs.unionByName(broken).withColumn("link_text", F.lit(None).cast("string")), "run-pages")
+    runs = docs.limit(1).select(F.lit(1).cast("long").alias("id"), F.lit(SITE).alias("root_url"), F.lit("started").alias("status"), F.create_map().cast("map<string,string>").alias("stats"), F.lit(None).cast("string").alias("error"))
+    closed = registry.load_run(runs, 1, S.shared_path(spark, "runs"), docs)
+    return closed.select(F.explode("stats").alias("name", "value")).where("name <> 'path' AND value <> '0'").select("name", F.col("value").cast("long").alias("n"))
 
 
 def _summary_line() -> Column:
@@ -278,25 +358,48 @@ def report_affiliations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 99 END AS priority, c_mktsegment AS family, 'http://scores.invalid/' || lpad(c_custkey::VARCHAR, 9, '0') AS url FROM customer WHERE c_nationkey % 3 > 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F'))
-SELECT url, family, priority FROM s ORDER BY priority, family, url LIMIT 200
+SELECT 'http://scores.invalid/' || lpad(c_custkey::VARCHAR, 9, '0') AS url, CASE WHEN c_custkey % 2 = 0 THEN 'fs_manager' ELSE 'old_isucalcfs' END AS parser_profile FROM customer
+WHERE c_nationkey % 3 > 0 AND c_custkey % 7 > 0 AND c_mktsegment LIKE '%MA%' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')
+ORDER BY c_custkey % 2, url LIMIT 200
 """)
 def ready_worklist(spark: SparkSession, d: str, limit: int = 200) -> DataFrame:
     url = lambda c: F.concat(F.lit(SITE), F.lpad(F.col(c).cast("string"), 9, "0"))
-    sources = table(spark, d, "customer").select(url("c_custkey").alias("url"), F.col("c_mktsegment").alias("family"), F.when(F.col("c_nationkey") % 3 > 0, "ready").otherwise("analyzed").alias("status"))
+    sources = table(spark, d, "customer").select(
+        url("c_custkey").alias("url"), F.create_map(F.lit("source"), F.concat(F.lit("listing/"), F.col("c_mktsegment"))).alias("summary"), F.when(F.col("c_nationkey") % 3 > 0, "ready_for_import").otherwise("analyzed").alias("status"),
+        F.when(F.col("c_custkey") % 7 > 0, "passed").otherwise("failed").alias("validation_status"), F.when(F.col("c_custkey") % 2 == 0, "fs_manager").otherwise("old_isucalcfs").alias("parser_profile"),
+    )
     runs = table(spark, d, "orders").select(url("o_custkey").alias("root_url"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("started").alias("status"))
-    priority = F.when(F.col("family") == "BUILDING", 1).when(F.col("family") == "MACHINERY", 2).otherwise(99)
-    return registry.ready_worklist(sources, runs, limit=limit, priority=priority).select("url", "family", "priority")
+    return registry.ready_worklist(sources, runs, family="MA", limit=limit).select("url", "parser_profile")
 
 
 @query("""
 WITH e AS (SELECT user_id, event_type, count(*) AS n, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS clicks FROM events GROUP BY 1, 2)
-SELECT user_id, event_type, CASE WHEN event_type = 'click' AND clicks > 0 THEN 'ready' WHEN event_type = 'error' THEN 'skipped' ELSE 'analyzed' END AS status, CASE WHEN event_type = 'click' AND clicks > 0 THEN 'passed' WHEN event_type = 'error' THEN 'failed' ELSE 'pending' END AS validation_status FROM e
+SELECT user_id, event_type, CASE WHEN event_type = 'click' AND clicks > 0 THEN CASE WHEN user_id % 4 = 0 THEN 'analyzed' ELSE 'ready_for_import' END WHEN event_type IN ('click', 'error', 'view') THEN 'skipped' ELSE 'analyzed' END AS status,
+  CASE WHEN event_type = 'click' AND clicks > 0 THEN 'passed' WHEN event_type IN ('click', 'error', 'view') THEN 'failed' ELSE 'warning' END AS validation_status FROM e
 """)
 def source_status(spark: SparkSession, d: str) -> DataFrame:
     found = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count_if(F.col("event_type") == "click").alias("n_categories"))
-    kind = F.when(F.col("event_type") == "click", "supported").when(F.col("event_type") == "error", "unknown").otherwise("pdf")
-    return registry.decide_status(found.withColumn("source_class", kind)).select("user_id", "event_type", "status", "validation_status")
+    kind = F.when(F.col("event_type").isin("click", "view"), "html").when(F.col("event_type") == "error", "unknown_html").otherwise("pdf")
+    return registry.decide_status(found.withColumns({"content_kind": kind, "imported": F.col("user_id") % 4 == 0})).select("user_id", "event_type", "status", "validation_status")
+
+
+@query("""
+WITH o AS (SELECT c.c_custkey, c_nationkey % 3 AS k, CASE WHEN c_custkey % 2 = 0 THEN 'http://old/' || c_custkey END AS had, CASE WHEN c_nationkey % 3 = 1 THEN 'http://new/' || (SELECT min(o_orderkey) FROM orders WHERE o_custkey = c_custkey) END AS got FROM customer c)
+SELECT c_custkey, coalesce(got, had) AS result_url, CASE WHEN k = 0 THEN 'manual_review' WHEN coalesce(got, had) IS NULL THEN 'catalog_only_needs_result_url' ELSE 'candidate_result_url' END AS discovery_status, k = 0 AS missing FROM o
+""")
+def catalog_results(spark: SparkSession, d: str) -> DataFrame:
+    """An event for each customer: its page is missing, names result pages (one for each order, the first one counts) or has none."""
+    c = table(spark, d, "customer").withColumn("k", F.col("c_nationkey") % 3)
+    page = F.concat(F.lit("http://detail/"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
+    blank = F.lit(None).cast("string")
+    catalog = c.select(F.col("c_custkey").cast("string").alias("event_name"), page.alias("detail_url"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("http://old/"), "c_custkey")).alias("result_url"), F.lit("new").alias("discovery_status"), F.create_map().cast("map<string,string>").alias("metadata"))
+    orders = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("orders"))
+    named = c.where("k = 1").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    first = F.array_sort("orders")
+    several = F.when(F.col("orders").isNull(), F.array(blank)).otherwise(F.array(F.concat(F.lit("http://new/"), F.get(first, F.lit(0))), blank))
+    details = named.select(page.alias("detail_url"), F.explode(several).alias("result_url")).unionByName(c.where("k = 2").select(page.alias("detail_url"), blank.alias("result_url")))
+    out = registry.resolve_catalog(catalog, details, refresh=True)
+    return out.select(F.col("event_name").cast("long").alias("c_custkey"), "result_url", "discovery_status", F.map_contains_key("metadata", "resolve_error").alias("missing"))
 
 
 @query("""
@@ -444,9 +547,16 @@ def sheet_titles(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("doc_id").cast("long").alias("s_suppkey"), "before", title["category"].alias("category"), title["segment"].alias("segment"))
 
 
-@query("SELECT o_orderkey, day(o_orderdate) || '.' || month(o_orderdate) || '.' || year(o_orderdate) || ' - 31.12.' || year(o_orderdate) AS text FROM orders")
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN day(o_orderdate) || ' ' || month(o_orderdate) || '.' || year(o_orderdate) || ' – 31.12.' || year(o_orderdate) WHEN 1 THEN day(o_orderdate) || '.' || month(o_orderdate) || '.' || year(o_orderdate) || ' - 31.12.' || year(o_orderdate)
+  ELSE year(o_orderdate)::VARCHAR END AS text FROM orders
+""")
 def clean_dates(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.date_format("o_orderdate", "d . M.yyyy"), F.lit("\u00a0 \ufffd–  31.12."), F.date_format("o_orderdate", "yyyy"), F.lit(" "))
+    """A dot that stands alone and an en dash; words that close a date; dots at the end."""
+    year, k = F.date_format("o_orderdate", "yyyy"), F.col("o_orderkey") % 3
+    apart = F.concat(F.date_format("o_orderdate", "d . M.yyyy"), F.lit("\u00a0 \ufffd–  31.12."), year, F.lit(" "))
+    worded = F.concat(F.date_format("o_orderdate", "d.M.yyyy"), F.lit(" г. - 31.12."), year, F.lit(" year"))
+    raw = F.when(k == 0, apart).when(k == 1, worded).otherwise(F.concat(year, F.lit(" ..")))
     return table(spark, d, "orders").select("o_orderkey", T.clean_date(raw).alias("text"))
 
 

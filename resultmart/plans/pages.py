@@ -108,21 +108,51 @@ class _Page(HTMLParser):
         return self.out
 
 
+#: Rows of pages that are gathered before they go on.
+_ROWS = 20_000
+
+
+def _page_rows(doc_id: str | None, body: str | bytes | None) -> list[dict]:
+    """The rows of a page, or one row that says why it can't be read; the others are read whatever it holds."""
+    page = _Page(doc_id, doc_id or "")
+    try:
+        page.feed(body.decode("windows-1252", "replace") if isinstance(body, bytes) else body or "")
+        page.close()
+        return page.rows()
+    except (ValueError, AssertionError, RecursionError) as error:
+        return [{"doc_id": doc_id, "kind": "error", "text": f"{type(error).__name__}: {error}"[:1000]}]
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        held: list[dict] = []
         for doc_id, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            page = _Page(doc_id, doc_id or "")
-            page.feed(body.decode("windows-1252", "replace") if isinstance(body, bytes) else body or "")
-            page.close()
-            if rows := page.rows():
-                yield pa.RecordBatch.from_pylist(rows, schema=_CELLS)
+            held += _page_rows(doc_id, body)
+            if len(held) >= _ROWS:
+                yield pa.RecordBatch.from_pylist(held, schema=_CELLS)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=_CELLS)
 
 
-def cells(documents: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
-    """Cells and headings of pages; bytes are read as windows-1252, and links are resolved against the page's URL."""
+def read_pages(documents: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
+    """Cells and headings of pages, and a row of kind ``error`` with the reason for each page that can't be read.
+
+    Bytes are read as windows-1252, and links are resolved against the page's URL.
+    """
     return documents.select(F.col(url).cast("string"), body).mapInArrow(_read, CELLS)
 
 
+def cells(documents: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
+    """Cells and headings of the pages that can be read."""
+    return read_pages(documents, url, body).where("kind <> 'error'")
+
+
+def page_issues(read: DataFrame, code: Column | str = "index_page_parse_failed") -> DataFrame:
+    """(code, message, url) of the pages of ``read_pages`` that can't be read."""
+    return read.where("kind = 'error'").select((F.lit(code) if isinstance(code, str) else code).alias("code"), F.col("text").alias("message"), F.col("doc_id").alias("url"))
+
+
 def route(documents: DataFrame, url: str = "url") -> DataFrame:
     """Add page_type by the shape of the file name."""
     u = F.upper(F.regexp_replace(F.col(url), r"[?#].*$", ""))
@@ -218,7 +248,8 @@ def official_rows(cells_: DataFrame) -> DataFrame:
     rows = _tables(cells_, "function", "name").where((F.coalesce(cell("function"), F.lit("")) != "") & (F.coalesce(cell("name"), F.lit("")) != ""))
     role = classify_role(cell("function"))
     out = rows.select("doc_id", "row_no", cell("function").alias("function"), role["role_group"].alias("role_group"), role["judge_number"].alias("judge_number"), cell("name").alias("name"), cell("nation").alias("nation"))
-    return _titled(out.dropDuplicates(["doc_id", "function", "name", "nation"]), cells_)
+    first = out.groupBy("doc_id", "function", "role_group", "judge_number", "name", "nation").agg(F.min("row_no").alias("row_no"))
+    return _titled(first.select(out.columns), cells_)
 
 
 def _link(links: Column, test) -> Column:
@@ -271,28 +302,6 @@ def event_rows(cells_: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce(F.get(texts, F.lit(0)), "title").alias("name"), F.get(rest, F.lit(0)).alias("location"), F.get(rest, F.lit(1)).alias("venue"), clean_date(F.regexp_replace(date, r"[^\d./ –-]", "")).alias("date_range"))
 
 
-def preflight(documents: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
-    """Add source_class: what a fetched document is before it is parsed, and refresh_url where it sends elsewhere."""
-    text = F.when(F.col(body).isNull(), "").otherwise(F.col(body).cast("string"))
-    low = F.lower(text)
-    target = F.regexp_extract(text, r"(?is)http-equiv\s*=\s*[\"']?refresh[^>]*url\s*=\s*[\"']?([^\"'>\s]+)", 1)
-    is_pdf = F.lower(F.regexp_replace(F.col(url), r"[?#].*$", "")).endswith(".pdf")
-    kind = (
-        F.when(text.startswith("%PDF"), "pdf").when(is_pdf, "html_fallback").when(target != "", "meta_refresh").when(low.contains("<frameset") | low.contains("<iframe"), "wrapper")
-        .when(low.contains("<th>category</th>") | low.contains("judges scores"), "supported").when(low.contains("<div id=\"root\"") | low.contains("<div id=\"app\"") | low.contains("__next"), "site_fallback").otherwise("unknown")
-    )
-    return documents.withColumns({"source_class": kind, "refresh_url": F.nullif(target, F.lit(""))})
-
-
-def follow_refresh(checked: DataFrame, url: str = "url", hops: int = 3) -> DataFrame:
-    """Add resolved_url: where refreshes lead among the documents themselves, in at most so many steps."""
-    links = checked.where("refresh_url IS NOT NULL").select(F.col(url).alias("_from"), "refresh_url")
-    out = checked.withColumn("resolved_url", F.col(url))
-    for _ in range(hops):
-        out = out.join(links.select("_from", F.col("refresh_url").alias("_to")), F.col("resolved_url") == F.col("_from"), "left").withColumn("resolved_url", F.coalesce("_to", "resolved_url")).drop("_from", "_to")
-    return out
-
-
 def catalog_rows(documents: DataFrame, discipline: str = "FIGURE SKATING", detail: str = "/eventdetail/", url: str = "url", body: str = "body") -> DataFrame:
     """Events of a listing: a line with dates, then name, place and discipline; each with the detail link of its number."""
     text = F.regexp_replace(F.col(body).cast("string"), r"(?is)<script.*?</script>", " ")

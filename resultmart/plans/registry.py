@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from resultmart.functions.arrays import merge_map
@@ -14,7 +15,11 @@ from resultmart.operators.latest import latest_per_key
 from resultmart.operators.maintenance import Rule, apply_rules, close_run, guard, issue_rows, upsert
 from resultmart.plans import pages, sheets
 from resultmart.sources.schemas import TABLES
-from resultmart.sources.tables import write_layer, written
+from resultmart.sources.tables import written
+
+
+#: The levels of issues.
+LEVELS = ["error", "warning", "info"]
 
 
 def _blank() -> Column:
@@ -86,34 +91,52 @@ def correct_appearances(rows: DataFrame) -> DataFrame:
 
 
 def decide_status(candidates: DataFrame) -> DataFrame:
-    """R1: candidates (source_class, n_categories) that were checked are ready if something in them can be parsed, skipped if nothing can, else analysed."""
-    status = choose_by([((F.col("source_class") == "supported") & (F.coalesce("n_categories", F.lit(0)) > 0), "ready"), (F.col("source_class").isin("site_fallback", "html_fallback", "unknown"), "skipped")], "analyzed")
-    valid = choose_by([(status == "ready", "passed"), (status == "skipped", "failed")], "pending")
-    return candidates.withColumns({"status": status, "validation_status": valid})
+    """R1: states of checked candidates (content_kind, n_categories and, where it is known, imported).
+
+    Fixed values: what can't be parsed is skipped and has failed, a PDF is analyzed with a warning, an index with
+    categories has passed and is ready for import unless its URL is imported already.
+    """
+    imported = F.coalesce(F.col("imported"), F.lit(False)) if "imported" in candidates.columns else F.lit(False)
+    pdf = F.col("content_kind").eqNullSafe("pdf")
+    passed = F.col("content_kind").eqNullSafe("html") & (F.coalesce("n_categories", F.lit(0)) > 0)
+    status = F.when(pdf | (passed & imported), "analyzed").when(passed, "ready_for_import").otherwise("skipped")
+    return candidates.withColumns({"status": status, "validation_status": F.when(pdf, "warning").when(passed, "passed").otherwise("failed")})
 
 
 def register(registry: DataFrame, decided: DataFrame) -> DataFrame:
-    """Upsert decisions; imported URLs stay imported, notes are added, summaries merged."""
-    return upsert(registry, decided, ["url"], {"family": "coalesce", "status": keep_imported, "validation_status": guard("passed"), "notes": "append", "summary": "merge"})
+    """Upsert decisions; imported URLs keep both states, a profile stays, notes are added, summaries merged, the rest is as last decided."""
+    held = {c: F.lit(None).cast(kind) for c, kind in registry.dtypes if c not in decided.columns}
+    of_imported = lambda old, new: F.when(F.col("_o_status") == "imported", old).otherwise(F.coalesce(new, old))  # noqa: E731  the state before the upsert
+    policy = {"family": "coalesce", "status": keep_imported, "validation_status": of_imported, "source_profile_id": lambda old, new: F.coalesce(old, new), "notes": "append", "summary": "merge"}
+    return upsert(registry, decided.withColumns(held) if held else decided, ["url"], policy)
+
 
+def ready_worklist(registry: DataFrame, runs: DataFrame, family: str | None = None, limit: int | None = None) -> DataFrame:
+    """R2: URLs that are ready for import, have passed and have no completed run, those of the newer parser first, then by URL.
 
-def ready_worklist(registry: DataFrame, runs: DataFrame, family: str | None = None, limit: int | None = None, priority: Column | None = None) -> DataFrame:
-    """R2: ready URLs without a completed run, in order."""
+    ``family`` is a part of the ``source`` that a URL's summary names.
+    """
     done = runs.where("status = 'completed'").select(F.col("root_url").alias("url"))
-    out = registry.where("status = 'ready'").join(done, "url", "left_anti")
-    out = out if family is None else out.where(F.col("family") == family)
-    out = out.withColumn("priority", F.lit(99) if priority is None else priority).orderBy("priority", "family", "url")
+    out = registry.where("status = 'ready_for_import' AND validation_status = 'passed'").join(done, "url", "left_anti")
+    if family is not None:
+        out = out.where(F.coalesce(F.try_element_at("summary", F.lit("source")), F.lit("")).contains(family))
+    out = out.orderBy(F.when(F.col("parser_profile") == "fs_manager", 0).otherwise(1), "url")
     return out if limit is None else out.limit(limit)
 
 
 def resolve_catalog(catalog: DataFrame, details: DataFrame, refresh: bool = False) -> DataFrame:
-    """R3: give events their result URL from the pages that describe them; those whose page is missing need a person."""
+    """R3: give events their result URL from the pages that describe them; those whose page is missing need a person.
+
+    Of several details of one page the first result URL counts. A page without a link leaves an event its URL; one that
+    has none then waits for it.
+    """
     todo = F.col("detail_url").isNotNull() & (F.lit(refresh) | F.col("result_url").isNull())
-    found = details.select("detail_url", F.col("result_url").alias("_result"), F.lit(True).alias("_read")).dropDuplicates(["detail_url"])
+    found = details.groupBy("detail_url").agg(F.min("result_url").alias("_result"), F.lit(True).alias("_read"))
     out = catalog.join(found, "detail_url", "left")
-    status = F.when(~todo, F.col("discovery_status")).when(F.col("_read").isNull(), "manual_review").when(F.col("_result").isNotNull(), "candidate_result_url").otherwise(F.col("discovery_status"))
-    error = F.when(todo & F.col("_read").isNull(), F.create_map(F.lit("error"), F.lit("detail page is missing")))
-    return out.withColumns({"discovery_status": status, "result_url": F.when(todo, F.coalesce("_result", "result_url")).otherwise(F.col("result_url")), "metadata": merge_map(F.col("metadata"), error)}).select(catalog.columns)
+    result = F.when(todo, F.coalesce("_result", "result_url")).otherwise(F.col("result_url"))
+    status = F.when(~todo, F.col("discovery_status")).when(F.col("_read").isNull(), "manual_review").when(result.isNotNull(), "candidate_result_url").otherwise("catalog_only_needs_result_url")
+    error = F.when(todo & F.col("_read").isNull(), F.create_map(F.lit("resolve_error"), F.lit("detail page is missing")))
+    return out.withColumns({"discovery_status": status, "result_url": result, "metadata": merge_map(F.col("metadata"), error)}).select(catalog.columns)
 
 
 #: The columns that identify an event of the catalog; null and blank are the same.
@@ -203,6 +226,10 @@ def folder_profiles(documents: DataFrame, profiles: DataFrame | None) -> DataFra
     return found.select("folder", "p.source_profile_id", F.coalesce("p.representation_primary", F.lit("nation")).alias("representation_primary"), F.coalesce("p.nation_column", F.lit("country")).alias("nation_column"))
 
 
+#: How the codes of issues name the types of pages.
+PAGES = {"index": "index", "entries": "entry", "category_result": "category_result", "segment_result": "segment_result", "officials": "officials"}
+
+
 def import_batch(documents: DataFrame, run_id: int, profiles: DataFrame | None = None) -> dict[str, DataFrame]:
     """E20: all documents (url, link_text, body) of one run as rows of the target tables, in one pass over the pages.
 
@@ -213,7 +240,9 @@ def import_batch(documents: DataFrame, run_id: int, profiles: DataFrame | None =
     """
     docs = pages.route(documents).withColumn("folder", F.regexp_replace("url", r"[^/]*\z", ""))
     html = docs.where("page_type <> 'score_sheet'")
-    found = pages.cells(html).join(html.select(F.col("url").alias("doc_id"), "page_type", "folder"), "doc_id")
+    read = written(pages.read_pages(html), "cells").join(html.select(F.col("url").alias("doc_id"), "page_type", "folder"), "doc_id")
+    unread = pages.page_issues(read, F.concat(F.element_at(F.create_map(*[F.lit(x) for pair in PAGES.items() for x in pair]), F.col("page_type")), F.lit("_page_parse_failed")))
+    found = read.where("kind <> 'error'")
     of = lambda kind: found.where(F.col("page_type") == kind)
     folders = html.select(F.col("url").alias("doc_id"), "folder")
     run = F.lit(run_id).cast("long")
@@ -253,27 +282,38 @@ def import_batch(documents: DataFrame, run_id: int, profiles: DataFrame | None =
         "category_results": rows["category_result"].select(key_of(run, "doc_id", "row_no").alias("id"), category.alias("category_id"), appearance("category_result").alias("skater_appearance_id"), "final_place", "points", "segment_places", F.col("row_no").alias("source_order")),
         "segment_results": rows["segment_result"].select(key_of(run, "doc_id", "row_no", "segment_id").alias("id"), "segment_id", appearance("segment_result").alias("skater_appearance_id"), "place", "tss", "tes", "pcs", "deduction", "starting_number", "components", F.col("row_no").alias("source_order")),
         "official_assignments": officials.select(key_of(run, "doc_id", "function", "name", "segment_id").alias("id"), "segment_id", doc, F.col("function").alias("function_text"), "role_group", "judge_number", "name", F.col("nation").alias("nation_code"), F.col("row_no").alias("source_order")),
-        "parse_issues": issue_rows(empty.select(F.lit("empty_category_result").alias("code"), F.col("doc_id").alias("url")).unionByName(unlinked.select(F.lit("page_without_segment").alias("code"), F.col("doc_id").alias("url")))),
+        "parse_issues": issue_rows(empty.select(F.lit("empty_category_result").alias("code"), F.col("doc_id").alias("url")).unionByName(unlinked.select(F.lit("page_without_segment").alias("code"), F.col("doc_id").alias("url"))).unionByName(unread, allowMissingColumns=True)).withColumn("import_run_id", run),
     }
 
 
+def write_observed(tables: dict[str, DataFrame], root: str) -> dict[str, int]:
+    """Write tables and count their rows in the pass that writes them, issues also by their level (``parse_issues.warning``)."""
+    stats = {}
+    for name, df in tables.items():
+        seen = Observation(name)
+        levels = {f"parse_issues.{x}": F.count_if(F.col("level") == x) for x in LEVELS} if name == "parse_issues" else {}
+        df.observe(seen, F.count(F.lit(1)).alias(name), *[c.alias(k) for k, c in levels.items()]).write.parquet(f"{root}/{name}")
+        stats |= {k: int(n) for k, n in seen.get.items()}
+    return stats
+
+
 def load_run(runs: DataFrame, run_id: int, root: str, documents: DataFrame, profiles: DataFrame | None = None, sheet_text: DataFrame | None = None) -> DataFrame:
-    """R6: import pages and sheets of a started run, write their tables under ``root`` in the shapes of the schemas, and give back the runs with this one closed.
+    """R6: import pages and sheets of a started run, write their tables in the shapes of the schemas, and give back the runs with this one closed.
 
-    Its record holds the rows of every table; a run that fails holds the error instead, and other runs stay as they are.
+    Its record holds the rows of every table, issues also by level, and ``path``: a new folder under ``root`` for each
+    try, so that what a try left behind stops no later one. A page that can't be read is an issue; a run that fails
+    holds the error instead, and other runs stay as they are.
     """
+    path = f"{root.rstrip('/')}/run-{run_id}-{uuid.uuid4().hex}"
     try:
         tables = import_batch(documents, run_id, profiles)
         if sheet_text is not None:
             for name, df in import_sheets(sheet_text, run_id, documents, profiles=profiles).items():
                 tables[name] = tables[name].unionByName(df, allowMissingColumns=True) if name in tables else df
-        tables = {name: shaped(df, name) for name, df in tables.items() if name in TABLES}
-        write_layer(tables, root)
-        read = documents.sparkSession.read
-        stats = {name: read.schema(TABLES[name]).parquet(f"{root}/{name}").count() for name in tables}
+        stats = write_observed({name: shaped(df, name) for name, df in tables.items() if name in TABLES}, path)
     except Exception as error:  # a page's fault is an issue; what comes here stops this run alone
         return close_run(runs, run_id, "failed", error=f"{type(error).__name__}: {error}"[:2000])
-    return close_run(runs, run_id, "completed", stats)
+    return close_run(runs, run_id, "completed", {**stats, "path": path})
 
 
 def sheet_links(documents: DataFrame, run_id: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,16 +37,35 @@ def split_scores(c: Column) -> Column:
     elements, count only if the total is the sum or the average of its parts within 0.02. The deduction is absolute.
     """
     packed = F.regexp_replace(c, r"\s+", "")
-    tokens = F.regexp_extract_all(packed, F.lit(r"-?\d+\.\d{2}"), F.lit(0))
-    n = F.size(tokens)
-    at = lambda i: F.get(tokens, F.lit(i)).try_cast(NUMBER)
+    return _once(F.struct(packed.alias("text"), F.regexp_extract_all(packed, F.lit(r"-?\d+\.\d{2}"), F.lit(0)).alias("tokens")), lambda x: _once(_cut(x), _weighed))
+
+
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a column that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _cut(x: Column) -> Column:
+    """Three or four numbers as values of a summary; null for other texts."""
+    n = F.size(x.tokens)
+    at = lambda i: F.get(x.tokens, F.lit(i)).try_cast(NUMBER)
     zero = F.lit(0).cast(NUMBER)
-    tss, tes, pcs = at(0), F.when(n == 4, at(1)).otherwise(zero), F.when(n == 4, at(2)).otherwise(at(1))
-    d = F.abs(F.when(n == 4, at(3)).otherwise(at(2)))
-    near = lambda x: F.abs(tss - x) <= F.lit("0.02").cast(NUMBER)
-    right = near(tes + pcs - d) | near(tes + pcs + d) | near((tes + pcs) / 2 - d) | near((tes + pcs) / 2 + d)
-    whole = (F.array_join(tokens, "") == packed) & n.isin(3, 4)
-    return F.when(whole & right, F.struct(tss.alias("tss"), tes.alias("tes"), pcs.alias("pcs"), d.alias("deduction")))
+    tes, pcs, d = F.when(n == 4, at(1)).otherwise(zero), F.when(n == 4, at(2)).otherwise(at(1)), F.abs(F.when(n == 4, at(3)).otherwise(at(2)))
+    return F.when((F.array_join(x.tokens, "") == x.text) & n.isin(3, 4), F.struct(at(0).alias("tss"), tes.alias("tes"), pcs.alias("pcs"), d.alias("deduction")))
+
+
+def _weighed(s: Column) -> Column:
+    """The values if the total is the sum or the average of its parts."""
+    near = lambda x: F.abs(s.tss - x) <= F.lit("0.02").cast(NUMBER)
+    parts, half = s.tes + s.pcs, (s.tes + s.pcs) / 2
+    return F.when(near(parts - s.deduction) | near(parts + s.deduction) | near(half - s.deduction) | near(half + s.deduction), s)
+
+
+def groups_of(c: Column, pattern: str, n: int) -> Column:
+    """The groups of a pattern that matches a whole line, by one match; null for other lines."""
+    mark = "\x01"
+    found = F.split(F.regexp_replace(c, pattern, mark + mark.join(f"${i}" for i in range(1, n + 1))), mark, -1)
+    return _once(found, lambda x: F.when(F.size(x) == n + 1, x))
 
 
 def _summary(rank, name, nation, start, tss, tes, pcs, d) -> list[Column]:
@@ -55,8 +75,8 @@ def _summary(rank, name, nation, start, tss, tes, pcs, d) -> list[Column]:
 
 def line_summaries(lines_: DataFrame) -> DataFrame:
     """Skaters whose summary is one line."""
-    g = lambda i: F.regexp_extract("line", SUMMARY, i)
-    return lines_.where(F.col("line").rlike(SUMMARY)).select("doc_id", "line_no", *_summary(g(1), g(2), g(3), g(4), _num(g(5)), F.coalesce(_num(g(6)), F.lit(0).cast(NUMBER)), _num(g(7)), _num(g(8))))
+    g = lambda i: F.get("groups", F.lit(i))
+    return lines_.withColumn("groups", groups_of(F.col("line"), SUMMARY, 8)).where("groups IS NOT NULL").select("doc_id", "line_no", *_summary(g(1), g(2), g(3), g(4), _num(g(5)), F.coalesce(_num(g(6)), F.lit(0).cast(NUMBER)), _num(g(7)), _num(g(8))))
 
 
 def vertical_summaries(lines_: DataFrame) -> DataFrame:
@@ -115,9 +135,9 @@ def _marks(text: Column, kind: str) -> Column:
 
 def element_rows(sections: DataFrame) -> DataFrame:
     """Executed elements with markers, values and judges' marks; a dash is no mark."""
-    g = lambda i: F.regexp_extract("line", ELEMENT, i)
+    g = lambda i: F.get("groups", F.lit(i))
     info = blank_to_null(F.btrim(F.concat_ws(" ", F.nullif(g(3), F.lit("")), F.nullif(g(5), F.lit("")))))
-    rows = sections.where((F.col("section") == "elements") & F.col("line").rlike(ELEMENT))
+    rows = sections.where("section = 'elements'").withColumn("groups", groups_of(F.col("line"), ELEMENT, 9)).where("groups IS NOT NULL")
     return rows.select(
         "doc_id", "skater_no", g(1).try_cast("int").alias("element_no"), g(2).alias("element_code"), base_element(g(2)).alias("base_element_code"), F.col("line").alias("raw_element"), info.alias("info"), element_markers(g(2), info).alias("markers"),
         _num(g(4)).alias("base_value"), _num(g(6)).alias("goe"), _marks(g(7), "int").alias("judge_scores"), _num(g(8)).alias("bonus"), _num(g(9)).alias("panel_score"),
@@ -125,8 +145,8 @@ def element_rows(sections: DataFrame) -> DataFrame:
 
 
 def component_rows(sections: DataFrame) -> DataFrame:
-    g = lambda i: F.regexp_extract("line", COMPONENT, i)
-    rows = sections.where((F.col("section") == "components") & F.col("line").rlike(COMPONENT) & ~F.col("line").startswith("Judges Total"))
+    g = lambda i: F.get("groups", F.lit(i))
+    rows = sections.where((F.col("section") == "components") & ~F.col("line").startswith("Judges Total")).withColumn("groups", groups_of(F.col("line"), COMPONENT, 4)).where("groups IS NOT NULL")
     return rows.select("doc_id", "skater_no", g(1).alias("component_name"), _num(g(2)).alias("factor"), _marks(g(3), NUMBER).alias("judge_scores"), _num(g(4)).alias("score"))
 
 
@@ -165,7 +185,10 @@ def gate_sheets(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, issues) of linked sheets (url, link_text, body): the link has to name judges' scores, the body to be a PDF."""
     named = F.lower(F.coalesce("link_text", F.lit(""))).contains("judges scores")
     pdf = F.coalesce(F.col("body").cast("string"), F.lit("")).startswith("%PDF")
-    code = F.when(~named, "not_judges_scores").when(~pdf, "not_a_pdf")
+    # fixed values: codes, levels and the beginnings of messages
+    code = F.when(~named, "skipped_non_judges_pdf_report").when(~pdf, "invalid_pdf_response")
     checked = documents.withColumn("code", code)
-    issues = checked.where("code IS NOT NULL").select("url", "link_text", "code", F.when(F.col("code") == "not_judges_scores", "info").otherwise("warning").alias("level"))
+    skipped = F.col("code") == "skipped_non_judges_pdf_report"
+    message = F.when(skipped, F.concat(F.lit("Skipped non-judges report link: "), F.coalesce(blank_to_null(F.col("link_text")), "url"))).otherwise(F.concat(F.lit("Expected PDF bytes but source returned "), F.substring(F.coalesce(F.col("body").cast("string"), F.lit("")), 1, 40)))
+    issues = checked.where("code IS NOT NULL").select("url", "link_text", "code", F.when(skipped, "info").otherwise("warning").alias("level"), message.alias("message"))
     return checked.where("code IS NULL").drop("code"), issues

@@ -27,7 +27,7 @@ TABLES: dict[str, str] = {
     "clubs": "club_id string, canonical_name string, country_code string, status string, confidence string",
     "club_aliases": "alias_name string, alias_normalized string, club_id string, source string, confidence string",
     "source_archive_files": "source_document_id long, import_run_id long, root_url string, url string, document_type string, parser_profile string, content_hash string, archive_path string, archive_sha256 string, archive_status string, archive_reason string, parse_status string, fetched_at timestamp",
-    "source_url_registry": "url string, family string, status string, validation_status string, notes string, summary map<string,string>",
+    "source_url_registry": "url string, family string, status string, validation_status string, notes string, summary map<string,string>, resolved_url string, source_profile_id long, parser_profile string, competition_stream string",
     "event_discovery_catalog": "source_name string, event_name string, date_range string, city string, country_code string, season string, kind string, detail_url string, result_url string, discovery_status string, metadata map<string,string>",
     "validation_legend": "legend_group string, code string, label string, description string",
 }

@@ -3,6 +3,7 @@
 import pytest
 
 from resultmart.plans import pages as P
+from resultmart.plans import resolution
 from resultmart.plans.quality import index_issues
 
 U = "https://scores.invalid/open/"
@@ -122,9 +123,17 @@ def test_segments_and_officials(cells):
 def test_route_and_preflight(spark):
     docs = spark.createDataFrame([("u/CAT204EN.HTM", ""), ("u/SEG031OF.htm?x", ""), ("u/a.pdf", "%PDF-1"), ("u/b.pdf", "<html>"), ("u/w", '<meta HTTP-EQUIV="refresh" content="0; url=u/x">'), ("u/x", "<tr><th>Category</th>"), ("u/s", '<div id="root"></div>'), ("u/n", None)], "url string, body string")
     assert [r.page_type for r in P.route(docs).collect()][:4] == ["entries", "officials", "score_sheet", "score_sheet"]
-    out = {r.url: r for r in P.follow_refresh(P.preflight(docs)).collect()}
-    assert [out[u].source_class for u in ("u/a.pdf", "u/b.pdf", "u/w", "u/x", "u/s", "u/n")] == ["pdf", "html_fallback", "meta_refresh", "supported", "site_fallback", "unknown"]
-    assert out["u/w"].resolved_url == "u/x" and out["u/s"].resolved_url == "u/s"
+    out = {r.url: r for r in resolution.preflight(docs).collect()}
+    assert [out[u].source_class for u in ("u/a.pdf", "u/b.pdf", "u/w", "u/x", "u/s", "u/n")] == ["pdf", "html_fallback", "meta_refresh", "unknown_html", "unknown_html", "unknown_html"]
+
+
+def test_a_broken_page_stops_no_other(spark):
+    good = "<table><tr><th>No.</th><th>Name</th></tr><tr><td>1</td><td>Una</td></tr></table>"
+    docs = spark.createDataFrame([("a/CAT1EN.HTM", good), ("b/CAT1EN.HTM", good + '<a href="http://[x">y</a>'), ("c/CAT1EN.HTM", good), ("d/CAT1EN.HTM", None)], "url string, body string").coalesce(1)
+    read = P.read_pages(docs)
+    assert sorted(r.doc_id for r in P.entry_rows(P.cells(docs)).collect()) == ["a/CAT1EN.HTM", "c/CAT1EN.HTM"]
+    issue = P.page_issues(read).collect()
+    assert [(r.code, r.url) for r in issue] == [("index_page_parse_failed", "b/CAT1EN.HTM")] and issue[0].message.startswith("ValueError")
 
 
 def test_catalog(spark):

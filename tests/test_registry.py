@@ -1,11 +1,13 @@
 """Rules, upserts, registry and load."""
 
 import hashlib
+import os
 
 from pyspark.sql import functions as F
 
 from resultmart.functions import arrays as A
 from resultmart.functions import text as T
+from resultmart.operators import joins as J
 from resultmart.operators import maintenance as M
 from resultmart.operators.windows import dense_key
 from resultmart.plans import registry as R
@@ -78,13 +80,17 @@ def test_rules(spark):
 
 
 def test_upserts(spark):
-    base = spark.createDataFrame([("u1", "f", "imported", "passed", "a", {"k": "1"}), ("u2", None, "ready", "failed", None, {})], TABLES["source_url_registry"])
-    new = spark.createDataFrame([("u1", None, "ready", "failed", "b", {"j": "2"}), ("u3", "f", "ready", "pending", None, {})], TABLES["source_url_registry"])
+    base = spark.createDataFrame([("u1", "f", "imported", "passed", "a", {"k": "1"}, None, 7, "old_isucalcfs", "x"), ("u2", None, "ready_for_import", "passed", None, {}, "r", 8, None, None)], TABLES["source_url_registry"])
+    new = spark.createDataFrame([("u1", None, "ready_for_import", "failed", "b", {"j": "2"}, "to", 9, "fs_manager", "y"), ("u2", None, "skipped", "failed", None, {}, None, 9, None, None), ("u3", "f", "ready_for_import", "passed", None, {"source": "a listing/x"}, None, None, "old_isucalcfs", None), ("u4", "f", "ready_for_import", "passed", None, {"source": "b"}, None, None, "fs_manager", None), ("u5", "f", "ready_for_import", "failed", None, {}, None, None, "fs_manager", None)], TABLES["source_url_registry"])
     out = {r.url: r for r in R.register(base, new).collect()}
-    assert (out["u1"].status, out["u1"].validation_status, out["u1"].notes, out["u1"].summary, out["u1"].family) == ("imported", "passed", "a\nb", {"k": "1", "j": "2"}, "f") and len(out) == 3
+    assert (out["u1"].status, out["u1"].validation_status, out["u1"].notes, out["u1"].summary, out["u1"].family) == ("imported", "passed", "a\nb", {"k": "1", "j": "2"}, "f") and len(out) == 5
+    assert (out["u1"].resolved_url, out["u1"].source_profile_id, out["u1"].parser_profile, out["u1"].competition_stream) == ("to", 7, "fs_manager", "y")
+    assert (out["u2"].status, out["u2"].validation_status, out["u2"].resolved_url, out["u2"].source_profile_id) == ("skipped", "failed", None, 8)
     runs = spark.createDataFrame([(1, "u2", "completed")], "id long, root_url string, status string")
-    assert [r.url for r in R.ready_worklist(R.register(base, new), runs).collect()] == ["u3"]
-    assert {r.url: r.validation_status for r in M.refresh_registry(base, runs).collect()}["u2"] == "passed"
+    assert [r.url for r in R.ready_worklist(R.register(base, new), runs).collect()] == ["u4", "u3"]
+    assert [r.url for r in R.ready_worklist(R.register(base, new), runs, family="listing").collect()] == ["u3"] and R.ready_worklist(base, runs).isEmpty()
+    failed = base.withColumn("validation_status", F.lit("failed"))
+    assert {r.url: r.validation_status for r in M.refresh_registry(failed, runs).collect()}["u2"] == "passed"
     catalog = spark.createDataFrame([("s", "Adult Competition", None, "", None, None, None, "d1", None, "registered", {}), ("s", "B", "x", None, None, None, "k", "d2", None, "new", {}), ("s", "C", "x", None, None, None, "k", "d3", None, "new", {})], TABLES["event_discovery_catalog"])
     rows = spark.createDataFrame([("s", "Adult Competition", "", None, "", "", None, "d1", "r", "new", {"a": "b"})], TABLES["event_discovery_catalog"])
     got = {r.event_name: r for r in R.load_catalog(catalog, rows).collect()}
@@ -92,6 +98,10 @@ def test_upserts(spark):
     details = spark.createDataFrame([("d2", "http://r")], "detail_url string, result_url string")
     done = {r.event_name: r for r in R.resolve_catalog(catalog, details).collect()}
     assert (done["B"].result_url, done["B"].discovery_status, done["C"].discovery_status) == ("http://r", "candidate_result_url", "manual_review")
+    held = catalog.withColumn("result_url", F.when(F.col("event_name") == "B", "http://had"))
+    empty = spark.createDataFrame([("d1", None), ("d2", None), ("d3", "http://z"), ("d3", "http://y")], "detail_url string, result_url string")
+    again = {r.event_name: (r.discovery_status, r.result_url) for r in R.resolve_catalog(held, empty, refresh=True).collect()}
+    assert again == {"Adult Competition": ("catalog_only_needs_result_url", None), "B": ("candidate_result_url", "http://had"), "C": ("candidate_result_url", "http://y")}
     clubs, aliases = (spark.createDataFrame([], s) for s in ("club_id string, canonical_name string, status string", "alias_name string, alias_normalized string, club_id string, confidence string"))
     seen = spark.createDataFrame([("Elit",), (" elit ",), ("",), (None,), ("Varna",)], "club string")
     once = M.register_missing_aliases(seen, clubs, aliases)
@@ -155,8 +165,8 @@ def test_import(spark):
     sheets = R.import_sheets(spark.createDataFrame([("c", COMPACT), ("t", TABLE)], "doc_id string, text string"), 5)
     assert sheets["pdf_score_summaries"].count() == 4 and sheets["pdf_element_judge_scores"].count() == 28 and sheets["pdf_component_judge_scores"].count() == 8
     assert {r.profile_key for r in R.attach_profiles(docs, profiles(spark)).collect()} == {"b"}
-    checked = spark.createDataFrame([("supported", 2), ("supported", 0), ("unknown", None)], "source_class string, n_categories int")
-    assert [r.status for r in R.decide_status(checked).collect()] == ["ready", "analyzed", "skipped"]
+    checked = spark.createDataFrame([("html", 2, None), ("html", 2, True), ("html", 0, False), ("html_wrapper", None, False), ("pdf", None, False), ("unreachable", None, None), (None, 1, None)], "content_kind string, n_categories int, imported boolean")
+    assert [(r.status, r.validation_status) for r in R.decide_status(checked).collect()] == [("ready_for_import", "passed"), ("analyzed", "passed"), ("skipped", "failed"), ("skipped", "failed"), ("analyzed", "warning"), ("skipped", "failed"), ("skipped", "failed")]
 
 
 def test_sources_of_the_registry(spark):
@@ -212,12 +222,16 @@ def test_a_run_reaches_views_and_facts(spark, tmp_path):
     closed = R.load_run(runs, 5, f"{tmp_path}/layer", docs, profiles(spark), text)
     record = {r.id: r for r in closed.collect()}
     assert (record[5].status, record[6].status, record[5].stats["pdf_elements"], record[5].stats["segments"]) == ("completed", "started", "8", "1")
-    failed = {r.id: r for r in R.load_run(runs, 6, f"{tmp_path}/layer", docs).collect()}
-    assert failed[6].status == "failed" and "exist" in failed[6].error.lower() and failed[5].status == "started"
+    again = {r.id: r for r in R.load_run(runs, 5, f"{tmp_path}/layer", docs, profiles(spark), text).collect()}
+    layer, other = record[5].stats["path"], again[5].stats["path"]
+    assert again[5].status == "completed" and layer != other and {k: v for k, v in again[5].stats.items() if k != "path"} == {k: v for k, v in record[5].stats.items() if k != "path"}
+    assert all(int(n) == spark.read.parquet(f"{layer}/{name}").count() for name, n in record[5].stats.items() if name in TABLES)
+    failed = {r.id: r for r in R.load_run(runs, 6, f"{tmp_path}/layer", docs.drop("body")).collect()}
+    assert failed[6].status == "failed" and "body" in failed[6].error and failed[5].status == "started"
 
     flat = lambda df: spark.createDataFrame(df.collect(), df.schema)
-    names = [p.name for p in (tmp_path / "layer").iterdir()]
-    t = {n: spark.createDataFrame([], s) for n, s in TABLES.items()} | {n: flat(df) for n, df in load_layer(spark, f"{tmp_path}/layer", names, views=False).items()}
+    names = os.listdir(layer)
+    t = {n: spark.createDataFrame([], s) for n, s in TABLES.items()} | {n: flat(df) for n, df in load_layer(spark, layer, names, views=False).items()}
     t |= {"import_runs": flat(closed), "source_profiles": profiles(spark)}
     scores = {(r.skater_name, r.score_source[:3], r.category_name, r.segment_name) for r in V.v_skater_segment_scores(t).collect()}
     assert scores == {("UNA REED", "pdf", "Pairs", "Rhythm Dance"), ("ODO FENN", "pdf", "Pairs", "Rhythm Dance"), ("ZED MOOR", "htm", "Pairs", "Rhythm Dance")}
@@ -237,3 +251,27 @@ def test_tests_and_titles_of_sheets(spark):
         assert out[name].dtypes == spark.createDataFrame([], TABLES[name]).dtypes
     assert [(r.rank, r.skater_name, r.passed) for r in out["pdf_test_results"].collect()] == [(1, "Mia", True)]
     assert {(r.category, r.segment) for r in out["sheet_metadata"].where("segment_id IS NOT NULL").collect()} == {("Pairs", "Rhythm Dance")}
+
+
+def test_prefixes_of_one_host(spark):
+    """Ten thousand prefixes on a host, most of them of few lengths, against a plain search."""
+    import random
+
+    rng = random.Random(6)
+    prefixes = sorted({"".join(rng.choice("ab/%_") for _ in range(rng.choice([0, 1, 3, 7, 11]))) for _ in range(60_000)})[:10_000]
+    profiles_ = spark.createDataFrame([("h", p, i) for i, p in enumerate(prefixes)] + [("h", prefixes[5], -1), ("g", "", 7), (None, "a", 8), ("h", None, 9)], "host string, prefix string, id int")
+    paths = ["".join(rng.choice("ab/%_") for _ in range(rng.randrange(0, 14))) for _ in range(500)]
+    rows = spark.createDataFrame([(i, rng.choice(["h", "h", "g", "other", None]), p) for i, p in enumerate(paths)] + [(500, "h", None)], "n int, site string, path string").cache()
+    ids = {p: i for i, p in enumerate(prefixes)} | {prefixes[5]: -1}
+    expected = {}
+    for r in rows.collect():
+        held = {"h": ids, "g": {"": 7}}.get(r.site, {}) if r.path is not None else {}
+        best = max((p for p in held if r.path.startswith(p)), key=len, default=None)
+        expected[r.n] = held.get(best)
+    found = J.longest_prefix_join(rows, profiles_.withColumnRenamed("host", "site"), ["n"], "site", "path", "prefix").collect()
+    assert {r.n: r.id for r in found} == expected
+
+
+def test_media_types(spark):
+    urls = ["http://a/x.PDF?y", "http://a/x.htm", "http://a/x.jpeg#z", "http://a/x.unheard", "http://a/x", "http://a/x.docx"]
+    assert [r.t for r in spark.createDataFrame([(u,) for u in urls], "u string").select(T.document_type(F.col("u")).alias("t")).collect()] == ["judges_scores_pdf", "html", "image/jpeg", "html", "html", "html"]
