@@ -15,6 +15,7 @@ from resultmart.functions.arrays import merge_map
 from resultmart.functions.text import append_note, normalize_alias
 from resultmart.operators.joins import drop_referencing, unmatched
 from resultmart.operators.latest import first_per_key, latest_per_key
+from resultmart.sources.tables import written
 
 POLICIES: dict[str, Callable[[Column, Column], Column]] = {
     "overwrite": lambda old, new: new,
@@ -57,6 +58,35 @@ def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], policy: dic
     return old.join(new, match, "full").select(*out)
 
 
+def bucket_of(keys: Sequence[str], buckets: int) -> Column:
+    """The bucket of a row by its keys; null keys have one too."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def write_buckets(df: DataFrame, path: str, keys: Sequence[str], buckets: int) -> None:
+    """Write a table as one folder for each bucket of its keys, for ``upsert_buckets``."""
+    df.withColumn("bucket", bucket_of(keys, buckets)).repartition(F.col("bucket")).write.partitionBy("bucket").parquet(path)
+
+
+def upsert_buckets(path: str, schema: str, updates: DataFrame, keys: Sequence[str], policy: dict[str, str | Callable[[Column, Column], Column]], buckets: int, order: Sequence[str] = ()) -> list[int]:
+    """``upsert`` into a table of ``write_buckets`` that reads and rewrites only the buckets that updates fall into; gives those.
+
+    The new rows are written beside the table before any bucket is replaced, so a try that fails in between leaves
+    whole buckets, old or new. Repeating it with the same updates gives the same table, as far as the policies do
+    (appended notes would be appended again).
+    """
+    spark = updates.sparkSession
+    placed = written(updates.withColumn("bucket", bucket_of(keys, buckets)), "updates")
+    touched = sorted(r.bucket for r in placed.select("bucket").distinct().collect())  # at most the number of buckets
+    if not touched:
+        return []
+    base = spark.read.schema(f"{schema}, bucket int").parquet(path).where(F.col("bucket").isin(touched))
+    changed = upsert(base, placed.select(*base.columns), [*keys, "bucket"], policy, order)
+    new = written(changed, "buckets")
+    new.repartition(F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return touched
+
+
 def insert_ignore(base: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add rows whose keys aren't there yet, of several with one key the first by their other columns; null keys are never equal."""
     rest = [c for c, kind in rows.dtypes if c not in keys and not kind.startswith("map")]

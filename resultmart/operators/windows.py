@@ -20,6 +20,35 @@ def progression(df: DataFrame, partition: Sequence[str], order: Sequence[str], m
     return df.withColumns(added)
 
 
+def ranged_progression(df: DataFrame, partition: Sequence[str], order: Sequence[str], measures: Sequence[str], tie: str) -> DataFrame:
+    """As ``progression``, where one partition may hold most rows.
+
+    Rows are range-partitioned by partition and order and written with their range. A row's forerunner is the one before
+    it in its range; for the first row of a range it is the last one of the range before, of which one row is carried.
+    """
+    keys = [*partition, *order, tie]
+    columns = [F.col(c).asc_nulls_last() for c in keys]
+    rows = written(df.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id()), "progression")
+    w = Window.partitionBy("_part", *partition).orderBy(*columns[len(partition) :])
+    held = F.struct(*[F.col(m).alias(f"m{i}") for i, m in enumerate(measures)])
+    inside = rows.withColumns({"_n": F.row_number().over(w), "_before": F.lag(held).over(w)})
+    # the last row of each range: one row a range, so that all of them fit one task
+    latest = Window.partitionBy("_part").orderBy(*[F.col(c).desc_nulls_first() for c in keys])
+    ends = rows.withColumn("_back", F.row_number().over(latest)).where("_back = 1").select("_part", F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(partition)]).alias("_key"), held.alias("_last"))
+    along = Window.orderBy("_part")
+    parts = ends.select("_part", F.lag("_key").over(along).alias("_key"), F.lag("_last").over(along).alias("_last"))
+    met = inside.join(F.broadcast(parts), "_part")
+    follows = F.col("_n") == 1
+    for i, c in enumerate(partition):
+        follows = follows & F.col("_key").isNotNull() & F.col(f"_key.k{i}").eqNullSafe(F.col(c))
+    before = F.when(follows, F.col("_last")).otherwise(F.col("_before"))
+    added = {}
+    for i, m in enumerate(measures):
+        added[f"previous_{m}"] = before[f"m{i}"]
+        added[f"{m}_delta"] = F.col(m) - before[f"m{i}"]
+    return met.withColumns(added).select(*df.columns, *added)
+
+
 def carry_forward(df: DataFrame, partition: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
     """The last value that isn't null, up to and with the row itself."""
     w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from resultmart.functions import text as T
 from resultmart.operators import latest as L
 from resultmart.operators.aggregate import labelled_counts
-from resultmart.operators.maintenance import club_id, seeded_aliases
+from resultmart.operators.maintenance import club_id, guard, seeded_aliases, upsert_buckets, write_buckets
+from resultmart.operators.windows import ranged_progression
 from resultmart.plans import analytics as V
 from resultmart.plans import mart, pages, quality, registry, resolution, sheets
 from resultmart.plans.queries import day, query, table
@@ -612,3 +613,42 @@ def corrected_appearances(spark: SparkSession, d: str) -> DataFrame:
     nation, club = F.when(k % 3 == 0, "Elit").otherwise("AAA"), F.when(k % 2 == 0, "").otherwise(F.col("c_mktsegment"))
     rows = table(spark, d, "customer").select("c_custkey", nation.alias("nation_code"), club.alias("club_name"), F.lit("nation").alias("representation_type"), nation.alias("representation_value"), F.lit("old_isucalcfs").alias("parser_profile"), F.lit("club").alias("representation_primary"), F.lit("club").alias("nation_column"), none.alias("raw"))
     return registry.correct_appearances(rows).select("c_custkey", "nation_code", "club_name", "representation_type", "representation_value")
+
+
+@query("""
+WITH e AS (SELECT o_orderkey AS id, o_custkey + CASE WHEN o_orderkey % 100 = 0 THEN 1000000000 ELSE 0 END AS run, o_orderdate::DATE::VARCHAR AS url FROM orders)
+SELECT 'import_runs' AS "table", 'domain of status' AS rule, 'odd' AS value, count(*) AS rows FROM customer WHERE c_custkey % 50 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'events', 'unique import_run_id, source_url', run || '|' || url, count(*) FROM e GROUP BY run, url HAVING count(*) > 1
+UNION ALL SELECT 'events', 'import_run_id in import_runs', run::VARCHAR, count(*) FROM e WHERE run NOT IN (SELECT c_custkey FROM customer) GROUP BY run
+UNION ALL SELECT 'categories', 'unique event_id, name', l_orderkey || '|' || l_returnflag, count(*) FROM lineitem GROUP BY l_orderkey, l_returnflag HAVING count(*) > 1
+UNION ALL SELECT 'categories', 'event_id in events', l_orderkey::VARCHAR, count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM e) GROUP BY l_orderkey
+""")
+def report_constraints(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as runs, some in no known state; their orders as events, some of unknown runs; line items as categories."""
+    runs = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 50 == 0, "odd").otherwise("completed").alias("status"))
+    run = F.col("o_custkey") + F.when(F.col("o_orderkey") % 100 == 0, 1_000_000_000).otherwise(0)
+    events = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), run.alias("import_run_id"), F.col("o_orderdate").cast("date").cast("string").alias("source_url"))
+    categories = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_returnflag").alias("name"), F.col("l_linenumber").alias("id"))
+    return quality.constraint_violations({"import_runs": runs, "events": events, "categories": categories}, references=True)
+
+
+@query("SELECT o_orderkey, o_orderstatus, lag(o_totalprice) OVER w AS previous_o_totalprice, o_totalprice - lag(o_totalprice) OVER w AS o_totalprice_delta FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey)")
+def hot_progression(spark: SparkSession, d: str) -> DataFrame:
+    """Each order beside the one before it of the same state: few states, so that each holds a good part of all rows."""
+    out = ranged_progression(table(spark, d, "orders"), ["o_orderstatus"], ["o_orderdate"], ["o_totalprice"], "o_orderkey")
+    return out.select("o_orderkey", "o_orderstatus", "previous_o_totalprice", "o_totalprice_delta")
+
+
+@query("""
+WITH u AS (SELECT l_orderkey AS id, max(l_extendedprice) AS price FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate < DATE '1995-01-01' GROUP BY 1)
+SELECT o_orderkey AS id, CASE WHEN u.id IS NULL OR o_orderstatus = 'F' THEN o_orderstatus ELSE 'R' END AS status, coalesce(u.price, o_totalprice) AS price FROM orders LEFT JOIN u ON u.id = o_orderkey
+""")
+def upsert_in_place(spark: SparkSession, d: str) -> DataFrame:
+    """Orders stored by buckets of their keys, changed in place by their returned lines; the buckets without any stay as they are."""
+    base = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    path = S.shared_path(spark, "orders-by-bucket")
+    write_buckets(base, path, ["id"], 16)
+    updates = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_shipdate < DATE'1995-01-01'").groupBy(F.col("l_orderkey").alias("id")).agg(F.lit("R").alias("status"), F.max("l_extendedprice").alias("price"))
+    schema = ", ".join(f"{c} {kind}" for c, kind in base.dtypes)
+    upsert_buckets(path, schema, updates, ["id"], {"status": guard("F")}, 16)
+    return spark.read.schema(schema).parquet(path).select("id", "status", "price")

@@ -15,6 +15,7 @@ from resultmart.operators.joins import prefer_source
 from resultmart.operators.latest import latest_per_key, top
 from resultmart.plans import analytics as V
 from resultmart.plans import mart
+from resultmart.sources.tables import written
 
 Tables = dict[str, DataFrame]
 WHERE = ["event_start_date", "event_name", "root_url", "category_name", "skater_name", "nation_code", "club_name"]
@@ -304,6 +305,8 @@ DOMAINS: dict[tuple[str, str], tuple[str, ...]] = {
     ("parse_issues", "level"): ("info", "warning", "error"),
     ("source_skater_appearances", "appearance_type"): ("entry", "category_result", "segment_result", "pdf_score"),
     ("source_archive_files", "archive_status"): ("written", "skipped"),
+    ("source_url_registry", "status"): ("pending", "analyzed", "ready_for_import", "imported", "skipped", "failed"),
+    ("source_url_registry", "validation_status"): ("not_checked", "passed", "warning", "failed"),
 }
 #: Columns that identify a row.
 UNIQUE: dict[str, tuple[str, ...]] = {
@@ -320,15 +323,69 @@ UNIQUE: dict[str, tuple[str, ...]] = {
 }
 
 
-def constraint_violations(t: Tables) -> DataFrame:
-    """Q25: values outside their domain and repeated keys, by table."""
-    parts = []
+#: Columns that name a row of another table by its id.
+REFERENCES: dict[tuple[str, str], tuple[str, str]] = {
+    ("source_documents", "import_run_id"): ("import_runs", "id"),
+    ("events", "import_run_id"): ("import_runs", "id"),
+    ("categories", "event_id"): ("events", "id"),
+    ("segments", "category_id"): ("categories", "id"),
+    ("category_results", "category_id"): ("categories", "id"),
+    ("segment_results", "segment_id"): ("segments", "id"),
+    ("official_assignments", "segment_id"): ("segments", "id"),
+    ("pdf_elements", "pdf_score_summary_id"): ("pdf_score_summaries", "id"),
+    ("pdf_element_judge_scores", "pdf_element_id"): ("pdf_elements", "id"),
+    ("pdf_program_components", "pdf_score_summary_id"): ("pdf_score_summaries", "id"),
+    ("pdf_component_judge_scores", "pdf_program_component_id"): ("pdf_program_components", "id"),
+    ("club_aliases", "club_id"): ("clubs", "club_id"),
+}
+
+
+def _key_text(key: tuple[str, ...]) -> Column:
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
+
+
+def _rules(t: Tables, references: bool) -> dict[str, list[tuple[str, str, int, Column]]]:
+    """By table: (rule, its table, kind, value) of what one scan of it has to look at. Kinds: 0 outside a domain, 1 a key, 2 a reference, 3 what may be referred to."""
+    found: dict[str, list] = {name: [] for name in t}
     for (name, column), values in DOMAINS.items():
-        parts.append(t[name].where(~F.col(column).isin(*values)).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), F.lit(f"domain of {column}").alias("rule"), "value", "rows"))
+        if name in t:
+            found[name].append((f"domain of {column}", name, 0, F.when(~F.col(column).isin(*values), F.col(column))))
     for name, key in UNIQUE.items():
-        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
-        parts.append(t[name].groupBy(text.alias("value")).agg(F.count("*").alias("rows")).where("rows > 1").select(F.lit(name).alias("table"), F.lit("unique " + ", ".join(key)).alias("rule"), "value", "rows"))
-    return reduce(DataFrame.unionByName, parts)
+        if name in t:
+            found[name].append(("unique " + ", ".join(key), name, 1, _key_text(key)))
+    for (name, column), (parent, ids) in REFERENCES.items() if references else ():
+        if name in t and parent in t:
+            rule = f"{column} in {parent}"
+            found[name].append((rule, name, 2, F.col(column).cast("string")))
+            found[parent].append((rule, name, 3, F.col(ids).cast("string")))
+    return {name: rules for name, rules in found.items() if rules}
+
+
+def _looked_at(df: DataFrame, rules: list[tuple[str, str, int, Column]]) -> DataFrame:
+    """A row for each rule and row of a table: rule, table, kind, value; those without a value say nothing."""
+    parts = [F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("table"), F.lit(kind).alias("kind"), value.alias("value")) for rule, name, kind, value in rules]
+    return df.select(F.explode(F.array(*parts)).alias("x")).select("x.*").where("value IS NOT NULL")
+
+
+def constraint_violations(t: Tables, references: bool = False) -> DataFrame:
+    """Q25: values outside their domain, repeated keys and, with ``references``, ids that name no row: table, rule, value, rows.
+
+    Each table is scanned once for all of its rules. What is looked at goes on as two hashes and is counted by them, so
+    a scan's rows shrink before they are shuffled. Only tables and rules with a suspect are read again, for the values
+    themselves, which are then counted exactly. Tables that aren't there are left out.
+    """
+    rules = _rules(t, references)
+    parts = [_looked_at(t[name], held).select("rule", "table", "kind", F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(7), "value").alias("h2")) for name, held in rules.items()]
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    counted = reduce(DataFrame.unionByName, parts).groupBy("rule", "table", "h1", "h2").agg(n(0).alias("outside"), n(1).alias("keys"), n(2).alias("naming"), n(3).alias("named"))
+    suspects = written(counted.where("outside > 0 OR keys > 1 OR (naming > 0 AND named = 0)").select("rule", "table", "h1", "h2"), "suspects")
+    wanted = {(r.rule, r.table) for r in suspects.select("rule", "table").distinct().collect()}  # at most one for each rule
+    again = {name: [x for x in held if x[2] < 3 and (x[0], x[1]) in wanted] for name, held in rules.items()}
+    values = [_looked_at(t[name], held) for name, held in again.items() if held]
+    if not values:
+        return suspects.select("table", "rule", F.lit(None).cast("string").alias("value"), F.lit(0).cast("long").alias("rows")).limit(0)
+    seen = reduce(DataFrame.unionByName, values).withColumns({"h1": F.xxhash64("value"), "h2": F.xxhash64(F.lit(7), "value")}).join(suspects, ["rule", "table", "h1", "h2"], "left_semi")
+    return seen.groupBy("table", "rule", "kind", "value").agg(F.count("*").alias("rows")).where("kind <> 1 OR rows > 1").select("table", "rule", "value", "rows")
 
 
 def source_graph(t: Tables) -> DataFrame:
