@@ -119,9 +119,18 @@ def write_shards(docs: DataFrame, assigned: DataFrame, path: str, key_col: str =
 
     ``assigned`` is what ``shard`` gives for the same rows. Rows with equal keys and sizes can take each other's shards,
     so both tables are numbered in the order of key and size and meet by number: null keys are keys like others, and a
-    repeated key costs no more than others. Tables that don't belong together are an error.
+    repeated key costs no more than others. Tables that don't belong together are an error. Columns of documents that
+    are called like the folders are written with an underscore behind their name.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    taken = {"prefix", "part"} | {c.lower() for c in docs.columns}
+    names = []
+    for c in docs.columns:
+        name = c
+        while name.lower() in ("prefix", "part") or name != c and name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+    row = F.struct(*[F.col(f"`{c}`").alias(name) for c, name in zip(docs.columns, names, strict=True)]).alias("row")
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("n_bytes")
     held = stage(docs.select(row, F.col(key_col).alias("doc_id"), size, F.monotonically_increasing_id().alias("uid")), "documents")
     marks = stage(assigned.select("doc_id", "n_bytes", F.concat(F.lit("b"), "prefix").alias("prefix"), "part", F.monotonically_increasing_id().alias("uid")), "marks")
