@@ -362,8 +362,8 @@ def import_sheets(sheet_text: DataFrame, run_id: int, documents: DataFrame | Non
     found = sheets.prefer_sheet_source(text=sheets.sheet_summaries(scored), blocks=sheets.sheet_blocks(scored))
     by_line = Window.partitionBy("doc_id").orderBy("line_no")
     found = written(found, "sheet-summaries").withColumns({"skater_no": F.row_number().over(by_line), "skaters": F.count("*").over(Window.partitionBy("doc_id"))})
-    starts = found.where("sheet_source = 'text'").select("doc_id", "line_no", F.lit(True).alias("start"))
-    sections = sheets.sheet_sections(sheets.lines(scored).join(starts, ["doc_id", "line_no"], "left"), F.coalesce("start", F.lit(False)))
+    starts = found.where("sheet_source = 'text'").groupBy("doc_id").agg(F.collect_list("line_no").alias("starts"))
+    sections = sheets.sheet_sections(sheets.lines(scored).join(starts, "doc_id", "left"), "starts")
     sections = written(sections, "sheet-sections")
     # lines of a sheet with one skater are theirs, wherever the summary stands
     alone = found.where("skaters = 1").select("doc_id", F.lit(1).alias("only"))

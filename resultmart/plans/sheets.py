@@ -25,9 +25,9 @@ def _num(c: Column) -> Column:
 
 
 def lines(sheets: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line_no and line of every line that isn't blank."""
+    """A row for each sheet: doc_id and its lines that aren't blank, in order; null for a sheet without a text."""
     parts = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.btrim(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
-    return sheets.select(F.col(doc_id).alias("doc_id"), F.posexplode(parts).alias("line_no", "line"))
+    return sheets.select(F.col(doc_id).alias("doc_id"), parts.alias("lines"))
 
 
 def split_scores(c: Column) -> Column:
@@ -68,36 +68,38 @@ def groups_of(c: Column, pattern: str, n: int) -> Column:
     return _once(found, lambda x: F.when(F.size(x) == n + 1, x))
 
 
-def _summary(rank, name, nation, start, tss, tes, pcs, d) -> list[Column]:
-    who = [rank.try_cast("int").alias("rank"), F.btrim(name).alias("name"), nation.alias("nation"), start.try_cast("int").alias("starting_number")]
-    return [*who, tss.alias("total_segment_score"), tes.alias("total_element_score"), pcs.alias("total_program_component_score"), F.abs(d).alias("total_deductions")]
+def _summary(line_no, rank, name, nation, start, tss, tes, pcs, d) -> Column:
+    who = [line_no.alias("line_no"), rank.try_cast("int").alias("rank"), F.btrim(name).alias("name"), nation.alias("nation"), start.try_cast("int").alias("starting_number")]
+    return F.struct(*who, tss.alias("total_segment_score"), tes.alias("total_element_score"), pcs.alias("total_program_component_score"), F.abs(d).alias("total_deductions"))
 
 
-def line_summaries(lines_: DataFrame) -> DataFrame:
-    """Skaters whose summary is one line."""
-    g = lambda i: F.get("groups", F.lit(i))
-    return lines_.withColumn("groups", groups_of(F.col("line"), SUMMARY, 8)).where("groups IS NOT NULL").select("doc_id", "line_no", *_summary(g(1), g(2), g(3), g(4), _num(g(5)), F.coalesce(_num(g(6)), F.lit(0).cast(NUMBER)), _num(g(7)), _num(g(8))))
+def _line_summaries(every: Column) -> Column:
+    """Skaters whose summary is one line, as structs with the number of that line."""
+    def read(line: Column, i: Column) -> Column:
+        return _once(groups_of(line, SUMMARY, 8), lambda x: F.when(x.isNotNull(), _summary(i, *[F.get(x, F.lit(k)) for k in range(1, 5)], _num(F.get(x, F.lit(5))), F.coalesce(_num(F.get(x, F.lit(6))), F.lit(0).cast(NUMBER)), _num(F.get(x, F.lit(7))), _num(F.get(x, F.lit(8))))))
+
+    return F.filter(F.transform(every, read), lambda x: x.isNotNull())
 
 
-def vertical_summaries(lines_: DataFrame) -> DataFrame:
+def _vertical_summaries(every: Column) -> Column:
     """Skaters whose eight values stand on lines of their own: name, nation, total, deductions, components, elements, rank, start."""
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    after = [F.lead("line", i).over(w).alias(f"v{i}") for i in range(1, 8)]
-    rows = lines_.select("doc_id", "line_no", "line", *after)
-    ok = F.col("v1").rlike(r"^[A-Z]{3}\z")
-    for i in (2, 3, 4, 5):
-        ok = ok & F.col(f"v{i}").rlike(r"^-?\d+\.\d\d\z")
-    for i in (6, 7):
-        ok = ok & F.col(f"v{i}").rlike(r"^\d+\z")
-    v = lambda i: F.col(f"v{i}")
-    return rows.where(ok).select("doc_id", "line_no", *_summary(v(6), F.col("line"), v(1), v(7), _num(v(2)), _num(v(5)), _num(v(4)), _num(v(3))))
+    def read(line: Column, i: Column) -> Column:
+        v = lambda k: F.get(every, i + k)
+        ok = v(1).rlike(r"^[A-Z]{3}\z")
+        for k in (2, 3, 4, 5):
+            ok = ok & v(k).rlike(r"^-?\d+\.\d\d\z")
+        for k in (6, 7):
+            ok = ok & v(k).rlike(r"^\d+\z")
+        return F.when(ok, _summary(i, v(6), line, v(1), v(7), _num(v(2)), _num(v(5)), _num(v(4)), _num(v(3))))
+
+    return F.filter(F.transform(every, read), lambda x: x.isNotNull())
 
 
 def sheet_summaries(sheets: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Summaries in either line layout; one-line summaries count where a sheet has both."""
-    found = lines(sheets, doc_id, text)
-    one = line_summaries(found)
-    return one.unionByName(vertical_summaries(found).join(one.select("doc_id").distinct(), "doc_id", "left_anti"))
+    """Summaries in either line layout; one-line summaries count where a sheet has both. One pass over the sheets."""
+    found = lambda every: _once(_line_summaries(every), lambda one: F.when(F.size(one) > 0, one).otherwise(_vertical_summaries(every)))
+    rows = lines(sheets, doc_id, text).select("doc_id", F.explode_outer(_once(F.col("lines"), found)).alias("s"))
+    return rows.where("s IS NOT NULL").select("doc_id", "s.*")
 
 
 def sheet_blocks(sheets: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -106,7 +108,7 @@ def sheet_blocks(sheets: DataFrame, doc_id: str = "doc_id", text: str = "text")
     b = F.btrim("block")
     g = lambda i: F.regexp_extract(b, COMPACT, i)
     rows = blocks.where(b.rlike(COMPACT)).withColumn("s", split_scores(g(5))).where("s IS NOT NULL")
-    return rows.select("doc_id", "line_no", *_summary(g(1), g(2), g(3), g(4), F.col("s.tss"), F.col("s.tes"), F.col("s.pcs"), F.col("s.deduction")))
+    return rows.select("doc_id", _summary(F.col("line_no"), g(1), g(2), g(3), g(4), F.col("s.tss"), F.col("s.tes"), F.col("s.pcs"), F.col("s.deduction")).alias("s")).select("doc_id", "s.*")
 
 
 def sheet_titles(sheets: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,17 +118,31 @@ def sheet_titles(sheets: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return sheets.select(F.col(doc_id).alias("doc_id"), before.alias("before"), after.alias("after"))
 
 
-def sheet_sections(lines_: DataFrame, starts: Column | None = None) -> DataFrame:
+def sheet_sections(lines_: DataFrame, starts: str | None = None) -> DataFrame:
     """Lines with skater_no (0 before the first) and section: summary, elements or components.
 
-    A skater begins where ``starts`` holds; without it, at a one-line summary.
+    A skater begins at the lines whose numbers the array column ``starts`` holds (null: none); without it, at one-line
+    summaries. A sheet's lines that begin a section are folded in order, with the skater and the section as state; each
+    section is then a slice of the sheet, so that no line is sorted or sent anywhere. A sheet without a text has no lines.
     """
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = F.col("line").rlike(SUMMARY) if starts is None else starts
-    rows = lines_.withColumn("skater_no", F.count_if(starts).over(w))
-    mark = F.when(starts, "summary").when(F.lower("line").rlike(r"^#? ?executed elements|^# executed"), "elements").when(F.lower("line").startswith("program component"), "components")
-    inside = Window.partitionBy("doc_id", "skater_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("section", F.last(mark, ignorenulls=True).over(inside)).select("doc_id", "line_no", "line", "skater_no", "section")
+    def section(line: Column, i: Column) -> Column:
+        begins = line.rlike(SUMMARY) if starts is None else F.coalesce(F.array_contains(starts, i), F.lit(False))
+        low = F.lower(line)
+        return F.when(begins, "summary").when(low.rlike(r"^#? ?executed elements|^# executed"), "elements").when(low.startswith("program component"), "components")
+
+    marks = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), section(x, i).alias("section"))), lambda m: m.section.isNotNull())
+    none = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("skater_no"), F.lit(None).cast("string").alias("section"))
+
+    def step(state: Column, m: Column) -> Column:
+        skater = state.skater_no + F.when(m.section == "summary", 1).otherwise(0)
+        return F.struct(skater.alias("skater_no"), F.array_append(state.runs, F.struct(m.at.alias("at"), skater.alias("skater_no"), m.section.alias("section"))).alias("runs"))
+
+    runs = F.aggregate(marks, F.struct(none.skater_no.alias("skater_no"), F.array(none).alias("runs")), step, lambda state: state.runs)
+    until = lambda held, k: F.coalesce(F.get(held, k + 1)["at"], F.size("lines"))
+    cut = _once(runs, lambda held: F.transform(held, lambda r, k: F.struct(r.at.alias("at"), r.skater_no.alias("skater_no"), r.section.alias("section"), F.slice("lines", r.at + 1, until(held, k) - r.at).alias("lines"))))
+    parts = lines_.where("lines IS NOT NULL").select("doc_id", F.explode_outer(cut).alias("r"))
+    rows = parts.select("doc_id", "r.at", "r.skater_no", "r.section", F.posexplode_outer("r.lines").alias("n", "line")).where("line IS NOT NULL")
+    return rows.select("doc_id", (F.col("at") + F.col("n")).alias("line_no"), "line", "skater_no", "section")
 
 
 def _marks(text: Column, kind: str) -> Column:
