@@ -49,6 +49,27 @@ def ranged_progression(df: DataFrame, partition: Sequence[str], order: Sequence[
     return met.withColumns(added).select(*df.columns, *added)
 
 
+def positions(df: DataFrame, partition: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
+    """Number the rows of each partition from 1 in a total order, nulls last, where one partition may hold most rows.
+
+    This is the list of a group as rows. Rows are range-partitioned by partition and order and written with their range;
+    a row's number is its number in its range and the rows of its partition in the ranges before. Only the first partition
+    of a range can have any there, so what is added is one row a range.
+    """
+    columns = [F.col(c).asc_nulls_last() for c in [*partition, *order]]
+    rows = written(df.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id()), "positions")
+    sizes = rows.groupBy("_part", *partition).agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(*partition).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sizes.withColumn("_before", F.sum("_n").over(ahead)).where("_before > 0")
+    carried = carried.select("_part", F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(partition)]).alias("_key"), "_before")
+    inside = rows.withColumn("_row", F.row_number().over(Window.partitionBy("_part", *partition).orderBy(*columns[len(partition) :])))
+    met = inside.join(F.broadcast(carried), "_part", "left")  # at most a row for each range
+    same = F.col("_key").isNotNull()
+    for i, c in enumerate(partition):
+        same = same & F.col(f"_key.k{i}").eqNullSafe(F.col(c))
+    return met.select(*df.columns, (F.col("_row") + F.when(same, F.col("_before")).otherwise(0)).alias(name))
+
+
 def carry_forward(df: DataFrame, partition: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
     """The last value that isn't null, up to and with the row itself."""
     w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
