@@ -2,10 +2,12 @@
 
 import os
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from resultmart.operators import maintenance as M
 from resultmart.operators import windows as W
+from resultmart.operators.aggregate import first_listed
 from resultmart.plans import quality
 
 
@@ -64,3 +66,33 @@ def test_constraints(spark):
     }
     assert {r.rule for r in quality.constraint_violations(t).collect()} == {x[1] for x in found if " in " not in x[1]}
     assert quality.constraint_violations({"events": t["events"].limit(0)}).count() == 0
+
+
+def test_first_values_of_a_group_of_a_million_rows(spark):
+    n = 1_000_000
+    rows = spark.range(n).select(F.when(F.col("id") % 1000 > 0, "hot").when(F.col("id") % 2000 > 0, F.concat(F.lit("k"), F.col("id") % 7000)).alias("k"), F.pmod(F.xxhash64("id"), F.lit(5000)).alias("at"), "id")
+    value = F.when(F.col("id") % 3 > 0, F.col("id"))
+    found = first_listed(rows, ["k"], value, [F.asc("at"), F.asc("id")], 20)
+    groups: dict = {}
+    for r in rows.select("k", "at", "id").toPandas().itertuples():
+        groups.setdefault(r.k if isinstance(r.k, str) else None, []).append((r.at, r.id))
+    expected = {k: (len(v), [i if i % 3 else None for _, i in sorted(v)[:20]]) for k, v in groups.items()}
+    assert {r.k: (r.n, r["values"]) for r in found.collect()} == expected and None in expected
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan[plan.index("Exchange") :]
+    assert first_listed(rows.limit(0), ["k"], value, [F.asc("id")], 3).count() == 0
+
+
+def test_positions_over_ranges_equal_the_window(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 300)).alias("k"), F.when(F.col("id") % 11 > 0, F.xxhash64("id") % 50).alias("at"), "id")
+    w = Window.partitionBy("k").orderBy(F.col("at").asc_nulls_last(), "id")
+    expected = sorted(map(repr, rows.withColumn("position", F.row_number().over(w)).collect()))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        for coalesce in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+            found = W.positions(rows, ["k"], ["at", "id"])
+            assert sorted(map(repr, found.collect())) == expected
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert W.positions(rows.limit(0), ["k"], ["at", "id"]).count() == 0

@@ -1,5 +1,8 @@
 """Score-sheet texts in every layout."""
 
+import random
+import re
+
 import pytest
 
 from resultmart.plans import sheets as S
@@ -86,3 +89,31 @@ def test_gate_and_preference(spark, sheets):
     assert [(r.number, r["name"], r.passed) for r in S.test_rows(cells).collect()] == [(1, "A", True), (2, "B", False)]
     title = {r.doc_id: (r.before, r.after) for r in S.sheet_titles(sheets).collect()}
     assert title["c"] == ("RIDGE CUP 2033", "PAIRS FREE DANCE")
+
+
+def test_sections_equal_a_plain_walk_and_need_no_shuffle(spark):
+    rng = random.Random(4)
+    pool = [*TABLE.split("\n"), *VERTICAL.split("\n"), "# Executed", "program components x", "", "  "]
+    docs = [(f"d{i}", "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 50)))) for i in range(150)] + [("none", None), ("empty", "")]
+    expected = []
+    for doc, text in docs:
+        skater, section = 0, None
+        for i, line in enumerate(x for x in (" ".join(y.split()) for y in (text or "").split("\n")) if x):
+            low = line.lower()
+            if re.match(S.SUMMARY.replace(r"\z", r"\Z"), line):
+                skater, section = skater + 1, "summary"
+            elif re.match("#? ?executed elements|# executed", low):
+                section = "elements"
+            elif low.startswith("program component"):
+                section = "components"
+            expected.append((doc, i, line, skater, section))
+    found = S.sheet_sections(S.lines(spark.createDataFrame(docs, "doc_id string, text string")))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+
+
+def test_sections_begin_where_told(spark):
+    docs = spark.createDataFrame([("a", "x\n# Executed\ny\nz", [2]), ("b", "x\ny", None)], "doc_id string, text string, starts array<int>")
+    rows = S.sheet_sections(S.lines(docs).join(docs.select("doc_id", "starts"), "doc_id"), "starts").orderBy("doc_id", "line_no").collect()
+    assert [(r.skater_no, r.section) for r in rows] == [(0, None), (0, "elements"), (1, "summary"), (1, "summary"), (0, None), (0, None)]
