@@ -7,7 +7,7 @@ most r plus the cell's radius and exceeds the distance to its own pivot by at mo
 plane of the two pivots is at most r. So each vector meets all its partners in its home cell, where they are counted
 once. Cells are cut into blocks of bounded size; a pair of blocks is one group. How far replication goes depends on the
 data: where distances concentrate, as for random directions in many dimensions, the bounds exclude little and the join
-costs what comparing all blocks costs. Blocks are compared in single precision, and pairs whose cosine it leaves open
+costs what comparing all blocks costs. Small tables have some cells as well, so that several tasks share them. Blocks are compared in single precision, and pairs whose cosine it leaves open
 in double precision.
 
 Equal vectors are one class, so a vector that a third of all rows hold is compared once. A group of vectors that are
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resultmart.llm.common import pick, stage
+from resultmart.llm.common import look_up, pick, stage
 from resultmart.llm.components import components, smallest
 
 #: Bounds allow for rounding by this much.
@@ -194,7 +194,7 @@ def _join(kind: str, cosine: float):
     return run
 
 
-def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, block_rows: int = 4096, sample_rows: int = 8192, max_lengths: int = MAX_CELLS) -> DataFrame:
+def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, block_rows: int = 4096, min_cells: int = 8, sample_rows: int = 8192, max_lengths: int = MAX_CELLS) -> DataFrame:
     """Link vectors whose cosine, in double precision, is at least ``cosine``; one row per input row.
 
     Returns vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable, itself included) and
@@ -202,16 +202,17 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     with nothing, nor do vectors of different lengths or rows with a null vec_id (component_id null, not kept).
     Repeated rows are rows of their own that link with each other, and so are rows of one vec_id with different vectors,
     which link only if their vectors do. An empty table gives an empty result; extra columns
-    are dropped. ``block_rows`` bounds both sides of a group on average; pivots are chosen from ``sample_rows``
+    are dropped. ``block_rows`` bounds both sides of a group on average; there are at
+    least ``min_cells`` cells for each length, where it has so many different vectors; pivots are chosen from ``sample_rows``
     classes for the ``max_lengths`` most frequent lengths of vectors; vectors of any other length have one cell of their own.
     """
     kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
     rows = pick(vectors, vec_id=(id_col, "long"), embedding=(vector_col, "array<float>" if kind == "<f4" else "array<double>"))
-    rows = stage(rows.mapInArrow(_vectors(kind), "vec_id long, digest binary, raw binary, size int"), "vectors")
+    rows = stage(rows.mapInArrow(_vectors(kind), "vec_id long, digest binary, raw binary, size int").withColumn("node", F.spark_partition_id()), "vectors")
     usable = rows.where("vec_id IS NOT NULL AND digest IS NOT NULL")
     classes = stage(usable.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.first("raw").alias("raw"), F.first("size").alias("size"), F.count("*").alias("copies")).withColumn("class", F.monotonically_increasing_id()), "classes")
     n = classes.count()
-    k = max(1, min(MAX_CELLS, math.ceil(n / block_rows)))
+    k = min(MAX_CELLS, max(min_cells, math.ceil(n / block_rows)))
 
     held = classes.select(F.col("class").alias("rep"), "raw", "size", "copies")
     sample = classes.select("size", "raw").orderBy(F.xxhash64("digest"), "digest").limit(sample_rows).collect()
@@ -237,9 +238,10 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     reached = components(found, "rep", "root")
     of = classes.select("digest", "rep", "class", "copies").join(counts.toDF("class", "links"), "class", "left").join(reached.toDF("class", "component"), "class", "left")
     least = of.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
-    of = of.join(least, "component", "left").select("digest", "rep", "copies", "links", F.col("least").alias("component"))
+    # copies of one vector, and a component, may be a third of all rows
+    of = look_up(of.withColumn("node", F.shiftright("class", 33)), least, ["component"]).select("digest", "rep", "copies", "links", F.col("least").alias("component"))
     usable = F.col("vec_id").isNotNull() & F.col("rep").isNotNull()
-    joined = rows.select("vec_id", "digest").join(of, "digest", "left")
+    joined = look_up(rows.select("vec_id", "digest", "node"), of, ["digest"])
     out = joined.select("vec_id", F.when(usable, F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(usable, F.coalesce("component", "rep")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
