@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from resultmart.llm.common import pick, stage
+from resultmart.llm.common import look_up, pick, stage
 
 #: Bits of the hash: the first 12 hexadecimal digits of the MD5 of the key as text.
 HASH_BITS = 48
@@ -66,7 +66,7 @@ def shard(docs: DataFrame, max_bytes: int, key_col: str = "doc_id", text_col: st
     dropped.
     """
     rows = pick(docs, doc_id=key_col, text=(text_col, "string")).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    hashed = stage(rows.withColumn("hash", _hash(F.col("doc_id"))), "hashed")
+    hashed = stage(rows.withColumn("hash", _hash(F.col("doc_id"))).withColumn("node", F.spark_partition_id()), "hashed")
     found = stage(directory(hashed, max_bytes, step), "directory")
     depths = [r[0] for r in found.select("depth").distinct().collect()]  # at most one for each bit
     if not depths:
@@ -77,7 +77,7 @@ def shard(docs: DataFrame, max_bytes: int, key_col: str = "doc_id", text_col: st
     finest = hashed.select(F.shiftright("hash", HASH_BITS - top).alias("entry")).distinct()
     steps = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("entry", top - d).alias("prefix")) for d in sorted(depths)])).alias("b")
     table = finest.select("entry", steps).select("entry", "b.depth", "b.prefix").join(found, ["depth", "prefix"])
-    placed = hashed.withColumn("entry", F.shiftright("hash", HASH_BITS - top)).join(table, "entry")
+    placed = look_up(hashed.withColumn("entry", F.shiftright("hash", HASH_BITS - top)), table, ["entry"])  # one key may hold a third of all rows
     bits = F.lpad(F.bin("prefix"), F.col("depth"), "0")
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(bits)
     good = placed.where("fits").select("doc_id", "n_bytes", "depth", bits.alias("prefix"), F.lit(0).cast("long").alias("part"), F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"))
