@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from resultmart.operators.aggregate import first_listed
 from resultmart.operators.windows import positions
+from resultmart.plans import analytics as V
 from resultmart.plans import mart, quality, registry, sheets
 from resultmart.plans.derived import _SKATERS, layer
-from resultmart.plans.queries import query, table
+from resultmart.plans.queries import ORACLES, query, table
 from resultmart.sources.tables import written
 
 ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -243,3 +244,73 @@ def report_index_issues(spark: SparkSession, d: str) -> DataFrame:
     index = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.when(head, "category").otherwise("segment").alias("kind"), F.lit("Open").alias("category"), name.alias("segment"), link(head, "e", 3), link(head, "r", 5), link(~head, "o", 3, k % 8), link(~head, "d", 7), link(~head, "j", 9))
     index = written(index, "index")
     return quality.index_issues(index, index.select("doc_id", "category", "segment")).groupBy("doc_id", "level", "code").agg(F.count("*").alias("n"))
+
+
+def _with_profiles(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The layer with events that name their profile; profiles with an odd number have clubs first. Every 17th order's name is a mark of qualification."""
+    t = layer(spark, d)
+    first = F.when(F.col("id") % 2 == 1, "club").otherwise("nation")
+    marked = F.when((F.floor(F.col("id") % 10_000_000_000 / 10) % 17 == 0) & (F.col("normalized_name") != ""), "Q").otherwise(F.col("normalized_name"))
+    more = {
+        "source_profiles": t["source_profiles"].withColumn("representation_primary", first),
+        "events": t["events"].withColumn("source_profile_id", F.floor(F.col("id") / 100_000) % 5),
+        "source_skater_appearances": t["source_skater_appearances"].withColumn("normalized_name", marked),
+    }
+    return t | more
+
+
+_PROFILED = _JUDGED + """
+, kinds AS (SELECT * FROM (VALUES (1, 'category_result'), (2, 'segment_result'), (3, 'pdf_score')) k(i, appearance_type)),
+row_ AS (SELECT every.run, every.root_url, every.o_orderkey, o_custkey, o_orderpriority, c_name, i, appearance_type, r_name AS profile_key, CASE WHEN r_regionkey % 2 = 1 THEN 'club' ELSE 'nation' END AS first, CASE WHEN o_custkey % 6 = 0 THEN '' WHEN o_custkey % 11 = 0 THEN 'x' ELSE repeat(chr(65 + c_nationkey), 3) END AS nation,
+  CASE WHEN o_custkey % 4 = 0 THEN '' ELSE c_mktsegment END AS club, CASE WHEN o_custkey % 13 = 0 THEN '' WHEN every.o_orderkey % 17 = 0 THEN 'Q' ELSE upper(c_name) END AS shown, run IN (SELECT id FROM latest) AS is_latest
+  FROM every CROSS JOIN kinds JOIN region ON r_regionkey = c_nationkey % 5 LEFT JOIN lines ON lines.o_orderkey = every.o_orderkey WHERE i < 3 OR (lines.o_orderkey IS NOT NULL AND every.o_orderkey % 5 > 0))
+"""
+
+
+@query(_PROFILED + """
+SELECT first AS representation_primary, count(*) AS appearances, count(nullif(nation, '')) AS with_country, count(nullif(club, '')) AS with_club, count(*) FILTER (WHERE nation = 'x') AS non_iso_nation_codes, count(*) FILTER (WHERE first = 'club' AND club = '') AS club_primary_empty_club
+FROM row_ WHERE is_latest AND shown <> '' GROUP BY 1
+""")
+def view_quality_representation(spark: SparkSession, d: str) -> DataFrame:
+    out = V.v_data_quality_representation(_with_profiles(spark, d))
+    return out.select("representation_primary", "appearances", "with_country", "with_club", "non_iso_nation_codes", "club_primary_empty_club")
+
+
+@query(_PROFILED + "SELECT run AS import_run_id, root_url, run * 10000000000 + o_orderkey * 10 + i AS id, appearance_type, c_name AS raw_name, shown AS normalized_name FROM row_ WHERE is_latest AND shown IN ('', 'Q')")
+def report_bad_names(spark: SparkSession, d: str) -> DataFrame:
+    return quality.bad_names(_with_profiles(spark, d)).drop("raw_source_name")
+
+
+@query(_PROFILED + """
+SELECT run AS event_run_id, profile_key, appearance_type, CASE WHEN club = '' THEN 'missing_club' ELSE 'has_club' END AS club_state, count(*) AS appearances, count(DISTINCT nation) AS nations, count(DISTINCT nullif(club, '')) AS clubs FROM row_ WHERE i = 1 GROUP BY ALL
+""")
+def report_representation_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return quality.representation_buckets(_with_profiles(spark, d)).drop("representation_type")
+
+
+@query(_PROFILED + "SELECT run AS event_run_id, profile_key, nation AS nation_code, count(*) AS appearances FROM row_ WHERE i = 1 AND first = 'club' AND club = '' GROUP BY ALL")
+def report_missing_clubs(spark: SparkSession, d: str) -> DataFrame:
+    return quality.club_primary_without_club_by_nation(_with_profiles(spark, d))
+
+
+@query(_PROFILED + """
+SELECT run AS event_run_id, profile_key, o_orderpriority AS category_name, appearance_type, c_name AS raw_name, nation AS nation_code, 'review: empty club, possible individual/unknown/empty source value' AS validation_status, run * 10000000000 + o_orderkey * 10 + i AS id
+FROM row_ WHERE i = 1 AND first = 'club' AND club = '' ORDER BY run, o_orderpriority, c_name, id LIMIT 200
+""")
+def report_missing_club_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The first 200 rows for a reviewer."""
+    return quality.club_primary_without_club(_with_profiles(spark, d)).drop("representation_value")
+
+
+@query(_PROFILED + """
+SELECT run AS event_run_id, profile_key, o_orderpriority AS category_name, c_name AS raw_name, nation AS nation_code, club AS club_name, run * 10000000000 + o_orderkey * 10 + i AS id
+FROM row_ WHERE i = 1 AND first = 'nation' AND club <> '' ORDER BY run, profile_key, o_orderpriority, c_name, id LIMIT 200
+""")
+def report_nation_first_with_club(spark: SparkSession, d: str) -> DataFrame:
+    """The first 200 rows for a reviewer."""
+    return quality.nation_primary_with_club(_with_profiles(spark, d))
+
+
+@query(f"SELECT canonical_name, alias_name AS aliases, uses AS imported_appearance_count, event_count FROM ({ORACLES['view_alias_usage']})")
+def mart_clubs(spark: SparkSession, d: str) -> DataFrame:
+    return mart.dim_club(layer(spark, d)).select("canonical_name", F.array_join("aliases", ",").alias("aliases"), "imported_appearance_count", "event_count")
