@@ -220,11 +220,13 @@ def _may_link(left: Column, right: Column, percent: int) -> Column:
 
 
 def _hub_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """Each class with the hub that it meets most often, and the places where they meet first."""
+    """Each class with the hub that it meets most often, and the places where they meet first; of two that are each other's hub one pair."""
     met = shared.where((F.col("cid") != F.col("hub")) & _may_link(F.col("spot"), F.col("hub_spot"), percent))
     met = met.groupBy("cid", "hub").agg(F.count("*").alias("n"), F.min(F.struct("spot", "hub_spot")).alias("at"))
     best = met.groupBy("cid").agg(F.max_by(F.struct("hub", "at"), F.struct("n", -F.col("hub"))).alias("best"))
-    return best.select(F.col("cid").alias("a"), F.col("best.hub").alias("b"), F.col("best.at.spot").alias("p"), F.col("best.at.hub_spot").alias("q"))
+    pair = F.struct(F.col("cid").alias("a"), F.col("best.hub").alias("b"), F.col("best.at.spot").alias("p"), F.col("best.at.hub_spot").alias("q"))
+    once = best.groupBy(F.least("cid", "best.hub").alias("low"), F.greatest("cid", "best.hub").alias("high")).agg(F.min(pair).alias("pair"))
+    return once.select("pair.*")
 
 
 def _candidates(shared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
