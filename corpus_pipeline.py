@@ -53,10 +53,12 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     rows = docs.select(COLUMNS).withColumn("text_hash", F.xxhash64("text"))
     gone = near_duplicates(rows, keep=["text_hash"]).where("NOT kept").select("doc_id", "text_hash").distinct()
-    left = rows.join(gone, ["doc_id", "text_hash"], "left_anti")
-    again = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("lang", "source", "n_chars")) > 1
-    linked = F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return left.withColumn("again", again).where(~F.coalesce(F.col("again") & linked, F.lit(False))).select(COLUMNS)
+    # rows that can't link take no part in the window: those without an id may share one text with a third of all rows
+    linked = F.coalesce(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    left = rows.where(linked).join(gone, ["doc_id", "text_hash"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("lang", "source", "n_chars"))
+    first = left.withColumn("place", place).where("place = 1").select(COLUMNS)
+    return first.unionByName(rows.where(~linked).select(COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
