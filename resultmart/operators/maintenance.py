@@ -120,7 +120,7 @@ def cascade_delete(tables: dict[str, DataFrame], dead_runs: DataFrame, reference
     """The tables without the dead runs and everything that hangs on them, directly or through other rows.
 
     ``tables`` have their key in ``key``; ``references`` names each table's parents, in an order in which parents come
-    first. A row goes if any of its references goes. Keys are unique.
+    first. A row goes if any of its references goes. Keys are unique; nothing hangs on a table without one.
     """
     gone = {root: dead_runs.select(F.col(dead_runs.columns[0]).alias(key)).distinct()}
     out = dict(tables)
@@ -130,7 +130,8 @@ def cascade_delete(tables: dict[str, DataFrame], dead_runs: DataFrame, reference
             continue
         refs = {column: gone[parent] for column, parent in parents.items() if parent in gone and column in tables[name].columns}
         out[name] = drop_referencing(tables[name], refs)
-        gone[name] = tables[name].join(out[name].select(key), key, "left_anti").select(key)
+        if key in tables[name].columns:
+            gone[name] = tables[name].join(out[name].select(key), key, "left_anti").select(key)
     return out
 
 

@@ -69,7 +69,7 @@ def dim_official(t: Tables) -> DataFrame:
 def dim_source_document(t: Tables) -> DataFrame:
     docs = t["source_documents"].select(F.col("id").alias("source_document_key"), "import_run_id", "url", "document_type", "parser_profile", "content_hash", "fetched_at", "parse_status", "metadata")
     runs = t["import_runs"].select(F.col("id").alias("import_run_id"), "root_url")
-    files = t["source_archive_files"].drop("import_run_id").withColumnRenamed("source_document_id", "source_document_key")
+    files = t["source_archive_files"].select(F.col("source_document_id").alias("source_document_key"), "archive_path", "archive_sha256", "archive_status", "archive_reason")
     return docs.join(runs, "import_run_id").join(files, "source_document_key", "left")
 
 
