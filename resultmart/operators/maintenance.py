@@ -125,13 +125,15 @@ def cascade_delete(tables: dict[str, DataFrame], dead_runs: DataFrame, reference
     gone = {root: dead_runs.select(F.col(dead_runs.columns[0]).alias(key)).distinct()}
     out = dict(tables)
     out[root] = unmatched(tables[root], gone[root], [key])
-    for name, parents in (references or REFERENCES).items():
+    known = references or REFERENCES
+    for name, parents in known.items():
         if name not in tables:
             continue
         refs = {column: gone[parent] for column, parent in parents.items() if parent in gone and column in tables[name].columns}
         out[name] = drop_referencing(tables[name], refs)
-        if key in tables[name].columns:
-            gone[name] = tables[name].join(out[name].select(key), key, "left_anti").select(key)
+        if key in tables[name].columns and any(name in p.values() and child in tables for child, p in known.items()):
+            # written, as every table below asks for them again
+            gone[name] = written(tables[name].join(out[name].select(key), key, "left_anti").select(key), f"gone-{name}")
     return out
 
 

@@ -277,8 +277,8 @@ def removed_runs(spark: SparkSession, d: str) -> DataFrame:
     """What goes with failed runs, table by table."""
     t = judged_layer(spark, d)
     names = ["import_runs", *[n for n in maintenance.REFERENCES if n in ("source_documents", "parse_issues", "events", "categories", "segments", "source_skater_appearances", "category_results", "segment_results", "official_assignments", "pdf_score_summaries", "pdf_elements", "pdf_element_judge_scores", "pdf_program_components")]]
-    before = {n: t[n] for n in names}
-    return maintenance.removed_counts(before, maintenance.cascade_delete(before, t["import_runs"].where("status = 'failed'").select("id")))
+    before = {n: S.written(t[n], n) for n in names}
+    return maintenance.removed_counts(before, maintenance.cascade_delete(before, before["import_runs"].where("status = 'failed'").select("id")))
 
 
 @query(_JUDGED + ", judge AS (SELECT segment_id, judge_number, min(name) AS official FROM panel WHERE role_group = 'judge' GROUP BY 1, 2) SELECT element_id AS element_score_key, j AS judge_number, official FROM el CROSS JOIN (VALUES (1), (2)) m(j) LEFT JOIN judge ON judge.segment_id = el.segment_id AND judge_number = j")
