@@ -220,7 +220,10 @@ def _may_link(left: Column, right: Column, percent: int) -> Column:
 
 
 def _hub_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """Each class with the hub that it meets most often, and the places where they meet first; of two that are each other's hub one pair."""
+    """Each class with the hub that it meets most often, and the places where they meet first in the lists of that hub; of two that are each other's hub one pair.
+
+    They may share rarer shingles, in whose lists another class is the hub.
+    """
     met = shared.where((F.col("cid") != F.col("hub")) & _may_link(F.col("spot"), F.col("hub_spot"), percent))
     met = met.groupBy("cid", "hub").agg(F.count("*").alias("n"), F.min(F.struct("spot", "hub_spot")).alias("at"))
     best = met.groupBy("cid").agg(F.max_by(F.struct("hub", "at"), F.struct("n", -F.col("hub"))).alias("best"))
@@ -251,20 +254,25 @@ def _candidates(shared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return met.groupBy(F.least("l_cid", "r_cid").alias("a"), F.greatest("l_cid", "r_cid").alias("b")).agg(F.min(spots).alias("at")).select("a", "b", "at.p", "at.q")
 
 
-def _suffix_filter(percent: int):
-    """Pairs whose sets can share enough behind the places where they meet first, range of hashes by range."""
+def _suffix_filter(percent: int, first: bool = True):
+    """Pairs whose sets can share enough around the places where they meet, range of hashes by range.
+
+    Unless they meet there ``first``, what stands before these places may be shared as well.
+    """
 
-    def rest(marks: bytes, spot: int) -> tuple[int, np.ndarray]:
+    def around(marks: bytes, spot: int) -> tuple[int, np.ndarray, np.ndarray]:
         place, head = spot >> 32, 4 * SUFFIX_RANGES
-        before = np.bincount(np.frombuffer(marks, np.uint8, place + 1, head), minlength=SUFFIX_RANGES)
-        return spot & 0xFFFFFFFF, np.frombuffer(marks, "<u4", SUFFIX_RANGES).astype(np.int64) - before
+        ranges = np.frombuffer(marks, np.uint8, place + 1, head)
+        upto = np.bincount(ranges, minlength=SUFFIX_RANGES)
+        return spot & 0xFFFFFFFF, np.bincount(ranges[:-1], minlength=SUFFIX_RANGES), np.frombuffer(marks, "<u4", SUFFIX_RANGES).astype(np.int64) - upto
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
             for p, q, x, y in zip(*[b.column(i).to_pylist() for i in range(2, 6)], strict=True):
-                (n, x), (m, y) = rest(x, p), rest(y, q)
-                good.append((100 + percent) * (1 + int(np.minimum(x, y).sum())) >= percent * (n + m))
+                (n, before_x, x), (m, before_y, y) = around(x, p), around(y, q)
+                most = 1 + int(np.minimum(x, y).sum()) + (0 if first else int(np.minimum(before_x, before_y).sum()))
+                good.append((100 + percent) * most >= percent * (n + m))
             good = np.array(good, bool)
             yield pa.RecordBatch.from_arrays([pa.array(b.column(i).to_numpy()[good]) for i in (0, 1)], names=["a", "b"])
 
@@ -305,10 +313,10 @@ def _verify(percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold. Only sets of classes in pairs that pass the suffix filter move."""
+def _linked(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, percent: int, first: bool = True) -> DataFrame:
+    """The pairs (a, b) whose similarity reaches the threshold, given with the places where they meet (``first``, or somewhere). Only sets of classes in pairs that pass the suffix filter move."""
     marks = classes.select("cid", "marks")
-    likely = pairs.join(marks.toDF("a", "x"), "a").join(marks.toDF("b", "y"), "b").select("a", "b", "p", "q", "x", "y").mapInArrow(_suffix_filter(percent), "a long, b long")
+    likely = pairs.join(marks.toDF("a", "x"), "a").join(marks.toDF("b", "y"), "b").select("a", "b", "p", "q", "x", "y").mapInArrow(_suffix_filter(percent, first), "a long, b long")
     likely = stage(likely, "likely", waves=1)
     cids = likely.select(F.col("a").alias("cid")).union(likely.select("b")).distinct()
     wanted = stage(classes.select("cid", "rep", "digest").join(cids, "cid", "left_semi"), "wanted", waves=1)
@@ -349,7 +357,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = _with_hubs(stage(ordered.mapInArrow(_shared, "token long, spot long, cid long, hub_spot long, hub long, part int"), "shared"))
 
     tried = stage(_hub_pairs(shared, percent), "tried", waves=1)
-    links = _linked(tried, rows, classes, words, percent)
+    links = _linked(tried, rows, classes, words, percent, first=False)
     found = stage(components(links), "found", waves=1)
     pairs = _candidates(shared, found, percent).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     links = links.unionByName(_linked(stage(pairs, "candidates", waves=1), rows, classes, words, percent))
