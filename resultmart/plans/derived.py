@@ -50,7 +50,7 @@ def page_entries(spark: SparkSession, d: str) -> DataFrame:
     url = F.concat(F.lit(SITE), F.col("c_mktsegment"), F.lit("/"), F.floor(F.col("c_custkey") / 50), F.lit("/CAT001EN.HTM"))
     name = F.concat(F.lit('<a href="x.htm">'), F.col("c_name"), F.lit("</a>"))
     docs = _pages(c, url, F.col("c_mktsegment"), ("No.", "Name", "Nat."), _row(F.col("c_custkey").cast("string"), name, F.col("nation")), "c_custkey")
-    return pages.entry_rows(pages.cells(docs)).select("entry_no", "name", "nation", "category")
+    return pages.entry_rows(pages.rows(docs)).select("entry_no", "name", "nation", "category")
 
 
 @query("""
@@ -63,7 +63,7 @@ def page_category_results(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     row = _row(F.col("place"), F.concat(F.lit("Order "), k), F.lit("&nbsp;"), _money("o_totalprice"), (k % 9).cast("string"), F.when(k % 4 > 0, (F.col("o_custkey") % 9).cast("string")).otherwise("-"))
     docs = _pages(o, F.concat(F.lit(f"{SITE}c"), F.col("o_custkey"), F.lit("/CAT001RS.HTM")), F.concat(F.lit("Customer "), F.col("o_custkey")), ("FPl.", "Name", "Nation", "Points", "SP", "FS"), row, "o_orderkey")
-    out = pages.category_result_rows(pages.cells(docs))
+    out = pages.category_result_rows(pages.rows(docs))
     return out.select("final_place", "name", "category", F.col("points").cast("double").alias("points"), F.try_element_at("segment_places", F.lit("SP")).alias("sp"), F.try_element_at("segment_places", F.lit("FS")).alias("fs"))
 
 
@@ -75,7 +75,7 @@ def page_segment_results(spark: SparkSession, d: str) -> DataFrame:
     row = _row(F.lit("1"), F.concat(F.lit("Line "), F.col("l_orderkey")), F.lit("AAA"), *[_money(c) for c in ("l_extendedprice", "l_quantity")], F.lit(""), _money("l_tax"), _money("l_discount"), F.lit("0.00"), F.concat(F.lit("#"), F.col("l_partkey")))
     url = F.concat(F.lit(f"{SITE}s"), F.col("l_suppkey"), F.lit("/"), F.pmod("l_orderkey", F.lit(997)), F.lit("/SEG001.HTM"))
     docs = _pages(line, url, F.concat(F.lit("Supplier "), F.col("l_suppkey"), F.lit(" - Free Skating")), ("Pl.", "Name", "Nation", "TSS<br />=", "TES<br />+", "&nbsp;", "PCS<br />+", "CO", "Deduction<br />-", "StN."), row, "l_orderkey")
-    out = pages.segment_result_rows(pages.cells(docs))
+    out = pages.segment_result_rows(pages.rows(docs))
     return out.select("starting_number", "name", *[F.col(c).cast("double").alias(c) for c in ("tss", "tes", "pcs")], F.element_at("components", F.lit("co")).cast("double").alias("co"), "category", "segment")
 
 
@@ -92,7 +92,7 @@ def page_officials(spark: SparkSession, d: str) -> DataFrame:
     function = F.replace(text, F.lit("%d"), (k % 9 + 1).cast("string"))
     s = table(spark, d, "supplier")
     docs = _pages(s, F.concat(F.lit(f"{SITE}n"), F.col("s_nationkey"), F.lit("/"), F.floor(k / 50), F.lit("/SEG001OF.HTM")), F.lit("Men - Free Skating"), ("Function", "Name", "Nation"), _row(function, F.col("s_name"), F.lit("AAA")), "s_suppkey")
-    return pages.official_rows(pages.cells(docs)).select("name", "role_group", "judge_number")
+    return pages.official_rows(pages.rows(docs)).select("name", "role_group", "judge_number")
 
 
 _KINDS = ["pdf", "html_fallback", "site_fallback", "html_wrapper", "html", "html", "html", "meta_refresh", "unknown_html"]

@@ -1,12 +1,17 @@
 """Extraction of result pages: one Arrow job turns pages into cells, DataFrames do the rest.
 
-``cells`` is the only place where Python sees a page. Every table of a page is listed, nested ones too, and the text of
-a nested table is also text of the cell around it.
+``read_pages`` and ``rows`` are the only places where Python sees a page. Every table of a page is listed, nested ones too,
+and the text of a nested table is also text of the cell around it. ``cells`` has a row for each cell, ``rows`` one for each
+table row with its cells, the headers of its table and the title of its page, so that nothing has to be gathered again; the
+readings take either. Pages of plain tags are cut by one pattern, others go through the parser of the standard library.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -24,6 +29,14 @@ _CELLS = pa.schema([("doc_id", pa.string()), ("kind", pa.string()), ("table_no",
 #: Header texts and the names of their columns.
 HEADERS = {"no.": "entry_no", "name": "name", "nat.": "nation", "nation": "nation", "club": "club", "fpl.": "place", "pl.": "place", "points": "points", "tss": "tss", "tes": "tes", "pcs": "pcs", "deduction": "deduction", "deductions": "deduction", "ded.": "deduction", "stn.": "start", "qual.": "qual", "function": "function", "category": "category", "segment": "segment", "date": "date", "time": "time", "reports": ""}
 HEADINGS = {"title", "h1", "h2", "h3", "h4"}
+ROWS = "doc_id string, title string, table_no int, row_no int, is_header boolean, headers array<string>, row array<struct<cell_no:int,is_header:boolean,text:string,anchor:string,after:string,links:array<struct<text:string,href:string,url:string>>>>"
+#: A table row of cells with text and breaks alone, a tag whose attributes are quoted and hold no references, or text.
+_PLAIN = re.compile(r'<tr>((?:<t[dh]>[^<]*(?:<br ?/?>[^<]*)*</t[dh]>)+)</tr>|<(/?)((?i:[a-z][a-z0-9]*))((?:[ \t\n\r\f]+(?i:[a-z-]+)="[^"<>&]*")*)[ \t\n\r\f]*(/?)>|([^<]+)')
+_CELL = re.compile(r"<(t[dh])>([^<]*(?:<br ?/?>[^<]*)*)</t[dh]>")
+_BREAK = re.compile(r"<br ?/?>")
+_ATTRIBUTE = re.compile(r'([a-z-]+)="([^"]*)"', re.IGNORECASE)
+#: Tags whose content isn't read as tags.
+_OPAQUE = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "noscript", "plaintext", "xmp"}
 
 
 class _Page(HTMLParser):
@@ -31,7 +44,7 @@ class _Page(HTMLParser):
 
     def __init__(self, doc_id: str, url: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.doc_id, self.url, self.out = doc_id, url, []
+        self.doc_id, self.url, self.out, self.raw, self.gone = doc_id, url, [], [], 0  # raw: rows with texts as they came; gone: how many were handed over before the page ended
         self.tables: list[dict] = []  # the open ones, outermost first
         self.count, self.heading, self.link = 0, None, None
 
@@ -58,6 +71,7 @@ class _Page(HTMLParser):
             cell = {"doc_id": self.doc_id, "kind": "cell", "table_no": table["no"], "row_no": max(table["row"], 0), "row_class": held.get("class") or table["class"], "cell_no": table["cells"], "is_header": tag == "th", "text": "", "anchor": None, "after": "", "links": []}
             table.update(cell=cell, cells=table["cells"] + 1)
             self.out.append(cell)
+            self.raw.append(cell)
         elif tag == "a":
             self._close_link()
             if held.get("href") or any(t["cell"] for t in self.tables):
@@ -66,8 +80,9 @@ class _Page(HTMLParser):
                     if table["cell"]:
                         table["cell"]["links"].append(self.link)
         elif tag in HEADINGS:
-            self.heading = {"doc_id": self.doc_id, "kind": tag, "table_no": self.tables[-1]["no"] if self.tables else -1, "row_no": -1, "row_class": "", "cell_no": len(self.out), "is_header": False, "text": "", "anchor": None, "after": "", "links": []}
+            self.heading = {"doc_id": self.doc_id, "kind": tag, "table_no": self.tables[-1]["no"] if self.tables else -1, "row_no": -1, "row_class": "", "cell_no": self.gone + len(self.out), "is_header": False, "text": "", "anchor": None, "after": "", "links": []}
             self.out.append(self.heading)
+            self.raw.append(self.heading)
         elif tag == "form" and held.get("action"):
             for table in self.tables:
                 if table["cell"]:
@@ -100,39 +115,253 @@ class _Page(HTMLParser):
                 if self.link is None and cell["links"]:
                     cell["after"] += data
 
+    def feed_plain(self, text: str) -> Iterator[None]:
+        """Read a page of plain tags as ``feed`` would, pausing after each table row; ``_Odd`` where it has other markup."""
+        at = 0
+        for m in _PLAIN.finditer(text):
+            if m.start() != at:
+                raise _Odd
+            at = m.end()
+            row, close, tag, attrs, both, data = m.groups()
+            if row:
+                if len(self.tables) != 1:
+                    self._table_row(row)
+                    yield
+                    continue
+                table = self.tables[0]
+                table.update(row=table["row"] + 1, cell=None)
+                table["class"], self.link = "", None
+                texts = _head_texts(row) if row.startswith("<th>") else _texts(row)
+                if self.heading is not None:
+                    self.heading["text"] += "".join(_inside(x) for _, x in _CELL.findall(row))
+                self.out += [{"doc_id": self.doc_id, "kind": "cell", "table_no": table["no"], "row_no": table["row"], "row_class": "", "cell_no": i, "is_header": head, "text": x, "anchor": None, "after": "", "links": ()} for i, (head, x) in enumerate(texts)]
+                table["cells"] = len(texts)
+                yield
+            elif data:
+                self.handle_data(unescape(data) if "&" in data else data)
+            else:
+                tag = tag.lower()
+                if tag in _OPAQUE:
+                    raise _Odd
+                if close:
+                    self.handle_endtag(tag)
+                    if tag == "tr":
+                        yield
+                    continue
+                self.handle_starttag(tag, [(k.lower(), v) for k, v in _ATTRIBUTE.findall(attrs)] if attrs else [])
+                if both:
+                    self.handle_endtag(tag)
+        if at != len(text):
+            raise _Odd
+
+    def _table_row(self, row: str) -> None:
+        """A row of cells with text and breaks alone, in or outside of other tables."""
+        self.handle_starttag("tr", [])
+        for cell, inside in _CELL.findall(row):
+            self.handle_starttag(cell, [])
+            self.handle_data(_inside(inside))
+            self.handle_endtag(cell)
+        self.handle_endtag("tr")
+
+    def settled(self) -> bool:
+        """Whether all rows but the last one of the open table are done."""
+        return len(self.tables) <= 1 and self.heading is None and self.link is None and not any(t["cell"] for t in self.tables)
+
     def rows(self) -> list[dict]:
-        clean = lambda x: " ".join(x.replace("\xa0", " ").replace("�", " ").split())
-        for c in self.out:
-            links = [x | {"text": clean(x["text"])} for x in c["links"]]
-            c |= {"text": clean(c["text"]), "after": clean(c["after"]), "links": [x for x in links if x["text"] and x["href"]], "anchor": next((x["text"] for x in links if x["text"] and x["text"] != "form"), None)}
+        for c in self.raw:
+            links = [x | {"text": _clean(x["text"])} for x in c["links"]]
+            c |= {"text": _clean(c["text"]), "after": _clean(c["after"]), "links": [x for x in links if x["text"] and x["href"]], "anchor": next((x["text"] for x in links if x["text"] and x["text"] != "form"), None)}
+        self.raw = []
         return self.out
 
+    def done(self) -> list[dict]:
+        """The rows so far that are done, which are handed over; a table row that may go on stays."""
+        self.rows()
+        open_ = {(t["no"], max(t["row"], 0)) for t in self.tables}
+        kept = [c for c in self.out if c["kind"] == "cell" and (c["table_no"], c["row_no"]) in open_]
+        out = [c for c in self.out if not (c["kind"] == "cell" and (c["table_no"], c["row_no"]) in open_)]
+        self.out, self.gone = kept, self.gone + len(out)
+        return out
+
+
+class _Odd(Exception):
+    """A page has markup beyond plain tags."""
+
+
+def _clean(x: str) -> str:
+    return " ".join(x.replace("\xa0", " ").replace("�", " ").split())
+
+
+def _inside(x: str) -> str:
+    """The text of a cell with text and breaks alone."""
+    x = _BREAK.sub(" ", x) if "<" in x else x
+    return unescape(x) if "&" in x else x
+
+
+def _texts(row: str) -> list[tuple[bool, str]]:
+    """The cells of a row with text and breaks alone: whether it is a header, and its text."""
+    return [(cell == "th", _clean(_inside(x))) for cell, x in _CELL.findall(row)]
+
+
+_head_texts = functools.lru_cache(4096)(_texts)
+
 
 #: Rows of pages that are gathered before they go on.
 _ROWS = 20_000
 
 
-def _page_rows(doc_id: str | None, body: str | bytes | None) -> list[dict]:
-    """The rows of a page, or one row that says why it can't be read; the others are read whatever it holds."""
+def _text(body: str | bytes | None) -> str:
+    return body.decode("windows-1252", "replace") if isinstance(body, bytes) else body or ""
+
+
+def _parts(doc_id: str | None, body: str | bytes | None, part: int) -> Iterator[list[dict]]:
+    """The rows of a page in parts of some ``part`` rows that hold whole table rows; the last part may be larger."""
+    text = _text(body)
     page = _Page(doc_id, doc_id or "")
+    for _ in page.feed_plain(text):
+        if len(page.out) >= part and page.settled():
+            yield page.done()
+    yield page.rows()
+
+
+def _parsed(doc_id: str | None, body: str | bytes | None, part: int) -> Iterator[list[dict]]:
+    """``_parts`` of a page with any markup."""
+    text, step = _text(body), 64 * part
+    page = _Page(doc_id, doc_id or "")
+    for i in range(0, len(text), step):
+        page.feed(text[i : i + step])
+        if len(page.out) >= part and page.settled():
+            yield page.done()
+    page.close()
+    yield page.rows()
+
+
+def _page_parts(doc_id: str | None, body: str | bytes | None, pack, part: int) -> list:
+    """The packed parts of a page, or one row that says why it can't be read; the others are read whatever it holds."""
     try:
-        page.feed(body.decode("windows-1252", "replace") if isinstance(body, bytes) else body or "")
-        page.close()
-        return page.rows()
+        try:
+            return [pack(x) for x in _parts(doc_id, body, part)]
+        except _Odd:
+            return [pack(x) for x in _parsed(doc_id, body, part)]
     except (ValueError, AssertionError, RecursionError) as error:
-        return [{"doc_id": doc_id, "kind": "error", "text": f"{type(error).__name__}: {error}"[:1000]}]
+        return [[{"doc_id": doc_id, "kind": "error", "text": f"{type(error).__name__}: {error}"[:1000]}]]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    batch = lambda held: pa.RecordBatch.from_pylist(held, schema=_CELLS)
     for b in batches:
         held: list[dict] = []
-        for doc_id, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            held += _page_rows(doc_id, body)
+        for doc_id, body in zip(b.column(0), b.column(1), strict=True):
+            # a large page is held as Arrow batches until it is known that all of it can be read
+            for part in _page_parts(doc_id.as_py(), body.as_py(), lambda x: batch(x) if len(x) >= _ROWS else x, _ROWS):
+                if isinstance(part, pa.RecordBatch):
+                    yield part
+                else:
+                    held += part
             if len(held) >= _ROWS:
-                yield pa.RecordBatch.from_pylist(held, schema=_CELLS)
+                yield batch(held)
                 held = []
         if held:
-            yield pa.RecordBatch.from_pylist(held, schema=_CELLS)
+            yield batch(held)
+
+
+@functools.lru_cache(4096)
+def _header_name(text: str) -> str:
+    """As ``_header``."""
+    text = re.sub(r"[=+\-]\s*\Z", "", text).strip(" ")
+    return HEADERS.get(text.lower(), text)
+
+
+class _Packed:
+    """Table rows of a page, or of a part of one: their places in columns, their cells in an Arrow array or a list."""
+
+    def __init__(self, cells_: list[dict]) -> None:
+        by: dict[tuple[int, int], list[dict]] = {}
+        self.caption, self.seconds = None, []
+        at, row = None, []
+        for c in cells_:
+            if c["kind"] == "cell":
+                if (c["table_no"], c["row_no"]) != at:
+                    at = (c["table_no"], c["row_no"])
+                    row = by.setdefault(at, [])
+                row.append(c)
+                if c["row_class"] == "caption2" and c["text"]:
+                    caption = (c["table_no"], c["row_no"], c["cell_no"], c["text"])
+                    self.caption = min(self.caption or caption, caption)
+            elif c["kind"] == "h2" and c["text"]:
+                self.seconds.append(c["text"])
+        for row in by.values():
+            if row[-1]["cell_no"] != len(row) - 1:  # cells before the first row of a table count as its own
+                row.sort(key=lambda c: (c["cell_no"], c["is_header"], c["text"]))
+        self.places = list(by)
+        self.heads = [all(c["is_header"] for c in x) for x in by.values()]
+        self.names = {k: [_header_name(c["text"]) for c in x] for (k, x), head in zip(by.items(), self.heads, strict=True) if head}
+        rows = list(by.values())
+        self.rows = _row_array(rows) if len(cells_) >= _ROWS else rows
+
+
+def _row_array(rows: list[list[dict]]) -> pa.Array:
+    """Lists of cells as an array of ``ROWS``' last type, column by column."""
+    flat = [c for row in rows for c in row]
+    links = [x for c in flat for x in c["links"]]
+    link = pa.StructArray.from_arrays([pa.array([x[k] for x in links], pa.string()) for k in ("text", "href", "url")], fields=list(_LINK))
+    ends = lambda sizes: pa.array(list(_ends(sizes)), pa.int32())
+    columns = [pa.array([c[k] for c in flat], kind) for k, kind in (("cell_no", pa.int32()), ("is_header", pa.bool_()), ("text", pa.string()), ("anchor", pa.string()), ("after", pa.string()))]
+    columns.append(pa.ListArray.from_arrays(ends(len(c["links"]) for c in flat), link))
+    return pa.ListArray.from_arrays(ends(map(len, rows)), pa.StructArray.from_arrays(columns, names=["cell_no", "is_header", "text", "anchor", "after", "links"]))
+
+
+def _ends(sizes: Iterator[int]) -> Iterator[int]:
+    total = 0
+    yield total
+    for n in sizes:
+        total += n
+        yield total
+
+
+def _row_batch(held: list[tuple[str | None, str | None, dict, _Packed]], array: pa.Array) -> pa.RecordBatch:
+    places = [(doc_id, title, t, r, headers.get(t)) for doc_id, title, headers, p in held for t, r in p.places]
+    doc_ids, titles_, tables, numbers, names = zip(*places, strict=True)
+    columns = [pa.array(doc_ids, pa.string()), pa.array(titles_, pa.string()), pa.array(tables, pa.int32()), pa.array(numbers, pa.int32()), pa.array([x for *_, p in held for x in p.heads], pa.bool_()), pa.array(names, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays([*columns, array], names=["doc_id", "title", "table_no", "row_no", "is_header", "headers", "row"])
+
+
+def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        held: list[tuple[str | None, str | None, dict, _Packed]] = []
+        n = 0
+        for doc_id, body in zip(b.column(0), b.column(1), strict=True):
+            parts = [x for x in _page_parts(doc_id.as_py(), body.as_py(), _Packed, _ROWS) if isinstance(x, _Packed)]
+            seconds = [x for p in parts for x in p.seconds]
+            captions = [p.caption for p in parts if p.caption]
+            title = min(captions)[3] if captions else seconds[1] if len(seconds) > 1 else None
+            first: dict[int, tuple[int, list[str]]] = {}
+            for p in parts:
+                for (t, r), names in p.names.items():
+                    first[t] = min(first.get(t, (r, names)), (r, names))
+            headers = {t: names for t, (_, names) in first.items()}
+            for p in parts:
+                if not p.places:
+                    continue
+                page = (doc_id.as_py(), title, headers, p)
+                if isinstance(p.rows, pa.Array):
+                    yield _row_batch([page], p.rows)
+                else:
+                    held.append(page)
+                    n += sum(map(len, p.rows))
+            if n >= _ROWS:
+                yield _row_batch(held, _row_array([x for *_, p in held for x in p.rows]))
+                held, n = [], 0
+        if held:
+            yield _row_batch(held, _row_array([x for *_, p in held for x in p.rows]))
+
+
+def rows(documents: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
+    """A row for each table row of the pages that can be read, whose URLs are unique: the title of its page, the headers of its table (null: none), its cells.
+
+    The readings below take it in place of ``cells``; then no cell is sent anywhere.
+    """
+    return documents.select(F.col(url).cast("string"), body).mapInArrow(_read_rows, ROWS)
 
 
 def read_pages(documents: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
@@ -170,7 +399,9 @@ def _header(c: Column) -> Column:
 
 
 def table_rows(cells_: DataFrame) -> DataFrame:
-    """One row for each table row: headers (names of the columns), row (cells) and whether it is a header row's table."""
+    """One row for each table row below headers: headers (names of the columns) and row (cells); of ``rows`` also the page's title."""
+    if "row" in cells_.columns:
+        return cells_.where("NOT is_header AND headers IS NOT NULL").drop("is_header")
     cell = F.struct("cell_no", "is_header", "text", "anchor", "after", "links")
     rows = cells_.where("kind = 'cell'").groupBy("doc_id", "table_no", "row_no").agg(F.array_sort(F.collect_list(cell)).alias("row"), F.max("row_class").alias("row_class"), F.min("is_header").alias("is_header"))
     heads = rows.where("is_header").groupBy("doc_id", "table_no").agg(F.min_by(F.transform("row", lambda x: _header(x.text)), "row_no").alias("headers"))
@@ -213,12 +444,18 @@ def _who() -> dict[str, Column]:
 
 def _titled(rows: DataFrame, cells_: DataFrame) -> DataFrame:
     parts = split_title(F.col("title"))
-    return rows.join(titles(cells_), "doc_id", "left").withColumns({"category": parts["category"], "segment": parts["segment"]}).drop("title")
+    titled = rows if "title" in rows.columns else rows.join(titles(cells_), "doc_id", "left")
+    return titled.withColumns({"category": parts["category"], "segment": parts["segment"]}).drop("title")
+
+
+def _page(rows: DataFrame) -> list[str]:
+    """What rows know of their page."""
+    return [c for c in ("doc_id", "title") if c in rows.columns]
 
 
 def entry_rows(cells_: DataFrame) -> DataFrame:
     rows = _tables(cells_, "entry_no", "name").where(F.coalesce(cell("name"), F.lit("")) != "")
-    return _titled(rows.select("doc_id", "row_no", to_int(cell("entry_no")).alias("entry_no"), *[c.alias(n) for n, c in _who().items()]), cells_)
+    return _titled(rows.select(*_page(rows), "row_no", to_int(cell("entry_no")).alias("entry_no"), *[c.alias(n) for n, c in _who().items()]), cells_)
 
 
 def category_result_rows(cells_: DataFrame) -> DataFrame:
@@ -228,7 +465,7 @@ def category_result_rows(cells_: DataFrame) -> DataFrame:
     texts = F.transform("row", lambda x: x.text)
     places = zip_map(F.slice("headers", at + 1, F.greatest(F.size("headers") - at, F.lit(0))), F.slice(texts, at + 1, F.greatest(F.size("row") - at, F.lit(0))))
     places = F.map_filter(F.transform_values(places, lambda _, v: to_int(v)), lambda _, v: v.isNotNull())
-    return _titled(rows.select("doc_id", "row_no", to_int(cell("place")).alias("final_place"), *[c.alias(n) for n, c in _who().items()], to_float(cell("points")).alias("points"), places.alias("segment_places")), cells_)
+    return _titled(rows.select(*_page(rows), "row_no", to_int(cell("place")).alias("final_place"), *[c.alias(n) for n, c in _who().items()], to_float(cell("points")).alias("points"), places.alias("segment_places")), cells_)
 
 
 def segment_result_rows(cells_: DataFrame) -> DataFrame:
@@ -241,14 +478,14 @@ def segment_result_rows(cells_: DataFrame) -> DataFrame:
     parts = F.map_filter(F.transform_values(parts, lambda _, v: to_float(v)), lambda _, v: v.isNotNull())
     scores = [to_float(cell(c)).alias(c) for c in ("tss", "tes", "pcs", "deduction")]
     club = blank_to_null(F.when(cell("name", "anchor").isNotNull(), cell("name", "after")))
-    return _titled(rows.select("doc_id", "row_no", to_int(cell("place")).alias("place"), *[c.alias(n) for n, c in _who().items()], club.alias("club_display_name"), *scores, parts.alias("components"), to_int(cell("start")).alias("starting_number"), cell("qual").alias("qualification")), cells_)
+    return _titled(rows.select(*_page(rows), "row_no", to_int(cell("place")).alias("place"), *[c.alias(n) for n, c in _who().items()], club.alias("club_display_name"), *scores, parts.alias("components"), to_int(cell("start")).alias("starting_number"), cell("qual").alias("qualification")), cells_)
 
 
 def official_rows(cells_: DataFrame) -> DataFrame:
     rows = _tables(cells_, "function", "name").where((F.coalesce(cell("function"), F.lit("")) != "") & (F.coalesce(cell("name"), F.lit("")) != ""))
     role = classify_role(cell("function"))
-    out = rows.select("doc_id", "row_no", cell("function").alias("function"), role["role_group"].alias("role_group"), role["judge_number"].alias("judge_number"), cell("name").alias("name"), cell("nation").alias("nation"))
-    first = out.groupBy("doc_id", "function", "role_group", "judge_number", "name", "nation").agg(F.min("row_no").alias("row_no"))
+    out = rows.select(*_page(rows), "row_no", cell("function").alias("function"), role["role_group"].alias("role_group"), role["judge_number"].alias("judge_number"), cell("name").alias("name"), cell("nation").alias("nation"))
+    first = out.groupBy(*_page(out), "function", "role_group", "judge_number", "name", "nation").agg(F.min("row_no").alias("row_no"))
     return _titled(first.select(out.columns), cells_)
 
 
