@@ -7,7 +7,7 @@ end are told from long ones when a round settles nothing: somewhere behind them
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resultmart.functions.text import join_url
@@ -142,23 +142,30 @@ def check_sources(documents: DataFrame, url: str = "url", body: str = "body", ho
 
 
 def index_yields(cells: DataFrame) -> DataFrame:
-    """(doc_id, parser_profile, n_categories, n_segments): what either reading of an index finds in a page's cells.
+    """(doc_id, parser_profile, n_categories, n_segments): what either reading of an index finds in a page's ``cells`` or ``rows``.
 
     The old layout is the page's first table without its first row; a row of two cells is a category with one result.
     The new one is the first table with headers for category, segment and reports. In both a row of five cells or more
     opens a category by its first cell, or is a segment of the one before by its second.
     """
-    rows = cells.where("kind = 'cell'").groupBy("doc_id", "table_no", "row_no").agg(
-        F.count("*").alias("n"), F.bool_and("is_header").alias("heads"), F.max(F.when(F.col("cell_no") == 0, F.col("text"))).alias("first"), F.max(F.when(F.col("cell_no") == 1, F.col("text"))).alias("second"),
-        F.collect_set(F.when(F.col("is_header"), F.lower("text"))).alias("headers"),
-    )
+    if "row" in cells.columns:
+        text = lambda i: F.array_max(F.transform(F.filter("row", lambda x: x.cell_no == i), lambda x: x.text))
+        heads = F.transform(F.filter("row", lambda x: x.is_header), lambda x: F.lower(x.text))
+        rows = cells.select("doc_id", "table_no", "row_no", F.size("row").alias("n"), F.col("is_header").alias("heads"), text(0).alias("first"), text(1).alias("second"), heads.alias("headers"))
+    else:
+        rows = cells.where("kind = 'cell'").groupBy("doc_id", "table_no", "row_no").agg(
+            F.count("*").alias("n"), F.bool_and("is_header").alias("heads"), F.max(F.when(F.col("cell_no") == 0, F.col("text"))).alias("first"), F.max(F.when(F.col("cell_no") == 1, F.col("text"))).alias("second"),
+            F.collect_set(F.when(F.col("is_header"), F.lower("text"))).alias("headers"),
+        )
     titled = F.size(F.array_except(F.array(*map(F.lit, ("category", "segment", "reports"))), F.col("headers"))) == 0
-    at = rows.groupBy("doc_id").agg(F.min("table_no").alias("old_table"), F.min(F.when(titled, F.col("table_no"))).alias("new_table"))
-    rows = rows.join(at, "doc_id")
+    rows = rows.select("doc_id", "table_no", "row_no", "n", "heads", "first", "second", F.when(titled, F.col("table_no")).alias("titled"))
+    page = Window.partitionBy("doc_id")
+    rows = rows.withColumns({"old_table": F.min("table_no").over(page), "new_table": F.min("titled").over(page)})
     wide = F.col("n") >= 5
-    old = rows.where("table_no = old_table AND row_no > 0").select("doc_id", F.lit("old_isucalcfs").alias("parser_profile"), "row_no", "first", "second", (wide | (F.col("n") == 2)).alias("opens"), wide.alias("wide"))
-    new = rows.where("table_no = new_table AND NOT heads").select("doc_id", F.lit("fs_manager").alias("parser_profile"), "row_no", "first", "second", wide.alias("opens"), wide.alias("wide"))
-    read = old.unionByName(new).withColumn("is_category", F.col("opens") & (F.col("first") != ""))
+    old = F.struct(F.lit("old_isucalcfs").alias("parser_profile"), ((F.col("table_no") == F.col("old_table")) & (F.col("row_no") > 0)).alias("holds"), (wide | (F.col("n") == 2)).alias("opens"))
+    new = F.struct(F.lit("fs_manager").alias("parser_profile"), (F.col("table_no").eqNullSafe(F.col("new_table")) & ~F.col("heads")).alias("holds"), wide.alias("opens"))
+    read = rows.select("doc_id", "row_no", "first", "second", wide.alias("wide"), F.explode(F.filter(F.array(old, new), lambda x: x.holds)).alias("r")).select("*", "r.parser_profile", "r.opens")
+    read = read.withColumn("is_category", F.col("opens") & (F.col("first") != ""))
     is_segment = ~F.col("is_category") & F.col("wide") & (F.col("second") != "")
     grouped = read.groupBy("doc_id", "parser_profile").agg(F.count_if("is_category").alias("n_categories"), F.min(F.when(F.col("is_category"), F.col("row_no"))).alias("opened"), F.collect_list(F.when(is_segment, F.col("row_no"))).alias("segments"))
     return grouped.select("doc_id", "parser_profile", "n_categories", F.size(F.filter("segments", lambda x: x > F.col("opened"))).cast("long").alias("n_segments"))
@@ -178,7 +185,7 @@ def choose_parser(documents: DataFrame, url: str = "url", body: str = "body") ->
         F.struct(F.lit("fs_manager").alias("parser_profile"), F.when(none, 0).otherwise(1).alias("turn"), (named["fs_manager"] | none).alias("tried")),
     ), lambda x: x.tried)
     asked = documents.select(F.col(url).alias("doc_id"), none.alias("none"), F.explode(tries).alias("t")).select("doc_id", "none", "t.parser_profile", "t.turn")
-    found = index_yields(pages.cells(documents, url, body))
+    found = index_yields(pages.rows(documents, url, body))
     met = asked.join(found, ["doc_id", "parser_profile"], "left").fillna(0, ["n_categories", "n_segments"])
     best = met.groupBy("doc_id").agg(F.max_by(F.struct("parser_profile", "none", "n_categories", "n_segments"), F.struct("n_categories", -F.col("turn"))).alias("b")).select("doc_id", "b.*")
     platforms = F.create_map(*[F.lit(x) for pair in PLATFORMS.items() for x in pair])

@@ -1,5 +1,7 @@
 """Pages of invented events in both layouts, with faults that pages can have."""
 
+import random
+
 import pytest
 
 from resultmart.plans import pages as P
@@ -146,3 +148,44 @@ def test_catalog(spark):
     row = P.detail_rows(spark.createDataFrame([("d", payload), ("e", "<p>")], "url string, body string")).orderBy("detail_url").collect()
     assert (row[0].event_name, row[0].date_range, row[0].city, row[0].country_code, row[0].result_url, row[0].discovery_status) == ("Hill & Dale Meet", "7 Sep - 9 Sep, 2032", "Aldeny", "QQH", "https://r.invalid/32/?a=1&b=2", "candidate_result_url")
     assert row[1].discovery_status == "catalog_only_needs_result_url"
+
+
+def test_rows_read_as_cells_do(spark, cells):
+    """A row for each table row gives every reading what a row for each cell gives it, without sending cells anywhere."""
+    docs = spark.createDataFrame([(U + name, body.encode("windows-1252", "replace")) for name, body in PAGES.items()], "url string, body binary")
+    rows = P.rows(docs).cache()
+    for read in (P.entry_rows, P.category_result_rows, P.segment_result_rows, P.official_rows, P.index_rows, P.schedule_rows, P.header_map, resolution.index_yields):
+        a, b = (sorted(map(str, read(x).select(sorted(read(x).columns)).collect())) for x in (cells, rows))
+        assert a == b and (a or read is P.official_rows), read
+    assert "Exchange" not in P.segment_result_rows(P.rows(docs))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plain_pages_read_as_any_page():
+    """Pages of plain tags, whole or in parts, against the parser of the standard library."""
+    rng, plain = random.Random(5), 0
+    bits = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "</th>", '<td class="caption2">', '<a href="x.htm">', "<a>", "</a>", "<br />", "<br>", "<h2>", "</h2>", "&nbsp;", "&amp", "A & B", " text ", "x\xa0y", "<caption>", '<form action="q">', "<tr><td>a</td><td>b<br />c</td></tr>", "<tr><th>N<br/>=</th><td> </td></tr>", '<tr class="caption3">', "<P>", "<TD>", "<td/>", "<!-- c -->", "<td a='b'>", "<"]
+    key = lambda c: (c["kind"], c["table_no"], c["row_no"], c["cell_no"], c["text"])
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 30)))
+        page = P._Page("u", "u")
+        page.feed(text)
+        page.close()
+        want = sorted([c | {"links": list(c["links"])} for c in page.rows()], key=key)
+        for part in (10**9, 1, 3):
+            for read in (P._parts, P._parsed):
+                try:
+                    assert sorted([c | {"links": list(c["links"])} for rows in read("u", text, part) for c in rows], key=key) == want, text
+                    plain += read is P._parts
+                except P._Odd:
+                    pass
+    assert plain > 2000
+
+
+def test_a_large_page_is_held_in_parts(spark):
+    """A page of more cells than are gathered at once: all rows, with the headers and the title that end and begin it."""
+    n = P._ROWS
+    body = "<h2>Open</h2><h2>Cubs</h2><table>" + "".join(f"<tr><td>{i}</td><td>N{i}</td></tr>" for i in range(n)) + "<tr><th>No.</th><th>Name</th></tr></table>"
+    packed = P._page_parts("u", body, P._Packed, P._ROWS)
+    assert len(packed) > 1 and sum(len(p.places) for p in packed) == n + 1
+    out = P.entry_rows(P.rows(spark.createDataFrame([("u", body)], "url string, body string"))).selectExpr("count(*)", "count(distinct entry_no)", "min(category)", "max(entry_no)").first()
+    assert tuple(out) == (n, n, "Cubs", n - 1)
