@@ -356,7 +356,7 @@ def page_headers(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     k, name, nation = F.col("c_custkey").cast("string"), F.col("c_name"), F.lit("AAA")
     of = lambda rest, order, row: _pages(c.where(F.col("c_nationkey") % 2 == rest), F.concat(F.lit(SITE), F.col("c_nationkey"), F.lit("/CAT001EN.HTM")), F.lit("Open"), order, row, "c_custkey")
-    cells = S.written(pages.cells(of(0, ("No.", "Name", "Nat."), _row(k, name, nation)).unionByName(of(1, ("Name", "Nat.", "No."), _row(name, nation, k)))), "cells")
-    heads = pages.header_map(cells).where(has_headers(F.col("headers"), ["nation", "entry_no"]))
-    counts = pages.entry_rows(cells).groupBy("doc_id").agg(F.count("*").alias("entries"))
+    rows = S.written(pages.rows(of(0, ("No.", "Name", "Nat."), _row(k, name, nation)).unionByName(of(1, ("Name", "Nat.", "No."), _row(name, nation, k)))), "rows")
+    heads = pages.header_map(rows).where(has_headers(F.col("headers"), ["nation", "entry_no"]))
+    counts = pages.entry_rows(rows).groupBy("doc_id").agg(F.count("*").alias("entries"))
     return heads.join(counts, "doc_id").select(F.regexp_extract("doc_id", r"/(\d+)/[^/]*$", 1).cast("long").alias("c_nationkey"), F.array_join("headers", "|").alias("headers"), "entries")
