@@ -44,7 +44,8 @@ def _sheets(spark: SparkSession, d: str) -> DataFrame:
         F.when(returned, "Deductions: Falls -0.50 (1) -0.50").otherwise("Deductions: 0.00"),
     )
     text = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", rows.alias("rows")))), lambda x: x["rows"])), "\n")
-    return _lines(spark, d).groupBy(F.col("l_orderkey").cast("string").alias("doc_id")).agg(F.concat(F.lit("OPEN\n"), text).alias("text"))
+    # grouped by the key that lines are numbered by: their texts stay where they are
+    return _lines(spark, d).groupBy("l_orderkey").agg(F.concat(F.lit("OPEN\n"), text).alias("text")).select(F.col("l_orderkey").cast("string").alias("doc_id"), "text")
 
 
 @query(f"""

@@ -140,7 +140,7 @@ def sheet_sections(lines_: DataFrame, starts: str | None = None) -> DataFrame:
     runs = F.aggregate(marks, F.struct(none.skater_no.alias("skater_no"), F.array(none).alias("runs")), step, lambda state: state.runs)
     until = lambda held, k: F.coalesce(F.get(held, k + 1)["at"], F.size("lines"))
     cut = _once(runs, lambda held: F.transform(held, lambda r, k: F.struct(r.at.alias("at"), r.skater_no.alias("skater_no"), r.section.alias("section"), F.slice("lines", r.at + 1, until(held, k) - r.at).alias("lines"))))
-    parts = lines_.where("lines IS NOT NULL").select("doc_id", F.explode_outer(cut).alias("r"))
+    parts = lines_.select("doc_id", F.explode_outer(cut).alias("r"))
     rows = parts.select("doc_id", "r.at", "r.skater_no", "r.section", F.posexplode_outer("r.lines").alias("n", "line")).where("line IS NOT NULL")
     return rows.select("doc_id", (F.col("at") + F.col("n")).alias("line_no"), "line", "skater_no", "section")
 
@@ -149,11 +149,16 @@ def _marks(text: Column, kind: str) -> Column:
     return F.transform(F.split(F.btrim(text), " "), lambda x: x.try_cast(kind))
 
 
+def _matched(rows: DataFrame, pattern: str, n: int) -> DataFrame:
+    """Rows whose line matches, with its groups. A filter on the groups would match every line once more."""
+    return rows.withColumn("groups", F.explode(F.array_compact(F.array(groups_of(F.col("line"), pattern, n)))))
+
+
 def element_rows(sections: DataFrame) -> DataFrame:
     """Executed elements with markers, values and judges' marks; a dash is no mark."""
     g = lambda i: F.get("groups", F.lit(i))
     info = blank_to_null(F.btrim(F.concat_ws(" ", F.nullif(g(3), F.lit("")), F.nullif(g(5), F.lit("")))))
-    rows = sections.where("section = 'elements'").withColumn("groups", groups_of(F.col("line"), ELEMENT, 9)).where("groups IS NOT NULL")
+    rows = _matched(sections.where("section = 'elements'"), ELEMENT, 9)
     return rows.select(
         "doc_id", "skater_no", g(1).try_cast("int").alias("element_no"), g(2).alias("element_code"), base_element(g(2)).alias("base_element_code"), F.col("line").alias("raw_element"), info.alias("info"), element_markers(g(2), info).alias("markers"),
         _num(g(4)).alias("base_value"), _num(g(6)).alias("goe"), _marks(g(7), "int").alias("judge_scores"), _num(g(8)).alias("bonus"), _num(g(9)).alias("panel_score"),
@@ -162,21 +167,22 @@ def element_rows(sections: DataFrame) -> DataFrame:
 
 def component_rows(sections: DataFrame) -> DataFrame:
     g = lambda i: F.get("groups", F.lit(i))
-    rows = sections.where((F.col("section") == "components") & ~F.col("line").startswith("Judges Total")).withColumn("groups", groups_of(F.col("line"), COMPONENT, 4)).where("groups IS NOT NULL")
+    rows = _matched(sections.where((F.col("section") == "components") & ~F.col("line").startswith("Judges Total")), COMPONENT, 4)
     return rows.select("doc_id", "skater_no", g(1).alias("component_name"), _num(g(2)).alias("factor"), _marks(g(3), NUMBER).alias("judge_scores"), _num(g(4)).alias("score"))
 
 
 def sheet_details(sections: DataFrame) -> DataFrame:
-    """Per skater the sums of base values and element scores, the number of judges and the deductions."""
+    """Per skater the sums of base values and element scores, the number of judges and the deductions, in one pass."""
     two = r"^(\d+\.\d\d) (\d+\.\d\d)\z"
     amount = F.element_at(F.concat(F.array(F.lit("0.00")), F.regexp_extract_all("line", F.lit(r"-\d+\.\d\d"), F.lit(0))), -1).try_cast(NUMBER)
-    sums = sections.where("skater_no > 0").groupBy("doc_id", "skater_no").agg(
+    marks = lambda pattern, n, k: _once(groups_of(F.col("line"), pattern, n), lambda x: F.when(x.isNotNull(), F.size(F.split(F.btrim(F.get(x, F.lit(k))), " "))))
+    judges = F.when(F.col("section") == "elements", marks(ELEMENT, 9, 7)).when((F.col("section") == "components") & ~F.col("line").startswith("Judges Total"), marks(COMPONENT, 4, 3))
+    return sections.where("skater_no > 0").groupBy("doc_id", "skater_no").agg(
         F.max(F.when((F.col("section") == "elements") & F.col("line").rlike(two), _num(F.regexp_extract("line", two, 1)))).alias("base_value_total"),
         F.max(F.when((F.col("section") == "elements") & F.col("line").rlike(two), _num(F.regexp_extract("line", two, 2)))).alias("element_score_total"),
         F.max(F.when(F.col("line").startswith("Deductions"), F.abs(amount))).alias("deductions"),
+        F.max(judges).alias("judge_count"),
     )
-    counts = reduce(DataFrame.unionByName, [r.select("doc_id", "skater_no", F.size("judge_scores").alias("n")) for r in (element_rows(sections), component_rows(sections))])
-    return sums.join(counts.groupBy("doc_id", "skater_no").agg(F.max("n").alias("judge_count")), ["doc_id", "skater_no"], "left")
 
 
 #: Fixed value: how a passed result begins.

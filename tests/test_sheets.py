@@ -117,3 +117,17 @@ def test_sections_begin_where_told(spark):
     docs = spark.createDataFrame([("a", "x\n# Executed\ny\nz", [2]), ("b", "x\ny", None)], "doc_id string, text string, starts array<int>")
     rows = S.sheet_sections(S.lines(docs).join(docs.select("doc_id", "starts"), "doc_id"), "starts").orderBy("doc_id", "line_no").collect()
     assert [(r.skater_no, r.section) for r in rows] == [(0, None), (0, "elements"), (1, "summary"), (1, "summary"), (0, None), (0, None)]
+
+
+def test_sheets_are_read_once(spark, tmp_path):
+    """Details take one pass over the sheets; texts written by order stay where the order's lines were numbered."""
+    from resultmart.plans import judged
+
+    rows = [(1, 1, 7, 8, 12.0, 100.0, "R"), (1, 2, 7, 8, 3.0, 90.0, "N"), (2, 1, 9, 8, 5.0, 80.0, "A")]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    written = judged._sheets(spark, str(tmp_path))
+    assert written._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    details = judged.sheet_details(spark, str(tmp_path))
+    assert plan(details).count("parquet") == plan(written).count("parquet") and "Join" not in plan(details)
+    assert sorted((r.l_orderkey, r.skater_no, r.judge_count, r.deductions) for r in details.collect()) == [(1, 1, 4, 0.5), (1, 2, 3, 0.0), (2, 1, 3, 0.0)]
