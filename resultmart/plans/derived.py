@@ -139,7 +139,7 @@ def refresh_chains(spark: SparkSession, d: str) -> DataFrame:
     nexts = F.coalesce(F.lead("o_orderkey").over(by), F.when(F.col("o_custkey") % 3 == 0, first))
     links = written(table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("source"), nexts.cast("string").alias("target")).where("target IS NOT NULL"), "sent")
     end = resolution.follow_links(links).select("source", "target", "hops", "loops")
-    third = resolution.follow_links(links, 3).select("source", F.col("target").alias("third"))
+    third = resolution.walk_links(links, 3).select("source", F.col("target").alias("third"))
     return end.join(third, "source").select(F.col("source").cast("long").alias("o_orderkey"), F.col("target").cast("long").alias("last_key"), "hops", "loops", F.col("third").cast("long").alias("third_key"))
 
 

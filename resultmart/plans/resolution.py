@@ -68,10 +68,22 @@ def preflight(documents: DataFrame, url: str = "url", body: str = "body") -> Dat
 
 
 def _compose(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Links of ``a`` carried on by those of ``b`` where they have any."""
+    """Links of ``a`` carried on by those of ``b`` where they have any, and whether they were (``moved``)."""
     more = b.select(F.col("source").alias("_at"), F.col("target").alias("_next"), F.col("hops").alias("_more"))
     met = a.join(more, F.col("target") == F.col("_at"), "left")
-    return met.select("source", F.coalesce("_next", "target").alias("target"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"))
+    return met.select("source", F.coalesce("_next", "target").alias("target"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"), F.col("_at").isNotNull().alias("moved"))
+
+
+def walk_links(links: DataFrame, hops: int) -> DataFrame:
+    """(source, target, hops): where each link of (source, target), one for each source, leads after so many steps, or where it ends before."""
+    walk, power, rest = None, links.select("source", "target", F.lit(1).alias("hops")), hops
+    while rest:
+        if rest & 1:
+            walk = power if walk is None else written(_compose(walk, power).drop("moved"), "links")
+        rest >>= 1
+        if rest:
+            power = written(_compose(power, power).drop("moved"), "links")
+    return walk
 
 
 def follow_links(links: DataFrame, hops: int | None = None) -> DataFrame:
@@ -84,14 +96,13 @@ def follow_links(links: DataFrame, hops: int | None = None) -> DataFrame:
     ends = []
     moving, left = one, one.count()
     while left:
-        nexts = one.select(F.col("source").alias("_at"))
-        settled = moving.join(nexts, F.col("target") == F.col("_at"), "left_anti")
         known = moving
         for df in ends:
             known = known.unionByName(df)
-        ends.append(settled)
-        still = moving.join(nexts, F.col("target") == F.col("_at"), "left_semi")
-        doubled = written(_compose(still, known), "links")
+        # every source is known, so that one join tells the links that go on from those that have ended
+        met = written(_compose(moving, known), "links")
+        ends.append(met.where("NOT moved").drop("moved"))
+        doubled = met.where("moved").drop("moved")
         now = doubled.count()
         if now == left:
             break
@@ -102,14 +113,7 @@ def follow_links(links: DataFrame, hops: int | None = None) -> DataFrame:
         found = found.unionByName(df.withColumn("loops", F.lit(False)))
     if hops is None:
         return found
-    walk, power, rest = None, one, hops
-    while rest:
-        if rest & 1:
-            walk = power if walk is None else written(_compose(walk, power), "links")
-        rest >>= 1
-        if rest:
-            power = written(_compose(power, power), "links")
-    return walk.join(found.select("source", "loops"), "source")
+    return walk_links(one, hops).join(found.select("source", "loops"), "source")
 
 
 def check_sources(documents: DataFrame, url: str = "url", body: str = "body", hops: int | None = 3) -> DataFrame:

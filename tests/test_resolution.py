@@ -84,3 +84,15 @@ def test_reading_with_more_categories(spark):
         "wrongly marked": ("fs_manager", "FS Manager", 0, 0, "failed"), "none": ("fs_manager", None, 0, 0, "failed"), "null": ("fs_manager", None, 0, 0, "failed"),
     }
     assert pages.cells(df).count() > 0
+
+
+def test_a_walk_of_some_steps_asks_for_no_ends(spark, monkeypatch):
+    """A walk of three steps is three joins; following to the ends takes one join a round."""
+    calls = []
+    compose = resolution._compose
+    monkeypatch.setattr(resolution, "_compose", lambda a, b: calls.append(1) or compose(a, b))
+    links = spark.createDataFrame([(str(i), str(i + 1)) for i in range(6)] + [("a", "b"), ("b", "a")], "source string, target string")
+    three = {r.source: (r.target, r.hops) for r in resolution.walk_links(links, 3).collect()}
+    assert three == {"0": ("3", 3), "1": ("4", 3), "2": ("5", 3), "3": ("6", 3), "4": ("6", 2), "5": ("6", 1), "a": ("b", 3), "b": ("a", 3)} and len(calls) == 2
+    ends = {r.source: (r.target, r.hops, r.loops) for r in resolution.follow_links(links).collect()}
+    assert ends == {str(i): ("6", 6 - i, False) for i in range(6)} | {x: (None, None, True) for x in "ab"}
