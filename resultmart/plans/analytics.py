@@ -13,6 +13,7 @@ from resultmart.functions.text import blank_to_null, first_filled, non_blank, no
 from resultmart.operators.joins import prefer_source
 from resultmart.operators.latest import latest_per_key
 from resultmart.operators.windows import progression
+from resultmart.sources.tables import written
 
 Tables = dict[str, DataFrame]
 
@@ -50,7 +51,8 @@ def v_skater_appearances_clean(t: Tables) -> DataFrame:
     a = t["source_skater_appearances"].where(non_blank(F.col("normalized_name"))).withColumnsRenamed({"id": "skater_appearance_id", "normalized_name": "skater_name"})
     blank = {c: blank_to_null(F.col(c)) for c in ("nation_code", "club_name", "representation_value")}
     a = a.withColumn("display_affiliation", first_filled(F.col("club_name"), F.col("nation_code"))).withColumns(blank).drop("import_run_id")
-    events = v_events(t).select("event_id", "import_run_id", "event_name", "event_start_date", "date_range", *RUN)
+    # events are few beside appearances; written, their size is known, and they are sent to the tasks where they are small
+    events = written(v_events(t).select("event_id", "import_run_id", "event_name", "event_start_date", "date_range", *RUN), "events")
     categories = t["categories"].select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
     segments = t["segments"].select(F.col("id").alias("segment_id"), F.col("name").alias("segment_name"))
     return a.join(events, "event_id").join(categories, "category_id", "left").join(segments, "segment_id", "left")

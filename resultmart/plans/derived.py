@@ -236,22 +236,30 @@ score AS (SELECT run * 10000000000 + o_orderkey * 10 + 3 AS score_id, 'pdf_score
 """
 
 
-def layer(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """The source tables that ``_LAYER`` describes. A blank name is a row without a skater, as pages have them."""
-    o = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
-    o = o.withColumns({"y": F.year("o_orderdate")}).withColumn("ev", (F.col("c_nationkey") * 10000 + F.col("y")).cast("long"))
+def layer(spark: SparkSession, d: str, once: bool = True) -> dict[str, DataFrame]:
+    """The source tables that ``_LAYER`` describes. A blank name is a row without a skater, as pages have them.
+
+    Orders with customer and sheet are written once, and so are their few groups, of which Spark then knows the size: the
+    tables of runs and categories are sent to the tasks of the large ones. ``once`` is false for those who read neither.
+    """
+    keep = written if once else lambda df, _: df
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("decimal(10,3)").alias("tes"), F.sum("l_linenumber").cast("decimal(10,3)").alias("pcs"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", F.year("o_orderdate").alias("y")).join(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    o = keep(o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("sheet", F.col("l_orderkey").isNotNull()).drop("c_custkey", "l_orderkey").withColumn("ev", (F.col("c_nationkey") * 10000 + F.col("y")).cast("long")), "held")
     k, cust, n = F.col("o_orderkey"), F.col("o_custkey"), F.col("c_nationkey")
-    versions = o.select("ev", "c_nationkey", "y", F.explode(F.array(F.lit(1), F.lit(2))).alias("v")).distinct().withColumn("id", F.col("ev") * 10 + F.col("v"))
+    groups = keep(o.select("ev", "c_nationkey", "y", "o_orderpriority").distinct(), "groups")
+    two = F.explode(F.array(F.lit(1), F.lit(2)))
+    versions = groups.select("ev", "c_nationkey", "y").distinct().select("*", two.alias("v")).withColumn("id", F.col("ev") * 10 + F.col("v"))
     root = F.concat(F.lit(SITE), F.col("c_nationkey"), F.lit("/"), F.col("y"), F.lit("/index.htm"))
     versions = versions.withColumns({"root_url": root, "status": F.when((F.col("v") == 2) & (F.col("y") % 3 == 0), "failed").otherwise("completed")})
-    rows = versions.select("ev", F.col("id").alias("run")).join(o, "ev")
+    # an event has both versions: its rows need no join
+    rows = o.where("ev IS NOT NULL").select("*", two.alias("v")).withColumn("run", F.col("ev") * 10 + F.col("v"))
     name = F.when(cust % 13 == 0, "").otherwise(F.upper("c_name"))
     nation = F.when(cust % 6 == 0, "").when(cust % 11 == 0, "x").otherwise(F.expr("repeat(char(65 + c_nationkey), 3)"))
     club, skater = F.when(cust % 4 == 0, "").otherwise(F.col("c_mktsegment")), F.when(cust % 5 == 0, "").otherwise(cust.cast("string"))
     category = (F.col("run") * 10 + F.substring("o_orderpriority", 1, 1).cast("int")).alias("category_id")
     appearance = lambda i: (F.col("run") * 10_000_000_000 + k * 10 + i).alias("skater_appearance_id")
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("decimal(10,3)").alias("tes"), F.sum("l_linenumber").cast("decimal(10,3)").alias("pcs"))
-    scored = rows.join(lines, k == F.col("l_orderkey")).where(k % 5 > 0)
+    scored = rows.where(F.col("sheet") & (k % 5 > 0))
     points = (F.col("o_totalprice") / 1000).cast("decimal(10,3)")
     sheet = F.col("run") * 10_000_000_000 + k * 10 + 3
     parts = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("element_no"), F.concat(F.lit("3"), F.col("l_returnflag"), F.when(F.col("l_returnflag") == "R", "<").otherwise("")).alias("element_code"), F.col("l_quantity").cast("decimal(10,3)").alias("base_value"))
@@ -261,7 +269,7 @@ def layer(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         segment = F.lit(None).cast("long") if i == 1 else (category * 10 + 1)
         return df.select(appearance(i).alias("id"), F.col("run").alias("import_run_id"), F.col("run").alias("event_id"), category, segment.alias("segment_id"), (F.col("run") * 10 + i % 2).alias("source_document_id"), F.lit(kind).alias("appearance_type"), F.col("c_name").alias("raw_name"), name.alias("normalized_name"), nation.alias("nation_code"), club.alias("club_name"), skater.alias("source_skater_id"))
 
-    categories = rows.select(category.alias("id"), F.col("run").alias("event_id"), F.col("o_orderpriority").alias("name")).distinct()
+    categories = groups.where("ev IS NOT NULL").select("*", two.alias("v")).withColumn("run", F.col("ev") * 10 + F.col("v")).select(category.alias("id"), F.col("run").alias("event_id"), F.col("o_orderpriority").alias("name"))
     t = {
         "source_profiles": table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("profile_key"), F.lit("nation").alias("representation_primary")),
         "import_runs": versions.select("id", "root_url", "status", (n % 5).cast("long").alias("source_profile_id")),

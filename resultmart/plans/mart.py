@@ -73,8 +73,15 @@ def dim_source_document(t: Tables) -> DataFrame:
     return docs.join(runs, "import_run_id").join(files, "source_document_key", "left")
 
 
+def _skater_keys(t: Tables) -> DataFrame:
+    """Skaters with their keys alone: the dimension counts and dates them too, for which all appearances are shuffled."""
+    if "view:dim_skater" in t:
+        return t["view:dim_skater"].select("skater_key", *SKATER)
+    return dense_key(V.v_skater_appearances_clean(t).where("skater_name IS NOT NULL").select(*SKATER).distinct(), SKATER, "skater_key")
+
+
 def _with_skater(df: DataFrame, t: Tables) -> DataFrame:
-    return null_safe_join(df, dim_skater(t).select("skater_key", *SKATER), SKATER)
+    return null_safe_join(df, _skater_keys(t), SKATER)
 
 
 @V.view
