@@ -86,12 +86,21 @@ def v_skater_segment_scores(t: Tables) -> DataFrame:
     return out.drop("_segment", "source_skater_id")
 
 
+def sheets_clean(t: Tables) -> DataFrame:
+    """Score sheets by their id with what their appearances say."""
+    s = t["pdf_score_summaries"].select(F.col("id").alias("score_id"), "skater_appearance_id")
+    return s.join(v_skater_appearances_clean(t).select(*CONTEXT, "category_name", "segment_name", *WHO), "skater_appearance_id")
+
+
+def elements_of(t: Tables, sheets: DataFrame) -> DataFrame:
+    """Elements with the columns of their sheets. Sheets are complete before they meet their elements, which are many more and move once."""
+    e = t["pdf_elements"].select(F.col("id").alias("element_id"), F.col("pdf_score_summary_id").alias("score_id"), "element_no", "element_code", "base_element_code", "raw_element", "info", "markers", "base_value", "goe", "bonus", "panel_score", "raw")
+    return e.join(sheets, "score_id").select("skater_appearance_id", "score_id", *[c for c in e.columns if c != "score_id"], *[c for c in sheets.columns if c not in ("skater_appearance_id", "score_id")])
+
+
 @view
 def v_skater_elements(t: Tables) -> DataFrame:
-    e = t["pdf_elements"].select(F.col("id").alias("element_id"), F.col("pdf_score_summary_id").alias("score_id"), "element_no", "element_code", "base_element_code", "raw_element", "info", "markers", "base_value", "goe", "bonus", "panel_score", "raw")
-    s = t["pdf_score_summaries"].select(F.col("id").alias("score_id"), "skater_appearance_id")
-    who = v_skater_appearances_clean(t).select(*CONTEXT, "category_name", "segment_name", *WHO)
-    return e.join(s, "score_id").join(who, "skater_appearance_id")
+    return elements_of(t, sheets_clean(t))
 
 
 @view

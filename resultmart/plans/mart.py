@@ -10,6 +10,7 @@ from resultmart.functions.text import season
 from resultmart.operators.joins import null_safe_join
 from resultmart.operators.windows import dense_key
 from resultmart.plans import analytics as V
+from resultmart.sources.tables import written
 
 Tables = dict[str, DataFrame]
 SKATER = ["skater_name", "nation_code", "club_name"]
@@ -101,7 +102,9 @@ def fact_segment_score(t: Tables) -> DataFrame:
 
 @V.view
 def fact_element_score(t: Tables) -> DataFrame:
-    elements = null_safe_join(_with_skater(V.v_skater_elements(t), t), dim_element(t).select("element_key", "base_element_code", "element_code"), ["base_element_code", "element_code"])
+    # codes are few: written, their size is known
+    codes = written(dim_element(t).select("element_key", "base_element_code", "element_code"), "element-keys")
+    elements = null_safe_join(V.elements_of(t, _with_skater(V.sheets_clean(t), t)), codes, ["base_element_code", "element_code"])
     return elements.select(
         F.col("element_id").alias("element_score_key"), F.col("score_id").alias("segment_score_key"), "skater_appearance_id", F.col("event_id").alias("event_key"), "category_name", "segment_name", "skater_key", "element_key", F.col("event_start_date").alias("date_key"),
         *SKATER, "element_no", "element_code", "base_element_code", "raw_element", "info", "markers", "base_value", "goe", "bonus", "panel_score", "raw",

@@ -73,3 +73,10 @@ def test_facts_take_skaters_without_their_counts(spark, stored):
     t = stored | {"view:dim_skater": spark.range(1).select((F.col("id") + 7).alias("skater_key"), F.lit("A").alias("skater_name"), F.lit("B").alias("nation_code"), F.lit(None).cast("string").alias("club_name"))}
     assert [r.skater_key for r in mart._skater_keys(t).collect()] == [7]
     assert mart._skater_keys(stored).columns == mart._skater_keys(t).columns
+
+
+def test_elements_move_once_to_their_sheets(spark, stored, no_broadcast):
+    stored |= _spread(spark, "pdf_elements")
+    assert moves(V.v_skater_elements(stored), "element_no") == 1
+    # at most a second time for their codes, as small tables are not sent here
+    assert moves(mart.fact_element_score(stored), "element_no") <= 2
