@@ -122,7 +122,9 @@ def _sheets(t: Tables) -> DataFrame:
 def fact_element_judge_mark(t: Tables) -> DataFrame:
     marks = t["pdf_element_judge_scores"].select(F.col("id").alias("element_judge_mark_key"), F.col("pdf_element_id").alias("element_score_key"), "official_assignment_id", "judge_number", "score")
     elements = t["pdf_elements"].select(F.col("id").alias("element_score_key"), F.col("pdf_score_summary_id").alias("segment_score_key"))
-    return marks.join(elements, "element_score_key").join(_sheets(t), "segment_score_key")
+    # marks are the most: they meet elements that have all of their sheet
+    of = elements.join(_sheets(t), "segment_score_key")
+    return marks.join(of, "element_score_key").select("segment_score_key", "element_score_key", *[c for c in marks.columns if c != "element_score_key"], *[c for c in of.columns if c not in elements.columns])
 
 
 @V.view

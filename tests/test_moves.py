@@ -75,6 +75,13 @@ def test_facts_take_skaters_without_their_counts(spark, stored):
     assert mart._skater_keys(stored).columns == mart._skater_keys(t).columns
 
 
+def test_marks_move_once(spark, stored, no_broadcast):
+    stored |= _spread(spark, "pdf_elements", "pdf_element_judge_scores")
+    out = mart.fact_element_judge_mark(stored)
+    assert moves(out, "judge_number") == 1
+    assert out.columns == ["segment_score_key", "element_score_key", "element_judge_mark_key", "official_assignment_id", "judge_number", "score", "event_key", "category_key", "segment_key", "skater_key"]
+
+
 def test_elements_move_once_to_their_sheets(spark, stored, no_broadcast):
     stored |= _spread(spark, "pdf_elements")
     assert moves(V.v_skater_elements(stored), "element_no") == 1
