@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resultmart.functions.text import normalize_alias
+from resultmart.sources.tables import written
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -87,6 +88,6 @@ def update_from(df: DataFrame, source: DataFrame, on: Sequence[str], set_: dict[
 
 
 def assign_officials(marks: DataFrame, officials: DataFrame) -> DataFrame:
-    """Add the official behind a judge's column, by segment and judge number."""
+    """Add the official behind a judge's column, by segment and judge number. Judges, few beside marks, are written: where they are small, marks stay where they are."""
     judges = officials.where("role_group = 'judge' AND judge_number IS NOT NULL").groupBy("segment_id", "judge_number").agg(F.min("official_id").alias("official_id"))
-    return marks.join(judges, ["segment_id", "judge_number"], "left")
+    return marks.join(written(judges, "judges"), ["segment_id", "judge_number"], "left")

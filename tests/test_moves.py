@@ -82,6 +82,15 @@ def test_marks_move_once(spark, stored, no_broadcast):
     assert out.columns == ["segment_score_key", "element_score_key", "element_judge_mark_key", "official_assignment_id", "judge_number", "score", "event_key", "category_key", "segment_key", "skater_key"]
 
 
+def test_marks_stay_where_judges_are_few(spark):
+    n = F.col("id")
+    panel = spark.range(MANY).select((n % 5).alias("segment_id"), F.lit("judge").alias("role_group"), (n % 3).alias("judge_number"), F.concat(F.lit("n"), n % 3).alias("official_id"))
+    marks = spark.range(MANY).select((n % 6).alias("segment_id"), (n % 3).alias("judge_number"), n.alias("mark"))
+    out = J.assign_officials(marks, panel)
+    assert moves(out, "mark") == 0
+    assert out.agg(F.count("*"), F.count("official_id")).first() == (MANY, out.where("segment_id < 5").count())
+
+
 def test_elements_move_once_to_their_sheets(spark, stored, no_broadcast):
     stored |= _spread(spark, "pdf_elements")
     assert moves(V.v_skater_elements(stored), "element_no") == 1
