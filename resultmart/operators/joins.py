@@ -53,6 +53,16 @@ def drop_referencing(df: DataFrame, refs: dict[str, DataFrame]) -> DataFrame:
     return df
 
 
+def referencing(df: DataFrame, refs: dict[str, DataFrame]) -> DataFrame:
+    """Rows of which a column refers to a row of its table (one column each, without repeats); what ``drop_referencing`` drops, found in one pass."""
+    out, hit = df, F.lit(False)
+    for i, (column, gone) in enumerate(refs.items()):
+        keys = gone.select(F.col(gone.columns[0]).alias(f"_gone{i}")).where(f"_gone{i} IS NOT NULL")
+        out = out.join(keys, F.col(column) == F.col(f"_gone{i}"), "left")
+        hit = hit | F.col(f"_gone{i}").isNotNull()
+    return out.where(hit).select(df.columns)
+
+
 def resolve_alias(df: DataFrame, column: str, aliases: DataFrame, clubs: DataFrame) -> DataFrame:
     """Add club_id and canonical_name by the normalised text of a column; ``aliases`` has alias_normalized and club_id.
 

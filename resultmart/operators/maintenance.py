@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from resultmart.functions.arrays import merge_map
 from resultmart.functions.text import append_note, normalize_alias
-from resultmart.operators.joins import drop_referencing, unmatched
+from resultmart.operators.joins import drop_referencing, referencing, unmatched
 from resultmart.operators.latest import first_per_key, latest_per_key
 from resultmart.sources.tables import written
 
@@ -133,7 +133,7 @@ def cascade_delete(tables: dict[str, DataFrame], dead_runs: DataFrame, reference
         out[name] = drop_referencing(tables[name], refs)
         if key in tables[name].columns and any(name in p.values() and child in tables for child, p in known.items()):
             # written, as every table below asks for them again
-            gone[name] = written(tables[name].join(out[name].select(key), key, "left_anti").select(key), f"gone-{name}")
+            gone[name] = written(referencing(tables[name].select(*dict.fromkeys([key, *refs])), refs).select(key), f"gone-{name}")
     return out
 
 

@@ -96,3 +96,13 @@ def test_elements_move_once_to_their_sheets(spark, stored, no_broadcast):
     assert moves(V.v_skater_elements(stored), "element_no") == 1
     # at most a second time for their codes, as small tables are not sent here
     assert moves(mart.fact_element_score(stored), "element_no") <= 2
+
+
+def test_rows_that_go_are_those_that_do_not_stay(spark, no_broadcast):
+    rows = spark.createDataFrame([(1, 10, 5), (2, 10, None), (3, None, 5), (4, None, None), (5, 11, 6), (6, 12, 6)], "id int, a int, b int")
+    refs = {"a": spark.createDataFrame([(10,), (12,), (None,)], "k int"), "b": spark.createDataFrame([(5,)], "k int")}
+    assert sorted(r.id for r in J.referencing(rows, refs).collect()) == [1, 2, 3, 6]
+    assert sorted(r.id for r in J.drop_referencing(rows, refs).collect()) == [4, 5]
+    tables = {"r": spark.range(3), "a": spark.createDataFrame([(1, 0), (2, 1), (3, None)], "id long, r long"), "b": spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "id long, a long"), "c": spark.createDataFrame([(1, 1), (2, 2)], "id long, b long")}
+    out = M.cascade_delete(tables, spark.range(1), {"a": {"r": "r"}, "b": {"a": "a"}, "c": {"b": "b"}}, "r")
+    assert {n: sorted(r.id for r in df.collect()) for n, df in out.items()} == {"r": [1, 2], "a": [2, 3], "b": [2, 3], "c": [2]}
