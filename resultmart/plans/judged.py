@@ -105,9 +105,9 @@ panel AS (SELECT DISTINCT run, segment_id, s_suppkey, s_name AS name, repeat(chr
 """
 
 
-def judged_layer(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def judged_layer(spark: SparkSession, d: str, once: bool = True) -> dict[str, DataFrame]:
     """The tables that ``_JUDGED`` describes."""
-    t = layer(spark, d)
+    t = layer(spark, d, once)
     held = 10_000_000_000
     sheet = t["pdf_score_summaries"].select("id", (F.floor(F.col("id") % held / 10)).alias("l_orderkey"), (F.floor(F.col("segment_id") / 10) % 10).alias("digit"), "total_program_component_score")
     e = sheet.where("digit <> 4").join(_lines(spark, d), "l_orderkey")

@@ -30,9 +30,9 @@ doc AS (SELECT id AS run, id * 10 + 1 AS id, root_url AS url, 'html' AS kind, id
 """
 
 
-def reviewed_layer(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def reviewed_layer(spark: SparkSession, d: str, once: bool = True) -> dict[str, DataFrame]:
     """The tables that ``_REVIEWED`` describes."""
-    t = judged_layer(spark, d)
+    t = judged_layer(spark, d, once)
     k, club = F.floor(F.col("id") % _HELD / 10), F.col("club_name")
     piece = (k % 7 == 0) & (club != "")
     appearances = t["source_skater_appearances"].withColumns({"club_name": F.when(piece, F.lower(F.substring(club, 1, 3))).otherwise(club), "raw": F.create_map(F.lit("club"), club)})
@@ -75,7 +75,7 @@ def report_club_fragments(spark: SparkSession, d: str) -> DataFrame:
 SELECT r_name AS profile_key, CASE WHEN r_regionkey % 2 = 0 THEN 'fs_manager' ELSE 'old_isucalcfs' END AS parser_profile, 'stream ' || r_regionkey AS competition_stream, CASE WHEN r_regionkey % 2 = 1 THEN 'club' ELSE 'nation' END AS representation_primary, 'kind ' || (r_regionkey % 2) AS event_type FROM region
 """)
 def report_profile_settings(spark: SparkSession, d: str) -> DataFrame:
-    out = quality.profile_settings(reviewed_layer(spark, d))
+    out = quality.profile_settings(reviewed_layer(spark, d, once=False))
     return out.select("profile_key", "parser_profile", "competition_stream", "representation_primary", F.col("settings.event_type").alias("event_type"))
 
 
@@ -115,7 +115,7 @@ def report_archive_counts(spark: SparkSession, d: str) -> DataFrame:
 SELECT c_mktsegment AS source_name, CASE c_custkey % 3 WHEN 0 THEN 'registered' WHEN 1 THEN 'skipped' ELSE 'candidate_result_url' END AS discovery_status, repeat(chr(65 + c_nationkey), 3) AS country_code, count(*) AS events FROM customer GROUP BY 1, 2, 3
 """)
 def report_catalog_counts(spark: SparkSession, d: str) -> DataFrame:
-    return quality.catalog_counts(reviewed_layer(spark, d))
+    return quality.catalog_counts(reviewed_layer(spark, d, once=False))
 
 
 @query(_REVIEWED + "SELECT count(*) AS rows, count(*) AS with_document, count(*) FILTER (WHERE has) AS with_archive FROM row_ JOIN doc ON doc.id = row_.run * 10 + i % 2")
