@@ -86,16 +86,17 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def stage(df: DataFrame, label: str, batch_rows: int = 2000, waves: int = 0) -> DataFrame:
+def stage(df: DataFrame, label: str, batch_rows: int = 2000, waves: int = 0, file_rows: int = 0) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and lost executors lose nothing of it.
 
     With ``waves``, as many tasks as that many waves over all cores write at most, each going through its partitions one
     by one: fewer files where partitions are small, for tables much smaller than the texts they come from. Not for rows
-    that carry the number of their task: partitions of one task have it in common.
+    that carry the number of their task: partitions of one task have it in common. With ``file_rows``, a file has so many
+    rows at most, for rows of some MB.
     """
     path, spark = scratch(df.sparkSession, label), df.sparkSession
     with batches_of(spark, batch_rows):
-        (few(df, waves) if waves else df).write.option("compression", "zstd").parquet(path)
+        (few(df, waves) if waves else df).write.option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

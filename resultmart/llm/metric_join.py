@@ -1,14 +1,15 @@
-"""Exact range join of vectors by cosine: pivots cut the unit sphere into cells, boundary rows are replicated, and cells
-join independently.
-
-For unit vectors, cosine >= c means distance <= r = sqrt(2 - 2c). A vector's home is the cell of its nearest pivot. It
-is also sent to every other cell that may hold a partner y: by the triangle inequality its distance to that pivot is at
-most r plus the cell's radius and exceeds the distance to its own pivot by at most 2r, and its distance to the bisecting
-plane of the two pivots is at most r. So each vector meets all its partners in its home cell, where they are counted
-once. Cells are cut into blocks of bounded size; a pair of blocks is one group. How far replication goes depends on the
-data: where distances concentrate, as for random directions in many dimensions, the bounds exclude little and the join
-costs what comparing all blocks costs. Small tables have some cells as well, so that several tasks share them. Blocks are compared in single precision, and pairs whose cosine it leaves open
-in double precision.
+"""Exact range join of vectors by cosine: pivots cut the unit sphere into cells, cells into blocks, and blocks meet where
+their cells may hold partners.
+
+For unit vectors, cosine >= c means distance <= r = sqrt(2 - 2c). A vector's home is the cell of its nearest pivot.
+Another cell may hold a partner of it only where, by the triangle inequality, its distance to that pivot is at most r plus
+the cell's radius and exceeds the distance to its own pivot by at most 2r, and its distance to the bisecting plane of the
+two pivots is at most r. Each vector lies in one block of its home cell, of bounded size, and a block is one row of the
+shared folder. Two blocks are compared once, if each has vectors for which the bounds leave the other's cell open, and then
+by those vectors only; tasks read the blocks from the folder, so nothing is replicated on disk. How much the bounds exclude
+depends on the data: where distances concentrate, as for random directions in many dimensions, it is little and the join
+costs what comparing all blocks costs. Blocks are compared in single precision, and pairs whose cosine it leaves open in
+double precision.
 
 Equal vectors are one class, so a vector that a third of all rows hold is compared once. A group of vectors that are
 all linked yields counts and a star, never its pairs.
@@ -32,6 +33,10 @@ from resultmart.llm.components import components, smallest
 SLACK = 1e-9
 #: Most cells; their pivots, radii and sizes are what the driver holds.
 MAX_CELLS = 2048
+#: Most bytes of the vectors of a block.
+BLOCK_BYTES = 2 << 20
+#: Blocks of a file: a task holds those of some files at a time.
+FILE_BLOCKS = 8
 
 
 def _vectors(kind: str):
@@ -62,35 +67,55 @@ def unit(raw: list[bytes], kind: str, size: int) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def _distances(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * v @ w.T))
+
+
 class Cells:
-    """Pivots of each vector length; numbers of cells run through all lengths."""
+    """Pivots of each vector length; numbers of cells run through all lengths, and numbers of blocks through all cells."""
 
-    def __init__(self, pivots: dict[int, np.ndarray], kind: str, radius: float) -> None:
-        self.pivots, self.kind, self.radius = pivots, kind, radius
+    def __init__(self, pivots: dict[int, np.ndarray], kind: str, radius: float, block_rows: int) -> None:
+        self.pivots, self.kind, self.radius, self.block_rows = pivots, kind, radius, block_rows
         self.first = dict(zip(pivots, np.cumsum([0, *[len(p) for p in pivots.values()]]).tolist()))
+        self.total = sum(len(p) for p in pivots.values())
         self.reach: np.ndarray | None = None  # of each cell, the largest distance of a home row to its pivot
-        self.rest_blocks = 1  # of the one cell of each other length
+        self.blocks: np.ndarray | None = None  # of each cell, how many there are
+        self.rest_rows = 1  # most rows of a length without pivots, which has one cell of its own
 
-    def place(self, raw: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Homes and memberships of rows, and the number of their first cell; vectors of a length without pivots have one cell of their own."""
-        if size not in self.pivots:
-            return np.zeros(len(raw), np.int64), np.ones((len(raw), 1), bool), -size
-        return *self.members(self.distances(raw, size), size), self.first[size]
+    def rows_of(self, size: int) -> int:
+        """Rows of a block of vectors of this length."""
+        return max(1, min(self.block_rows, BLOCK_BYTES // (size * np.dtype(self.kind).itemsize)))
 
-    def distances(self, raw: list[bytes], size: int) -> np.ndarray:
-        cos = unit(raw, self.kind, size) @ self.pivots[size].T
-        return np.sqrt(np.maximum(0, 2 - 2 * cos))
+    def settle(self, reach: np.ndarray, homes: np.ndarray) -> None:
+        """Cut cells into blocks, where the largest distances and the numbers of their home rows are known."""
+        rows = np.concatenate([np.full(len(p), self.rows_of(size)) for size, p in self.pivots.items()] or [np.ones(0)])
+        self.reach, self.blocks = reach, np.maximum(1, np.ceil(homes / rows)).astype(np.int64)
 
-    def members(self, d: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Home of each row, and where it is a member (rows, cells), its home included."""
-        p, first = self.pivots[size], self.first[size]
+    def homes(self, v: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Home cells of unit vectors and the distances to their pivots."""
+        d = _distances(v, self.pivots[size])
         home = d.argmin(axis=1)
-        near = d[np.arange(len(d)), home][:, None]
-        apart = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))[home]
-        into = (d <= self.reach[first : first + len(p)] + self.radius + SLACK) & (d - near <= 2 * self.radius + SLACK)
-        into &= d * d - near * near <= 2 * self.radius * apart + SLACK
-        into[np.arange(len(d)), home] = True
-        return home, into
+        return home + self.first[size], d[np.arange(len(d)), home]
+
+    def place(self, v: np.ndarray, size: int, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells of unit vectors and their blocks."""
+        if size not in self.pivots:
+            n = math.ceil(self.rest_rows / self.rows_of(size))
+            return np.full(len(v), -size), -1 - (size * n + (spread % np.uint64(n)).astype(np.int64))
+        cells = self.homes(v, size)[0]
+        return cells, (np.cumsum(self.blocks) - self.blocks)[cells] + (spread % self.blocks[cells].astype(np.uint64)).astype(np.int64)
+
+    def enters(self, v: np.ndarray, size: int, cell: int, others: np.ndarray) -> np.ndarray:
+        """Whether other cells may hold partners of unit vectors of a cell (rows, cells)."""
+        if cell < 0:
+            return np.tile(others == cell, (len(v), 1))
+        p, first = self.pivots[size], self.first[size]
+        own, far = p[[cell - first]], p[others - first]
+        near, d = _distances(v, own), _distances(v, far)
+        into = (d <= self.reach[others] + self.radius + SLACK) & (d - near <= 2 * self.radius + SLACK)
+        into &= d * d - near * near <= 2 * self.radius * _distances(own, far) + SLACK
+        into[:, others == cell] = True
+        return into
 
 
 def _by_size(b: pa.RecordBatch, raw: int, size: int) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
@@ -105,91 +130,138 @@ def _by_size(b: pa.RecordBatch, raw: int, size: int) -> Iterator[tuple[int, np.n
 
 def _homes(cells: Cells):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far, count = np.zeros(cells.total), np.zeros(cells.total, np.int64)
         for b in batches:
             for size, _, raw in _by_size(b, 1, 2):
-                if size not in cells.pivots:
-                    continue
-                d = cells.distances(raw, size)
-                home = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(home + cells.first[size], pa.int32()), pa.array(d[np.arange(len(d)), home])], names=["cell", "distance"])
+                if size in cells.pivots:
+                    home, d = cells.homes(unit(raw, cells.kind, size), size)
+                    np.maximum.at(far, home, d)
+                    count += np.bincount(home, minlength=cells.total)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(far[some]), pa.array(count[some])], names=["cell", "far", "n"])
 
     return run
 
 
-def _sizes(cells: Cells):
+def _placed(cells: Cells):
+    """Every class with the number of its block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for size, _, raw in _by_size(b, 1, 2):
-                if size not in cells.pivots:
-                    continue
-                _, into = cells.members(cells.distances(raw, size), size)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(into.shape[1]) + cells.first[size], pa.int32()), pa.array(into.sum(axis=0), pa.int64())], names=["cell", "n"])
+            reps = b.column(0).to_numpy()
+            for size, at, raw in _by_size(b, 1, 2):
+                spread = (reps[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                cell, block = cells.place(unit(raw, cells.kind, size), size, spread)
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(cell, pa.int32()), pa.array(np.full(len(at), size), pa.int32()), pa.array(reps[at]), b.column(3).take(pa.array(at)), pa.array(raw, pa.binary())], names=["block", "cell", "size", "rep", "copies", "raw"])
 
     return run
 
 
-def _dealt(cells: Cells, home_blocks: np.ndarray, member_blocks: np.ndarray):
-    """Every class to the block pairs of its cells: cell, home block, member block, whether as home, rep, copies, raw."""
-    names = ["cell", "i", "j", "home", "rep", "copies", "raw", "size"]
+def _packed(cells: Cells):
+    """A block as one row, with the cells that may hold partners of its vectors."""
+    schema = pa.schema([("block", pa.int64()), ("cell", pa.int32()), ("size", pa.int32()), ("into", pa.list_(pa.int32())), ("reps", pa.binary()), ("copies", pa.binary()), ("raw", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            reps, copies = b.column(0).to_numpy(), b.column(3).to_numpy()
-            for size, at, raw in _by_size(b, 1, 2):
-                home, into, base = cells.place(raw, size)
-                spread = (reps[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                out: list[tuple[np.ndarray, ...]] = []  # row, cell, i, j, home
-                for cell in np.flatnonzero(into.any(axis=0)):
-                    c = cell + base
-                    n, m = (int(home_blocks[c]), int(member_blocks[c])) if c >= 0 else (cells.rest_blocks, cells.rest_blocks)
-                    rows = np.flatnonzero(into[:, cell])
-                    for i in range(n):
-                        out.append((rows, c, np.full(len(rows), i), (spread[rows] % np.uint64(m)).astype(np.int64), False))
-                    rows = np.flatnonzero(home == cell)
-                    for j in range(m if len(rows) else 0):
-                        out.append((rows, c, (spread[rows] % np.uint64(n)).astype(np.int64), np.full(len(rows), j), True))
-                for rows, c, i, j, as_home in out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), c), pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(np.full(len(rows), as_home)), pa.array(reps[at][rows]), pa.array(copies[at][rows]), pa.array([raw[k] for k in rows], pa.binary()), pa.array(np.full(len(rows), size), pa.int32())],
-                        names=names,
-                    )
+    def run(group: pa.Table) -> pa.Table:
+        block, cell, size = (group.column(c)[0].as_py() for c in ("block", "cell", "size"))
+        raw = group.column("raw").to_pylist()
+        others = np.array([cell]) if cell < 0 else cells.first[size] + np.arange(len(cells.pivots[size]))
+        into = np.zeros(len(others), bool)
+        step = max(1, (1 << 20) // len(others))
+        for i in range(0, len(raw), step):
+            into |= cells.enters(unit(raw[i : i + step], cells.kind, size), size, cell, others).any(axis=0)
+        held = [block, cell, size, others[into].tolist(), group.column("rep").to_numpy().tobytes(), group.column("copies").to_numpy().tobytes(), b"".join(raw)]
+        return pa.table([pa.array([x], f.type) for x, f in zip(held, schema, strict=True)], schema=schema)
 
     return run
 
 
-def _join(kind: str, cosine: float):
-    """Links of the home rows of a block pair: their number for each, and stars that connect what they connect."""
-    schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+def _pairs(blocks: DataFrame) -> DataFrame:
+    """Each two blocks that have to be compared, a block with itself too; the folder's files meet pairwise, without an exchange."""
+    a, b = (blocks.toDF(*[f"{x}_{c}" for c in blocks.columns]) for x in "ab")
+    once = (F.col("a_block") == F.col("b_block")) | ((F.col("a_block") < F.col("b_block")) == (F.pmod(F.col("a_block") + F.col("b_block"), F.lit(2)) == 0))  # spread evenly over the pairs of files
+    return a.hint("shuffle_replicate_nl").join(b, once & F.array_contains("a_into", F.col("b_cell")) & F.array_contains("b_into", F.col("a_cell"))).drop("a_into", "b_into", "b_size")
 
-    def run(group: pa.Table) -> pa.Table:
-        as_home = group.column("home").to_numpy()
-        size = group.column("size")[0].as_py()
-        reps, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
-        v = unit(group.column("raw").to_pylist(), kind, size)
-        single = v.astype(np.float32)
+
+class _Side:
+    """One block of a pair."""
+
+    def __init__(self, row: dict, x: str, kind: str) -> None:
+        self.block, self.cell = row[f"{x}_block"], row[f"{x}_cell"]
+        self.reps, self.copies = (np.frombuffer(row[f"{x}_{c}"], np.int64) for c in ("reps", "copies"))
+        self.v = unit([row[f"{x}_raw"]], kind, row["a_size"])
+        self.single = self.v.astype(np.float32)
+
+
+class _Found:
+    """Links of a task: their number for each class, and stars that connect what they connect."""
+
+    def __init__(self) -> None:
+        self.links: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.stars: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def count(self, side: _Side, rows: np.ndarray, copies: np.ndarray) -> None:
+        if side.block not in self.links:
+            self.links[side.block] = (side.reps, np.zeros(len(side.reps), np.int64))
+            self.held += len(side.reps)
+        self.links[side.block][1][:] += np.bincount(rows, copies, len(side.reps)).astype(np.int64)
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.stars.append(smallest(a, b))
+        self.held += len(self.stars[-1][0])
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        columns: list[tuple[np.ndarray, ...]] = [(reps[n > 0], n[n > 0], reps[n > 0]) for reps, n in self.links.values()]
+        if self.stars:
+            node, root = smallest(*(np.concatenate(x) for x in zip(*self.stars, strict=True)))
+            columns.append((node, np.zeros(len(node), np.int64), root))
+        for c in columns:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in c], names=["rep", "links", "root"])
+
+
+def _join(cells: Cells, cosine: float, held_rows: int = 1 << 20):
+    """Links of pairs of blocks, together for the pairs of a task."""
+
+    def compare(a: _Side, b: _Side, size: int, found: _Found) -> None:
         doubt = (size + 4) * 2.0**-23  # single precision errs by less; pairs this near to the threshold are computed again in double
-        h, m = np.flatnonzero(as_home), np.flatnonzero(~as_home)
-        stars: list[tuple[np.ndarray, np.ndarray]] = []
-        links = np.zeros(len(h), np.int64)
-        for k in range(0, len(h), 512):
-            rows = h[k : k + 512]
-            rough = single[rows] @ single[m].T
-            near = rough >= cosine + doubt
-            x, y = np.nonzero(~near & (rough >= cosine - doubt))
-            for i in range(0, len(x), 8192):
-                a, b = x[i : i + 8192], y[i : i + 8192]
-                near[a, b] = np.einsum("ij,ij->i", v[rows[a]], v[m[b]]) >= cosine
-            near &= reps[rows][:, None] != reps[m][None, :]
-            links[k : k + 512] = near @ copies[m]
-            x, y = np.nonzero(near)
+        same = a.block == b.block
+        rows, cols = (np.flatnonzero(cells.enters(x.v, size, x.cell, np.array([y.cell]))[:, 0]) for x, y in ((a, b), (b, a)))
+        if not len(rows) or not len(cols):
+            return
+        w = b.single if len(cols) == len(b.v) else b.single[cols]
+        step = max(1, (1 << 20) // len(cols))
+        for k in range(0, len(rows), step):
+            rough = (a.single[rows[k : k + step]] @ w.T).ravel()
+            at = np.flatnonzero(rough >= cosine - doubt)
+            if not len(at):
+                continue
+            x, y = rows[k + at // len(cols)], cols[at % len(cols)]
+            near = rough[at] >= cosine + doubt
+            open_ = np.flatnonzero(~near)
+            for i in range(0, len(open_), 8192):
+                o = open_[i : i + 8192]
+                near[o] = np.einsum("ij,ij->i", a.v[x[o]], b.v[y[o]]) >= cosine
+            if same:
+                near &= x != y
+            x, y = x[near], y[near]
             if len(x):
-                stars.append(smallest(reps[rows][x], reps[m][y]))
-        node = root = np.zeros(0, np.int64)
-        if stars:
-            node, root = smallest(np.concatenate([s[0] for s in stars]), np.concatenate([s[1] for s in stars]))
-        some = links > 0
-        columns = (np.concatenate([reps[h][some], node]), np.concatenate([links[some], np.zeros(len(node), np.int64)]), np.concatenate([reps[h][some], root]))
-        return pa.table([pa.array(c) for c in columns], schema=schema)
+                found.count(a, x, b.copies[y])
+                if not same:
+                    found.count(b, y, a.copies[x])
+                found.link(a.reps[x], b.reps[y])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, a = _Found(), None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if a is None or a.block != row["a_block"]:
+                    a = _Side(row, "a", cells.kind)
+                compare(a, a if a.block == row["b_block"] else _Side(row, "b", cells.kind), row["a_size"], found)
+                if found.held >= held_rows:
+                    yield from found.out()
+                    found = _Found()
+        yield from found.out()
 
     return run
 
@@ -202,14 +274,14 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     with nothing, nor do vectors of different lengths or rows with a null vec_id (component_id null, not kept).
     Repeated rows are rows of their own that link with each other, and so are rows of one vec_id with different vectors,
     which link only if their vectors do. An empty table gives an empty result; extra columns
-    are dropped. ``block_rows`` bounds both sides of a group on average; there are at
+    are dropped. ``vectors`` is read twice. A block has ``block_rows`` vectors on average, fewer where they are long; there are at
     least ``min_cells`` cells for each length, where it has so many different vectors; pivots are chosen from ``sample_rows``
     classes for the ``max_lengths`` most frequent lengths of vectors; vectors of any other length have one cell of their own.
     """
     kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
-    rows = pick(vectors, vec_id=(id_col, "long"), embedding=(vector_col, "array<float>" if kind == "<f4" else "array<double>"))
-    rows = stage(rows.mapInArrow(_vectors(kind), "vec_id long, digest binary, raw binary, size int").withColumn("node", F.spark_partition_id()), "vectors")
-    usable = rows.where("vec_id IS NOT NULL AND digest IS NOT NULL")
+    parsed = pick(vectors, vec_id=(id_col, "long"), embedding=(vector_col, "array<float>" if kind == "<f4" else "array<double>")).mapInArrow(_vectors(kind), "vec_id long, digest binary, raw binary, size int")
+    rows = stage(parsed.select("vec_id", "digest").withColumn("node", F.spark_partition_id()), "vectors")
+    usable = parsed.where("vec_id IS NOT NULL AND digest IS NOT NULL")
     classes = stage(usable.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.first("raw").alias("raw"), F.first("size").alias("size"), F.count("*").alias("copies")).withColumn("class", F.monotonically_increasing_id()), "classes")
     n = classes.count()
     k = min(MAX_CELLS, max(min_cells, math.ceil(n / block_rows)))
@@ -217,22 +289,19 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     held = classes.select(F.col("class").alias("rep"), "raw", "size", "copies")
     sample = classes.select("size", "raw").orderBy(F.xxhash64("digest"), "digest").limit(sample_rows).collect()
     lengths = [r["size"] for r in classes.groupBy("size").count().orderBy(F.desc("count"), "size").limit(max_lengths).collect()]
-    radius = math.sqrt(2 - 2 * cosine)
     pivots = {}
     for size in lengths:
         own = [bytes(r.raw) for r in sample if r["size"] == size]
         pivots[size] = _spread(unit(own, kind, size), k) if own else np.eye(1, size)
-    cells = Cells(pivots, kind, radius)
-    cells.rest_blocks = max(1, math.ceil(n / (max_lengths * block_rows)))  # a length that isn't among the most frequent has no more rows than one in so many
-    total = sum(len(p) for p in pivots.values())
-    cells.reach, homes, members = np.zeros(total), np.zeros(total), np.zeros(total)
-    for cell, far, count in held.mapInArrow(_homes(cells), "cell int, distance double").groupBy("cell").agg(F.max("distance"), F.count("*")).collect():
-        cells.reach[cell], homes[cell] = far, count
-    for cell, count in held.mapInArrow(_sizes(cells), "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
-        members[cell] = count
-    blocks = [np.maximum(1, np.ceil(x / block_rows)).astype(np.int64) for x in (homes, members)]
-    dealt = held.mapInArrow(_dealt(cells, *blocks), "cell int, i int, j int, home boolean, rep long, copies long, raw binary, size int")
-    found = stage(dealt.groupBy("cell", "i", "j").applyInArrow(_join(kind, cosine), "rep long, links long, root long"), "links")
+    cells = Cells(pivots, kind, math.sqrt(2 - 2 * cosine), block_rows)
+    cells.rest_rows = max(1, math.ceil(n / max_lengths))  # a length that isn't among the most frequent has no more rows than one in so many
+    reach, homes = np.zeros(cells.total), np.zeros(cells.total)
+    for cell, far, count in held.mapInArrow(_homes(cells), "cell int, far double, n long").groupBy("cell").agg(F.max("far"), F.sum("n")).collect():
+        reach[cell], homes[cell] = far, count
+    cells.settle(reach, homes)
+    placed = held.mapInArrow(_placed(cells), "block long, cell int, size int, rep long, copies long, raw binary")
+    blocks = stage(placed.groupBy("block").applyInArrow(_packed(cells), "block long, cell int, size int, into array<int>, reps binary, copies binary, raw binary"), "blocks", file_rows=FILE_BLOCKS)
+    found = stage(_pairs(blocks).mapInArrow(_join(cells, cosine), "rep long, links long, root long"), "links", batch_rows=2)
 
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     reached = components(found, "rep", "root")

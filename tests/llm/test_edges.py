@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -169,6 +170,27 @@ def test_many_lengths_of_vectors(spark):
     assert out == {10 * n + k: (2, 10 * n) for n in range(1, 8) for k in range(3)} | {500: (0, 500)}
 
 
+def test_vectors_are_not_replicated(spark, monkeypatch):
+    """However many cells a vector may have partners in, it is written once, and comparing blocks exchanges nothing."""
+    from resultmart.llm import metric_join as m
+
+    written, stage = {}, m.stage
+    monkeypatch.setattr(m, "stage", lambda df, label, *a, **k: written.setdefault(label, (df, stage(df, label, *a, **k)))[1])
+    v = np.random.default_rng(4).standard_normal((300, 32))
+    v[150:200] = v[100:150] + 0.05
+    v[200:260] = v[7]
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    out = embedding_links(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), block_rows=16).orderBy("vec_id").collect()
+    assert [r.n_links for r in out] == (linked.sum(axis=1) - 1).tolist() and linked.sum() > 3700
+    assert "Exchange" not in written["links"][0]._jdf.queryExecution().executedPlan().toString()
+    blocks = written["blocks"][1].collect()
+    reps = np.concatenate([np.frombuffer(r.reps, np.int64) for r in blocks])
+    assert len(blocks) > 15 and len(reps) == len(set(reps.tolist())) == 240
+    pairs = {(r.a_block, r.b_block) for r in m._pairs(written["blocks"][1]).collect()}
+    assert all(a == b or (b, a) not in pairs for a, b in pairs) and len(pairs) <= len(blocks) * (len(blocks) + 1) / 2
+
+
 def test_hub_lists_over_many_tasks(spark):
     """One shingle list that goes on in other tasks has the hub of its first row there."""
     from resultmart.llm.near_dup import _shared, _with_hubs
