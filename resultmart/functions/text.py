@@ -50,13 +50,13 @@ def clean_date(c: Column) -> Column:
 
 def to_int(c: Column) -> Column:
     """A whole number, with or without #; null for anything else."""
-    c = F.trim(F.regexp_replace(c, "#", ""))
+    c = F.trim(F.replace(c, F.lit("#"), F.lit("")))
     return F.when(c.rlike(r"^-?\d+\z"), c.try_cast("int"))
 
 
 def to_float(c: Column, kind: str = "decimal(10,3)") -> Column:
     """A number, with or without #; null for anything else."""
-    c = F.trim(F.regexp_replace(c, "#", ""))
+    c = F.trim(F.replace(c, F.lit("#"), F.lit("")))
     return F.when(c.rlike(r"^-?\d+(\.\d+)?\z"), c.try_cast(kind))
 
 

@@ -35,9 +35,11 @@ def _row(*cells: Column) -> Column:
 def _pages(rows: DataFrame, url: Column, title: Column, headers: tuple[str, ...], row: Column, order: str) -> DataFrame:
     """A page for each url: a title and one table with a row for each row of the input."""
     head = "<tr>" + "".join(f"<th>{h}</th>" for h in headers) + "</tr>"
-    texts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), row.alias("row")))), lambda x: x["row"])
-    caption = F.concat(F.lit("<caption><h2>Open</h2><h2>"), F.min(title), F.lit("</h2></caption>"))
-    return rows.groupBy(url.alias("url")).agg(F.concat(F.lit("<table>"), caption, F.lit(head), F.array_join(texts, ""), F.lit("</table>")).alias("body"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("at", "row"))), lambda x: x["row"])
+    caption = F.concat(F.lit("<caption><h2>Open</h2><h2>"), F.min("title"), F.lit("</h2></caption>"))
+    # rows are written before they are gathered, as an aggregate reads its arguments without compiled code
+    rows = rows.select(url.alias("url"), title.alias("title"), F.col(order).alias("at"), row.alias("row"))
+    return rows.groupBy("url").agg(F.concat(F.lit("<table>"), caption, F.lit(head), F.array_join(texts, ""), F.lit("</table>")).alias("body"))
 
 
 def _money(c: str) -> Column:

@@ -3,7 +3,8 @@
 ``read_pages`` and ``rows`` are the only places where Python sees a page. Every table of a page is listed, nested ones too,
 and the text of a nested table is also text of the cell around it. ``cells`` has a row for each cell, ``rows`` one for each
 table row with its cells, the headers of its table and the title of its page, so that nothing has to be gathered again; the
-readings take either. Pages of plain tags are cut by one pattern, others go through the parser of the standard library.
+readings take either. Pages of plain tags are cut by one pattern, others go through the parser of the standard library. For
+``rows``, a page that is one plain table is cut whole, and its rows lie in columns at once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +37,9 @@ _PLAIN = re.compile(r'<tr>((?:<t[dh]>[^<]*(?:<br ?/?>[^<]*)*</t[dh]>)+)</tr>|<(/
 _CELL = re.compile(r"<(t[dh])>([^<]*(?:<br ?/?>[^<]*)*)</t[dh]>")
 _BREAK = re.compile(r"<br ?/?>")
 _ATTRIBUTE = re.compile(r'([a-z-]+)="([^"]*)"', re.IGNORECASE)
+#: A page of one table of such cells, whose rows hold headers alone or none; a match is never tried twice.
+_TABLE = re.compile(r"<table>(?:<caption>((?:[^<]*+<h2>[^<]*+</h2>)*+)[^<]*+</caption>)?((?:<tr>(?:(?:<td>[^<]*+(?:<br ?/?>[^<]*+)*+</td>)++|(?:<th>[^<]*+(?:<br ?/?>[^<]*+)*+</th>)++)</tr>)*+)</table>")
+_SECOND = re.compile(r"<h2>([^<]*)</h2>")
 #: Tags whose content isn't read as tags.
 _OPAQUE = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "noscript", "plaintext", "xmp"}
 
@@ -326,12 +331,80 @@ def _row_batch(held: list[tuple[str | None, str | None, dict, _Packed]], array:
     return pa.RecordBatch.from_arrays([*columns, array], names=["doc_id", "title", "table_no", "row_no", "is_header", "headers", "row"])
 
 
+def _plain_row(row: str) -> list[str]:
+    """The texts of a row of cells that are no headers, given without its own tags."""
+    texts = row[4:-5].split("</td><td>")
+    if "&" in row or "<br" in row or "\xa0" in row or "�" in row:
+        return [_clean(_inside(x)) for x in texts]
+    if "> " not in row and " <" not in row and " ".join(row.split()) == row:
+        return texts
+    return [" ".join(x.split()) for x in texts]
+
+
+@functools.lru_cache(4096)
+def _plain_heads(row: str) -> tuple[list[str], tuple[str, ...]]:
+    """The texts of a row of headers, and the names of its columns."""
+    texts = [_clean(_inside(x)) for x in row[4:-5].split("</th><th>")]
+    return texts, tuple(map(_header_name, texts))
+
+
+class _Plain:
+    """Table rows of pages of one plain table, column by column."""
+
+    def __init__(self) -> None:
+        self.pages: list[tuple[str | None, str | None, int, int]] = []  # with the number of its headers and of its rows
+        self.headers: dict[tuple[str, ...] | None, int] = {None: 0}
+        self.heads: list[bool] = []
+        self.sizes: list[int] = []
+        self.texts: list[str] = []
+
+    def add(self, doc_id: str | None, text: str) -> bool:
+        """Whether the page is of that kind, and not so large that it has to be read in parts."""
+        m = _TABLE.fullmatch(text) if len(text) <= 64 * _ROWS else None
+        if not m:
+            return False
+        if not m[2]:
+            return True
+        try:
+            rows_ = [(True, *_plain_heads(x)) if x.startswith("<th>") else (False, _plain_row(x), None) for x in m[2][4:-5].split("</tr><tr>")]
+            seconds = [x for x in (_clean(_inside(x)) for x in _SECOND.findall(m[1] or "")) if x]
+        except ValueError:
+            return False
+        names = next((x for head, _, x in rows_ if head), None)
+        self.pages.append((doc_id, seconds[1] if len(seconds) > 1 else None, self.headers.setdefault(names, len(self.headers)), len(rows_)))
+        for head, texts, _ in rows_:
+            self.heads.append(head)
+            self.sizes.append(len(texts))
+            self.texts += texts
+        return True
+
+    def batch(self) -> pa.RecordBatch:
+        doc_ids, titles_, names, n = zip(*self.pages, strict=True)
+        page, sizes, total = np.repeat(np.arange(len(n)), n), np.array(self.sizes), len(self.texts)
+        of_page = lambda values, kind: pa.array(values, kind).take(pa.array(page))
+        starts = lambda counts: np.repeat(np.cumsum(counts) - counts, counts)
+        headers = pa.array([x and list(x) for x in self.headers], pa.list_(pa.string())).take(of_page(names, pa.int32()))
+        heads = np.array(self.heads)
+        link = pa.StructArray.from_arrays([pa.nulls(0, pa.string())] * 3, fields=list(_LINK))
+        cells_ = [pa.array(np.arange(total) - starts(sizes), pa.int32()), pa.array(np.repeat(heads, sizes)), pa.array(self.texts, pa.string()), pa.nulls(total, pa.string()), pa.repeat(pa.scalar("", pa.string()), total), pa.ListArray.from_arrays(pa.array(np.zeros(total + 1), pa.int32()), link)]
+        row = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.StructArray.from_arrays(cells_, names=["cell_no", "is_header", "text", "anchor", "after", "links"]))
+        columns = [of_page(doc_ids, pa.string()), of_page(titles_, pa.string()), pa.array(np.zeros(len(page)), pa.int32()), pa.array(np.arange(len(page)) - starts(np.array(n)), pa.int32()), pa.array(heads), headers, row]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "title", "table_no", "row_no", "is_header", "headers", "row"])
+
+
 def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        plain = _Plain()
         held: list[tuple[str | None, str | None, dict, _Packed]] = []
         n = 0
         for doc_id, body in zip(b.column(0), b.column(1), strict=True):
-            parts = [x for x in _page_parts(doc_id.as_py(), body.as_py(), _Packed, _ROWS) if isinstance(x, _Packed)]
+            text = _text(body.as_py())
+            if plain.add(doc_id.as_py(), text):
+                if len(plain.texts) >= _ROWS:
+                    yield plain.batch()
+                    plain = _Plain()
+                continue
+            parts = [x for x in _page_parts(doc_id.as_py(), text, _Packed, _ROWS) if isinstance(x, _Packed)]
             seconds = [x for p in parts for x in p.seconds]
             captions = [p.caption for p in parts if p.caption]
             title = min(captions)[3] if captions else seconds[1] if len(seconds) > 1 else None
@@ -354,6 +427,8 @@ def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, n = [], 0
         if held:
             yield _row_batch(held, _row_array([x for *_, p in held for x in p.rows]))
+        if plain.pages:
+            yield plain.batch()
 
 
 def rows(documents: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
@@ -471,10 +546,11 @@ def category_result_rows(cells_: DataFrame) -> DataFrame:
 def segment_result_rows(cells_: DataFrame) -> DataFrame:
     """Segment scores; columns between the component sum and the deduction are components. Short rows are left out."""
     rows = _tables(cells_, "place", "name", "tss").where(F.size("row") >= F.size("headers"))
-    a, z = (F.array_position("headers", x).cast("int") for x in ("pcs", "deduction"))
-    n = F.greatest(z - a - 1, F.lit(0))
-    texts = F.transform("row", lambda x: x.text)
-    parts = zip_map(F.transform(F.slice("headers", a + 1, n), F.lower), F.slice(texts, a + 1, n))
+    # columns of their own, so that they are found once
+    rows = rows.withColumns({"a": F.array_position("headers", "pcs").cast("int"), "z": F.array_position("headers", "deduction").cast("int")})
+    a, n = F.col("a"), F.greatest(F.col("z") - F.col("a") - 1, F.lit(0))
+    rows = rows.withColumns({"part_names": F.transform(F.slice("headers", a + 1, n), F.lower), "part_texts": F.transform(F.slice("row", a + 1, n), lambda x: x.text)})
+    parts = zip_map(F.col("part_names"), F.col("part_texts"))
     parts = F.map_filter(F.transform_values(parts, lambda _, v: to_float(v)), lambda _, v: v.isNotNull())
     scores = [to_float(cell(c)).alias(c) for c in ("tss", "tes", "pcs", "deduction")]
     club = blank_to_null(F.when(cell("name", "anchor").isNotNull(), cell("name", "after")))

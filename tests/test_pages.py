@@ -189,3 +189,33 @@ def test_a_large_page_is_held_in_parts(spark):
     assert len(packed) > 1 and sum(len(p.places) for p in packed) == n + 1
     out = P.entry_rows(P.rows(spark.createDataFrame([("u", body)], "url string, body string"))).selectExpr("count(*)", "count(distinct entry_no)", "min(category)", "max(entry_no)").first()
     assert tuple(out) == (n, n, "Cubs", n - 1)
+
+
+def test_plain_tables_are_cut_whole(monkeypatch):
+    """A page that is one plain table is never parsed tag by tag, and gives the rows that parsing gives."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = ["", "Pl.", "TSS<br />=", "&nbsp;", "a  b", " a", "a ", "a\xa0b", "x\tz", "\x1f", "�", "&amp;lt;", "<br>", "a<br/> b", "&#13;1", "Line 7", "#4", "Name", "\u2003m", "1 &lt; 2"]
+    plain = lambda: table(*[[rng.choice(texts) for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(4))], head=rng.choice([None, ("Pl.", "Name", rng.choice(texts))]), caption=rng.choice(["", "<caption> </caption>", caption("Open"), caption("Open", rng.choice(texts[:1] + texts[4:]).replace("<", "")), caption("", "Open", "A - B"), caption("O", "p", "q")]))
+    head = "<tr><th>Name</th><th>No.</th></tr>"
+    pages = [plain() for _ in range(400)] + [f"<table><tr><td>1</td></tr>{head}<tr><td>2</td></tr>{head}</table>", f"<table>{head}</table>", "<table></table>"]
+    odd = ["", None, "x", "<table>", f"<table>{head}", f"<table>{head}</table> ", f"<table>{head}<tr><td>a</th></tr></table>", "<table><tr><th>a</th><td>b</td></tr></table>", "<table><tr></tr></table>", f"<table>{head}<tr><td class=\"q\">a</td></tr></table>", f"<TABLE>{head}</TABLE>", f"<table>{head}<tr><td>a<b>c</b></td></tr></table>", table(("&#" + "9" * 5000 + ";",), head=("Name",)), table((link("a.htm", "b"),), head=("Name",)), plain() + plain(), "<title>t</title>" + table(("1",), head=("Name",))]
+
+    def read(bodies):
+        kind = pa.binary() if any(isinstance(x, bytes) for x in bodies) else pa.string()
+        batch = pa.RecordBatch.from_arrays([pa.array([f"{U}{i}" if i % 50 else None for i in range(len(bodies))]), pa.array(bodies, kind)], names=["url", "body"])
+        out = list(P._read_rows(iter([batch])))
+        assert len({x.schema for x in out}) <= 1
+        return sorted((r for x in out for r in x.to_pylist()), key=repr)
+
+    encoded = [x and x.encode("windows-1252", "replace") for x in odd + pages]
+    with monkeypatch.context() as m:
+        m.setattr(P._Plain, "add", lambda *_: False)
+        want, want_encoded = read(odd + pages), read(encoded)
+    assert len(want) > 700 and read(odd + pages) == want and read(encoded) == want_encoded
+    monkeypatch.setattr(P, "_ROWS", 5)
+    assert read(odd + pages) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(P, "_Page", None)
+    assert len(read(pages)) > 600
