@@ -8,8 +8,8 @@ two pivots is at most r. Each vector lies in one block of its home cell, of boun
 shared folder. Two blocks are compared once, if each has vectors for which the bounds leave the other's cell open, and then
 by those vectors only; tasks read the blocks from the folder, so nothing is replicated on disk. How much the bounds exclude
 depends on the data: where distances concentrate, as for random directions in many dimensions, it is little and the join
-costs what comparing all blocks costs. Blocks are compared in single precision, and pairs whose cosine it leaves open in
-double precision.
+costs what comparing all blocks costs. Blocks are compared in single precision, first by a bound from half of the parts where
+that leaves few pairs open, and pairs whose cosine is still open in double precision.
 
 Equal vectors are one class, so a vector that a third of all rows hold is compared once. A group of vectors that are
 all linked yields counts and a star, never its pairs.
@@ -37,6 +37,8 @@ MAX_CELLS = 2048
 BLOCK_BYTES = 2 << 20
 #: Blocks of a file: a task holds those of some files at a time.
 FILE_BLOCKS = 8
+#: Pairs of vectors that are compared at once, whose cosines stay in a core's cache.
+TILE = 1 << 18
 
 
 def _vectors(kind: str):
@@ -190,6 +192,19 @@ class _Side:
         self.reps, self.copies = (np.frombuffer(row[f"{x}_{c}"], np.int64) for c in ("reps", "copies"))
         self.v = unit([row[f"{x}_raw"]], kind, row["a_size"])
         self.single = self.v.astype(np.float32)
+        half = self.v.shape[1] // 2
+        self.bound = np.column_stack([self.single[:, :half], np.linalg.norm(self.v[:, half:], axis=1)]).astype(np.float32)  # products of these are at least the cosines, by Cauchy and Schwarz
+
+
+def _at_least(x: np.ndarray, limit: float) -> np.ndarray:
+    """Places, row by row, of the numbers of a matrix that reach a limit; looked for eight at a time, as there are few."""
+    over = (x >= limit).ravel()
+    whole = len(over) // 8 * 8
+    words = over[:whole].view(np.uint64).nonzero()[0]
+    if not len(words) and not over[whole:].any():
+        return words
+    near = (words[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate([near[over[near]], whole + np.flatnonzero(over[whole:])])
 
 
 class _Found:
@@ -228,15 +243,25 @@ def _join(cells: Cells, cosine: float, held_rows: int = 1 << 20):
         rows, cols = (np.flatnonzero(cells.enters(x.v, size, x.cell, np.array([y.cell]))[:, 0]) for x, y in ((a, b), (b, a)))
         if not len(rows) or not len(cols):
             return
-        w = b.single if len(cols) == len(b.v) else b.single[cols]
-        step = max(1, (1 << 20) // len(cols))
+        bounded = size >= 32  # as long as bounds from half of the parts leave few pairs open
+        half, whole = b.bound[cols].T, b.single[cols].T
+        step = max(1, TILE // len(cols))
+        space = np.empty((min(step, len(rows)), len(cols)), np.float32)
         for k in range(0, len(rows), step):
-            rough = (a.single[rows[k : k + step]] @ w.T).ravel()
-            at = np.flatnonzero(rough >= cosine - doubt)
+            r = rows[k : k + step]
+            out = space[: len(r)]
+            if bounded:
+                at = _at_least(np.matmul(a.bound[r], half, out=out), cosine - doubt)
+                if not len(at):
+                    continue
+                near = np.zeros(len(at), bool)
+                bounded = len(at) <= out.size >> 8
+            if not bounded:
+                at = _at_least(np.matmul(a.single[r], whole, out=out), cosine - doubt)
+                near = out.ravel()[at] >= cosine + doubt
             if not len(at):
                 continue
-            x, y = rows[k + at // len(cols)], cols[at % len(cols)]
-            near = rough[at] >= cosine + doubt
+            x, y = r[at // len(cols)], cols[at % len(cols)]
             open_ = np.flatnonzero(~near)
             for i in range(0, len(open_), 8192):
                 o = open_[i : i + 8192]

@@ -180,6 +180,29 @@ def test_vector_links(spark):
         assert [r.kept for r in out] == [i == c for i, c in enumerate(want)]
 
 
+def test_vector_links_near_the_threshold(spark):
+    """Few links in long vectors, where a bound from half of the parts comes first: just above and just below the threshold, with all weight in either half."""
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((700, 48))
+    v[:100, 24:] = 0
+    v[100:200, :24] *= 1e-3
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for i in range(0, 60, 2):
+        x = v[i * 10]
+        y = rng.standard_normal(48) * (x != 0)
+        y -= (y @ x) * x
+        c = 0.9 + (1e-9 if i % 4 else -1e-9)
+        v[i * 10 + 5] = 3 * (c * x + np.sqrt(1 - c * c) * y / np.linalg.norm(y))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    assert 20 <= linked.sum() <= 200
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    out = embedding_links(df, min_cells=2).orderBy("vec_id").collect()
+    assert [r.n_links for r in out] == linked.sum(axis=1).tolist()
+    assert [r.component_id for r in out] == _groups(len(v), np.argwhere(linked).tolist())
+
+
 def test_quality_on_held_out_rows(spark):
     marks = dict(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality").collect())
     out = [r for r in op5_quality_gam(spark, SF).collect() if r.held_out]
